@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -16,9 +17,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+STRIP = r"(?U)\A\s+|\s+\z"
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(text, STRIP, "")
 
 
 def first_seen(items: Column) -> Column:
@@ -50,3 +54,26 @@ def step_prefix(low: Column, high: Column) -> Column:
         F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(low).cast("long")
     )
     return F.array_join(F.slice(low, F.lit(1), length.cast("int")), "/")
+
+
+# -- SQL text ------------------------------------------------------------------------------
+# A schema of many sections compiles to thousands of Column calls, each a round trip to the
+# JVM. Those operators write SQL expressions instead, which Spark parses in one call.
+
+
+def sql_literal(value: str | None) -> str:
+    """A string literal that reads the same whatever the parser's escape settings are."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    if re.fullmatch(r"[^'\\]*", value):
+        return f"'{value}'"
+    return f"decode(unhex('{value.encode().hex()}'), 'UTF-8')"
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once per row."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def sql_strip(text: str) -> str:
+    return rf"regexp_replace({text}, {sql_literal(STRIP)}, '')"

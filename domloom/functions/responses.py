@@ -27,8 +27,16 @@ MODES: dict[str, tuple[tuple[str, str, int], ...]] = {
 }
 
 
-def _is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+def is_json(text: Column) -> Column:
+    """Whether ``text`` is exactly one JSON value.
+
+    The parser stops after the first value, so trailing text has to be ruled out: only a
+    single value is valid both as the element of an array and as the member of an object.
+    """
+    return (
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+        & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    )
 
 
 def salvage_json(text: Column, mode: str) -> Column:
@@ -49,9 +57,9 @@ def salvage_json(text: Column, mode: str) -> Column:
     for name, pattern, group in reversed(MODES[mode]):
         found = F.regexp_extract(text, pattern, group)
         failed = outcome("raw" if mode == "visual" else "error", None)
-        result = F.when(found != "", F.when(_is_json(found), outcome(name, found)).otherwise(failed)).otherwise(result)
+        result = F.when(found != "", F.when(is_json(found), outcome(name, found)).otherwise(failed)).otherwise(result)
     if mode != "visual":
-        result = F.when(_is_json(text), outcome("whole", text)).otherwise(result)
+        result = F.when(is_json(text), outcome("whole", text)).otherwise(result)
     return result
 
 

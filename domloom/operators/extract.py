@@ -11,13 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import let
+from domloom.functions.columns import sql_let, sql_literal
 from domloom.functions.urls import markdown_filename, result_filename
 from domloom.operators.nodes import NO_CONTENT, parse_pages
 from domloom.operators.schema import Section
 from domloom.operators.xpath import compile_xpath, fields_for
 
-EXTRACTION_COLUMNS = "section string, is_list boolean, value string, values array<string>, source_xpath string"
+EXTRACTION_TYPE = "section: string, is_list: boolean, value: string, values: array<string>, source_xpath: string"
 
 
 def usable(sections: Sequence[Section]) -> list[Section]:
@@ -30,45 +30,32 @@ def schema_fields(sections: Sequence[Section], full_text: bool = False) -> tuple
     return fields_for([x for s in sections for x in s.candidates], *extra)
 
 
-def _texts(expression: str, full_text: bool) -> Column:
-    """Text of every match; a match without text gives null."""
-    xp = compile_xpath(expression)
-    if not xp.supported:
-        return F.array().cast("array<string>")
-    return F.transform(xp.select(F.col("nodes")), lambda n: xp.value(n, full_text))
+def _extraction(section: Section, full_text: bool, fallback: bool) -> str:
+    """SQL for the entry of one section."""
 
+    def attempt(expression: str) -> str:
+        xp = compile_xpath(expression)
+        texts = f"transform({xp.select()}, n -> {xp.value('n', full_text)})" if xp.supported else "CAST(array() AS ARRAY<STRING>)"
+        return f"struct({texts} AS texts, {sql_literal(expression)} AS xpath)"
 
-def _extraction(section: Section, full_text: bool, fallback: bool) -> Column:
-    candidates = section.candidates if fallback else section.candidates[:1]
-
-    def attempt(expression: str) -> Column:
-        return F.struct(_texts(expression, full_text).alias("texts"), F.lit(expression).alias("xpath"))
-
-    def filled(a: Column) -> Column:
-        return F.exists(a["texts"], lambda t: F.coalesce(t, F.lit("")) != "")
-
-    def choose(rest: Sequence[str]) -> Column:
-        head = attempt(rest[0])
-        if len(rest) == 1:
+    def choose(candidates: Sequence[str]) -> str:
+        head = attempt(candidates[0])
+        if len(candidates) == 1:
             return head
-        return let(head, lambda a: F.when(filled(a), a).otherwise(choose(rest[1:])))
-
-    def row(a: Column) -> Column:
-        if section.is_list:
-            value = F.lit(None).cast("string")
-            values = F.transform(a["texts"], lambda t: F.coalesce(t, F.lit("")))
-        else:
-            value = F.get(a["texts"], F.lit(0))
-            values = F.lit(None).cast("array<string>")
-        return F.struct(
-            F.lit(section.name).alias("section"),
-            F.lit(section.is_list).alias("is_list"),
-            value.alias("value"),
-            values.alias("values"),
-            F.when(F.size(a["texts"]) > 0, a["xpath"]).alias("source_xpath"),
+        return sql_let(
+            head, "a",
+            f"CASE WHEN exists(a.texts, t -> coalesce(t, '') != '') THEN a ELSE {choose(candidates[1:])} END",
         )
 
-    return let(choose(candidates), row)
+    if section.is_list:
+        shape = "CAST(NULL AS STRING) AS value, transform(a.texts, t -> coalesce(t, '')) AS values"
+    else:
+        shape = "get(a.texts, 0) AS value, CAST(NULL AS ARRAY<STRING>) AS values"
+    row = (
+        f"struct({sql_literal(section.name)} AS section, {str(section.is_list).lower()} AS is_list, "
+        f"{shape}, CASE WHEN size(a.texts) > 0 THEN a.xpath END AS source_xpath)"
+    )
+    return sql_let(choose(section.candidates if fallback else section.candidates[:1]), "a", row)
 
 
 def extract(
@@ -88,10 +75,10 @@ def extract(
     """
     wanted = usable(sections)
     parsed = parse_pages(pages, schema_fields(wanted, full_text), keep)
-    entries = [_extraction(s, full_text, fallback) for s in wanted]
-    fields = F.array(*entries) if entries else F.array().cast(f"array<struct<{EXTRACTION_COLUMNS}>>")
+    entries = ", ".join(_extraction(s, full_text, fallback) for s in wanted)
+    fields = f"CAST(array({entries}) AS ARRAY<STRUCT<{EXTRACTION_TYPE}>>)"
     return parsed.select(
-        "page_id", "error", F.when(F.col("nodes").isNotNull(), fields).alias("fields"), *keep
+        "page_id", "error", F.expr(f"CASE WHEN nodes IS NOT NULL THEN {fields} END").alias("fields"), *keep
     )
 
 

@@ -207,5 +207,9 @@ def node_text(node: Column, runs: Column | None = None) -> Column:
     )
 
 
+def node_text_sql(node: str, runs: str = "runs") -> str:
+    return f"array_join(slice({runs}, {node}.run_start + 1, {node}.run_end - {node}.run_start), '')"
+
+
 def node_schema(fields: Sequence[str] | None = None) -> T.StructType:
     return T.StructType.fromDDL(pages_schema(tuple(fields or NODE_FIELDS)))

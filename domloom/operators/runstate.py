@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from domloom.operators.schema import Section
+from domloom.session import checkpointed
 
 # The steps of a run in order, and the two that mean the same.
 STEPS = ("text_analysis", "visual_analysis", "synthesized", "schema", "code_generated", "code_validated")
@@ -90,7 +91,7 @@ def pending_pages(
     it is read; more of them join by shuffle."""
     if not resume:
         return pages
-    ids = pending_page_ids(pages, done, schema_key).checkpoint()
+    ids = checkpointed(pending_page_ids(pages, done, schema_key))
     if ids.count() <= broadcast_rows:
         ids = F.broadcast(ids)
     return pages.join(ids, "page_id", "left_semi")

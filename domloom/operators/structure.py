@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import first_seen, let, strip
-from domloom.operators.nodes import node_text
+from domloom.functions.columns import first_seen, let, sql_let, sql_literal, sql_strip
+from domloom.operators.nodes import node_text_sql
 from domloom.operators.xpath import compile_xpath, fields_for
 
 
@@ -53,12 +53,30 @@ SECTION_FIELDS = fields_for(
 )
 
 
-def _first_match(expressions: Sequence[str], nodes: Column) -> Column:
+def _first_match(expressions: Sequence[str]) -> str:
+    """SQL for the matches of the first expression that has any."""
     head, *rest = expressions
-    hits = compile_xpath(head).select(nodes)
+    hits = compile_xpath(head).select()
     if not rest:
         return hits
-    return let(hits, lambda h: F.when(F.size(h) > 0, h).otherwise(_first_match(rest, nodes)))
+    return sql_let(hits, "h", f"CASE WHEN size(h) > 0 THEN h ELSE {_first_match(rest)} END")
+
+
+def _section(rule: SectionRule, sample_chars: int) -> str:
+    lead = "get(hits, 0)"
+    row = f"""CASE WHEN size(hits) > 0 THEN struct(
+        {sql_literal(rule.section)} AS section,
+        {sql_literal(rule.type)} AS type,
+        {sql_literal(rule.description)} AS description,
+        {lead}.xpath AS xpath,
+        {lead}.gpath AS gpath,
+        size(hits) > 1 AS is_list,
+        CASE WHEN size(hits) > 1 THEN concat('/', {lead}.gpath) END AS list_xpath,
+        {lead}.attrs AS attributes,
+        substring({sql_strip(node_text_sql(lead))}, 1, {sample_chars}) AS content_sample,
+        size(hits) AS n_matches,
+        transform(hits, n -> n.gpath) AS gpaths) END"""
+    return sql_let(_first_match(rule.xpaths), "hits", row)
 
 
 def page_sections(
@@ -69,33 +87,11 @@ def page_sections(
     A page without any section, or one that failed to parse, keeps a row with a null
     ``section`` and its ``error``. ``gpaths`` holds the path of every match.
     """
-
-    def found(rule: SectionRule) -> Column:
-        def row(hits: Column) -> Column:
-            lead = F.get(hits, F.lit(0))
-            many = F.size(hits) > 1
-            return F.when(
-                F.size(hits) > 0,
-                F.struct(
-                    F.lit(rule.section).alias("section"),
-                    F.lit(rule.type).alias("type"),
-                    F.lit(rule.description).alias("description"),
-                    lead["xpath"].alias("xpath"),
-                    lead["gpath"].alias("gpath"),
-                    many.alias("is_list"),
-                    F.when(many, F.concat(F.lit("/"), lead["gpath"])).alias("list_xpath"),
-                    lead["attrs"].alias("attributes"),
-                    F.substring(strip(node_text(lead)), 1, sample_chars).alias("content_sample"),
-                    F.size(hits).alias("n_matches"),
-                    F.transform(hits, lambda n: n["gpath"]).alias("gpaths"),
-                ),
-            )
-
-        return let(_first_match(rule.xpaths, F.col("nodes")), row)
-
-    sections = F.filter(F.array(*[found(r) for r in rules]), lambda s: s.isNotNull())
-    return parsed.select(
-        "page_id", "error", F.inline_outer(F.when(F.col("nodes").isNotNull(), sections))
+    found = ", ".join(_section(r, sample_chars) for r in rules)
+    return parsed.selectExpr(
+        "page_id",
+        "error",
+        f"inline_outer(CASE WHEN nodes IS NOT NULL THEN filter(array({found}), s -> s IS NOT NULL) END)",
     )
 
 

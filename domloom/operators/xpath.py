@@ -1,4 +1,4 @@
-"""XPath expressions compiled on the driver to Catalyst predicates over the node array.
+"""XPath expressions compiled on the driver to Spark SQL over the node array.
 
 Supported: child and descendant steps, names and ``*``, and the predicates ``[n]``,
 ``[last()]``, ``[@a]``, ``[@a='v']``, ``[contains(@a,'v')]``, ``[starts-with(@a,'v')]``, the
@@ -15,16 +15,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import let, strip
-from domloom.operators.nodes import node_text
+from domloom.functions.columns import sql_let, sql_literal, sql_strip
+from domloom.operators.nodes import node_text_sql
 
-Test = Callable[[Column], Column]
+# A test turns the SQL name of a node into a SQL condition.
+Test = Callable[[str], str]
 
 _STEP = re.compile(r"(//?)(\*|[A-Za-z_][\w.-]*)(?!\()((?:\[(?:[^\]'\"]|'[^']*'|\"[^\"]*\")*\])*)")
 _TAIL = re.compile(r"(?:/text\(\)|(//?)@([A-Za-z_][\w.:-]*))\Z")
@@ -50,14 +49,9 @@ class Step:
     name: str
     tests: list[Test] = field(default_factory=list)
 
-    def matches(self, n: Column) -> Column:
-        tests = [t(n) for t in self.tests]
-        if self.name != "*":
-            tests.insert(0, n["tag"] == self.name)
-        result = tests[0] if tests else n["nid"].isNotNull()
-        for test in tests[1:]:
-            result = result & test
-        return result
+    def matches(self, n: str) -> list[str]:
+        name = [f"{n}.tag = {sql_literal(self.name)}"] if self.name != "*" else []
+        return name + [test(n) for test in self.tests]
 
 
 @dataclass
@@ -74,29 +68,29 @@ class XPath:
     def supported(self) -> bool:
         return self.reason is None
 
-    def select(self, nodes: Column) -> Column:
-        """Matching elements of ``nodes`` in document order."""
+    def select(self, nodes: str = "nodes") -> str:
+        """SQL for the matching elements of ``nodes`` in document order."""
         if not self.supported:
-            return F.filter(nodes, lambda n: F.lit(False))
+            return f"filter({nodes}, n -> false)"
         if self.union:
-            ids = F.flatten(
-                F.array(*[F.transform(x.select(nodes), lambda n: n["nid"]) for x in self.union])
+            ids = ", ".join(f"transform({x.select(nodes)}, n -> n.nid)" for x in self.union)
+            return sql_let(
+                f"concat({ids})", "found", f"filter({nodes}, n -> array_contains(found, n.nid))"
             )
-            return let(ids, lambda found: F.filter(nodes, lambda n: F.array_contains(found, n["nid"])))
         hits = None
         for segment in self._segments():
             hits = _select_segment(nodes, segment, hits)
         if self.attribute:
-            hits = F.filter(hits, lambda n: n["attrs"][self.attribute].isNotNull())
+            hits = f"filter({hits}, n -> n.attrs[{sql_literal(self.attribute)}] IS NOT NULL)"
         return hits
 
-    def value(self, n: Column, full_text: bool = False, runs: Column | None = None) -> Column:
-        """What the expression yields for the matching element ``n``."""
+    def value(self, n: str, full_text: bool = False, runs: str = "runs") -> str:
+        """SQL for what the expression yields for the matching element ``n``."""
         if self.attribute:
-            return n["attrs"][self.attribute]
+            return f"{n}.attrs[{sql_literal(self.attribute)}]"
         if full_text and not self.text_only:
-            return strip(node_text(n, runs))
-        return n["text_head"]
+            return sql_strip(node_text_sql(n, runs))
+        return f"{n}.text_head"
 
     def _segments(self) -> list[list[Step]]:
         """Runs of child steps; each run after the first starts below a ``//``."""
@@ -108,42 +102,19 @@ class XPath:
         return segments
 
 
-def _up(nodes: Column, n: Column) -> Column:
-    return F.get(nodes, n["parent_nid"] - 1)
-
-
-def _select_segment(nodes: Column, steps: list[Step], context: Column | None) -> Column:
-    def matches(n: Column, inside: Callable[[Column], Column | None]) -> Column:
-        result, at = None, n
-        for step in reversed(steps):
-            test = step.matches(at)
-            result = test if result is None else result & test
-            if step is not steps[0]:
-                at = _up(nodes, at)
-        where = inside(at)
-        return result if where is None else result & where
-
+def _select_segment(nodes: str, steps: list[Step], context: str | None) -> str:
+    conditions: list[str] = []
+    at = "n"
+    for step in reversed(steps):
+        conditions += step.matches(at)
+        top, at = at, f"get({nodes}, {at}.parent_nid - 1)"
     if context is None:
-        anchored = not steps[0].descendant
-        return F.filter(
-            nodes, lambda n: matches(n, lambda top: top["parent_nid"] == 0 if anchored else None)
-        )
-    spans = F.transform(
-        context, lambda c: F.struct(c["nid"].alias("nid"), c["last_nid"].alias("last_nid"))
-    )
-    return let(
-        spans,
-        lambda outer: F.filter(
-            nodes,
-            lambda n: matches(
-                n,
-                lambda top: F.exists(
-                    outer,
-                    lambda c: (c["nid"] < top["nid"]) & (top["nid"] <= c["last_nid"]),
-                ),
-            ),
-        ),
-    )
+        if not steps[0].descendant:
+            conditions.append(f"{top}.parent_nid = 0")
+        return f"filter({nodes}, n -> {' AND '.join(conditions) or 'true'})"
+    conditions.append(f"exists(outer, c -> c.nid < {top}.nid AND {top}.nid <= c.last_nid)")
+    spans = f"transform({context}, c -> struct(c.nid AS nid, c.last_nid AS last_nid))"
+    return sql_let(spans, "outer", f"filter({nodes}, n -> {' AND '.join(conditions)})")
 
 
 def _predicate(source: str, name: str, first: bool) -> tuple[Test, set[str]]:
@@ -152,23 +123,21 @@ def _predicate(source: str, name: str, first: bool) -> tuple[Test, set[str]]:
         if name == "*" or not first:
             raise Unsupported("position is supported only directly after an element name")
         if source == "last()":
-            return (lambda n: n["idx"] == n["n_same"]), {"idx", "n_same"}
-        position = int(source)
-        return (lambda n: n["idx"] == position), {"idx"}
+            return (lambda n: f"{n}.idx = {n}.n_same"), {"idx", "n_same"}
+        return (lambda n: f"{n}.idx = {int(source)}"), {"idx"}
     if m := _HAS.match(source):
-        return (lambda n: n["attrs"][m[1]].isNotNull()), {"attrs"}
+        return (lambda n: f"{n}.attrs[{sql_literal(m[1])}] IS NOT NULL"), {"attrs"}
     if m := _EQUALS.match(source):
-        value = m[2] if m[2] is not None else m[3]
+        value = sql_literal(m[2] if m[2] is not None else m[3])
         if m[1] == "id":
-            return (lambda n: n["id"] == value), {"id"}
-        return (lambda n: n["attrs"][m[1]] == value), {"attrs"}
+            return (lambda n: f"{n}.id = {value}"), {"id"}
+        return (lambda n: f"{n}.attrs[{sql_literal(m[1])}] = {value}"), {"attrs"}
     if m := _CONTAINS.match(source):
-        value = m[3] if m[3] is not None else m[4]
-        if m[1] == "contains":
-            return (lambda n: n["attrs"][m[2]].contains(value)), {"attrs"}
-        return (lambda n: n["attrs"][m[2]].startswith(value)), {"attrs"}
+        value = sql_literal(m[3] if m[3] is not None else m[4])
+        function = "contains" if m[1] == "contains" else "startswith"
+        return (lambda n: f"{function}({n}.attrs[{sql_literal(m[2])}], {value})"), {"attrs"}
     if m := _TOKEN.match(source):
-        return (lambda n: F.array_contains(n["cls"], m[1])), {"cls"}
+        return (lambda n: f"array_contains({n}.cls, {sql_literal(m[1])})"), {"cls"}
     raise Unsupported(f"predicate [{source}]")
 
 
@@ -184,10 +153,10 @@ def _condition(body: str, name: str, first: bool) -> tuple[Test, set[str]]:
             alternatives[-1].append(test)
             fields |= used
 
-    def test_all(n: Column) -> Column:
-        return reduce(or_, [reduce(and_, [t(n) for t in tests]) for tests in alternatives])
+    def combined(n: str) -> str:
+        return "(" + " OR ".join(" AND ".join(t(n) for t in tests) for tests in alternatives) + ")"
 
-    return test_all, fields
+    return combined, fields
 
 
 def compile_xpath(expression: str) -> XPath:
@@ -252,36 +221,20 @@ def select_xpath(parsed: DataFrame, expressions: Mapping[str, str], full_text: b
     Every expression is evaluated against the same parsed row, so any number of them costs
     one parse and no shuffle.
     """
-    def matches(name: str, xp: XPath) -> Column:
-        return F.transform(
-            xp.select(F.col("nodes")),
-            lambda n: F.struct(
-                F.lit(name).alias("name"),
-                n["nid"].alias("nid"),
-                n["xpath"].alias("xpath"),
-                xp.value(n, full_text).alias("value"),
-            ),
-        )
 
-    groups = [matches(name, compile_xpath(x)) for name, x in expressions.items()]
-    return parsed.select("page_id", F.inline(F.concat(*groups)))
+    def matches(name: str, xp: XPath) -> str:
+        row = f"struct({sql_literal(name)} AS name, n.nid AS nid, n.xpath AS xpath, {xp.value('n', full_text)} AS value)"
+        return f"transform({xp.select()}, n -> {row})"
+
+    groups = ", ".join(matches(name, compile_xpath(x)) for name, x in expressions.items())
+    return parsed.selectExpr("page_id", f"inline(concat({groups}))")
 
 
 def xpath_text(parsed: DataFrame, expression: str) -> DataFrame:
     """Stripped text of every match: ``(page_id, nid, text)``."""
     xp = compile_xpath(expression)
-    return parsed.select(
-        "page_id",
-        F.inline(
-            F.transform(
-                xp.select(F.col("nodes")),
-                lambda n: F.struct(
-                    n["nid"].alias("nid"),
-                    F.coalesce(xp.value(n, full_text=True), F.lit("")).alias("text"),
-                ),
-            )
-        ),
-    )
+    row = f"struct(n.nid AS nid, coalesce({xp.value('n', full_text=True)}, '') AS text)"
+    return parsed.selectExpr("page_id", f"inline(transform({xp.select()}, n -> {row}))")
 
 
 def unsupported_xpaths(spark: SparkSession, expressions: Mapping[str, str]) -> DataFrame:
@@ -299,11 +252,9 @@ def suggest_xpath(parsed: DataFrame, sample: str, window: int = 100, limit: int
     ``(page_id, rank, xpath)``; the comparison ignores case and looks at the first
     ``window`` characters of the stripped text.
     """
-    wanted = sample.lower()
-    hits = F.filter(
-        F.col("nodes"),
-        lambda n: F.substring(F.lower(strip(node_text(n))), 1, window).contains(wanted),
-    )
+    text = sql_strip(node_text_sql("n"))
+    near_start = f"contains(substring(lower({text}), 1, {window}), {sql_literal(sample.lower())})"
+    hits = F.expr(f"filter(nodes, n -> {near_start})")
     return parsed.select(
         "page_id",
         F.posexplode(F.transform(F.slice(hits, 1, limit), lambda n: n["xpath"])).alias("pos", "xpath"),

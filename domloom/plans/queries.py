@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import let, step_prefix
+from domloom.functions.columns import step_prefix
 from domloom.functions.markdown import html_to_markdown, markdown_escape
 from domloom.functions.responses import (
     MODES,
@@ -22,7 +22,7 @@ from domloom.operators import extract as ex
 from domloom.operators import lint, profile, runstate
 from domloom.operators import schema as sc
 from domloom.operators import structure as st
-from domloom.operators.nodes import page_nodes, parse_pages
+from domloom.operators.nodes import node_text, page_nodes, parse_pages
 from domloom.operators.schema import Section
 from domloom.operators.xpath import fields_for, select_xpath, suggest_xpath, xpath_text
 from domloom.plans import inputs
@@ -78,6 +78,10 @@ XPATHS = {
 }
 
 
+# A character that page text does not hold.
+SEPARATOR = "\x1f"
+
+
 def _joined(values: Column, sep: str = "|") -> Column:
     return F.array_join(values, sep)
 
@@ -85,7 +89,7 @@ def _joined(values: Column, sep: str = "|") -> Column:
 def _long(extracted: DataFrame, *keep: str) -> DataFrame:
     return ex.extractions(extracted, *keep).select(
         "page_id", *keep, "section", "is_list", "value",
-        _joined(F.col("values")).alias("values"), F.size("values").alias("n_values"), "source_xpath",
+        _joined(F.col("values"), SEPARATOR).alias("values"), F.size("values").alias("n_values"), "source_xpath",
     ).withColumn("n_values", F.when(F.col("is_list"), F.col("n_values")))
 
 
@@ -237,8 +241,6 @@ def tag_counts(spark, sf):
 @query
 def node_text_full(spark, sf):
     """Text of the elements between body and paragraphs, from the slices of the text runs."""
-    from domloom.operators.nodes import node_text
-
     parsed = parse_pages(inputs.pages(spark, sf), ("nid", "tag", "run_start", "run_end"))
     rows = parsed.select("page_id", F.inline(F.transform(
         "nodes", lambda n: F.struct(n["nid"].alias("nid"), n["tag"].alias("tag"), node_text(n).alias("text"))
@@ -469,7 +471,7 @@ def extraction_records(spark, sf):
     return records.select(
         "page_id",
         *[record[n].alias(n) for n in ("title", "doc_title", "ad", "footer", "subtitle")],
-        *[_joined(record[n]).alias(n) for n in ("links", "paragraphs", "tags")],
+        *[_joined(record[n], SEPARATOR).alias(n) for n in ("links", "paragraphs", "tags")],
         ex.record_json(record).startswith('{"title":').alias("json_has_title"),
     )
 
@@ -734,5 +736,3 @@ def incremental_extraction(spark, sf):
     stream.awaitTermination()
     return _long(spark.read.parquet(f"{base}/out"))
 
-
-__all__ = ["SECTIONS", "all_queries", "let"]

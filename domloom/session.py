@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -42,3 +42,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="domloom-")
     return f"{root.rstrip('/')}/domloom/{purpose}-{uuid.uuid4().hex}"
+
+
+def checkpointed(table: DataFrame) -> DataFrame:
+    """``table`` computed once and read back from the shared checkpoint folder."""
+    context = table.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(table.sparkSession, "checkpoints"))
+    return table.checkpoint()

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from domloom.functions.columns import strip
 from domloom.functions.urls import url_filename, url_valid
 from domloom.operators.ranking import number_rows, running_total
+from domloom.session import checkpointed
+
+# Positions and copy numbers are dense: one level of ranges keeps every window small.
+DENSE = (20,)
 
 
 def read_url_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -53,21 +57,25 @@ def dedupe_filenames(files: DataFrame, order: str = "position", name: str = "fil
     same way, so neither is gathered in one task.
     """
     stem = r"\.html\z"
-    ranked = number_rows(files.withColumnRenamed(name, "natural"), ["natural"], order, "copy").withColumn(
-        "copy", F.col("copy") - 1
+    # used three times below, so it is computed once and cut off from its input
+    ranked = checkpointed(
+        number_rows(files.withColumnRenamed(name, "natural"), ["natural"], order, "copy", DENSE).withColumn(
+            "copy", F.col("copy") - 1
+        )
     )
     sizes = ranked.filter("copy > 0").groupBy("natural").agg(F.max("copy").alias("copies"))
 
     # own names of the form <other own name>_<k>.html, which take the number k from it
-    owned = files.select(F.col(name).alias("taken")).distinct()
+    owned = ranked.filter("copy = 0").select(F.col("natural").alias("taken"))
     claims = owned.select(
         F.concat(F.regexp_extract("taken", r"\A(.+)_([1-9][0-9]{0,17})\.html\z", 1), F.lit(".html")).alias("natural"),
         F.regexp_extract("taken", r"\A(.+)_([1-9][0-9]{0,17})\.html\z", 2).alias("digits"),
     ).filter("digits != ''").select("natural", F.col("digits").cast("bigint").alias("k"))
-    claims = claims.join(sizes, "natural")
+    # no name has 2**40 copies, so larger numbers are never reached
+    claims = claims.filter(F.col("k") < (1 << 41)).join(sizes, "natural")
     # the m-th taken number k shifts copy i by one when k - (m - 1) <= i
     shifts = (
-        number_rows(claims, ["natural"], "k", "m")
+        number_rows(claims, ["natural"], "k", "m", DENSE)
         .withColumn("at", F.col("k") - F.col("m") + 1)
         .filter("at <= copies")
         .groupBy("natural", "at")
@@ -78,7 +86,7 @@ def dedupe_filenames(files: DataFrame, order: str = "position", name: str = "fil
     events = copies.withColumn("taken", F.lit(0)).unionByName(shifts).groupBy("natural", "at").agg(
         F.sum("taken").alias("taken")
     )
-    skipped = running_total(events, ["natural"], "at", F.col("taken"), "skipped").select(
+    skipped = running_total(events, ["natural"], "at", F.col("taken"), "skipped", DENSE).select(
         "natural", F.col("at").alias("copy"), "skipped"
     )
     number = F.col("copy") + F.coalesce("skipped", F.lit(0))
