@@ -10,6 +10,7 @@ Recovery rules, fixed here and pinned by golden tests:
 * a start tag closes the open elements it implies closed (``CLOSED_BY``), together with
   anything still open inside them; formatting tags are not re-opened afterwards
 * fragments are wrapped in ``html`` and ``head``/``body``; bare text outside a body gets a ``p``
+* blank text is dropped except inside text elements and after inline elements
 * stray end tags are ignored; an inline end tag never closes across a block element
 * end of input closes everything
 * elements nested deeper than ``MAX_DEPTH`` become siblings at that depth
@@ -226,7 +227,7 @@ class PageScan:
                 return
             top = self._stack[-1]
             before = self._last_child[top]
-            if (before if before is not None else self.tag[top]) not in KEEPS_BLANK:
+            if before not in INLINE if before is not None else self.tag[top] not in KEEPS_BLANK:
                 return
         elif self._body < 0 and (
             not self._stack or self.tag[self._stack[-1]] in ("html", "head")

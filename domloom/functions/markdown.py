@@ -51,8 +51,11 @@ def _images(text: Column) -> Column:
             F.concat(F.lit("!["), alt, F.lit("]("), src, F.lit(")"), rest)
         )
 
-    return F.when(~F.lower(text).contains("<img"), text).otherwise(
-        F.array_join(F.transform(F.split(text, r"(?i)(?=<img\b)"), image), "")
+    return let(
+        text,
+        lambda t: F.when(~F.lower(t).contains("<img"), t).otherwise(
+            F.array_join(F.transform(F.split(t, r"(?i)(?=<img\b)"), image), "")
+        ),
     )
 
 
@@ -95,8 +98,11 @@ def _lists(text: Column) -> Column:
             "",
         )
 
-    return F.when(~F.lower(text).rlike("<(?:li|ul|ol)\\b"), text).otherwise(
-        let(F.split(text, r"(?i)(?=</?(?:ul|ol|li)\b)"), convert)
+    return let(
+        text,
+        lambda t: F.when(~t.rlike(r"(?i)<(?:li|ul|ol)\b"), t).otherwise(
+            let(F.split(t, r"(?i)(?=</?(?:ul|ol|li)\b)"), convert)
+        ),
     )
 
 
@@ -126,8 +132,11 @@ def _quotes(text: Column) -> Column:
 
         return F.array_join(F.zip_with(parts, depths, quoted), "")
 
-    return F.when(~text.contains(QUOTE_OPEN), text).otherwise(
-        let(F.split(text, f"(?=[{QUOTE_OPEN}{QUOTE_CLOSE}])"), convert)
+    return let(
+        text,
+        lambda t: F.when(~t.contains(QUOTE_OPEN), t).otherwise(
+            let(F.split(t, f"(?=[{QUOTE_OPEN}{QUOTE_CLOSE}])"), convert)
+        ),
     )
 
 

@@ -30,13 +30,14 @@ MODES: dict[str, tuple[tuple[str, str, int], ...]] = {
 def is_json(text: Column) -> Column:
     """Whether ``text`` is exactly one JSON value.
 
-    The parser stops after the first value, so trailing text has to be ruled out: only a
-    single value is valid both as the element of an array and as the member of an object.
+    The parsers stop after the first value, so trailing text has to be ruled out: only a
+    single value is valid both as the one element of an array and as the one member of an
+    object.
     """
-    return (
-        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-        & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
-    )
+    as_element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    as_member = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}"))))
+    may_be_json = text.rlike(r'^\s*[\[{"tfn0-9-]')
+    return F.coalesce(may_be_json & as_element & (as_member == 1), F.lit(False))
 
 
 def salvage_json(text: Column, mode: str) -> Column:

@@ -8,7 +8,7 @@ from html.entities import html5, name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import strip
+from domloom.functions.columns import let, strip
 
 # Names first that pages use most: the lookup scans in this order.
 _FREQUENT = ("amp", "quot", "lt", "gt", "nbsp", "copy", "middot", "apos")
@@ -62,8 +62,11 @@ def decode_entities(text: Column) -> Column:
             .otherwise(p)
         )
 
-    return F.when(~text.contains("&"), text).otherwise(
-        F.array_join(F.transform(F.split(text, "(?=&)"), piece), "")
+    return let(
+        text,
+        lambda t: F.when(~t.contains("&"), t).otherwise(
+            F.array_join(F.transform(F.split(t, "(?=&)"), piece), "")
+        ),
     )
 
 

@@ -27,6 +27,8 @@ def running_total(
     split = rows.withColumn("__amount", amount.cast("bigint"))
     for level, shift in zip(levels, shifts):
         split = split.withColumn(level, F.shiftright(F.col(order).cast("bigint"), shift))
+    # Spark would accept rows already partitioned by the keys alone, hot group and all
+    split = split.repartition(*keys, levels[0])
 
     def before(children: DataFrame, depth: int) -> DataFrame:
         """Totals of all earlier ranges for each range at ``depth``."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from domloom.functions.columns import first_seen, let, sql_let, sql_literal, sql_strip
 from domloom.operators.nodes import node_text_sql
 from domloom.operators.xpath import compile_xpath, fields_for
+from domloom.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -79,6 +80,11 @@ def _section(rule: SectionRule, sample_chars: int) -> str:
     return sql_let(_first_match(rule.xpaths), "hits", row)
 
 
+def _sections_array(rules: Sequence[SectionRule], sample_chars: int) -> str:
+    found = ", ".join(_section(r, sample_chars) for r in rules)
+    return f"filter(array({found}), s -> s IS NOT NULL)"
+
+
 def page_sections(
     parsed: DataFrame, rules: Sequence[SectionRule] = SECTION_RULES, sample_chars: int = 100
 ) -> DataFrame:
@@ -87,12 +93,22 @@ def page_sections(
     A page without any section, or one that failed to parse, keeps a row with a null
     ``section`` and its ``error``. ``gpaths`` holds the path of every match.
     """
-    found = ", ".join(_section(r, sample_chars) for r in rules)
+    sections = _sections_array(rules, sample_chars)
     return parsed.selectExpr(
-        "page_id",
-        "error",
-        f"inline_outer(CASE WHEN nodes IS NOT NULL THEN filter(array({found}), s -> s IS NOT NULL) END)",
+        "page_id", "error", f"inline_outer(CASE WHEN nodes IS NOT NULL THEN {sections} END)"
+    )
+
+
+def missing_sections(
+    parsed: DataFrame, section_names: Sequence[str], rules: Sequence[SectionRule] = SECTION_RULES
+) -> DataFrame:
+    """Pages lacking any of the named sections, one row per page and section, in the row."""
+    known = [r for r in rules if r.section in section_names]
+    tests = ", ".join(
+        f"CASE WHEN coalesce(size({_first_match(r.xpaths)}), 0) > 0 THEN {sql_literal(r.section)} END" for r in known
     )
+    names = ", ".join(map(sql_literal, section_names))
+    return parsed.selectExpr("page_id", f"explode(array_except(array({names}), array({tests}))) AS section")
 
 
 # -- patterns over nodes ---------------------------------------------------------------
@@ -187,12 +203,7 @@ def _region_role(n: Column) -> Column:
     return role.when(n["tag"].isin(*MARKED_TAGS) & (marks != ""), "other")
 
 
-def layout_roles(parsed: DataFrame) -> DataFrame:
-    """Regions of each page with role, vertical position and hints, from the markup alone.
-
-    Position is the third of the document the region starts in.
-    """
-
+def _regions() -> Column:
     def region(n: Column, total: Column) -> Column:
         hints = F.concat(
             F.transform(n["cls"], lambda c: F.concat(F.lit("."), c)),
@@ -218,35 +229,56 @@ def layout_roles(parsed: DataFrame) -> DataFrame:
     regions = let(
         F.size("nodes"), lambda total: F.transform(F.col("nodes"), lambda n: region(n, total))
     )
-    return parsed.select("page_id", F.inline(F.filter(regions, lambda r: r["type"].isNotNull())))
+    return F.filter(regions, lambda r: r["type"].isNotNull())
+
+
+LAYOUT_FIELDS = ("nid", "last_nid", "depth", "tag", "attrs", "cls", "id", "gpath", "xpath")
+
+
+def layout_roles(parsed: DataFrame) -> DataFrame:
+    """Regions of each page with role, vertical position and hints, from the markup alone.
+
+    Position is the third of the document the region starts in.
+    """
+    return parsed.select("page_id", F.inline(_regions()))
 
 
 def layout_summary(layout: DataFrame) -> DataFrame:
     return layout.groupBy("type", "position").agg(F.count("*").alias("regions"))
 
 
-def merge_analyses(sections: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+def merge_analyses(
+    parsed: DataFrame, layout: bool = True, rules: Sequence[SectionRule] = SECTION_RULES
+) -> DataFrame:
     """Text and layout results side by side on the exact element; layout may be switched off.
 
-    ``in_text`` and ``in_layout`` say which side a row comes from.
+    ``in_text`` and ``in_layout`` say which side a row comes from. Both analyses come from
+    the same parsed row, so they meet inside it instead of in a join.
     """
-    text = sections.filter(F.col("section").isNotNull()).select(
-        "page_id", "xpath", "section", F.col("type").alias("section_type"), F.lit(True).alias("in_text")
+    none = F.array().cast("array<struct<type: string, position: string, xpath: string>>")
+    both = parsed.select(
+        "page_id", F.expr(_sections_array(rules, 100)).alias("s"), (_regions() if layout else none).alias("r")
     )
-    if layout is None:
-        return text.select(
-            "page_id", "xpath", "section", "section_type",
-            F.lit(None).cast("string").alias("region_type"), F.lit(None).cast("string").alias("position"),
-            "in_text", F.lit(False).alias("in_layout"),
+
+    def row(s: Column | None, r: Column | None) -> Column:
+        text = lambda c, name: c[name] if c is not None else F.lit(None).cast("string")
+        return F.struct(
+            (s["xpath"] if s is not None else r["xpath"]).alias("xpath"),
+            text(s, "section").alias("section"),
+            text(s, "type").alias("section_type"),
+            text(r, "type").alias("region_type"),
+            text(r, "position").alias("position"),
+            F.lit(s is not None).alias("in_text"),
+            (F.lit(True) if s is None else text(r, "type").isNotNull()).alias("in_layout"),
         )
-    regions = layout.select(
-        "page_id", "xpath", F.col("type").alias("region_type"), "position", F.lit(True).alias("in_layout")
-    )
-    return text.join(regions, ["page_id", "xpath"], "full_outer").select(
-        "page_id", "xpath", "section", "section_type", "region_type", "position",
-        F.coalesce("in_text", F.lit(False)).alias("in_text"),
-        F.coalesce("in_layout", F.lit(False)).alias("in_layout"),
+
+    sections, found = F.col("s"), F.col("r")
+    with_text = F.transform(
+        sections,
+        lambda s: let(F.get(F.filter(found, lambda r: r["xpath"] == s["xpath"]), F.lit(0)), lambda r: row(s, r)),
     )
+    rest = F.filter(found, lambda r: ~F.exists(sections, lambda s: s["xpath"] == r["xpath"]))
+    return both.select("page_id", F.inline(F.concat(with_text, F.transform(rest, lambda r: row(None, r)))))
 
 
 # -- sections across pages -------------------------------------------------------------
@@ -295,8 +327,10 @@ def xpath_coverage(variants: DataFrame, pages: DataFrame) -> DataFrame:
     """Paths of each section with the share of pages they hit and their rank (1 = most pages).
 
     Equal page counts share a rank, so it follows from counting paths per page count: the
-    window sees one row per distinct count, never the long tail of rare paths.
+    window sees one row per distinct count, never the long tail of rare paths. ``variants``
+    is read twice, so it is computed once and kept in the checkpoint folder.
     """
+    variants = checkpointed(variants)
     by_count = variants.groupBy("section", "pages").agg(F.count("*").alias("n"))
     above = Window.partitionBy("section").orderBy(F.desc("pages")).rowsBetween(
         Window.unboundedPreceding, -1
@@ -335,11 +369,3 @@ def inconsistencies(variants: DataFrame, pages: DataFrame) -> DataFrame:
     return per_section.withColumn("missing", missing).select(
         "section", F.inline(F.filter(found, lambda x: x.isNotNull()))
     )
-
-
-def missing_pages(sections: DataFrame, section_names: Sequence[str]) -> DataFrame:
-    """Pages lacking any of the named sections, one row per page and section."""
-    wanted = F.array(*[F.lit(s) for s in section_names])
-    have = sections.filter(F.col("section").isNotNull()).select("page_id", "section")
-    need = sections.select("page_id").distinct().select("page_id", F.explode(wanted).alias("section"))
-    return need.join(have, ["page_id", "section"], "left_anti")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domloom.sources.pages import read_pages
+from domloom.sources.pages import read_pages, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,7 +141,8 @@ RESPONSES = f"""CASE event_id % 8
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.expr(RESPONSES).alias("text"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "props"), "event_id")
+    return events.select("event_id", F.expr(RESPONSES).alias("text"))
 
 
 REVIEWS = f"""CASE page_id % 5

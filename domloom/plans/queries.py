@@ -347,12 +347,9 @@ def repeating_patterns(spark, sf):
     return st.repeating_patterns(parse_pages(inputs.pages(spark, sf), ("gpath", "attrs", "alike", "n_alike")))
 
 
-LAYOUT_FIELDS = ("nid", "last_nid", "depth", "tag", "attrs", "cls", "id", "gpath", "xpath")
-
-
 @query
 def layout_roles(spark, sf):
-    layout = st.layout_roles(parse_pages(inputs.varied_pages(spark, sf), LAYOUT_FIELDS))
+    layout = st.layout_roles(parse_pages(inputs.varied_pages(spark, sf), st.LAYOUT_FIELDS))
     return layout.select(
         "page_id", "nid", "name", "type", "position", "xpath",
         _joined(F.col("likely_xpath_hints")).alias("hints"),
@@ -361,18 +358,21 @@ def layout_roles(spark, sf):
 
 @query
 def layout_summary(spark, sf):
-    return st.layout_summary(st.layout_roles(parse_pages(inputs.varied_pages(spark, sf), LAYOUT_FIELDS)))
+    return st.layout_summary(st.layout_roles(parse_pages(inputs.varied_pages(spark, sf), st.LAYOUT_FIELDS)))
+
+
+def _for_both(spark, sf):
+    return parse_pages(inputs.varied_pages(spark, sf), (*st.SECTION_FIELDS, *st.LAYOUT_FIELDS))
 
 
 @query
 def merge_analyses(spark, sf):
-    pages = inputs.varied_pages(spark, sf)
-    return st.merge_analyses(_sections(spark, sf, pages), st.layout_roles(parse_pages(pages, LAYOUT_FIELDS)))
+    return st.merge_analyses(_for_both(spark, sf))
 
 
 @query
 def merge_without_layout(spark, sf):
-    return st.merge_analyses(_sections(spark, sf, inputs.varied_pages(spark, sf)), None)
+    return st.merge_analyses(_for_both(spark, sf), layout=False)
 
 
 @query
@@ -392,9 +392,8 @@ def inconsistencies(spark, sf):
 
 @query
 def missing_pages(spark, sf):
-    return st.missing_pages(
-        _sections(spark, sf, inputs.varied_pages(spark, sf)), ["title", "footer", "body", "header"]
-    )
+    parsed = parse_pages(inputs.varied_pages(spark, sf), st.SECTION_FIELDS)
+    return st.missing_sections(parsed, ["title", "footer", "body", "header"])
 
 
 @query

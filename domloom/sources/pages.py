@@ -15,18 +15,20 @@ def identifier(url: Column | None = None, path: Column | None = None) -> Column:
     return F.coalesce(*known, F.lit("unknown"))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A ``(page_id, url, html)`` Parquet table.
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """``scan`` over at least as many tasks as there are cores.
 
-    A table of few row groups would give the parser fewer tasks than there are cores, so a
-    small one is spread by ``page_id``. A large one already has more splits than cores
-    and is left as scanned: its HTML is never shuffled.
+    A table of few row groups would leave cores idle, so it is spread by a unique key. A
+    large one already has more splits than cores and is left as scanned: no text of it is
+    shuffled.
     """
-    pages = spark.read.parquet(path).select("page_id", "url", "html")
-    cores = spark.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() < cores:
-        pages = pages.repartition(cores, "page_id")
-    return pages
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """A ``(page_id, url, html)`` Parquet table."""
+    return spread(spark.read.parquet(path).select("page_id", "url", "html"), "page_id")
 
 
 def load_html_dir(spark: SparkSession, directory: str) -> DataFrame:

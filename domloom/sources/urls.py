@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domloom.functions.columns import strip
@@ -74,31 +74,41 @@ def dedupe_filenames(files: DataFrame, order: str = "position", name: str = "fil
     # no name has 2**40 copies, so larger numbers are never reached
     claims = claims.filter(F.col("k") < (1 << 41)).join(sizes, "natural")
     # the m-th taken number k shifts copy i by one when k - (m - 1) <= i
-    shifts = (
+    shifts = checkpointed(
         number_rows(claims, ["natural"], "k", "m", DENSE)
         .withColumn("at", F.col("k") - F.col("m") + 1)
         .filter("at <= copies")
-        .groupBy("natural", "at")
+        .groupBy("natural", "copies", "at")
         .agg(F.count("*").alias("taken"))
     )
-    affected = shifts.select("natural").distinct()
-    copies = ranked.filter("copy > 0").join(affected, "natural", "left_semi").select("natural", F.col("copy").alias("at"))
-    events = copies.withColumn("taken", F.lit(0)).unionByName(shifts).groupBy("natural", "at").agg(
+
+    def finish(numbered: DataFrame, number: Column) -> DataFrame:
+        suffixed = F.concat(F.regexp_replace("natural", r"\.html\z", ""), F.lit("_"), number, F.lit(".html"))
+        return numbered.withColumn(
+            name, F.when(F.col("copy") == 0, F.col("natural")).otherwise(suffixed)
+        ).drop("copy", "skipped")
+
+    if shifts.isEmpty():
+        return finish(ranked, F.col("copy"))
+    # only copies of the names concerned are counted; the range keeps a hot name split
+    range_of = F.shiftright("copy", DENSE[0])
+    affected = shifts.select("natural", "copies").distinct().select(
+        "natural", F.explode(F.sequence(F.lit(0), F.shiftright("copies", DENSE[0]))).alias("range")
+    )
+    copies = (
+        ranked.filter("copy > 0")
+        .withColumn("range", range_of.cast("bigint"))
+        .join(affected, ["natural", "range"], "left_semi")
+        .select("natural", F.col("copy").alias("at"), F.lit(0).cast("bigint").alias("taken"))
+    )
+    events = copies.unionByName(shifts.select("natural", "at", "taken")).groupBy("natural", "at").agg(
         F.sum("taken").alias("taken")
     )
     skipped = running_total(events, ["natural"], "at", F.col("taken"), "skipped", DENSE).select(
         "natural", F.col("at").alias("copy"), "skipped"
     )
-    number = F.col("copy") + F.coalesce("skipped", F.lit(0))
-    return (
-        ranked.join(skipped, ["natural", "copy"], "left")
-        .withColumn(
-            name,
-            F.when(F.col("copy") == 0, F.col("natural")).otherwise(
-                F.concat(F.regexp_replace("natural", stem, ""), F.lit("_"), number, F.lit(".html"))
-            ),
-        )
-        .drop("copy", "skipped")
+    return finish(
+        ranked.join(skipped, ["natural", "copy"], "left"), F.col("copy") + F.coalesce("skipped", F.lit(0))
     )
 
 
