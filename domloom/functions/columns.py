@@ -25,21 +25,19 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, STRIP, "")
 
 
-def first_seen(items: Column) -> Column:
-    """Array of ``(item, first)``; ``first`` marks the first occurrence inside the row.
+def tally(items: Column) -> Column:
+    """Rows to explode for counting: ``(item, seen)``.
 
-    Exploding this and summing ``first`` counts distinct rows per item with plain partial
-    sums, where ``count(distinct row)`` would shuffle every (item, row) pair.
+    Each distinct item comes once with ``seen`` true, then every occurrence with ``seen``
+    false. Counting the two kinds per item gives rows and occurrences with plain partial
+    sums, where ``count(distinct row)`` would shuffle every (item, row) pair. The work is
+    linear in the number of items, which therefore have to be strings or numbers.
     """
-    return let(
-        items,
-        lambda xs: F.transform(
-            xs,
-            lambda x, i: F.struct(
-                x.alias("item"), (F.array_position(xs, x) == i + 1).alias("first")
-            ),
-        ),
-    )
+
+    def marked(xs: Column, seen: bool) -> Column:
+        return F.transform(xs, lambda x: F.struct(x.alias("item"), F.lit(seen).alias("seen")))
+
+    return let(items, lambda xs: F.concat(marked(F.array_distinct(xs), True), marked(xs, False)))
 
 
 def step_prefix(low: Column, high: Column) -> Column:

@@ -87,21 +87,29 @@ def parse_attributes(source: str) -> dict[str, str]:
 
 
 class PageScan:
-    """Elements of one page as parallel lists; position ``i`` is the element with nid ``i + 1``."""
+    """Elements of one page as parallel lists; position ``i`` is the element with nid ``i + 1``.
+
+    The scan records only what needs the stack; the methods below derive the rest on demand.
+    """
 
     __slots__ = (
-        "source", "tag", "parent", "last", "depth", "attrs", "idx", "n_same", "alike", "n_alike",
-        "run_start", "run_end", "head_end", "html_start", "html_end", "runs",
-        "_stack", "_tag_counts", "_alike_counts", "_last_child", "_body",
+        "source", "tag", "parent", "last", "attrs", "run_start", "run_end", "head_end",
+        "html_start", "html_end", "runs", "_stack", "_last_child", "_body",
     )
 
     def __init__(self, source: str):
         self.source = source
-        for name in self.__slots__[1:-5]:
-            setattr(self, name, [])
+        self.tag: list[str] = []
+        self.parent: list[int] = []
+        self.last: list[int] = []
+        self.attrs: list[dict[str, str]] = []
+        self.run_start: list[int] = []
+        self.run_end: list[int] = []
+        self.head_end: list[int] = []
+        self.html_start: list[int] = []
+        self.html_end: list[int] = []
+        self.runs: list[str] = []
         self._stack: list[int] = []
-        self._tag_counts: list[dict] = [{}]
-        self._alike_counts: list[dict] = [{}]
         self._last_child: list[str | None] = []
         self._body = -1
         self._scan()
@@ -111,32 +119,26 @@ class PageScan:
         stack = self._stack
         if len(stack) >= MAX_DEPTH:
             self._close_top(start)
-        nid = len(self.tag) + 1
-        parent = stack[-1] + 1 if stack else 0
-        if parent:
-            self._mark_head(parent - 1)
-            self._last_child[parent - 1] = tag
-        seen = self._tag_counts[parent]
-        seen[tag] = seen.get(tag, 0) + 1
-        twins = self._alike_counts[parent]
-        twin = (tag, attrs.get("class"))
-        twins[twin] = twins.get(twin, 0) + 1
+        at = len(self.tag)
+        n_runs = len(self.runs)
+        if stack:
+            top = stack[-1]
+            if self.head_end[top] < 0:
+                self.head_end[top] = n_runs
+            self._last_child[top] = tag
+            self.parent.append(top + 1)
+        else:
+            self.parent.append(0)
         self.tag.append(tag)
-        self.parent.append(parent)
-        self.last.append(nid)
-        self.depth.append(len(stack) + 1)
+        self.last.append(at + 1)
         self.attrs.append(attrs)
-        self.idx.append(seen[tag])
-        self.alike.append(twins[twin])
-        self.run_start.append(len(self.runs))
+        self.run_start.append(n_runs)
         self.run_end.append(-1)
         self.head_end.append(-1)
         self.html_start.append(start)
         self.html_end.append(-1)
-        self._tag_counts.append({})
-        self._alike_counts.append({})
         self._last_child.append(None)
-        stack.append(nid - 1)
+        stack.append(at)
 
     def _mark_head(self, i: int) -> None:
         if self.head_end[i] < 0:
@@ -279,11 +281,6 @@ class PageScan:
                 at = stop
         while self._stack:
             self._close_top(size)
-        self.n_same = [self._tag_counts[p][t] for p, t in zip(self.parent, self.tag)]
-        self.n_alike = [
-            self._alike_counts[p][(t, a.get("class"))]
-            for p, t, a in zip(self.parent, self.tag, self.attrs)
-        ]
 
     # -- derived columns ---------------------------------------------------------------
     def text_heads(self) -> list[str | None]:
@@ -296,9 +293,32 @@ class PageScan:
             paths.append(f"{paths[parent - 1]}/{tag}" if parent else tag)
         return paths
 
+    def depths(self) -> list[int]:
+        depths: list[int] = []
+        for parent in self.parent:
+            depths.append(depths[parent - 1] + 1 if parent else 1)
+        return depths
+
+    @staticmethod
+    def places(keys: list) -> tuple[list[int], list[int]]:
+        """1-based place of each key among its equals, and the number of equals."""
+        counts: dict = {}
+        places = []
+        for key in keys:
+            counts[key] = place = counts.get(key, 0) + 1
+            places.append(place)
+        return places, [counts[key] for key in keys]
+
+    def same_tag(self) -> tuple[list[int], list[int]]:
+        """Place among the siblings with the same tag, and their number."""
+        return self.places(list(zip(self.parent, self.tag)))
+
+    def same_tag_and_class(self) -> tuple[list[int], list[int]]:
+        return self.places([(p, t, a.get("class")) for p, t, a in zip(self.parent, self.tag, self.attrs)])
+
     def xpaths(self) -> list[str]:
         paths: list[str] = []
-        for parent, tag, idx, n in zip(self.parent, self.tag, self.idx, self.n_same):
+        for parent, tag, idx, n in zip(self.parent, self.tag, *self.same_tag()):
             step = f"{tag}[{idx}]" if n > 1 else tag
             paths.append(f"{paths[parent - 1]}/{step}" if parent else f"/{step}")
         return paths

@@ -67,6 +67,36 @@ def _offsets(lengths: Iterable[int]) -> list[int]:
     return out
 
 
+def _node_values(scan: PageScan, fields: Sequence[str]) -> Iterator[tuple[str, Iterable]]:
+    """The requested columns of one page's elements."""
+    wanted = set(fields)
+    derived: dict[str, Iterable] = {
+        "nid": range(1, len(scan.tag) + 1),
+        "parent_nid": scan.parent,
+        "last_nid": scan.last,
+    }
+    if wanted & {"idx", "n_same"}:
+        derived["idx"], derived["n_same"] = scan.same_tag()
+    if wanted & {"alike", "n_alike"}:
+        derived["alike"], derived["n_alike"] = scan.same_tag_and_class()
+    if "depth" in wanted:
+        derived["depth"] = scan.depths()
+    if "cls" in wanted:
+        derived["cls"] = [a["class"].split() if "class" in a else [] for a in scan.attrs]
+    if "id" in wanted:
+        derived["id"] = [a.get("id") for a in scan.attrs]
+    if wanted & {"gpath", "gseq"}:
+        derived["gpath"] = scan.gpaths()
+    if "gseq" in wanted:
+        derived["gseq"] = PageScan.places(derived["gpath"])[0]
+    if "xpath" in wanted:
+        derived["xpath"] = scan.xpaths()
+    if "text_head" in wanted:
+        derived["text_head"] = scan.text_heads()
+    for field in fields:
+        yield field, derived[field] if field in derived else getattr(scan, field)
+
+
 class _Batch:
     """Columns of the output rows, filled page by page and turned into Arrow once."""
 
@@ -97,35 +127,8 @@ class _Batch:
             return
         self.sizes.append(len(scan.tag))
         self.run_lists.append(scan.runs)
-        for field in self.fields:
-            self.columns[field].extend(self._values(scan, field))
-
-    @staticmethod
-    def _values(scan: PageScan, field: str) -> Iterable:
-        if field == "nid":
-            return range(1, len(scan.tag) + 1)
-        if field == "parent_nid":
-            return scan.parent
-        if field == "last_nid":
-            return scan.last
-        if field == "cls":
-            return [a.get("class", "").split() for a in scan.attrs]
-        if field == "id":
-            return [a.get("id") for a in scan.attrs]
-        if field == "gpath":
-            return scan.gpaths()
-        if field == "gseq":
-            seen: dict[str, int] = {}
-            counts = []
-            for path in scan.gpaths():
-                seen[path] = seen.get(path, 0) + 1
-                counts.append(seen[path])
-            return counts
-        if field == "xpath":
-            return scan.xpaths()
-        if field == "text_head":
-            return scan.text_heads()
-        return getattr(scan, field)
+        for field, values in _node_values(scan, self.fields):
+            self.columns[field].extend(values)
 
     def to_arrow(self, source: pa.RecordBatch, keep: Sequence[str]) -> pa.RecordBatch:
         arrays = []

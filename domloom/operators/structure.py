@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import first_seen, let, sql_let, sql_literal, sql_strip
+from domloom.functions.columns import let, sql_let, sql_literal, sql_strip, tally
 from domloom.operators.nodes import node_text_sql
 from domloom.operators.xpath import compile_xpath, fields_for
 from domloom.session import checkpointed
@@ -119,8 +119,8 @@ def class_id_patterns(parsed: DataFrame, pages: DataFrame) -> DataFrame:
 
     def tokens(kind: str, items: Column) -> Column:
         return F.transform(
-            first_seen(items),
-            lambda x: F.struct(F.lit(kind).alias("kind"), x["item"].alias("token"), x["first"].alias("first")),
+            tally(items),
+            lambda x: F.struct(F.lit(kind).alias("kind"), x["item"].alias("token"), x["seen"].alias("seen")),
         )
 
     nodes = F.col("nodes")
@@ -131,13 +131,18 @@ def class_id_patterns(parsed: DataFrame, pages: DataFrame) -> DataFrame:
             tokens("id", ids),
         ))
     )
-    return _with_support(_counted(rows, ["kind", "token"], F.col("first")), pages)
+    counted = rows.groupBy("kind", "token").agg(
+        F.count_if(~F.col("seen")).alias("occurrences"), F.count_if("seen").alias("pages")
+    )
+    return _with_support(counted, pages)
 
 
 def structural_patterns(parsed: DataFrame, pages: DataFrame) -> DataFrame:
     """Index-free paths: occurrences, pages, occurrences per page, support."""
     rows = parsed.select(F.explode("nodes").alias("n")).select("n.gpath", "n.gseq")
-    counted = _counted(rows, ["gpath"], F.col("gseq") == 1)
+    counted = rows.groupBy("gpath").agg(
+        F.count("*").alias("occurrences"), F.count_if(F.col("gseq") == 1).alias("pages")
+    )
     return _with_support(
         counted.withColumn("avg_per_page", F.col("occurrences") / F.col("pages")), pages
     )
@@ -146,26 +151,24 @@ def structural_patterns(parsed: DataFrame, pages: DataFrame) -> DataFrame:
 def repeating_patterns(parsed: DataFrame, min_repeat: int = 3) -> DataFrame:
     """Siblings alike in tag and class that occur at least ``min_repeat`` times together."""
     groups = F.filter(F.col("nodes"), lambda n: (n["alike"] == 1) & (n["n_alike"] >= min_repeat))
-    items = F.transform(
-        groups,
-        lambda n: F.struct(n["gpath"].alias("gpath"), F.coalesce(n["attrs"]["class"], F.lit("")).alias("cls")),
-    )
+    # path and class in one string, because distinct strings are found by hashing
+    keys = F.transform(groups, lambda n: F.concat_ws(" ", n["gpath"], F.coalesce(n["attrs"]["class"], F.lit(""))))
     sizes = F.transform(groups, lambda n: n["n_alike"])
-    rows = parsed.select(F.inline(F.arrays_zip(first_seen(items).alias("seen"), sizes.alias("size"))))
+    distinct = F.size(F.array_distinct(keys))
+    # tally lists the distinct keys first, then one entry per group, in the order of sizes
+    rows = parsed.select(F.posexplode(tally(keys)).alias("pos", "x"), sizes.alias("sizes"), distinct.alias("d")).select(
+        F.split("x.item", " ", 2).alias("key"), "x.seen", F.get("sizes", F.col("pos") - F.col("d")).alias("size")
+    )
     return (
-        rows.groupBy(F.col("seen.item.gpath").alias("gpath"), F.col("seen.item.cls").alias("cls"))
+        rows.groupBy(F.col("key")[0].alias("gpath"), F.col("key")[1].alias("cls"))
         .agg(
-            F.count("*").alias("groups"),
-            F.sum("size").alias("items"),
-            F.count_if(F.col("seen.first")).alias("pages"),
+            F.count_if(~F.col("seen")).alias("groups"),
+            F.sum(F.when(~F.col("seen"), F.col("size"))).alias("items"),
+            F.count_if("seen").alias("pages"),
         )
     )
 
 
-def _counted(rows: DataFrame, keys: list[str], first: Column) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("occurrences"), F.count_if(first).alias("pages"))
-
-
 def _with_support(counted: DataFrame, pages: DataFrame) -> DataFrame:
     return counted.withColumn("support", F.col("pages") / page_total(pages))
 
@@ -295,14 +298,14 @@ def section_variants(sections: DataFrame) -> DataFrame:
     rows = sections.filter(F.col("section").isNotNull()).select(
         "section", "type", "description", "is_list",
         F.coalesce(F.col("attributes")["class"], F.lit("")).alias("cls"),
-        F.posexplode(first_seen(F.col("gpaths"))).alias("pos", "seen"),
+        F.posexplode(tally(F.col("gpaths"))).alias("pos", "path"),
     )
     lead = F.col("pos") == 0
     return (
-        rows.groupBy("section", "type", "description", F.col("seen.item").alias("gpath"))
+        rows.groupBy("section", "type", "description", F.col("path.item").alias("gpath"))
         .agg(
-            F.count_if(F.col("seen.first")).alias("pages"),
-            F.count("*").alias("matches"),
+            F.count_if(F.col("path.seen")).alias("pages"),
+            F.count_if(~F.col("path.seen")).alias("matches"),
             F.count_if(lead).alias("lead_pages"),
             F.count_if(lead & F.col("is_list")).alias("lead_list_pages"),
             F.min(F.when(lead, F.col("cls"))).alias("cls_low"),

@@ -7,7 +7,7 @@ of them with ``and`` and ``or``, a final ``/@a`` or ``/text()``, and unions with
 Anything else compiles to an expression that matches nothing and carries a reason.
 
 A chain of child steps walks parent pointers, which is one array access per step. Only a
-descendant step in the middle looks for enclosing elements, by subtree interval.
+descendant step in the middle looks for enclosing elements, by their subtree intervals.
 """
 
 from __future__ import annotations
@@ -74,9 +74,7 @@ class XPath:
             return f"filter({nodes}, n -> false)"
         if self.union:
             ids = ", ".join(f"transform({x.select(nodes)}, n -> n.nid)" for x in self.union)
-            return sql_let(
-                f"concat({ids})", "found", f"filter({nodes}, n -> array_contains(found, n.nid))"
-            )
+            return f"transform(array_sort(array_distinct(concat({ids}))), i -> get({nodes}, i - 1))"
         hits = None
         for segment in self._segments():
             hits = _select_segment(nodes, segment, hits)
@@ -112,6 +110,13 @@ def _select_segment(nodes: str, steps: list[Step], context: str | None) -> str:
         if not steps[0].descendant:
             conditions.append(f"{top}.parent_nid = 0")
         return f"filter({nodes}, n -> {' AND '.join(conditions) or 'true'})"
+    if len(steps) == 1:
+        # set intersection of element numbers, linear in the size of the subtrees
+        inner = (
+            f"flatten(transform(filter({context}, c -> c.last_nid > c.nid), c -> sequence(c.nid + 1, c.last_nid)))"
+        )
+        own = f"transform(filter({nodes}, n -> {' AND '.join(conditions) or 'true'}), n -> n.nid)"
+        return f"transform(array_intersect({own}, {inner}), i -> get({nodes}, i - 1))"
     conditions.append(f"exists(outer, c -> c.nid < {top}.nid AND {top}.nid <= c.last_nid)")
     spans = f"transform({context}, c -> struct(c.nid AS nid, c.last_nid AS last_nid))"
     return sql_let(spans, "outer", f"filter({nodes}, n -> {' AND '.join(conditions)})")

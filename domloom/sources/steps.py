@@ -25,9 +25,11 @@ class StepStore:
     def _path(self, run_id: int, step: str) -> str:
         return f"{self.root}/steps/step={step}/run={run_id}"
 
-    def save(self, run_id: int, step: str, table: DataFrame, metadata: dict | None = None) -> None:
+    def save(
+        self, run_id: int, step: str, table: DataFrame, metadata: dict | None = None, append: bool = False
+    ) -> None:
         path = self._path(run_id, step)
-        table.write.mode("overwrite").parquet(path)
+        table.write.mode("append" if append else "overwrite").parquet(path)
         self.note(run_id, step, path, metadata)
 
     def note(self, run_id: int, step: str, payload: str | None, metadata: dict | None = None) -> None:

@@ -10,7 +10,7 @@ from domloom.functions import markdown as md
 from domloom.functions import responses as rs
 from domloom.functions import text as tx
 from domloom.functions import urls as ur
-from domloom.functions.columns import first_seen, sql_literal, step_prefix
+from domloom.functions.columns import sql_literal, step_prefix, tally
 
 
 def apply(spark, values, column, type_="string"):
@@ -193,9 +193,11 @@ def test_fix_json_bools(spark):
     assert apply(spark, ['{"a": true, "b":false}', "x: trueish,"], rs.fix_json_bools) == ['{"a": True, "b": False}', "x: trueish,"]
 
 
-def test_first_seen(spark):
-    got = apply(spark, [["a", "b", "a"], []], first_seen, "array<string>")
-    assert [[(x["item"], x["first"]) for x in g] for g in got] == [[("a", True), ("b", True), ("a", False)], []]
+def test_tally(spark):
+    got = apply(spark, [["a", "b", "a"], []], tally, "array<string>")
+    assert [[(x["item"], x["seen"]) for x in g] for g in got] == [
+        [("a", True), ("b", True), ("a", False), ("b", False), ("a", False)], [],
+    ]
 
 
 def test_step_prefix(spark):

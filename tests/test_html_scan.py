@@ -116,7 +116,7 @@ def test_subtree_intervals_nest():
 def test_deep_nesting_is_flattened_not_lost():
     n = 2000
     s = PageScan("<div>" * n + "x")
-    assert s.tag.count("div") == n and max(s.depth) <= MAX_DEPTH and "".join(s.runs) == "x"
+    assert s.tag.count("div") == n and max(s.depths()) <= MAX_DEPTH and "".join(s.runs) == "x"
 
 
 def test_hostile_input_is_linear():
