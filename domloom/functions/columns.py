@@ -73,5 +73,9 @@ def sql_let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def sql_replace(text: str, pattern: str, replacement: str = "") -> str:
+    return f"regexp_replace({text}, {sql_literal(pattern)}, {sql_literal(replacement)})"
+
+
 def sql_strip(text: str) -> str:
-    return rf"regexp_replace({text}, {sql_literal(STRIP)}, '')"
+    return sql_replace(text, STRIP)

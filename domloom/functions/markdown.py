@@ -1,7 +1,8 @@
 """HTML to Markdown as a chain of native expressions.
 
 Only expressions whose repetitions are over single characters are used: the JVM matcher
-recurses on repeated groups and would overflow its stack on long pages.
+recurses on repeated groups and would overflow its stack on long pages. Arguments are
+column names or SQL expressions.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import let, strip
-from domloom.functions.text import COMMENT, SCRIPT_STYLE, decode_entities
+from domloom.functions.columns import sql_let, sql_literal, sql_replace, sql_strip
+from domloom.functions.text import COMMENT, SCRIPT_STYLE, decode_entities_sql
 
 # The conversion table, applied in this order.
 INLINE_RULES: list[tuple[str, str]] = [
@@ -37,143 +38,112 @@ ANY_TAG = r"<[!?/A-Za-z][^>]*>"
 QUOTE_OPEN, QUOTE_CLOSE = "\x01", "\x02"
 
 
-def _chain(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, text)
+def _chain(text: str, rules: list[tuple[str, str]]) -> str:
+    return reduce(lambda t, rule: sql_replace(t, *rule), rules, text)
 
 
-def _images(text: Column) -> Column:
-    def image(part: Column) -> Column:
-        tag = F.regexp_extract(part, r"(?i)\A<img\b[^>]*>", 0)
-        alt = F.regexp_extract(tag, r"(?i)\salt\s*=\s*[\"']([^\"']*)", 1)
-        src = F.regexp_extract(tag, r"(?i)\ssrc\s*=\s*[\"']?([^\"'\s>]*)", 1)
-        rest = F.regexp_replace(part, r"(?i)\A<img\b[^>]*>", "")
-        return F.when(tag == "", part).otherwise(
-            F.concat(F.lit("!["), alt, F.lit("]("), src, F.lit(")"), rest)
-        )
+def _images(text: str) -> str:
+    tag = r"(?i)\A<img\b[^>]*>"
 
-    return let(
-        text,
-        lambda t: F.when(~F.lower(t).contains("<img"), t).otherwise(
-            F.array_join(F.transform(F.split(t, r"(?i)(?=<img\b)"), image), "")
-        ),
+    def attribute(name: str, value: str) -> str:
+        return f"regexp_extract(tag, {sql_literal(rf'(?i)\s{name}\s*=\s*{value}')}, 1)"
+
+    alt = attribute("alt", "[\"']([^\"']*)")
+    src = attribute("src", "[\"']?([^\"'\\s>]*)")
+    image = sql_let(
+        f"regexp_extract(p, {sql_literal(tag)}, 0)", "tag",
+        f"CASE WHEN tag = '' THEN p ELSE concat('![', {alt}, '](', {src}, ')', {sql_replace('p', tag)}) END",
+    )
+    parts = f"split(t, {sql_literal(r'(?i)(?=<img\b)')})"
+    return sql_let(
+        text, "t",
+        f"CASE WHEN NOT contains(lower(t), '<img') THEN t ELSE array_join(transform({parts}, p -> {image}), '') END",
     )
 
 
-def _lists(text: Column) -> Column:
+def _lists(text: str) -> str:
     """Items get ``- `` or ``1. `` and two blanks per nesting level.
 
     The text is cut at list tags; a fold over the pieces tracks the open lists.
     """
     tag = r"(?i)\A<(/?(?:ul|ol|li))\b[^>]*>"
-
-    def step(acc: Column, part: Column) -> Column:
-        name = F.lower(F.regexp_extract(part, tag, 1))
-        opened = acc["open"]
-        indent = F.repeat(F.lit("  "), F.greatest(F.length(opened) - 1, F.lit(0)))
-        mark = (
-            F.when(name == "li", F.concat(F.lit("\n"), indent, F.when(opened.endswith("o"), "1. ").otherwise("- ")))
-            .when(name.isin("ul", "ol"), F.when(opened == "", "\n\n").otherwise(""))
-            .when(name.isin("/ul", "/ol"), F.when(F.length(opened) <= 1, "\n\n").otherwise(""))
-            .otherwise("")
-        )
-        now = (
-            F.when(name == "ul", F.concat(opened, F.lit("u")))
-            .when(name == "ol", F.concat(opened, F.lit("o")))
-            .when(name.isin("/ul", "/ol"), F.substring(opened, F.lit(1), F.greatest(F.length(opened) - 1, F.lit(0))))
-            .otherwise(opened)
-        )
-        return F.struct(now.alias("open"), F.concat(acc["marks"], F.array(mark)).alias("marks"))
-
-    def convert(parts: Column) -> Column:
-        start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("marks"))
-        marks = F.aggregate(parts, start, step, lambda acc: acc["marks"])
-        return F.array_join(
-            F.zip_with(
-                marks,
-                parts,
-                lambda m, p: F.when(F.regexp_extract(p, tag, 0) == "", p).otherwise(
-                    F.concat(m, F.regexp_replace(p, tag + r"[ \t\n]*", ""))
-                ),
-            ),
-            "",
-        )
-
-    return let(
-        text,
-        lambda t: F.when(~t.rlike(r"(?i)<(?:li|ul|ol)\b"), t).otherwise(
-            let(F.split(t, r"(?i)(?=</?(?:ul|ol|li)\b)"), convert)
-        ),
+    name = f"lower(regexp_extract(p, {sql_literal(tag)}, 1))"
+    mark = """CASE name
+        WHEN 'li' THEN concat(chr(10), repeat('  ', greatest(length(acc.open) - 1, 0)),
+                              CASE WHEN endswith(acc.open, 'o') THEN '1. ' ELSE '- ' END)
+        WHEN 'ul' THEN CASE WHEN acc.open = '' THEN concat(chr(10), chr(10)) ELSE '' END
+        WHEN 'ol' THEN CASE WHEN acc.open = '' THEN concat(chr(10), chr(10)) ELSE '' END
+        WHEN '/ul' THEN CASE WHEN length(acc.open) <= 1 THEN concat(chr(10), chr(10)) ELSE '' END
+        WHEN '/ol' THEN CASE WHEN length(acc.open) <= 1 THEN concat(chr(10), chr(10)) ELSE '' END
+        ELSE '' END"""
+    now = """CASE
+        WHEN name = 'ul' THEN concat(acc.open, 'u')
+        WHEN name = 'ol' THEN concat(acc.open, 'o')
+        WHEN name IN ('/ul', '/ol') THEN substring(acc.open, 1, greatest(length(acc.open) - 1, 0))
+        ELSE acc.open END"""
+    step = sql_let(name, "name", f"struct({now} AS open, concat(acc.marks, array({mark})) AS marks)")
+    start = "struct('' AS open, CAST(array() AS ARRAY<STRING>) AS marks)"
+    marks = f"aggregate(parts, {start}, (acc, p) -> {step}, acc -> acc.marks)"
+    item = (
+        f"CASE WHEN regexp_extract(p, {sql_literal(tag)}, 0) = '' THEN p "
+        f"ELSE concat(m, {sql_replace('p', tag + r'[ \t\n]*')}) END"
+    )
+    convert = sql_let(
+        f"split(t, {sql_literal(r'(?i)(?=</?(?:ul|ol|li)\b)')})", "parts",
+        f"array_join(zip_with({marks}, parts, (m, p) -> {item}), '')",
+    )
+    return sql_let(
+        text, "t", f"CASE WHEN NOT rlike(t, {sql_literal(r'(?i)<(?:li|ul|ol)\b')}) THEN t ELSE {convert} END"
     )
 
 
-def _quotes(text: Column) -> Column:
-    def convert(parts: Column) -> Column:
-        depths = F.aggregate(
-            parts,
-            F.array(F.lit(0)),
-            lambda acc, p: F.concat(
-                acc,
-                F.array(
-                    F.element_at(acc, -1)
-                    + F.when(p.startswith(QUOTE_OPEN), 1).when(p.startswith(QUOTE_CLOSE), -1).otherwise(0)
-                ),
-            ),
-            lambda acc: F.slice(acc, F.lit(2), F.size(acc)),
-        )
-
-        def quoted(p: Column, depth: Column) -> Column:
-            body = F.regexp_replace(p, f"[{QUOTE_OPEN}{QUOTE_CLOSE}]", "")
-            body = F.regexp_replace(body, r"\n{3,}", "\n\n")
-            prefix = F.repeat(F.lit("> "), depth)
-            lines = F.transform(F.split(strip(body), "\n"), lambda line: F.rtrim(F.concat(prefix, line)))
-            return F.when(depth <= 0, body).when(strip(body) == "", "").otherwise(
-                F.concat(F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n\n"))
-            )
-
-        return F.array_join(F.zip_with(parts, depths, quoted), "")
-
-    return let(
-        text,
-        lambda t: F.when(~t.contains(QUOTE_OPEN), t).otherwise(
-            let(F.split(t, f"(?=[{QUOTE_OPEN}{QUOTE_CLOSE}])"), convert)
-        ),
+def _quotes(text: str) -> str:
+    opening, closing = sql_literal(QUOTE_OPEN), sql_literal(QUOTE_CLOSE)
+    change = f"CASE WHEN startswith(p, {opening}) THEN 1 WHEN startswith(p, {closing}) THEN -1 ELSE 0 END"
+    depths = (
+        f"aggregate(parts, array(0), (acc, p) -> concat(acc, array(element_at(acc, -1) + {change})), "
+        "acc -> slice(acc, 2, size(acc)))"
+    )
+    body = sql_replace(sql_replace("p", f"[{QUOTE_OPEN}{QUOTE_CLOSE}]"), r"\n{3,}", "\n\n")
+    lines = f"transform(split({sql_strip('body')}, chr(10)), line -> rtrim(concat(repeat('> ', d), line)))"
+    quoted = sql_let(
+        body, "body",
+        f"""CASE WHEN d <= 0 THEN body WHEN {sql_strip('body')} = '' THEN ''
+            ELSE concat(chr(10), chr(10), array_join({lines}, chr(10)), chr(10), chr(10)) END""",
     )
+    convert = sql_let(
+        f"split(t, {sql_literal(f'(?=[{QUOTE_OPEN}{QUOTE_CLOSE}])')})", "parts",
+        f"array_join(zip_with(parts, {depths}, (p, d) -> {quoted}), '')",
+    )
+    return sql_let(text, "t", f"CASE WHEN NOT contains(t, {opening}) THEN t ELSE {convert} END")
 
 
-def _prose(html: Column) -> Column:
-    text = F.regexp_replace(html, r"[ \t\r\n]+", " ")
-    text = _images(text)
+def _prose(html: str) -> str:
+    text = _images(sql_replace(html, r"[ \t\r\n]+", " "))
     text = _chain(text, INLINE_RULES)
-    text = F.regexp_replace(text, r"(?i)<blockquote\b[^>]*>", QUOTE_OPEN)
-    text = F.regexp_replace(text, r"(?i)</blockquote\s*>", QUOTE_CLOSE)
+    text = sql_replace(text, r"(?i)<blockquote\b[^>]*>", QUOTE_OPEN)
+    text = sql_replace(text, r"(?i)</blockquote\s*>", QUOTE_CLOSE)
     text = _chain(text, BLOCK_RULES)
-    text = F.regexp_replace(text, r" *\n *", "\n")
-    text = F.regexp_replace(_lists(text), ANY_TAG, "")
-    text = F.regexp_replace(text, r" +\n", "\n")
-    return decode_entities(_quotes(text))
+    text = sql_replace(text, r" *\n *", "\n")
+    text = sql_replace(_lists(text), ANY_TAG)
+    text = sql_replace(text, r" +\n", "\n")
+    return decode_entities_sql(_quotes(text))
 
 
-def html_to_markdown(html: Column) -> Column:
+def html_to_markdown(html: str) -> Column:
     """Markdown for an HTML fragment or page; null stays null."""
-
-    def chunk(c: Column) -> Column:
-        inner = F.regexp_replace(F.regexp_replace(c, r"(?i)\A<pre\b[^>]*>\n?|</pre\s*>", ""), ANY_TAG, "")
-        return F.when(
-            c.rlike(r"(?i)\A<pre\b"),
-            F.concat(
-                F.lit("\n\n```\n"),
-                decode_entities(F.regexp_replace(inner, r"\n+\z", "")),
-                F.lit("\n```\n\n"),
-            ),
-        ).otherwise(_prose(c))
-
-    clean = F.regexp_replace(html, f"[{QUOTE_OPEN}{QUOTE_CLOSE}]", "")
-    clean = F.regexp_replace(F.regexp_replace(clean, SCRIPT_STYLE, ""), COMMENT, "")
-    chunks = F.split(clean, r"(?i)(?=<pre\b)|(?<=</pre>)")
-    joined = F.array_join(F.transform(chunks, chunk), "")
-    return strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
-
-
-def markdown_escape(text: Column) -> Column:
+    inner = sql_replace(sql_replace("c", r"(?i)\A<pre\b[^>]*>\n?|</pre\s*>"), ANY_TAG)
+    code = decode_entities_sql(sql_replace(inner, r"\n+\z"))
+    chunk = f"""CASE WHEN rlike(c, {sql_literal(r'(?i)\A<pre\b')})
+        THEN concat({sql_literal(chr(10) * 2 + '```' + chr(10))}, {code}, {sql_literal(chr(10) + '```' + chr(10) * 2)})
+        ELSE {_prose('c')} END"""
+    clean = sql_replace(html, f"[{QUOTE_OPEN}{QUOTE_CLOSE}]")
+    clean = sql_replace(sql_replace(clean, SCRIPT_STYLE), COMMENT)
+    chunks = f"split({clean}, {sql_literal(r'(?i)(?=<pre\b)|(?<=</pre>)')})"
+    joined = f"array_join(transform({chunks}, c -> {chunk}), '')"
+    return F.expr(sql_strip(sql_replace(joined, r"\n{3,}", "\n\n")))
+
+
+def markdown_escape(text: str) -> Column:
     """Backslash before every character Markdown would read as markup."""
-    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+.!-])", r"\\$1")
+    return F.expr(sql_replace(text, r"([\\`*_{}\[\]()#+.!-])", r"\\$1"))

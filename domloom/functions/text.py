@@ -1,4 +1,7 @@
-"""Text functions over HTML source, entirely native (no Python worker)."""
+"""Text functions over HTML source, entirely native (no Python worker).
+
+Arguments are column names or SQL expressions.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from html.entities import html5, name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import let, strip
+from domloom.functions.columns import sql_let, sql_literal, sql_replace, sql_strip
 
 # Names first that pages use most: the lookup scans in this order.
 _FREQUENT = ("amp", "quot", "lt", "gt", "nbsp", "copy", "middot", "apos")
@@ -27,67 +30,52 @@ COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 TAG = r"(?s)<!--.*?(?:-->|\z)|<[!?/A-Za-z][^>]*>"
 
 
-def _code_point(n: Column) -> Column:
-    bad = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
-    return F.decode(F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD)).otherwise(n)), 8, "0")), "UTF-32")
+_NAMES = "map(" + ", ".join(sql_literal(x) for pair in _NAMED.items() for x in pair) + ")"
+
+
+def _code_point(n: str) -> str:
+    bad = f"({n} = 0 OR {n} > 1114111 OR {n} BETWEEN 55296 AND 57343)"
+    return f"decode(unhex(lpad(hex(CASE WHEN {bad} THEN 65533 ELSE {n} END), 8, '0')), 'UTF-32')"
+
+
+def decode_entities_sql(text: str) -> str:
+    def group(pattern: str) -> str:
+        return f"regexp_extract(p, {sql_literal(pattern)}, 1)"
 
+    closed, open_name = f"names[{group(_CLOSED_ENTITY)}]", group(_OPEN_ENTITY)
+    decimal, hexadecimal = group(_DECIMAL), group(_HEX)
+    piece = f"""CASE
+        WHEN NOT startswith(p, '&') THEN p
+        WHEN {closed} IS NOT NULL THEN concat({closed}, {sql_replace('p', _CLOSED_ENTITY)})
+        WHEN {open_name} != '' THEN concat(names[{open_name}], {sql_replace('p', _OPEN_ENTITY + ';?')})
+        WHEN {decimal} != '' THEN concat({_code_point(f"CAST({decimal} AS BIGINT)")}, {sql_replace('p', _DECIMAL)})
+        WHEN {hexadecimal} != '' THEN concat({_code_point(f"CAST(conv({hexadecimal}, 16, 10) AS BIGINT)")}, {sql_replace('p', _HEX)})
+        ELSE p END"""
+    pieces = f"transform(split(t, '(?=&)'), p -> {piece})"
+    decoded = sql_let(_NAMES, "names", f"array_join({pieces}, '')")
+    return sql_let(text, "t", f"CASE WHEN NOT contains(t, '&') THEN t ELSE {decoded} END")
 
-def decode_entities(text: Column) -> Column:
+
+def decode_entities(text: str) -> Column:
     """HTML character references to characters, in one pass (``&amp;lt;`` gives ``&lt;``)."""
-    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
-
-    def piece(p: Column) -> Column:
-        closed = names[F.regexp_extract(p, _CLOSED_ENTITY, 1)]
-        open_name = F.regexp_extract(p, _OPEN_ENTITY, 1)
-        decimal = F.regexp_extract(p, _DECIMAL, 1)
-        hexadecimal = F.regexp_extract(p, _HEX, 1)
-        return (
-            F.when(~p.startswith("&"), p)
-            .when(closed.isNotNull(), F.concat(closed, F.regexp_replace(p, _CLOSED_ENTITY, "")))
-            .when(
-                open_name != "",
-                F.concat(names[open_name], F.regexp_replace(p, _OPEN_ENTITY + ";?", "")),
-            )
-            .when(
-                decimal != "",
-                F.concat(_code_point(decimal.cast("bigint")), F.regexp_replace(p, _DECIMAL, "")),
-            )
-            .when(
-                hexadecimal != "",
-                F.concat(
-                    _code_point(F.conv(hexadecimal, 16, 10).cast("bigint")),
-                    F.regexp_replace(p, _HEX, ""),
-                ),
-            )
-            .otherwise(p)
-        )
-
-    return let(
-        text,
-        lambda t: F.when(~t.contains("&"), t).otherwise(
-            F.array_join(F.transform(F.split(t, "(?=&)"), piece), "")
-        ),
-    )
-
-
-def text_content(html: Column) -> Column:
+    return F.expr(decode_entities_sql(text))
+
+
+def text_content(html: str) -> Column:
     """Visible text: script and style dropped, strings stripped and joined by one blank."""
-    pieces = F.split(F.regexp_replace(html, SCRIPT_STYLE, "<!---->"), TAG)
-    stripped = F.transform(pieces, lambda p: strip(decode_entities(p)))
-    return F.coalesce(F.array_join(F.filter(stripped, lambda p: p != ""), " "), F.lit(""))
+    pieces = f"split({sql_replace(html, SCRIPT_STYLE, '<!---->')}, {sql_literal(TAG)})"
+    stripped = f"transform({pieces}, s -> {sql_strip(decode_entities_sql('s'))})"
+    return F.expr(f"coalesce(array_join(filter({stripped}, s -> s != ''), ' '), '')")
 
 
-def body_content(html: Column) -> Column:
+def body_content(html: str) -> Column:
     """Outer HTML of ``body``; the whole input where there is none."""
-    closed = F.regexp_extract(html, r"(?is)<body\b.*</body\s*>", 0)
-    unclosed = F.regexp_extract(html, r"(?is)<body\b.*", 0)
-    return F.coalesce(F.nullif(closed, F.lit("")), F.nullif(unclosed, F.lit("")), html)
+    closed = f"regexp_extract({html}, {sql_literal(r'(?is)<body\b.*</body\s*>')}, 0)"
+    unclosed = f"regexp_extract({html}, {sql_literal(r'(?is)<body\b.*')}, 0)"
+    return F.expr(f"coalesce(nullif({closed}, ''), nullif({unclosed}, ''), {html})")
 
 
-def truncate_html(html: Column, max_chars: int = 500_000) -> Column:
+def truncate_html(html: str, max_chars: int = 500_000) -> Column:
     """Longer input is cut to ``max_chars`` characters and marked as cut."""
-    return F.when(
-        F.length(html) > max_chars,
-        F.concat(F.substring(html, 1, max_chars), F.lit("\n... [truncated]")),
-    ).otherwise(html)
-
+    marked = f"concat(substring({html}, 1, {max_chars}), chr(10), '... [truncated]')"
+    return F.expr(f"CASE WHEN length({html}) > {max_chars} THEN {marked} ELSE {html} END")

@@ -83,8 +83,13 @@ def extract(
 
 
 def extractions(extracted: DataFrame, *keep: str) -> DataFrame:
-    """Long form: one row per page and section."""
-    return extracted.select("page_id", *keep, F.inline("fields"))
+    """Long form: one row per page and section.
+
+    The outer form and a filter on its result: for a plain ``inline`` the optimizer would
+    add a filter on the array's size, which evaluates every section a second time.
+    """
+    rows = extracted.select("page_id", *keep, F.inline_outer("fields"))
+    return rows.filter(F.col("section").isNotNull())
 
 
 def extract_sections(pages: DataFrame, sections: Sequence[Section], **options) -> DataFrame:

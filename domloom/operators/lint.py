@@ -9,17 +9,14 @@ from __future__ import annotations
 import ast
 import warnings
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import let
+from domloom.functions.columns import sql_literal
 from domloom.functions.responses import reviewed_code
 
-ISSUE_COLUMNS = ("subject_id", "check_group", "kind", "type", "severity", "message", "suggestion", "line")
-
 # The patterns and words the text rules look for.
 BAD_ESCAPE = r"""[^r]"[^"]*\\[^\\"nrtbf]|[^r]'[^']*\\[^\\'nrtbf]"""
 JSON_BOOL = r"(?U):\s*(true|false)\s*[,}]"
@@ -38,116 +35,84 @@ FORBIDDEN_METHODS = ("extract_from_string", "extract_from_file")
 FORBIDDEN_RETURNS = ("ExtractionResult", "dataclass", "List[", "Tuple[")
 
 
-def _any(code: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [code.contains(w) for w in words])
+def _any(code: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({code}, {sql_literal(w)})" for w in words) + ")"
 
 
-def _issue(group: str, kind: str, type_: str, severity: str | None, message, suggestion, line=None) -> Column:
-    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(
-        F.lit(group).alias("check_group"),
-        F.lit(kind).alias("kind"),
-        F.lit(type_).alias("type"),
-        F.lit(severity).cast("string").alias("severity"),
-        as_column(message).cast("string").alias("message"),
-        as_column(suggestion).cast("string").alias("suggestion"),
-        as_column(line).cast("int").alias("line"),
-    )
+def _count(code: str, pattern: str) -> str:
+    return f"regexp_count({code}, {sql_literal(pattern)})"
 
 
-def _fired(*rules: tuple[Column, Column]) -> Column:
-    found = F.array(*[F.when(condition, issue) for condition, issue in rules])
-    return F.filter(found, lambda i: i.isNotNull())
+def _issue(
+    group: str, kind: str, type_: str, severity: str | None, message: str, suggestion: str | None, line: str = "NULL"
+) -> str:
+    """SQL for one issue; ``message`` and ``suggestion`` are plain text unless they start with ``=``."""
 
+    def text(value: str | None) -> str:
+        return value[1:] if value and value.startswith("=") else sql_literal(value)
 
-def text_rules(code: Column) -> Column:
-    """Array of issues and warnings found in the text of ``code``."""
-    extracts = code.contains("def extract")
-    lookups = reduce(lambda a, b: a + b, [F.regexp_count(code, F.lit(p)) for p in LOOKUP_CALLS])
-    none_checks = F.regexp_count(code, F.lit(NONE_CHECK))
-    missing = F.filter(
-        F.array(
-            *[
-                F.when(
-                    _any(code, words) & ~_any(code, (f"import {m}", f"from {m}")), F.lit(m)
-                )
-                for m, words in MODULE_WORDS.items()
-            ]
-        ),
-        lambda m: m.isNotNull(),
+    return (
+        f"struct({sql_literal(group)} AS check_group, {sql_literal(kind)} AS kind, {sql_literal(type_)} AS type, "
+        f"{sql_literal(severity)} AS severity, {text(message)} AS message, {text(suggestion)} AS suggestion, "
+        f"CAST({line} AS INT) AS line)"
     )
 
-    def escapes() -> Column:
-        lines = F.transform(
-            F.split(code, "\n"),
-            lambda text, i: F.struct(text.alias("text"), (i + 1).alias("no")),
-        )
-        exempt = r"""(?U)\A\s*(?:#|\"\"\"|''')"""
-        bad = F.filter(lines, lambda x: ~x["text"].rlike(exempt) & x["text"].rlike(BAD_ESCAPE))
-        return F.transform(
-            bad,
-            lambda x: _issue(
-                "syntax", "warning", "InvalidEscapeSequence", None,
-                F.concat(F.lit("Escape sequence may be invalid in line "), x["no"]),
-                "Use a raw string or double the backslash", x["no"],
-            ),
-        )
 
+def _fired(*rules: tuple[str, str]) -> str:
+    found = ", ".join(f"CASE WHEN {condition} THEN {issue} END" for condition, issue in rules)
+    return f"filter(array({found}), i -> i IS NOT NULL)"
+
+
+def text_rules(code: str = "code") -> str:
+    """SQL for the array of issues and warnings found in the text of a source column."""
+    extracts = f"contains({code}, 'def extract')"
+    lookups = "(" + " + ".join(_count(code, p) for p in LOOKUP_CALLS) + ")"
+    none_checks = _count(code, NONE_CHECK)
+    missing = "filter(array({}), m -> m IS NOT NULL)".format(", ".join(
+        f"CASE WHEN {_any(code, words)} AND NOT {_any(code, (f'import {m}', f'from {m}'))} THEN {sql_literal(m)} END"
+        for m, words in MODULE_WORDS.items()
+    ))
+    exempt = r"""(?U)\A\s*(?:#|\"\"\"|''')"""
+    lines = f"transform(split({code}, chr(10)), (x, i) -> struct(x AS text, i + 1 AS no))"
+    bad_lines = f"filter({lines}, x -> NOT rlike(x.text, {sql_literal(exempt)}) AND rlike(x.text, {sql_literal(BAD_ESCAPE)}))"
+    escapes = "transform({}, x -> {})".format(bad_lines, _issue(
+        "syntax", "warning", "InvalidEscapeSequence", None,
+        "=concat('Escape sequence may be invalid in line ', x.no)", "Use a raw string or double the backslash", "x.no",
+    ))
     rest = _fired(
-        (
-            code.rlike(JSON_BOOL),
-            _issue("syntax", "warning", "JSONBooleanInPython", None,
-                   "JSON true/false in Python source", "Write True or False"),
-        ),
-        (
-            extracts & ~(code.contains("try") & code.contains("except")),
-            _issue("robustness", "issue", "MissingErrorHandling", "high",
-                   "Extraction functions handle no errors", "Catch parse, file and XPath errors"),
-        ),
-        (
-            (lookups > 0) & (lookups > none_checks),
-            _issue("robustness", "issue", "MissingNoneCheck", "medium",
-                   F.concat(lookups, F.lit(" lookups but "), none_checks, F.lit(" None checks")),
-                   "Test results for None"),
-        ),
-        (
-            (lookups > 0) & _any(code, ("xpath", "findall")) & (F.regexp_count(code, F.lit(EMPTY_CHECK)) < 2),
-            _issue("robustness", "warning", "MissingEmptyCheck", "medium",
-                   "Lookups may give empty lists", "Test the length before use"),
-        ),
-        (
-            _any(code, FILE_WORDS) & ~code.rlike(FILE_ERRORS),
-            _issue("robustness", "issue", "MissingFileErrorHandling", "high",
-                   "File operations handle no errors", "Catch file errors"),
-        ),
-        (
-            F.size(missing) > 0,
-            _issue("robustness", "issue", "MissingImports", "high",
-                   F.concat(F.lit("Not imported: "), F.array_join(missing, ", ")),
-                   F.concat(F.lit("Add: "), F.array_join(F.transform(missing, lambda m: F.concat(F.lit("import "), m)), ", "))),
-        ),
-        (
-            code.rlike(FIXED_PATH),
-            _issue("robustness", "issue", "HardcodedPath", "medium",
-                   "Fixed file path in source", "Build paths with pathlib"),
-        ),
-        (
-            extracts & (F.regexp_count(code, F.lit(r"(?U)return\s+")) < 2),
-            _issue("robustness", "warning", "LimitedReturnPaths", "low",
-                   "Too few return paths for the edge cases", "Return a value on every path"),
-        ),
-        (
-            extracts & ~code.rlike(INPUT_CHECK),
-            _issue("robustness", "warning", "MissingInputValidation", "medium",
-                   "Input parameters are not validated", "Test inputs for None and emptiness"),
-        ),
+        (f"rlike({code}, {sql_literal(JSON_BOOL)})",
+         _issue("syntax", "warning", "JSONBooleanInPython", None, "JSON true/false in Python source", "Write True or False")),
+        (f"{extracts} AND NOT (contains({code}, 'try') AND contains({code}, 'except'))",
+         _issue("robustness", "issue", "MissingErrorHandling", "high",
+                "Extraction functions handle no errors", "Catch parse, file and XPath errors")),
+        (f"{lookups} > 0 AND {lookups} > {none_checks}",
+         _issue("robustness", "issue", "MissingNoneCheck", "medium",
+                f"=concat({lookups}, ' lookups but ', {none_checks}, ' None checks')", "Test results for None")),
+        (f"{lookups} > 0 AND {_any(code, ('xpath', 'findall'))} AND {_count(code, EMPTY_CHECK)} < 2",
+         _issue("robustness", "warning", "MissingEmptyCheck", "medium",
+                "Lookups may give empty lists", "Test the length before use")),
+        (f"{_any(code, FILE_WORDS)} AND NOT rlike({code}, {sql_literal(FILE_ERRORS)})",
+         _issue("robustness", "issue", "MissingFileErrorHandling", "high",
+                "File operations handle no errors", "Catch file errors")),
+        (f"size({missing}) > 0",
+         _issue("robustness", "issue", "MissingImports", "high",
+                f"=concat('Not imported: ', array_join({missing}, ', '))",
+                f"=concat('Add: ', array_join(transform({missing}, m -> concat('import ', m)), ', '))")),
+        (f"rlike({code}, {sql_literal(FIXED_PATH)})",
+         _issue("robustness", "issue", "HardcodedPath", "medium", "Fixed file path in source", "Build paths with pathlib")),
+        (f"{extracts} AND {_count(code, r'(?U)return\s+')} < 2",
+         _issue("robustness", "warning", "LimitedReturnPaths", "low",
+                "Too few return paths for the edge cases", "Return a value on every path")),
+        (f"{extracts} AND NOT rlike({code}, {sql_literal(INPUT_CHECK)})",
+         _issue("robustness", "warning", "MissingInputValidation", "medium",
+                "Input parameters are not validated", "Test inputs for None and emptiness")),
     )
-    return F.concat(escapes(), rest)
+    return f"concat({escapes}, {rest})"
 
 
 def code_lint(codes: DataFrame) -> DataFrame:
     """Text rules over every row: one row per issue or warning."""
-    return codes.select("subject_id", F.inline(text_rules(F.col("code"))))
+    return codes.selectExpr("subject_id", f"inline({text_rules()})")
 
 
 FACTS_SCHEMA = """
@@ -227,68 +192,57 @@ def interface_rules(
     method_params: tuple[str, ...] = ("html_content", "file_path"),
     returns: str = "dict",
     constant: str | None = "SCHEMA",
-) -> Column:
-    """Array of interface issues and warnings over the fact columns of ``code_facts``."""
-    functions = F.col("functions")
-    mine = F.filter(functions, lambda f: f["class_name"].eqNullSafe(F.lit(class_name)))
-    others = F.filter(functions, lambda f: ~f["class_name"].eqNullSafe(F.lit(class_name)))
-    inits = F.filter(mine, lambda f: f["name"] == "__init__")
-    methods = F.filter(mine, lambda f: f["name"] == method)
+) -> str:
+    """SQL for the array of interface issues over the fact columns of ``code_facts``."""
+    owner = sql_literal(class_name)
+    mine = f"filter(functions, f -> f.class_name <=> {owner})"
+    others = f"filter(functions, f -> NOT f.class_name <=> {owner})"
+    inits = f"filter({mine}, f -> f.name = '__init__')"
+    methods = f"filter({mine}, f -> f.name = {sql_literal(method)})"
     # only the last definition of the method counts for the forbidden types
-    last = F.slice(methods, F.greatest(F.size(methods), F.lit(1)), F.lit(1))
+    last = f"slice({methods}, greatest(size({methods}), 1), 1)"
+    accepted = "array(" + ", ".join(map(sql_literal, method_params)) + ")"
+    names = ", ".join(method_params)
 
-    def each(found: Column, type_: str, severity: str, message, suggestion: str, kind: str = "issue") -> Column:
-        return F.transform(
-            found,
-            lambda f: _issue("interface", kind, type_, severity,
-                             message(f) if callable(message) else message, suggestion),
-        )
+    def each(found: str, condition: str, type_: str, severity: str, message: str, suggestion: str, kind: str = "issue") -> str:
+        issue = _issue("interface", kind, type_, severity, message, suggestion)
+        return f"transform(filter({found}, f -> {condition}), f -> {issue})"
 
-    def lacks_hint(f: Column, p: str) -> Column:
-        return F.array_contains(f["params"], p) & ~F.array_contains(f["annotated"], p) & f["returns"].isNull()
+    def with_return(text: str) -> str:
+        return f"=concat({sql_literal(text)}, f.returns)"
 
-    groups: list[Column] = []
+    groups: list[str] = []
     for p in init_params:
+        param = sql_literal(p)
         groups += [
-            each(F.filter(inits, lambda f: ~F.array_contains(f["params"], p)),
-                 "MissingSchemaParameter", "high", f"{class_name}.__init__() needs parameter '{p}'", f"Add '{p}'"),
-            each(F.filter(inits, lambda f: lacks_hint(f, p)),
-                 "MissingTypeHint", "medium", f"Parameter '{p}' has no type hint", f"Annotate '{p}'", "warning"),
+            each(inits, f"NOT array_contains(f.params, {param})", "MissingSchemaParameter", "high",
+                 f"{class_name}.__init__() needs parameter {p}", f"Add {p}"),
+            each(inits, f"array_contains(f.params, {param}) AND NOT array_contains(f.annotated, {param}) AND f.returns IS NULL",
+                 "MissingTypeHint", "medium", f"Parameter {p} has no type hint", f"Annotate {p}", "warning"),
         ]
-    accepted = F.array(*map(F.lit, method_params))
-    names = ", ".join(method_params)
     groups += [
-        each(F.filter(methods, lambda f: ~F.arrays_overlap(f["params"], accepted)),
-             "InvalidExtractParameters", "high", f"{method}() must accept one of: {names}", f"Add one of: {names}"),
-        each(F.filter(methods, lambda f: f["returns"].isNull()),
-             "MissingReturnType", "high", f"{method}() has no return annotation", f"Annotate the return as {returns}"),
-        each(F.filter(methods, lambda f: ~F.lower(f["returns"]).contains(returns)),
-             "InvalidReturnType", "high",
-             lambda f: F.concat(F.lit(f"{method}() must return {returns}, found: "), f["returns"]),
-             f"Annotate the return as {returns}"),
-        each(F.filter(others, lambda f: f["name"] == "extract_content"),
-             "ForbiddenFunction", "high", "Function extract_content() is not allowed", f"Use {class_name}.{method}()"),
-        each(F.filter(mine, lambda f: f["name"].isin(*FORBIDDEN_METHODS)),
-             "ForbiddenMethodName", "high",
-             lambda f: F.concat(F.lit("Method is not allowed: "), f["name"]), f"Name it {method}"),
-        _fired((~F.array_contains("classes", class_name),
+        each(methods, f"NOT arrays_overlap(f.params, {accepted})", "InvalidExtractParameters", "high",
+             f"{method}() must accept one of: {names}", f"Add one of: {names}"),
+        each(methods, "f.returns IS NULL", "MissingReturnType", "high",
+             f"{method}() has no return annotation", f"Annotate the return as {returns}"),
+        each(methods, f"NOT contains(lower(f.returns), {sql_literal(returns)})", "InvalidReturnType", "high",
+             with_return(f"{method}() must return {returns}, found: "), f"Annotate the return as {returns}"),
+        each(others, "f.name = 'extract_content'", "ForbiddenFunction", "high",
+             "Function extract_content() is not allowed", f"Use {class_name}.{method}()"),
+        each(mine, f"f.name IN ({', '.join(map(sql_literal, FORBIDDEN_METHODS))})", "ForbiddenMethodName", "high",
+             "=concat('Method is not allowed: ', f.name)", f"Name it {method}"),
+        _fired((f"NOT array_contains(classes, {owner})",
                 _issue("interface", "issue", "MissingHTMLExtractorClass", "high",
                        f"Class {class_name} is not defined", f"Define {class_name} with {method}()"))),
     ]
     for word in FORBIDDEN_RETURNS:
-        groups.append(
-            each(F.filter(last, lambda f: f["returns"].contains(word)),
-                 "InvalidReturnType", "high",
-                 lambda f: F.concat(F.lit(f"{method}() must return a plain {returns}, found: "), f["returns"]),
-                 f"Return a plain {returns}")
-        )
+        groups.append(each(last, f"contains(f.returns, {sql_literal(word)})", "InvalidReturnType", "high",
+                           with_return(f"{method}() must return a plain {returns}, found: "), f"Return a plain {returns}"))
     if constant:
-        groups.append(
-            _fired((~F.array_contains("assigned", constant),
-                    _issue("interface", "warning", "MissingSchemaConstant", "low",
-                           f"Constant {constant} is not defined", f"Define {constant}")))
-        )
-    return F.concat(*groups)
+        groups.append(_fired((f"NOT array_contains(assigned, {sql_literal(constant)})",
+                              _issue("interface", "warning", "MissingSchemaConstant", "low",
+                                     f"Constant {constant} is not defined", f"Define {constant}"))))
+    return f"concat({', '.join(groups)})"
 
 
 def code_interface(facts: DataFrame, **names) -> DataFrame:
@@ -298,16 +252,17 @@ def code_interface(facts: DataFrame, **names) -> DataFrame:
     (``class_name='MarkdownConverter', method='convert', init_params=(),
     method_params=('json_data',), returns='str', constant=None``).
     """
-    return facts.filter(F.col("error").isNull()).select("subject_id", F.inline(interface_rules(**names)))
+    return facts.filter(F.col("error").isNull()).selectExpr("subject_id", f"inline({interface_rules(**names)})")
 
 
 def all_issues(codes: DataFrame, **names) -> DataFrame:
     """Syntax errors, text rules and interface rules; every source is parsed once."""
-    error = F.col("error")
-    syntax = _fired((error.isNotNull(), _issue("syntax", "issue", "SyntaxError", None, error["message"], None, error["line"])))
-    interface = F.filter(interface_rules(**names), lambda i: error.isNull())
-    return code_facts(codes).select(
-        "subject_id", F.inline(F.concat(syntax, text_rules(F.col("code")), interface))
+    syntax = _fired(
+        ("error IS NOT NULL", _issue("syntax", "issue", "SyntaxError", None, "=error.message", None, "error.line"))
+    )
+    interface = f"filter({interface_rules(**names)}, i -> error IS NULL)"
+    return code_facts(codes).selectExpr(
+        "subject_id", f"inline(concat({syntax}, {text_rules()}, {interface}))"
     )
 
 

@@ -26,7 +26,7 @@ from domloom.operators.nodes import node_text, page_nodes, parse_pages
 from domloom.operators.schema import Section
 from domloom.operators.xpath import fields_for, select_xpath, suggest_xpath, xpath_text
 from domloom.plans import inputs
-from domloom.session import shared_dir
+from domloom.session import checkpointed, shared_dir
 from domloom.sources import sinks, urls
 from domloom.sources.pages import with_identifier
 from domloom.sources.steps import StepStore
@@ -264,12 +264,12 @@ def node_outer_html(spark, sf):
 
 @query
 def text_contents(spark, sf):
-    return inputs.pages(spark, sf).select("page_id", text_content(F.col("html")).alias("text"))
+    return inputs.pages(spark, sf).select("page_id", text_content("html").alias("text"))
 
 
 @query
 def body_contents(spark, sf):
-    return inputs.pages(spark, sf).select("page_id", body_content(F.col("html")).alias("body"))
+    return inputs.pages(spark, sf).select("page_id", body_content("html").alias("body"))
 
 
 @query
@@ -307,7 +307,7 @@ def suggest_xpaths(spark, sf):
 @query
 def truncate_pages(spark, sf):
     return inputs.table(spark, sf, "documents").select(
-        "doc_id", truncate_html(F.col("text"), 500).alias("text_cut")
+        "doc_id", truncate_html("text", 500).alias("text_cut")
     )
 
 
@@ -566,7 +566,9 @@ def issue_rollup(spark, sf):
 
 @query
 def top_issues(spark, sf):
-    return lint.top_issues(lint.all_issues(inputs.codes(spark, sf))).select(
+    # read twice, so parsed once
+    issues = checkpointed(lint.all_issues(inputs.codes(spark, sf)))
+    return lint.top_issues(issues).select(
         "subject_id", "check_group", "rank", "type", "total"
     )
 
@@ -634,12 +636,12 @@ def content_hierarchy(spark, sf):
 
 @query
 def html_to_markdown_pages(spark, sf):
-    return inputs.pages(spark, sf).select("page_id", html_to_markdown(F.col("html")).alias("markdown"))
+    return inputs.pages(spark, sf).select("page_id", html_to_markdown("html").alias("markdown"))
 
 
 @query
 def markdown_escaped(spark, sf):
-    return inputs.table(spark, sf, "documents").select("doc_id", markdown_escape(F.col("text")).alias("escaped"))
+    return inputs.table(spark, sf, "documents").select("doc_id", markdown_escape("text").alias("escaped"))
 
 
 def _markdown(spark, sf):
