@@ -75,7 +75,7 @@ def body_content(html: str) -> Column:
     return F.expr(f"coalesce(nullif({closed}, ''), nullif({unclosed}, ''), {html})")
 
 
-def truncate_html(html: str, max_chars: int = 500_000) -> Column:
+def truncate_html(html: str, max_chars: int = 500_000, marker: str = "\n... [truncated]") -> Column:
     """Longer input is cut to ``max_chars`` characters and marked as cut."""
-    marked = f"concat(substring({html}, 1, {max_chars}), chr(10), '... [truncated]')"
-    return F.expr(f"CASE WHEN length({html}) > {max_chars} THEN {marked} ELSE {html} END")
+    cut = f"concat(substring({html}, 1, {max_chars}), {sql_literal(marker)})"
+    return F.expr(f"CASE WHEN length({html}) > {max_chars} THEN {cut} ELSE {html} END")

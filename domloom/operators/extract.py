@@ -116,14 +116,20 @@ def record_json(record: Column) -> Column:
     return F.coalesce(F.to_json(record, {"ignoreNullFields": "false"}), F.lit("{}"))
 
 
-def extract_status(extracted: DataFrame, name: Column) -> DataFrame:
-    """Per page: ``success`` with the result file, or ``failed`` with the reason."""
-    failed = F.col("error").isNotNull()
+def extract_status(extracted: DataFrame, name: Column, read_error: Column | None = None) -> DataFrame:
+    """Per page: ``success`` with the result file, or ``failed`` with the reason.
+
+    ``read_error`` is why a file could not be read, from ``load_html_dir``.
+    """
+    error = F.col("error")
+    if read_error is not None:
+        error = F.coalesce(F.concat(F.lit("Failed to read file: "), read_error), error)
+    failed = error.isNotNull()
     return extracted.select(
         "page_id",
         name.alias("file"),
         F.when(failed, "failed").otherwise("success").alias("status"),
-        "error",
+        error.alias("error"),
         F.when(~failed, result_filename(name)).alias("result_file"),
     )
 

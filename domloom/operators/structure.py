@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import let, sql_let, sql_literal, sql_strip, tally
+from domloom.functions.columns import sql_let, sql_literal, sql_strip, tally
 from domloom.operators.nodes import node_text_sql
 from domloom.operators.xpath import compile_xpath, fields_for
 from domloom.session import checkpointed
@@ -193,46 +193,33 @@ REGION_ROLES: tuple[tuple[str, tuple[str, ...], str | None, str | None], ...] =
 MARKED_TAGS = ("div", "ul", "ol", "table")
 
 
-def _region_role(n: Column) -> Column:
-    marks = F.lower(F.concat_ws(" ", n["attrs"]["class"], n["id"]))
-    role = F.when(F.lit(False), F.lit(None).cast("string"))
+def _region_role(n: str) -> str:
+    cases = []
     for name, tags, aria, text in REGION_ROLES:
-        test = n["tag"].isin(*tags) if tags else F.lit(False)
+        tests = [f"{n}.tag IN ({', '.join(map(sql_literal, tags))})"] if tags else []
         if aria:
-            test = test | F.coalesce(n["attrs"]["role"] == aria, F.lit(False))
+            tests.append(f"{n}.attrs['role'] <=> {sql_literal(aria)}")
         if text:
-            test = test | marks.contains(text)
-        role = role.when(test, name)
-    return role.when(n["tag"].isin(*MARKED_TAGS) & (marks != ""), "other")
-
-
-def _regions() -> Column:
-    def region(n: Column, total: Column) -> Column:
-        hints = F.concat(
-            F.transform(n["cls"], lambda c: F.concat(F.lit("."), c)),
-            F.when(n["id"].isNotNull(), F.array(F.concat(F.lit("#"), n["id"]))).otherwise(
-                F.array().cast("array<string>")
-            ),
-        )
-        after = (n["nid"] - 1) * 3
-        return F.struct(
-            n["nid"].alias("nid"),
-            n["tag"].alias("name"),
-            _region_role(n).alias("type"),
-            F.when(after < total, "top").when(after < total * 2, "middle").otherwise("bottom").alias("position"),
-            F.array(
-                F.concat(F.lit("elements="), n["last_nid"] - n["nid"] + 1),
-                F.concat(F.lit("depth="), n["depth"]),
-            ).alias("characteristics"),
-            hints.alias("likely_xpath_hints"),
-            n["gpath"].alias("gpath"),
-            n["xpath"].alias("xpath"),
-        )
-
-    regions = let(
-        F.size("nodes"), lambda total: F.transform(F.col("nodes"), lambda n: region(n, total))
-    )
-    return F.filter(regions, lambda r: r["type"].isNotNull())
+            tests.append(f"contains(marks, {sql_literal(text)})")
+        cases.append(f"WHEN {' OR '.join(tests)} THEN {sql_literal(name)}")
+    marked = ", ".join(map(sql_literal, MARKED_TAGS))
+    cases.append(f"WHEN {n}.tag IN ({marked}) AND marks != '' THEN 'other'")
+    marks = f"lower(concat_ws(' ', {n}.attrs['class'], {n}.id))"
+    return sql_let(marks, "marks", f"CASE {' '.join(cases)} END")
+
+
+def _regions() -> str:
+    """SQL for the regions of a page; roles are settled before the rest is built."""
+    region = """struct(
+        x.n.nid AS nid, x.n.tag AS name, x.role AS type,
+        CASE WHEN (x.n.nid - 1) * 3 < size(nodes) THEN 'top'
+             WHEN (x.n.nid - 1) * 3 < size(nodes) * 2 THEN 'middle' ELSE 'bottom' END AS position,
+        array(concat('elements=', x.n.last_nid - x.n.nid + 1), concat('depth=', x.n.depth)) AS characteristics,
+        concat(transform(x.n.cls, c -> concat('.', c)),
+               CASE WHEN x.n.id IS NULL THEN CAST(array() AS ARRAY<STRING>) ELSE array(concat('#', x.n.id)) END) AS likely_xpath_hints,
+        x.n.gpath AS gpath, x.n.xpath AS xpath)"""
+    roles = f"transform(nodes, n -> struct(n, {_region_role('n')} AS role))"
+    return f"transform(filter({roles}, x -> x.role IS NOT NULL), x -> {region})"
 
 
 LAYOUT_FIELDS = ("nid", "last_nid", "depth", "tag", "attrs", "cls", "id", "gpath", "xpath")
@@ -243,7 +230,7 @@ def layout_roles(parsed: DataFrame) -> DataFrame:
 
     Position is the third of the document the region starts in.
     """
-    return parsed.select("page_id", F.inline(_regions()))
+    return parsed.selectExpr("page_id", f"inline({_regions()})")
 
 
 def layout_summary(layout: DataFrame) -> DataFrame:
@@ -258,30 +245,16 @@ def merge_analyses(
     ``in_text`` and ``in_layout`` say which side a row comes from. Both analyses come from
     the same parsed row, so they meet inside it instead of in a join.
     """
-    none = F.array().cast("array<struct<type: string, position: string, xpath: string>>")
-    both = parsed.select(
-        "page_id", F.expr(_sections_array(rules, 100)).alias("s"), (_regions() if layout else none).alias("r")
-    )
-
-    def row(s: Column | None, r: Column | None) -> Column:
-        text = lambda c, name: c[name] if c is not None else F.lit(None).cast("string")
-        return F.struct(
-            (s["xpath"] if s is not None else r["xpath"]).alias("xpath"),
-            text(s, "section").alias("section"),
-            text(s, "type").alias("section_type"),
-            text(r, "type").alias("region_type"),
-            text(r, "position").alias("position"),
-            F.lit(s is not None).alias("in_text"),
-            (F.lit(True) if s is None else text(r, "type").isNotNull()).alias("in_layout"),
-        )
-
-    sections, found = F.col("s"), F.col("r")
-    with_text = F.transform(
-        sections,
-        lambda s: let(F.get(F.filter(found, lambda r: r["xpath"] == s["xpath"]), F.lit(0)), lambda r: row(s, r)),
-    )
-    rest = F.filter(found, lambda r: ~F.exists(sections, lambda s: s["xpath"] == r["xpath"]))
-    return both.select("page_id", F.inline(F.concat(with_text, F.transform(rest, lambda r: row(None, r)))))
+    regions = _regions() if layout else "CAST(array() AS ARRAY<STRUCT<type: STRING, position: STRING, xpath: STRING>>)"
+    both = parsed.selectExpr("page_id", f"{_sections_array(rules, 100)} AS sections", f"{regions} AS regions")
+    of_section = """struct(s.xpath AS xpath, s.section AS section, s.type AS section_type, r.type AS region_type,
+        r.position AS position, true AS in_text, r.type IS NOT NULL AS in_layout)"""
+    alone = """struct(r.xpath AS xpath, CAST(NULL AS STRING) AS section, CAST(NULL AS STRING) AS section_type,
+        r.type AS region_type, r.position AS position, false AS in_text, true AS in_layout)"""
+    same = "get(filter(regions, r -> r.xpath = s.xpath), 0)"
+    return both.selectExpr("page_id", f"""inline(concat(
+        transform(sections, s -> {sql_let(same, 'r', of_section)}),
+        transform(filter(regions, r -> NOT exists(sections, s -> s.xpath = r.xpath)), r -> {alone})))""")
 
 
 # -- sections across pages -------------------------------------------------------------

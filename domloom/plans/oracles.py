@@ -368,7 +368,7 @@ def all_oracles() -> dict[str, str]:
     o["load_pages"] = "SELECT page_id, coalesce(url, 'unknown') AS identifier, CAST(length(html) AS BIGINT) AS n_chars FROM pages"
     o["load_urls"] = f"WITH {_LINES} SELECT line_no, url FROM lines WHERE url != '' AND url NOT LIKE '#%' AND {_VALID}"
     o["rejected_urls"] = f"WITH {_LINES} SELECT line_no, url, 'invalid URL' AS reason FROM lines WHERE url != '' AND url NOT LIKE '#%' AND NOT {_VALID}"
-    o["url_valid_check"] = f"WITH t AS (SELECT page_id, {inputs.URL_FORMS} AS url FROM pages) SELECT page_id, url AS candidate, {_VALID} AS valid FROM t"
+    o["url_valid"] = f"WITH t AS (SELECT page_id, {inputs.URL_FORMS} AS url FROM pages) SELECT page_id, url AS candidate, {_VALID} AS valid FROM t"
     o["url_filename"] = f"{_files(inputs.NAMED_URLS)} SELECT page_id, url, filename FROM files"
     o["filename_dedup"] = f'{_files(inputs.CROWDED_URLS)} {_DEDUP} SELECT page_id, "natural", filename FROM unique_files'
     o["attach_url"] = f"""{_files('url')} {_DEDUP} SELECT page_id,
@@ -378,7 +378,7 @@ def all_oracles() -> dict[str, str]:
         b AS (SELECT url, count(*) AS n_lines, url IN (SELECT url FROM pages) AS fetched FROM lines GROUP BY url)"""
     o["fetch_backlog"] = f"{backlog} SELECT * FROM b"
     o["fetch_coverage"] = f"{backlog} SELECT fetched, count(*) AS urls, CAST(sum(n_lines) AS BIGINT) AS n_lines FROM b GROUP BY fetched"
-    o["result_filenames"] = rf"""WITH t AS (SELECT page_id, {inputs.FILE_NAMES} AS name FROM pages),
+    o["result_filename"] = rf"""WITH t AS (SELECT page_id, {inputs.FILE_NAMES} AS name FROM pages),
         r AS (SELECT *, regexp_replace(regexp_replace(name, '\.html?$', '') || '.json', '[^\w.-]', '_', 'g') AS result_file FROM t)
         SELECT *, regexp_replace(result_file, '\.json$', '.md') AS markdown_file FROM r"""
     o["write_extractions"] = f"""{LONG} SELECT s.page_id, 'page_' || s.page_id || '.json' AS result_file,
@@ -388,7 +388,7 @@ def all_oracles() -> dict[str, str]:
     o["write_markdown"] = f"{LONG} {MARKDOWN} SELECT page_id, 'page_' || page_id || '.md' AS markdown_file, markdown FROM documents_md WHERE markdown IS NOT NULL"
     o["step_tables"] = f"{N}, {SECTION_ROWS} SELECT section, count(*) AS n_rows FROM sections GROUP BY section"
 
-    o["page_nodes_all"] = f"""{N} SELECT page_id, nid, coalesce((SELECT max(a.nid) FROM nodes a WHERE a.page_id = n.page_id
+    o["page_nodes"] = f"""{N} SELECT page_id, nid, coalesce((SELECT max(a.nid) FROM nodes a WHERE a.page_id = n.page_id
         AND a.nid < n.nid AND a.last_nid >= n.nid), 0) AS parent_nid, CAST(len(string_split(gpath, '/')) AS INT) AS depth, tag, gpath, text_head FROM nodes n"""
     o["tag_counts"] = "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag"
     o["node_text_full"] = f"{N} SELECT page_id, nid, tag, full_text AS text FROM nodes"
@@ -396,29 +396,29 @@ def all_oracles() -> dict[str, str]:
         UNION ALL SELECT page_id, 'h1', regexp_extract(html, '<h1>.*</h1>') FROM pages"""
     pieces = r"string_split_regex(regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', '<x>', 'g'), '<[^>]*>')"
     clean = stripped(decoded("x"))
-    o["text_contents"] = f"""SELECT page_id, array_to_string(list_filter(list_transform({pieces}, lambda x: {clean}), lambda x: x != ''), ' ') AS text FROM pages"""
-    o["body_contents"] = """SELECT page_id, CASE WHEN html LIKE '%</body>%' THEN regexp_extract(html, '(?is)<body.*</body>')
+    o["text_content"] = f"""SELECT page_id, array_to_string(list_filter(list_transform({pieces}, lambda x: {clean}), lambda x: x != ''), ' ') AS text FROM pages"""
+    o["body_content"] = """SELECT page_id, CASE WHEN html LIKE '%</body>%' THEN regexp_extract(html, '(?is)<body.*</body>')
         ELSE regexp_extract(html, '(?is)<body.*') END AS body FROM pages"""
     o["node_xpath"] = f"{N} SELECT page_id, nid, xpath FROM nodes"
 
     def named(name: str, where: str, value: str = "text_head") -> str:
         return f"SELECT page_id, '{name}' AS name, nid, xpath, {value} AS value FROM nodes WHERE {where}"
 
-    o["select_xpaths"] = f"{N} " + " UNION ALL ".join([
+    o["select_xpath"] = f"{N} " + " UNION ALL ".join([
         named("headings", "tag = 'h1'"), named("links", "tag = 'a'"), named("hrefs", "tag = 'a'", "href"),
         named("second_item", "tag = 'a' AND li_no = 2"), named("last_item", "tag = 'a' AND li_no = n_li"),
         named("ad", "cls = 'ad'"), named("ad_token", "cls = 'ad'"), named("bold", "tag = 'b'"),
         named("title_text", "tag = 'title'"), named("ends", "tag IN ('h1', 'footer')"),
     ])
-    o["xpath_texts"] = f"{N} SELECT page_id, nid, {stripped('full_text')} AS text FROM nodes WHERE tag IN ('h1', 'li', 'footer')"
+    o["xpath_text"] = f"{N} SELECT page_id, nid, {stripped('full_text')} AS text FROM nodes WHERE tag IN ('h1', 'li', 'footer')"
     o["common_xpath"] = f"""{N}, steps AS (SELECT tag, unnest(string_split(xpath, '/')) AS step, generate_subscripts(string_split(xpath, '/'), 1) AS pos FROM nodes),
         n AS (SELECT tag, count(*) AS n FROM nodes GROUP BY tag),
         same AS (SELECT tag, pos, min(step) AS step, count(*) = any_value(n.n) AND count(DISTINCT step) = 1 AS ok FROM steps JOIN n USING (tag) GROUP BY tag, pos)
         SELECT n.tag, n.n, coalesce(string_agg(step, '/' ORDER BY pos) FILTER (ok AND pos < (SELECT coalesce(min(b.pos), 999) FROM same b WHERE b.tag = same.tag AND NOT b.ok)), '') AS common
         FROM n JOIN same USING (tag) GROUP BY n.tag, n.n"""
-    o["suggest_xpaths"] = f"""{N}, found AS (SELECT page_id, xpath, row_number() OVER (PARTITION BY page_id ORDER BY nid) AS rank FROM nodes
+    o["suggest_xpath"] = f"""{N}, found AS (SELECT page_id, xpath, row_number() OVER (PARTITION BY page_id ORDER BY nid) AS rank FROM nodes
         WHERE contains(substr(lower({stripped('full_text')}), 1, 100), 'the')) SELECT page_id, CAST(rank AS INT) AS rank, xpath FROM found WHERE rank <= 5"""
-    o["truncate_pages"] = "SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || chr(10) || '... [truncated]' ELSE text END AS text_cut FROM documents"
+    o["truncate_html"] = "SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || chr(10) || '... [truncated]' ELSE text END AS text_cut FROM documents"
 
     o["page_sections"] = f"""{NV}, {SECTION_ROWS} SELECT page_id, CAST(NULL AS VARCHAR) AS error, section, type, xpath, is_list,
         CASE WHEN is_list THEN '/' || gpath END AS list_xpath, substr({stripped('full_text')}, 1, 100) AS content_sample,
@@ -463,7 +463,7 @@ def all_oracles() -> dict[str, str]:
 
     o["extract_sections"] = f"{LONG} SELECT {LONG_COLUMNS} FROM long"
     o["extract_text_mode"] = f"{NV} {_extraction(True)}"
-    o["incremental_extraction"] = f"{N} {_extraction(False)}"
+    o["incremental_extract"] = f"{N} {_extraction(False)}"
     o["xpath_fallback"] = f"""{NV}, lists AS (SELECT s.page_id, any_value(n.box) AS box,
           string_agg(coalesce(text_head, ''), chr(31) ORDER BY nid) FILTER (tag = 'p') AS ps, count(*) FILTER (tag = 'p') AS n_p,
           count(*) FILTER (tag = 'p' AND text_head IS NOT NULL) AS filled,
@@ -514,7 +514,7 @@ def all_oracles() -> dict[str, str]:
     o["code_lint"] = f"WITH {CODES} {_lint('codes')}"
     o["code_syntax"] = f"SELECT page_id AS subject_id, 'SyntaxError' AS type, 1 AS line FROM pages WHERE page_id % {len(SNIPPETS)} = 3"
     o["code_interface"] = f"SELECT page_id AS subject_id, kind, type, severity FROM pages JOIN {_interface_rows()} ON page_id % {len(SNIPPETS)} = snippet"
-    o["fix_json_booleans"] = f"WITH {CODES} SELECT subject_id, {_fix_bools('code')} AS code FROM codes"
+    o["fix_json_bools"] = f"WITH {CODES} SELECT subject_id, {_fix_bools('code')} AS code FROM codes"
     o["issue_rollup"] = f"""WITH {ISSUES}, r AS (SELECT c.subject_id,
           count(*) FILTER (kind = 'issue' AND check_group = 'syntax') AS syntax_issues,
           count(*) FILTER (kind = 'issue' AND check_group = 'robustness') AS robustness_issues,
@@ -537,12 +537,12 @@ def all_oracles() -> dict[str, str]:
     columns = ", ".join(
         f"{s} AS {m}_strategy, {j} AS {m}_json" for m in _MODES for s, j in [_salvage(m)]
     )
-    o["salvage_json_modes"] = f"WITH r AS (SELECT event_id, {inputs.RESPONSES} AS text FROM events) SELECT event_id, {columns} FROM r"
-    o["fenced_code"] = f"""WITH {REVIEW_ROWS} SELECT subject_id, {stripped(
+    o["salvage_json"] = f"WITH r AS (SELECT event_id, {inputs.RESPONSES} AS text FROM events) SELECT event_id, {columns} FROM r"
+    o["extract_fenced_code"] = f"""WITH {REVIEW_ROWS} SELECT subject_id, {stripped(
         "CASE WHEN contains(review, '```') THEN regexp_extract(review, '(?s)```(?:python3|python)?" + chr(92) + "s*(.*?)```', 1) ELSE review END")} AS code FROM reviews"""
-    o["reviewed_code"] = f"""WITH {REVIEW_ROWS} SELECT subject_id, CASE WHEN subject_id % 5 = 1 THEN {stripped(quoted(SNIPPETS[0]))} ELSE code END AS code,
+    o["extract_reviewed_code"] = f"""WITH {REVIEW_ROWS} SELECT subject_id, CASE WHEN subject_id % 5 = 1 THEN {stripped(quoted(SNIPPETS[0]))} ELSE code END AS code,
         subject_id % 5 = 1 AS fixed FROM reviews"""
-    o["suggestions"] = f"""WITH {REVIEW_ROWS}, l AS (SELECT subject_id, list_filter(list_transform(string_split(review, chr(10)), lambda x: {stripped('x')}),
+    o["review_suggestions"] = f"""WITH {REVIEW_ROWS}, l AS (SELECT subject_id, list_filter(list_transform(string_split(review, chr(10)), lambda x: {stripped('x')}),
           lambda x: starts_with(x, '-') OR starts_with(x, '*')) AS found FROM reviews)
         SELECT subject_id, CAST(generate_subscripts(found, 1) - 1 AS INT) AS pos, unnest(found) AS suggestion FROM l"""
 
@@ -553,8 +553,8 @@ def all_oracles() -> dict[str, str]:
           string_agg(section, '|' ORDER BY section) FILTER (role = 'metadata') AS metadata_fields,
           string_agg(section, '|' ORDER BY section) FILTER (role = 'structural') AS structural_fields,
           string_agg(section, '|' ORDER BY section) FILTER (role = 'main' AND section != (SELECT best FROM p)) AS secondary, (SELECT best FROM p) AS "primary" FROM profile"""
-    o["html_to_markdown_pages"] = f"SELECT page_id, {_markdown_chain()} AS markdown FROM pages"
-    o["markdown_escaped"] = r"SELECT doc_id, regexp_replace(text, '([\\`*_{}\[\]()#+.!-])', '\\\1', 'g') AS escaped FROM documents"
+    o["html_to_markdown"] = f"SELECT page_id, {_markdown_chain()} AS markdown FROM pages"
+    o["markdown_escape"] = r"SELECT doc_id, regexp_replace(text, '([\\`*_{}\[\]()#+.!-])', '\\\1', 'g') AS escaped FROM documents"
     o["records_to_markdown"] = f"{LONG} {MARKDOWN} SELECT page_id, markdown FROM documents_md"
     md_status = status.replace("AS result_file FROM src)", "AS result_file FROM src), x AS (SELECT 1)")
     o["markdown_status"] = f"""{md_status} SELECT page_id, {PAGE_RESULT} AS json_file,

@@ -36,9 +36,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 
-def query(function: Query) -> Query:
-    _QUERIES[function.__name__] = function
-    return function
+def query(name: str) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        _QUERIES[name] = function
+        return function
+
+    return register
 
 
 def all_queries() -> dict[str, Query]:
@@ -96,7 +99,7 @@ def _long(extracted: DataFrame, *keep: str) -> DataFrame:
 # -- sources and sinks ---------------------------------------------------------------------
 
 
-@query
+@query("load_pages")
 def load_pages(spark, sf):
     return with_identifier(inputs.pages(spark, sf)).select(
         "page_id", "identifier", F.length("html").cast("bigint").alias("n_chars")
@@ -109,17 +112,17 @@ def _url_lines(spark, sf):
     )
 
 
-@query
+@query("load_urls")
 def load_urls(spark, sf):
     return urls.load_urls(_url_lines(spark, sf))
 
 
-@query
+@query("rejected_urls")
 def rejected_urls(spark, sf):
     return urls.rejected_urls(_url_lines(spark, sf))
 
 
-@query
+@query("url_valid")
 def url_valid_check(spark, sf):
     return inputs.page_urls(spark, sf).select("page_id", F.expr(inputs.URL_FORMS).alias("candidate")).withColumn(
         "valid", url_valid(F.col("candidate"))
@@ -134,17 +137,17 @@ def _named(spark, sf, forms: str):
     )
 
 
-@query
+@query("url_filename")
 def url_filename(spark, sf):
     return _named(spark, sf, inputs.NAMED_URLS).select("page_id", "url", "filename")
 
 
-@query
+@query("filename_dedup")
 def filename_dedup(spark, sf):
     return urls.dedupe_filenames(_named(spark, sf, inputs.CROWDED_URLS)).select("page_id", "natural", "filename")
 
 
-@query
+@query("attach_url")
 def attach_url(spark, sf):
     named = urls.dedupe_filenames(_named(spark, sf, "url"))
     files = named.select(
@@ -156,21 +159,21 @@ def attach_url(spark, sf):
     return urls.attach_url(files, named).select("page_id", "name", "url", "matched")
 
 
-@query
+@query("fetch_backlog")
 def fetch_backlog(spark, sf):
     pages = inputs.page_urls(spark, sf)
     wanted = pages.select(F.explode(F.array("url", F.expr(inputs.BARE))).alias("url"))
     return urls.fetch_backlog(wanted, pages)
 
 
-@query
+@query("fetch_coverage")
 def fetch_coverage(spark, sf):
     return fetch_backlog(spark, sf).groupBy("fetched").agg(
         F.count("*").alias("urls"), F.sum("n_lines").alias("n_lines")
     )
 
 
-@query
+@query("result_filename")
 def result_filenames(spark, sf):
     names = inputs.page_urls(spark, sf).select("page_id", F.expr(inputs.FILE_NAMES).alias("name"))
     result = result_filename(F.col("name"))
@@ -192,7 +195,7 @@ def _result_name() -> Column:
     return result_filename(_page_name())
 
 
-@query
+@query("write_extractions")
 def write_extractions(spark, sf):
     path = shared_dir(spark, "extractions")
     sinks.write_extractions(_records(spark, sf), path)
@@ -204,7 +207,7 @@ def write_extractions(spark, sf):
     )
 
 
-@query
+@query("write_markdown")
 def write_markdown(spark, sf):
     path = shared_dir(spark, "markdown")
     documents = _markdown(spark, sf).withColumn("markdown_file", markdown_filename(_result_name()))
@@ -212,7 +215,7 @@ def write_markdown(spark, sf):
     return spark.read.parquet(path).select("page_id", "markdown_file", "markdown")
 
 
-@query
+@query("step_tables")
 def step_tables(spark, sf):
     store = StepStore(spark, shared_dir(spark, "steps"))
     store.save(1, "text_analysis", _sections(spark, sf, inputs.pages(spark, sf)))
@@ -224,7 +227,7 @@ def step_tables(spark, sf):
 # -- nodes, XPath, text --------------------------------------------------------------------
 
 
-@query
+@query("page_nodes")
 def page_nodes_all(spark, sf):
     parsed = parse_pages(
         inputs.pages(spark, sf), ("nid", "parent_nid", "depth", "tag", "gpath", "text_head")
@@ -232,13 +235,13 @@ def page_nodes_all(spark, sf):
     return page_nodes(parsed)
 
 
-@query
+@query("tag_counts")
 def tag_counts(spark, sf):
     parsed = parse_pages(inputs.pages(spark, sf), ("tag",))
     return page_nodes(parsed).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query
+@query("node_text_full")
 def node_text_full(spark, sf):
     """Text of the elements between body and paragraphs, from the slices of the text runs."""
     parsed = parse_pages(inputs.pages(spark, sf), ("nid", "tag", "run_start", "run_end"))
@@ -248,7 +251,7 @@ def node_text_full(spark, sf):
     return rows
 
 
-@query
+@query("node_outer_html")
 def node_outer_html(spark, sf):
     """Outer HTML of navigation and headings by the source offsets of their nodes."""
     parsed = parse_pages(inputs.pages(spark, sf), ("tag", "html_start", "html_end"), keep=["html"])
@@ -262,34 +265,34 @@ def node_outer_html(spark, sf):
     return parsed.select("page_id", F.inline(cut))
 
 
-@query
+@query("text_content")
 def text_contents(spark, sf):
     return inputs.pages(spark, sf).select("page_id", text_content("html").alias("text"))
 
 
-@query
+@query("body_content")
 def body_contents(spark, sf):
     return inputs.pages(spark, sf).select("page_id", body_content("html").alias("body"))
 
 
-@query
+@query("node_xpath")
 def node_xpath(spark, sf):
     return page_nodes(parse_pages(inputs.pages(spark, sf), ("nid", "xpath")))
 
 
-@query
+@query("select_xpath")
 def select_xpaths(spark, sf):
     parsed = parse_pages(inputs.pages(spark, sf), fields_for(XPATHS.values(), "xpath"))
     return select_xpath(parsed, XPATHS)
 
 
-@query
+@query("xpath_text")
 def xpath_texts(spark, sf):
     parsed = parse_pages(inputs.pages(spark, sf), fields_for(["//li"], "run_start", "run_end"))
     return xpath_text(parsed, "//h1 | //li | //footer")
 
 
-@query
+@query("common_xpath")
 def common_xpath(spark, sf):
     nodes = page_nodes(parse_pages(inputs.pages(spark, sf), ("tag", "xpath")))
     ends = nodes.groupBy("tag").agg(
@@ -298,13 +301,13 @@ def common_xpath(spark, sf):
     return ends.select("tag", "n", step_prefix(F.col("low"), F.col("high")).alias("common"))
 
 
-@query
+@query("suggest_xpath")
 def suggest_xpaths(spark, sf):
     parsed = parse_pages(inputs.pages(spark, sf), ("xpath", "run_start", "run_end"))
     return suggest_xpath(parsed, "The")
 
 
-@query
+@query("truncate_html")
 def truncate_pages(spark, sf):
     return inputs.table(spark, sf, "documents").select(
         "doc_id", truncate_html("text", 500).alias("text_cut")
@@ -322,7 +325,7 @@ def _variants(spark, sf):
     return st.section_variants(_sections(spark, sf, inputs.varied_pages(spark, sf)))
 
 
-@query
+@query("page_sections")
 def page_sections(spark, sf):
     return _sections(spark, sf, inputs.varied_pages(spark, sf)).select(
         "page_id", "error", "section", "type", "xpath", "is_list", "list_xpath", "content_sample",
@@ -330,24 +333,24 @@ def page_sections(spark, sf):
     )
 
 
-@query
+@query("class_id_patterns")
 def class_id_patterns(spark, sf):
     pages = inputs.pages(spark, sf)
     return st.class_id_patterns(parse_pages(pages, ("cls", "id")), pages)
 
 
-@query
+@query("structural_patterns")
 def structural_patterns(spark, sf):
     pages = inputs.pages(spark, sf)
     return st.structural_patterns(parse_pages(pages, ("gpath", "gseq")), pages)
 
 
-@query
+@query("repeating_patterns")
 def repeating_patterns(spark, sf):
     return st.repeating_patterns(parse_pages(inputs.pages(spark, sf), ("gpath", "attrs", "alike", "n_alike")))
 
 
-@query
+@query("layout_roles")
 def layout_roles(spark, sf):
     layout = st.layout_roles(parse_pages(inputs.varied_pages(spark, sf), st.LAYOUT_FIELDS))
     return layout.select(
@@ -356,7 +359,7 @@ def layout_roles(spark, sf):
     )
 
 
-@query
+@query("layout_summary")
 def layout_summary(spark, sf):
     return st.layout_summary(st.layout_roles(parse_pages(inputs.varied_pages(spark, sf), st.LAYOUT_FIELDS)))
 
@@ -365,38 +368,38 @@ def _for_both(spark, sf):
     return parse_pages(inputs.varied_pages(spark, sf), (*st.SECTION_FIELDS, *st.LAYOUT_FIELDS))
 
 
-@query
+@query("merge_analyses")
 def merge_analyses(spark, sf):
     return st.merge_analyses(_for_both(spark, sf))
 
 
-@query
+@query("merge_without_layout")
 def merge_without_layout(spark, sf):
     return st.merge_analyses(_for_both(spark, sf), layout=False)
 
 
-@query
+@query("common_patterns")
 def common_patterns(spark, sf):
     return st.common_patterns(_variants(spark, sf), inputs.table(spark, sf, "pages"), threshold=0.9)
 
 
-@query
+@query("xpath_coverage")
 def xpath_coverage(spark, sf):
     return st.xpath_coverage(_variants(spark, sf), inputs.table(spark, sf, "pages"))
 
 
-@query
+@query("inconsistencies")
 def inconsistencies(spark, sf):
     return st.inconsistencies(_variants(spark, sf), inputs.table(spark, sf, "pages"))
 
 
-@query
+@query("missing_pages")
 def missing_pages(spark, sf):
     parsed = parse_pages(inputs.varied_pages(spark, sf), st.SECTION_FIELDS)
     return st.missing_sections(parsed, ["title", "footer", "body", "header"])
 
 
-@query
+@query("infer_schema")
 def infer_schema(spark, sf):
     schema = sc.infer_schema(_variants(spark, sf), inputs.table(spark, sf, "pages"))
     return schema.select(
@@ -405,7 +408,7 @@ def infer_schema(spark, sf):
     )
 
 
-@query
+@query("schema_document")
 def schema_document(spark, sf):
     document = sc.schema_document(sc.infer_schema(_variants(spark, sf), inputs.table(spark, sf, "pages")))
     get = lambda path: F.get_json_object("json", path)
@@ -422,7 +425,7 @@ def _hrefs() -> Column:
     return F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
 
 
-@query
+@query("simplify_schema")
 def simplify_schema(spark, sf):
     def section(name, xpath, alternatives, is_list):
         return F.struct(
@@ -448,22 +451,22 @@ def simplify_schema(spark, sf):
 # -- extraction ----------------------------------------------------------------------------
 
 
-@query
+@query("extract_sections")
 def extract_sections(spark, sf):
     return _long(ex.extract(inputs.varied_pages(spark, sf), SECTIONS))
 
 
-@query
+@query("extract_text_mode")
 def extract_text_mode(spark, sf):
     return _long(ex.extract(inputs.varied_pages(spark, sf), SECTIONS, full_text=True))
 
 
-@query
+@query("xpath_fallback")
 def xpath_fallback(spark, sf):
     return _long(ex.extract(inputs.varied_pages(spark, sf), FALLBACK_SECTIONS, fallback=True))
 
 
-@query
+@query("extraction_records")
 def extraction_records(spark, sf):
     records = _records(spark, sf)
     record = F.col("record")
@@ -479,17 +482,17 @@ def _status(spark, sf):
     return ex.extract_status(ex.extract(inputs.varied_pages(spark, sf), SECTIONS[:1]), _page_name())
 
 
-@query
+@query("extract_status")
 def extract_status(spark, sf):
     return _status(spark, sf)
 
 
-@query
+@query("extraction_summary")
 def extraction_summary(spark, sf):
     return ex.status_summary(_status(spark, sf))
 
 
-@query
+@query("schema_transfer")
 def schema_transfer(spark, sf):
     pages = inputs.varied_pages(spark, sf).withColumn(
         "role", F.when(F.col("url").contains("/en/"), "learning").otherwise("spread")
@@ -504,7 +507,7 @@ def schema_transfer(spark, sf):
 # -- validation ----------------------------------------------------------------------------
 
 
-@query
+@query("validate_schema")
 def validate_schema(spark, sf):
     link = F.posexplode(F.arrays_zip(
         _hrefs().alias("href"),
@@ -522,7 +525,7 @@ def validate_schema(spark, sf):
     return sc.validate_schema(rows).select("schema_id", "position", "type", "severity")
 
 
-@query
+@query("validate_extractions")
 def validate_extractions(spark, sf):
     pages = inputs.varied_pages(spark, sf)
     stored = ex.extractions(ex.extract(pages, SECTIONS))
@@ -534,37 +537,37 @@ def validate_extractions(spark, sf):
     return ex.validate_extractions(pages, SECTIONS, broken)
 
 
-@query
+@query("code_lint")
 def code_lint(spark, sf):
     return lint.code_lint(inputs.codes(spark, sf)).select(
         "subject_id", "check_group", "kind", "type", "severity", "line"
     )
 
 
-@query
+@query("code_syntax")
 def code_syntax(spark, sf):
     return lint.code_syntax(lint.code_facts(inputs.codes(spark, sf))).select("subject_id", "type", "line")
 
 
-@query
+@query("code_interface")
 def code_interface(spark, sf):
     return lint.code_interface(lint.code_facts(inputs.codes(spark, sf))).select(
         "subject_id", "kind", "type", "severity"
     )
 
 
-@query
+@query("fix_json_bools")
 def fix_json_booleans(spark, sf):
     return inputs.codes(spark, sf).select("subject_id", fix_json_bools(F.col("code")).alias("code"))
 
 
-@query
+@query("issue_rollup")
 def issue_rollup(spark, sf):
     codes = inputs.codes(spark, sf)
     return lint.issue_rollup(codes, lint.all_issues(codes))
 
 
-@query
+@query("top_issues")
 def top_issues(spark, sf):
     # read twice, so parsed once
     issues = checkpointed(lint.all_issues(inputs.codes(spark, sf)))
@@ -573,7 +576,7 @@ def top_issues(spark, sf):
     )
 
 
-@query
+@query("revalidation_diff")
 def revalidation_diff(spark, sf):
     codes = inputs.codes(spark, sf)
     fixed = codes.withColumn("code", F.concat(F.lit("from lxml import etree\n"), fix_json_bools(F.col("code"))))
@@ -583,7 +586,7 @@ def revalidation_diff(spark, sf):
 # -- responses -----------------------------------------------------------------------------
 
 
-@query
+@query("salvage_json")
 def salvage_json_modes(spark, sf):
     rows = inputs.responses(spark, sf)
     for mode in MODES:
@@ -595,17 +598,17 @@ def salvage_json_modes(spark, sf):
     )
 
 
-@query
+@query("extract_fenced_code")
 def fenced_code(spark, sf):
     return inputs.reviews(spark, sf).select("subject_id", extract_fenced_code(F.col("review")).alias("code"))
 
 
-@query
+@query("extract_reviewed_code")
 def reviewed_code(spark, sf):
     return lint.settle_review(inputs.reviews(spark, sf))
 
 
-@query
+@query("review_suggestions")
 def suggestions(spark, sf):
     return inputs.reviews(spark, sf).select(
         "subject_id", F.posexplode(review_suggestions(F.col("review"))).alias("pos", "suggestion")
@@ -615,17 +618,17 @@ def suggestions(spark, sf):
 # -- profiling and Markdown ----------------------------------------------------------------
 
 
-@query
+@query("sample_records")
 def sample_records(spark, sf):
     return profile.sample_records(_records(spark, sf)).select("page_id", F.col("record.title").alias("title"))
 
 
-@query
+@query("field_profile")
 def field_profile(spark, sf):
     return profile.field_profile(ex.extractions(ex.extract(inputs.varied_pages(spark, sf), SECTIONS)))
 
 
-@query
+@query("content_hierarchy")
 def content_hierarchy(spark, sf):
     found = profile.content_hierarchy(field_profile(spark, sf))
     return found.select(
@@ -634,12 +637,12 @@ def content_hierarchy(spark, sf):
     )
 
 
-@query
+@query("html_to_markdown")
 def html_to_markdown_pages(spark, sf):
     return inputs.pages(spark, sf).select("page_id", html_to_markdown("html").alias("markdown"))
 
 
-@query
+@query("markdown_escape")
 def markdown_escaped(spark, sf):
     return inputs.table(spark, sf, "documents").select("doc_id", markdown_escape("text").alias("escaped"))
 
@@ -649,7 +652,7 @@ def _markdown(spark, sf):
     return profile.records_to_markdown(extracted, SECTIONS, profile.collect_roles(field_profile(spark, sf)))
 
 
-@query
+@query("records_to_markdown")
 def records_to_markdown(spark, sf):
     return _markdown(spark, sf)
 
@@ -658,12 +661,12 @@ def _markdown_status(spark, sf):
     return ex.markdown_status(_markdown(spark, sf).withColumn("result_file", _result_name()))
 
 
-@query
+@query("markdown_status")
 def markdown_status(spark, sf):
     return _markdown_status(spark, sf)
 
 
-@query
+@query("markdown_summary")
 def markdown_summary(spark, sf):
     return ex.status_summary(_markdown_status(spark, sf))
 
@@ -671,7 +674,7 @@ def markdown_summary(spark, sf):
 # -- run state -----------------------------------------------------------------------------
 
 
-@query
+@query("run_manifest")
 def run_manifest(spark, sf):
     store = StepStore(spark, shared_dir(spark, "manifest"))
     store.save(1, "text_analysis", inputs.page_urls(spark, sf), {"pages": "all"})
@@ -681,17 +684,17 @@ def run_manifest(spark, sf):
     return rows.select("run_id", "step", F.when(F.col("payload").isNotNull(), stored).alias("rows"))
 
 
-@query
+@query("next_run_id")
 def next_run_id(spark, sf):
     return runstate.next_run_id(inputs.run_dirs(spark, sf))
 
 
-@query
+@query("latest_state")
 def latest_state(spark, sf):
     return runstate.latest_state(inputs.manifests(spark, sf), "user_id")
 
 
-@query
+@query("completed_steps")
 def completed_steps(spark, sf):
     steps = inputs.table(spark, sf, "events").select(
         "user_id", F.col("event_id").alias("run_id"), F.expr(inputs.STEP_OF).alias("step")
@@ -709,14 +712,14 @@ def _done(pages: DataFrame, key: str) -> DataFrame:
     )
 
 
-@query
+@query("pending_pages")
 def pending_pages(spark, sf):
     pages = inputs.pages(spark, sf)
     key = runstate.schema_hash(SECTIONS)
     return runstate.pending_page_ids(pages, _done(pages, key), key)
 
 
-@query
+@query("regenerate_fallback")
 def regenerate_fallback(spark, sf):
     results = inputs.pages(spark, sf).select(
         F.col("page_id").alias("subject_id"),
@@ -728,7 +731,7 @@ def regenerate_fallback(spark, sf):
     return runstate.pending_results(results)
 
 
-@query
+@query("incremental_extract")
 def incremental_extraction(spark, sf):
     base = shared_dir(spark, "incremental")
     stream = incremental_extract(

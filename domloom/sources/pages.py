@@ -57,6 +57,18 @@ def readable(files: DataFrame) -> DataFrame:
     return files.filter(F.col("error").isNull())
 
 
+def file_pages(files: DataFrame) -> DataFrame:
+    """Files as pages: ``(page_id, url, path, name, html, read_error)``.
+
+    The numbers hold for one reading of the directory; write the table once and work on
+    that, as crawled pages are kept, so that they stay.
+    """
+    return files.select(
+        F.monotonically_increasing_id().alias("page_id"), F.lit(None).cast("string").alias("url"),
+        "path", "name", "html", F.col("error").alias("read_error"),
+    )
+
+
 def with_identifier(pages: DataFrame) -> DataFrame:
     return pages.withColumn(
         "identifier",

@@ -43,6 +43,7 @@ def test_body_content(spark):
 def test_truncate(spark):
     cut = apply(spark, ["abc", "abcd", None], lambda c: tx.truncate_html("v", 3))
     assert cut == ["abc", "abc\n... [truncated]", None]
+    assert apply(spark, ["abcd"], lambda c: tx.truncate_html("v", 2, "")) == ["ab"]
 
 
 URLS = ["http://a.b/c", "https://a", "a.b/c", "//a/b", "http://", "http:///x", "mailto:x@y", "ftp://h/x", "", "http://[::1]/x",

@@ -3,9 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from domloom.operators import extract as ex
 from domloom.operators.ranking import number_rows, running_total
+from domloom.operators.schema import Section
 from domloom.sources import sinks, urls
-from domloom.sources.pages import load_html_dir, read_pages, readable, with_identifier
+from domloom.sources.pages import file_pages, load_html_dir, read_pages, readable, with_identifier
 from domloom.sources.steps import StepStore, save_result
 
 
@@ -96,6 +98,10 @@ def test_html_directory(spark, tmp_path):
     good = with_identifier(readable(files)).collect()
     assert len(good) == 1 and good[0].identifier.endswith("a.html")
     assert load_html_dir(spark, str(tmp_path / "missing")).count() == 0
+    extracted = ex.extract(file_pages(files), [Section("p", "//p")], keep=["name", "read_error"])
+    status = {r.file: r for r in ex.extract_status(extracted, F.col("name"), F.col("read_error")).collect()}
+    assert status["a.html"].status == "success" and status["a.html"].result_file == "a.json"
+    assert status["bad.html"].error == "Failed to read file: not valid UTF-8"
 
 
 def test_identifier_order(spark):
