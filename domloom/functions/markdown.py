@@ -12,7 +12,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import sql_let, sql_literal, sql_replace, sql_strip
+from domloom.functions.columns import (
+    sql_before_last_tag,
+    sql_let,
+    sql_literal,
+    sql_replace,
+    sql_strip,
+)
 from domloom.functions.text import COMMENT, SCRIPT_STYLE, decode_entities_sql
 
 # The conversion table, applied in this order.
@@ -23,10 +29,9 @@ INLINE_RULES: list[tuple[str, str]] = [
     (r"(?i)<(?:em|i)(?:\s[^>]*)?>\s*([^<]*?[^<\s])\s*</(?:em|i)>", "*$1*"),
     (r"(?i)<(?:strong|b)(?:\s[^>]*)?>\s*([^<]*?[^<\s])\s*</(?:strong|b)>", "**$1**"),
     (r"(?i)<(?:em|i)(?:\s[^>]*)?>\s*([^<]*?[^<\s])\s*</(?:em|i)>", "*$1*"),
-    (r"(?i)<a\b[^>]*?\shref\s*=\s*[\"']?([^\"'\s>]*)[^>]*>\s*([^<]*?)\s*</a>", "[$2]($1)"),
+    (r"(?i)<a\b[^<>]*?\shref\s*=\s*[\"']?([^\"'\s>]*)[^<>]*>\s*([^<]*?)\s*</a>", "[$2]($1)"),
 ]
 BLOCK_RULES: list[tuple[str, str]] = [
-    *[(rf"(?is)<h{n}\b[^>]*>\s*(.*?)\s*</h{n}>", f"\n\n{'#' * n} $1\n\n") for n in range(1, 7)],
     (r"(?i)<hr\b[^>]*>", "\n\n---\n\n"),
     (
         r"(?i)</?(?:p|div|article|section|main|header|footer|aside|nav|table|figure|form|address|dl|dt|dd)\b[^>]*>",
@@ -61,6 +66,22 @@ def _images(text: str) -> str:
     )
 
 
+def _headings(text: str) -> str:
+    """``#`` to ``######``; cut at heading tags, so that an open heading costs one look ahead."""
+    tag = sql_literal(r"(?is)\A<h([1-6])\b[^>]*>\s*(.*?)\s*</h\1\s*>")
+    level = f"regexp_extract(p, {tag}, 1)"
+    heading = (
+        f"CASE WHEN {level} = '' THEN p ELSE concat(chr(10), chr(10), repeat('#', CAST({level} AS INT)), ' ', "
+        f"regexp_extract(p, {tag}, 2), chr(10), chr(10), regexp_replace(p, {tag}, '')) END"
+    )
+    start = r"(?i)<h[1-6]\b"
+    parts = f"split(t, {sql_literal(f'(?={start})')})"
+    return sql_let(
+        text, "t",
+        f"CASE WHEN NOT rlike(t, {sql_literal(start)}) THEN t ELSE array_join(transform({parts}, p -> {heading}), '') END",
+    )
+
+
 def _lists(text: str) -> str:
     """Items get ``- `` or ``1. `` and two blanks per nesting level.
 
@@ -123,7 +144,7 @@ def _prose(html: str) -> str:
     text = _chain(text, INLINE_RULES)
     text = sql_replace(text, r"(?i)<blockquote\b[^>]*>", QUOTE_OPEN)
     text = sql_replace(text, r"(?i)</blockquote\s*>", QUOTE_CLOSE)
-    text = _chain(text, BLOCK_RULES)
+    text = _chain(_headings(text), BLOCK_RULES)
     text = sql_replace(text, r" *\n *", "\n")
     text = sql_replace(_lists(text), ANY_TAG)
     text = sql_replace(text, r" +\n", "\n")
@@ -139,9 +160,11 @@ def html_to_markdown(html: str) -> Column:
         ELSE {_prose('c')} END"""
     clean = sql_replace(html, f"[{QUOTE_OPEN}{QUOTE_CLOSE}]")
     clean = sql_replace(sql_replace(clean, SCRIPT_STYLE), COMMENT)
-    chunks = f"split({clean}, {sql_literal(r'(?i)(?=<pre\b)|(?<=</pre>)')})"
-    joined = f"array_join(transform({chunks}, c -> {chunk}), '')"
-    return F.expr(sql_strip(sql_replace(joined, r"\n{3,}", "\n\n")))
+    tagged, rest = sql_before_last_tag("h")
+    chunks = f"split({tagged}, {sql_literal(r'(?i)(?=<pre\b)|(?<=</pre>)')})"
+    plain = decode_entities_sql(sql_replace(rest, r"[ \t\r\n]+", " "))
+    joined = f"concat(array_join(transform({chunks}, c -> {chunk}), ''), {plain})"
+    return F.expr(sql_strip(sql_replace(sql_let(clean, "h", joined), r"\n{3,}", "\n\n")))
 
 
 def markdown_escape(text: str) -> Column:

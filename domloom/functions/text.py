@@ -11,7 +11,13 @@ from html.entities import html5, name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import sql_let, sql_literal, sql_replace, sql_strip
+from domloom.functions.columns import (
+    sql_before_last_tag,
+    sql_let,
+    sql_literal,
+    sql_replace,
+    sql_strip,
+)
 
 # Names first that pages use most: the lookup scans in this order.
 _FREQUENT = ("amp", "quot", "lt", "gt", "nbsp", "copy", "middot", "apos")
@@ -63,9 +69,11 @@ def decode_entities(text: str) -> Column:
 
 def text_content(html: str) -> Column:
     """Visible text: script and style dropped, strings stripped and joined by one blank."""
-    pieces = f"split({sql_replace(html, SCRIPT_STYLE, '<!---->')}, {sql_literal(TAG)})"
+    tagged, rest = sql_before_last_tag("h")
+    pieces = f"concat(split({tagged}, {sql_literal(TAG)}), array({rest}))"
     stripped = f"transform({pieces}, s -> {sql_strip(decode_entities_sql('s'))})"
-    return F.expr(f"coalesce(array_join(filter({stripped}, s -> s != ''), ' '), '')")
+    text = f"array_join(filter({stripped}, s -> s != ''), ' ')"
+    return F.expr(f"coalesce({sql_let(sql_replace(html, SCRIPT_STYLE, '<!---->'), 'h', text)}, '')")
 
 
 def body_content(html: str) -> Column:

@@ -34,7 +34,11 @@ def learn(
 
 
 def to_markdown(extracted: DataFrame, sections: Sequence[Section], **options) -> DataFrame:
-    """Documents for extracted records, with field roles taken from the records themselves."""
+    """Documents for extracted records, with field roles taken from the records themselves.
+
+    The records are read twice, so they are written once instead of parsed twice.
+    """
+    extracted = checkpointed(extracted)
     roles = profile.collect_roles(profile.field_profile(extractions(extracted)))
     return profile.records_to_markdown(extracted, sections, roles, **options)
 

@@ -26,6 +26,7 @@ from domloom.operators.nodes import node_text, page_nodes, parse_pages
 from domloom.operators.schema import Section
 from domloom.operators.xpath import fields_for, select_xpath, suggest_xpath, xpath_text
 from domloom.plans import inputs
+from domloom.plans.flows import to_markdown
 from domloom.session import checkpointed, shared_dir
 from domloom.sources import sinks, urls
 from domloom.sources.pages import with_identifier
@@ -336,13 +337,13 @@ def page_sections(spark, sf):
 @query("class_id_patterns")
 def class_id_patterns(spark, sf):
     pages = inputs.pages(spark, sf)
-    return st.class_id_patterns(parse_pages(pages, ("cls", "id")), pages)
+    return st.class_id_patterns(parse_pages(pages, ("cls", "id")), inputs.table(spark, sf, "pages"))
 
 
 @query("structural_patterns")
 def structural_patterns(spark, sf):
     pages = inputs.pages(spark, sf)
-    return st.structural_patterns(parse_pages(pages, ("gpath", "gseq")), pages)
+    return st.structural_patterns(parse_pages(pages, ("gpath", "gseq")), inputs.table(spark, sf, "pages"))
 
 
 @query("repeating_patterns")
@@ -648,8 +649,7 @@ def markdown_escaped(spark, sf):
 
 
 def _markdown(spark, sf):
-    extracted = ex.extract(inputs.varied_pages(spark, sf), SECTIONS)
-    return profile.records_to_markdown(extracted, SECTIONS, profile.collect_roles(field_profile(spark, sf)))
+    return to_markdown(ex.extract(inputs.varied_pages(spark, sf), SECTIONS), SECTIONS)
 
 
 @query("records_to_markdown")

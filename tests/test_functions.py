@@ -114,6 +114,10 @@ MARKDOWN = {
     "<p><b>open<br><p>next": "open\n\nnext",
     "<p>a\n   b</p>": "a b",
     "<script>x</script><!-- c --><p>a</p>": "a",
+    "<h2>a <b>b</b></h2><h3>c</h3>d": "## a **b**\n\n### c\n\nd",
+    "<h1>open<p>x</p>": "open\n\nx",
+    "<ul><li>a<li>b &amp; c": "- a\n- b & c",
+    "1 < 2": "1 < 2",
     "": "",
 }
 
@@ -130,6 +134,17 @@ def test_markdown_of_a_long_page(spark):
     assert out.count("- x") == 2_000
 
 
+def test_hostile_pages_stay_linear(spark):
+    import time
+
+    pages = ["<p" * 300_000, "<a<a" * 200_000 + ">", "<h1>" * 50_000, "<li>" * 3_000, "<!--" * 100_000, "&" * 50_000]
+    for page in pages:
+        start = time.time()
+        apply(spark, [page], md.html_to_markdown)
+        apply(spark, [page], tx.text_content)
+        assert time.time() - start < 30, page[:10]
+
+
 def test_markdown_escape(spark):
     assert apply(spark, ["a*b_[c](d)#1+2-3.!{}`\\"], md.markdown_escape) == [
         "a\\*b\\_\\[c\\]\\(d\\)\\#1\\+2\\-3\\.\\!\\{\\}\\`\\\\"
