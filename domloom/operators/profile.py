@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from domloom.operators.extract import field_of, usable
-from domloom.operators.schema import MAX_SECTIONS, Section
+from domloom.operators.schema import MAX_SECTIONS, Section, checked_count, few_rows
 
 STRUCTURAL_PATH = r"/(?:nav|header|footer|aside)(?:[\[/]|$)"
 # A scalar field shorter than this on average is metadata, not main content.
@@ -82,20 +82,22 @@ def content_hierarchy(profile: DataFrame) -> DataFrame:
         return F.sort_array(F.collect_set(F.when(F.col("role") == role, F.col("section"))))
 
     main = F.col("role") == "main"
-    return profile.agg(
+    gathered = few_rows(profile).agg(
+        F.count("*").alias("n"),
         names("main").alias("main_content_fields"),
         names("metadata").alias("metadata_fields"),
         names("structural").alias("structural_fields"),
         F.max_by(F.when(main, F.col("section")), F.when(main, F.struct(chars, F.col("section")))).alias("primary"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "field_type")))).alias("field_types"),
-    ).withColumn(
+    )
+    return checked_count(gathered).withColumn(
         "secondary", F.filter("main_content_fields", lambda f: f != F.col("primary"))
     )
 
 
 def collect_roles(profile: DataFrame) -> dict[str, str]:
     """Section roles to the driver, after checking that there are few enough."""
-    rows = profile.select("section", "role").limit(MAX_SECTIONS + 1).collect()
+    rows = few_rows(profile.select("section", "role")).collect()
     if len(rows) > MAX_SECTIONS:
         raise ValueError(f"profile has more than {MAX_SECTIONS} sections")
     return {r["section"]: r["role"] for r in rows}

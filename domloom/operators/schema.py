@@ -79,13 +79,17 @@ def infer_schema(variants: DataFrame, pages: DataFrame, min_support: float = 0.0
 
 
 def schema_document(schema: DataFrame, extraction_notes: str = "") -> DataFrame:
-    """The whole schema as one JSON document (one row, column ``json``)."""
+    """The whole schema as one JSON document (one row, column ``json``).
+
+    More than ``MAX_SECTIONS`` rows are an error, and no more than that are gathered.
+    """
     section = F.struct("name", "description", "xpath", "xpath_list", "is_list", "attributes", "notes")
     named = F.array_sort(
         F.collect_list(section),
         lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0),
     )
-    return schema.agg(named.alias("rows")).select(
+    rows = few_rows(schema).agg(named.alias("rows"), F.count("*").alias("n"))
+    return checked_count(rows).select(
         F.to_json(
             F.struct(
                 F.lit(SCHEMA_VERSION).alias("schema_version"),
@@ -100,9 +104,21 @@ def schema_document(schema: DataFrame, extraction_notes: str = "") -> DataFrame:
     )
 
 
+def few_rows(sections: DataFrame) -> DataFrame:
+    """At most one row more than a schema may have, enough to tell that there are too many."""
+    return sections.limit(MAX_SECTIONS + 1)
+
+
+def checked_count(gathered: DataFrame) -> DataFrame:
+    """``gathered`` without its count ``n``; an error where ``n`` exceeds ``MAX_SECTIONS``."""
+    message = F.lit(f"more than {MAX_SECTIONS} sections")
+    kept = F.when(F.col("n") > MAX_SECTIONS, F.raise_error(message).cast("bigint")).otherwise(F.col("n"))
+    return gathered.withColumn("n", kept).filter(F.col("n") >= 0).drop("n")
+
+
 def collect_schema(schema: DataFrame) -> list[Section]:
     """Schema rows to the driver, after checking that there are few enough."""
-    rows = schema.orderBy("name").limit(MAX_SECTIONS + 1).collect()
+    rows = few_rows(schema.orderBy("name")).collect()
     if len(rows) > MAX_SECTIONS:
         raise ValueError(f"schema has more than {MAX_SECTIONS} sections")
     known = set(schema.columns)

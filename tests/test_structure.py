@@ -124,8 +124,12 @@ def test_infer_schema_and_exchange(spark, sections, pages):
 
 def test_schema_size_is_checked(spark, monkeypatch):
     monkeypatch.setattr(sc, "MAX_SECTIONS", 2)
+    table = sc.schema_table(spark, [Section(str(i), "//p") for i in range(3)])
     with pytest.raises(ValueError):
-        sc.collect_schema(sc.schema_table(spark, [Section(str(i), "//p") for i in range(3)]))
+        sc.collect_schema(table)
+    with pytest.raises(Exception, match="more than 2 sections"):
+        sc.schema_document(table).collect()
+    assert sc.schema_document(table.limit(2)).count() == 1
 
 
 def test_simplify(spark):
