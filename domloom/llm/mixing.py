@@ -15,6 +15,9 @@ from domloom.session import checkpointed
 #: 1/1000 of a source; only that range is ever sorted.
 RANGES = 4096
 
+#: Up to so many sources, tables with a row per source are broadcast; beyond, joined by shuffle.
+BROADCAST_SOURCES = 100_000
+
 
 def source_targets(
     sizes: DataFrame, weights: Sequence[int], budget: float, max_copies: int
@@ -84,11 +87,10 @@ def mix_sources(
         F.least(F.greatest(appeal.cast("double"), F.lit(0.0)), F.lit(1.0)).alias("appeal") if appeal is not None
         else F.lit(1.0).alias("appeal"),
     ))
-    sizes = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("appeal")).alias("appealing")
-    )
-    targets = source_targets(sizes.select("source", "source_size"), weights, budget, max_copies)
-    ranked = checkpointed(_same_source(rows, targets).withColumn(
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = checkpointed(source_targets(sizes, weights, budget, max_copies))
+    few = targets.count() <= BROADCAST_SOURCES
+    ranked = checkpointed(_same_source(rows, targets, few=few).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("appeal")
     ).withColumn("whole", F.floor("rate").cast("bigint")).withColumn(
         "chance", F.col("rate") - F.col("whole")
@@ -122,7 +124,7 @@ def mix_sources(
     )
     rest = placed.where("cut = -1").select("source", "doc_id", "size", "rank").unionByName(
         edge.where(~F.col("taken")).select("source", "doc_id", "size", "rank"))
-    closing = _same_source(rest, gaps).withColumn("miss", F.abs(F.col("gap") - F.col("size"))).where(
+    closing = _same_source(rest, gaps, few=few).withColumn("miss", F.abs(F.col("gap") - F.col("size"))).where(
         "miss < gap"
     ).groupBy("source").agg(F.min(F.struct("miss", "rank", "doc_id", "size")).alias("last")).select("source", "last.*")
     # The decision goes back to the rows as a threshold on (rank, doc_id, size) per source.
@@ -137,14 +139,15 @@ def mix_sources(
         | F.coalesce(own <= F.col("end"), F.lit(False))
         | F.coalesce(own == F.col("closing"), F.lit(False))
     )
-    return _same_source(ranked, sources).withColumn("copies", F.col("whole") + chosen.cast("bigint")).select(
+    return _same_source(ranked, sources, few=few).withColumn("copies", F.col("whole") + chosen.cast("bigint")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
-def _same_source(left: DataFrame, right: DataFrame, *more: str, how: str = "inner") -> DataFrame:
-    """Join by source, where null is a source like any other, and by ``more``."""
+def _same_source(left: DataFrame, right: DataFrame, *more: str, how: str = "inner", few: bool = False) -> DataFrame:
+    """Join by source, where null is a source like any other, and by ``more``. ``few``: ``right``
+    has a row per source, and sources were counted to be few."""
     keys = ("source", *more)
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return left.join(renamed, same, how).drop(*[f"__{k}" for k in keys])
+    return left.join(F.broadcast(renamed) if few else renamed, same, how).drop(*[f"__{k}" for k in keys])

@@ -11,6 +11,19 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n
 FROM n JOIN g ON n.norm = g.norm
 """
 
+LINE_DEDUP = """
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
+b AS (SELECT bare FROM k WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 10),
+m AS (SELECT k.doc_id, k.line, k.pos, b.bare IS NOT NULL AS gone FROM k LEFT JOIN b ON k.bare = b.bare)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
+  count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed
+FROM m GROUP BY doc_id
+UNION ALL SELECT doc_id, text, 0, 0 FROM documents WHERE text IS NULL
+"""
+
 MIXING = r"""
 WITH RECURSIVE rows_ AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -54,4 +67,4 @@ FROM gaps g LEFT JOIN closing c ON g.doc_id = c.doc_id AND g.source IS NOT DISTI
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_DEDUP, "op10_mixing": MIXING}
+    return {"op1_exact_dedup": EXACT_DEDUP, "op8_line_dedup": LINE_DEDUP, "op10_mixing": MIXING}

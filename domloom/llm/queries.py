@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domloom.llm.exact_dedup import exact_dedup
+from domloom.llm.language_id import fit_language_model, held_out, predict_language
+from domloom.llm.line_dedup import remove_boilerplate
 from domloom.llm.mixing import mix_sources
 from domloom.llm.sharding import balanced_shards
 from domloom.llm.text import or_empty
-from domloom.session import checkpointed
+from domloom.llm.warc import read_archives, record_headers, resolve_revisits, resolved, write_archives
+from domloom.session import checkpointed, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +29,28 @@ def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(_table(spark, sf, "documents"), digest_all=True)
 
 
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Deduplicated archives of all pages, read back and resolved."""
+    pages = _table(spark, sf, "pages")
+    headers = checkpointed(record_headers(pages))
+    path = shared_dir(spark, "warc")
+    write_archives(pages, resolve_revisits(headers), path, date="2026-01-01T00:00:00Z")
+    records = checkpointed(read_archives(spark, path).drop("payload"))
+    return resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Learned from the rows that are not held out; predicted for all, from the text alone."""
+    docs = _table(spark, sf, "documents")
+    model = fit_language_model(docs.where(~held_out(F.col("doc_id"))))
+    return predict_language(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_boilerplate(_table(spark, sf, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """Equal texts are linked. The law is ``rows``: counts of shards differ by one at most."""
     text = or_empty(F.col("text"))
@@ -49,6 +74,9 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_warc": op3_warc,
+        "op5_language_id": op5_language_id,
+        "op8_line_dedup": op8_line_dedup,
         "op9_sharding": op9_sharding,
         "op10_mixing": op10_mixing,
     }
