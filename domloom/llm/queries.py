@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from domloom.llm.decontaminate import contaminations
 from domloom.llm.exact_dedup import exact_dedup
 from domloom.llm.language_id import fit_language_model, held_out, predict_language
+from domloom.llm.licenses import license_scan
 from domloom.llm.line_dedup import remove_boilerplate
 from domloom.llm.mixing import mix_sources
 from domloom.llm.sharding import balanced_shards
 from domloom.llm.text import or_empty
+from domloom.llm.token_counts import TokenRollup, count_tokens, deleted, inserted, revised
 from domloom.llm.warc import read_archives, record_headers, resolve_revisits, resolved, write_archives
 from domloom.session import checkpointed, shared_dir
 
@@ -29,6 +32,10 @@ def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(_table(spark, sf, "documents"), digest_all=True)
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan(_table(spark, sf, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
     """Deduplicated archives of all pages, read back and resolved."""
     pages = _table(spark, sf, "pages")
@@ -47,6 +54,25 @@ def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents come in with an estimate of four characters per token, are then counted, a
+    count that is committed twice, and those with a toxic label are deleted again."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "source", "lang", F.lit("byte_bpe_50k").alias("version"))
+    estimate = F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 4).cast("bigint")
+    counts = checkpointed(count_tokens(docs.withColumn("old_tokens", estimate)))
+    rollup = TokenRollup(spark, shared_dir(spark, "tokens"))
+    rollup.commit("arrivals", inserted(counts.withColumn("tokens", F.col("old_tokens"))))
+    for _ in range(2):
+        rollup.commit("counts", revised(counts))
+    toxic = _table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
+    rollup.commit("toxic", deleted(counts.join(toxic, ["doc_id"], "left_semi")))
+    return rollup.totals()
+
+
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminations(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_boilerplate(_table(spark, sf, "documents"))
 
@@ -74,8 +100,11 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_license_scan": op2_license_scan,
         "op3_warc": op3_warc,
         "op5_language_id": op5_language_id,
+        "op6_token_counts": op6_token_counts,
+        "op7_decontamination": op7_decontamination,
         "op8_line_dedup": op8_line_dedup,
         "op9_sharding": op9_sharding,
         "op10_mixing": op10_mixing,
