@@ -13,6 +13,7 @@ from domloom.llm.language_id import fit_language_model, held_out, predict_langua
 from domloom.llm.licenses import license_scan
 from domloom.llm.line_dedup import remove_boilerplate
 from domloom.llm.mixing import mix_sources
+from domloom.llm.ngram_join import jaccard_components
 from domloom.llm.sharding import balanced_shards
 from domloom.llm.text import or_empty
 from domloom.llm.token_counts import TokenRollup, count_tokens, deleted, inserted, revised
@@ -46,6 +47,10 @@ def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
     return resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Learned from the rows that are not held out; predicted for all, from the text alone."""
     docs = _table(spark, sf, "documents")
@@ -102,6 +107,7 @@ def llm_queries() -> dict[str, Query]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_license_scan": op2_license_scan,
         "op3_warc": op3_warc,
+        "op4_ngram_join": op4_ngram_join,
         "op5_language_id": op5_language_id,
         "op6_token_counts": op6_token_counts,
         "op7_decontamination": op7_decontamination,
