@@ -56,20 +56,37 @@ def contaminations(
     Null and empty texts match nothing, nor do items of fewer than ``min_tile`` words. Rows that
     repeat are reported each. Other columns are ignored. Empty tables give no rows.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = [
+        texts.mapInArrow(_search(block, min_tile, min_coverage), RESULT)
+        for block in _blocks(benchmark, item_col, item_text_col, block_words)
+    ]
+    result = found[0]
+    for part in found[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, min_coverage: float = MIN_COVERAGE,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that give no test item away by the rule of
+    ``contaminations``. Rows pass through the tasks that search them and are not shuffled."""
+    for block in _blocks(benchmark, item_col, item_text_col, block_words):
+        docs = docs.mapInArrow(_pass(block, min_tile, min_coverage, docs.columns.index(text_col)), docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator:
+    """Broadcasts of the test items and their words, about ``block_words`` words each."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.regexp_count("text", F.lit(r"\w+"))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_words))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = []
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        shipped = spark.sparkContext.broadcast([(r["item_id"], TOKEN.findall(r["text"].lower())) for r in rows])
-        parts.append(texts.mapInArrow(_search(shipped, min_tile, min_coverage), RESULT))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        yield spark.sparkContext.broadcast([(r["item_id"], TOKEN.findall(r["text"].lower())) for r in rows])
 
 
 class ItemIndex:
@@ -141,38 +158,51 @@ def tile(item: np.ndarray, doc: np.ndarray, places: np.ndarray, at: np.ndarray,
     return sorted(tiles)
 
 
+def _given_away(index: ItemIndex, text: str | None, min_coverage: float) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """Items, by their place in the index, that a text gives away, and their tiles."""
+    number = index.numbers.get
+    tokens = TOKEN.findall(text.lower()) if text else []
+    words = np.fromiter((number(t, 0) for t in tokens), dtype=np.int64, count=len(tokens))
+    owners, places, at = index.hits(words)
+    order = np.argsort(owners, kind="stable")
+    bounds = np.flatnonzero(np.diff(owners[order])) + 1
+    for rows in np.split(order, bounds) if len(order) else []:
+        owner = owners[rows[0]]
+        item = index.items[owner]
+        # Tiles consist of seeds, so the words under seeds bound their coverage.
+        under = np.zeros(len(item) + 1, dtype=np.int64)
+        seen = np.unique(places[rows])
+        under[seen] += 1
+        under[seen + index.min_tile] -= 1
+        if (np.cumsum(under)[:-1] > 0).sum() < min_coverage * len(item):
+            continue
+        tiles = tile(item, words, places[rows], at[rows], index.min_tile)
+        if sum(t[2] for t in tiles) >= min_coverage * len(item):
+            yield owner, tiles
+
+
 def _search(shipped, min_tile: int, min_coverage: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(shipped.value, min_tile)
-        number = index.numbers.get
         for batch in batches:
             found = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = TOKEN.findall(text.lower()) if text else []
-                words = np.fromiter((number(t, 0) for t in tokens), dtype=np.int64, count=len(tokens))
-                owners, places, at = index.hits(words)
-                order = np.argsort(owners, kind="stable")
-                bounds = np.flatnonzero(np.diff(owners[order])) + 1
-                for rows in np.split(order, bounds) if len(order) else []:
-                    owner = owners[rows[0]]
-                    item = index.items[owner]
-                    # Tiles consist of seeds, so the words under seeds bound their coverage.
-                    under = np.zeros(len(item) + 1, dtype=np.int64)
-                    seen = np.unique(places[rows])
-                    under[seen] += 1
-                    under[seen + min_tile] -= 1
-                    if (np.cumsum(under)[:-1] > 0).sum() < min_coverage * len(item):
-                        continue
-                    tiles = tile(item, words, places[rows], at[rows], min_tile)
-                    matched = sum(t[2] for t in tiles)
-                    if matched < min_coverage * len(item):
-                        continue
-                    for item_id in index.ids[owner]:
-                        found.append({
-                            "doc_id": doc_id, "item_id": item_id, "coverage": matched / len(item), "matched_words": matched,
-                            "item_words": len(item),
-                            "tiles": [{"item_start": i, "doc_start": d, "words": n} for i, d, n in tiles],
-                        })
+                for owner, tiles in _given_away(index, text, min_coverage):
+                    matched, size = sum(t[2] for t in tiles), len(index.items[owner])
+                    found += [{
+                        "doc_id": doc_id, "item_id": item_id, "coverage": matched / size, "matched_words": matched,
+                        "item_words": size, "tiles": [{"item_start": i, "doc_start": d, "words": n} for i, d, n in tiles],
+                    } for item_id in index.ids[owner]]
             yield pa.RecordBatch.from_pylist(found, _ARROW)
 
     return search
+
+
+def _pass(shipped, min_tile: int, min_coverage: float, place: int):
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ItemIndex(shipped.value, min_tile)
+        for batch in batches:
+            clean = [next(_given_away(index, text, min_coverage), None) is None for text in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return passing
