@@ -36,7 +36,8 @@ def balanced_shards(
     Per round, the driver sees one count per pair of shards. A hub of any size is counted with
     partial sums, and its tally joins its members under adaptive skew splitting.
 
-    Rows that repeat an id keep a slot each. A null id is linked with nothing. The result is
+    Columns of ``docs`` named ``shard`` or ``slot`` are replaced. Rows that repeat an id keep a
+    slot each. A null id is linked with nothing. The result is
     written once, so that reruns of lost tasks cannot number rows anew. Empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -109,7 +110,10 @@ def _quotas(demand: dict[tuple[int, int], int], room: Sequence[int], n: int) ->
 
 def _dealt(spark, docs: DataFrame, labels: DataFrame, quota: Sequence[int]) -> DataFrame:
     """Exact sizes: linked rows keep their shard up to its quota, all others fill the gaps."""
-    placed = docs.join(labels, ["doc_id"], "left").withColumn("__key", F.coalesce("shard", F.lit(-1)))
+    # The caller's columns travel as one, whatever their names; ``shard`` and ``slot`` are replaced.
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select("doc_id", F.struct(*columns).alias("__row"))
+    placed = rows.join(labels, ["doc_id"], "left").withColumn("__key", F.coalesce("shard", F.lit(-1)))
     placed = placed.withColumn("__order", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)))
     numbered = checkpointed(number_rows(placed, ["__key"], "__order", "__number", ID_SHIFTS))
     held = {r["__key"]: r["n"] for r in numbered.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -132,9 +136,9 @@ def _dealt(spark, docs: DataFrame, labels: DataFrame, quota: Sequence[int]) -> D
     filled = pool.withColumn("shard", shard).withColumn(
         "slot", F.get(_array(kept, "bigint"), F.col("shard")) + F.col("__entry") - begin
     )
-    columns = [*docs.columns, "shard", "slot"]
+    chosen = ["__row.*", "shard", "slot"]
     staying = numbered.where(stays).withColumn("slot", F.col("__number") - 1)
-    return checkpointed(staying.select(*columns).unionByName(filled.select(*columns)))
+    return checkpointed(staying.select(*chosen).unionByName(filled.select(*chosen)))
 
 
 def _array(values: Sequence[float], kind: str) -> Column:

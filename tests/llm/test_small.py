@@ -57,8 +57,9 @@ def test_mixing_with_appeal(spark):
 
 def test_sharding(odd, empty):
     links = odd.select("doc_id", F.xxhash64("text").alias("hub"))
-    docs = odd.select("doc_id", "text")
+    docs = odd.withColumn("__key", F.lit("mine")).withColumn("slot", F.lit("mine"))
     rows = balanced_shards(docs, links, 3).collect()
+    assert {r["__key"] for r in rows} == {"mine"}
     sizes = [sorted(r.slot for r in rows if r["shard"] == s) for s in range(3)]
     assert sorted(map(len, sizes)) == [3, 4, 4] and all(s == list(range(len(s))) for s in sizes)
     assert balanced_shards(docs.limit(0), links.limit(0), 3).count() == 0
