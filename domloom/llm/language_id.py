@@ -129,7 +129,8 @@ def fit_language_model(
     )
     vectors = checkpointed(sample.mapInArrow(_vectors(idf), _VECTOR_SCHEMA))
     # Neighbours in a part come in random order, the same on every run.
-    fitting = checkpointed(vectors.where("NOT calibrate").repartition(PARTS, "shuffled").sortWithinPartitions("shuffled"))
+    fitting = checkpointed(vectors.where("NOT calibrate").withColumn("part", F.pmod(F.col("shuffled"), F.lit(PARTS)).cast("int")))
+    fitting = fitting.repartition("part").sortWithinPartitions("part", "shuffled").select("part", *vectors.columns)
     state = np.zeros((2, (1 << BITS) + 1, len(languages)), dtype=np.float64)
     for _ in range(EPOCHS):
         shipped = docs.sparkSession.sparkContext.broadcast(state)
@@ -156,25 +157,28 @@ def predict_language(
     model. Ties go to the first language by name. Rows that repeat are predicted alike. Columns
     not named are ignored. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("__text"))
-    out = rows.select("doc_id", *keep).schema
-    kept = [f.name for f in out.fields]
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep])
+    kept = rows.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     if model is None:
         return rows.select(*kept, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    if text_col in keep:
+        place = kept.index(text_col)
+    else:
+        place = len(kept)
+        rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
     shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(*shipped.value)
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            best, score = _predictions(model, texts)
+            best, score = _predictions(model, batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(kept)], pa.array(names[best], pa.string()), pa.array(score, pa.float64())],
                 names=[*kept, "lang_pred", "score"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.fields)
     return rows.mapInArrow(predict, f"{fields}, lang_pred string, score double")
 
 
@@ -243,13 +247,13 @@ def _vectors(idf: np.ndarray):
     return vectors
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Label, features and amounts of each row, with the constant feature at the end."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Part, label, features and amounts of each row, with the constant feature at the end."""
     for batch in batches:
         for row in batch.to_pylist():
             features = np.frombuffer(row["features"], dtype=np.int32)
             amounts = np.frombuffer(row["amounts"], dtype=np.float32)
-            yield row["label"], np.append(features, 1 << BITS), np.append(amounts, 1.0).astype(np.float64)
+            yield row.get("part", 0), row["label"], np.append(features, 1 << BITS), np.append(amounts, 1.0).astype(np.float64)
 
 
 def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -259,12 +263,17 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _epoch(shipped):
+    """The state each part of the sample comes to, however parts are dealt to tasks."""
+
     def epoch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = shipped.value.copy()
-        z, n = state
-        any_row = False
-        for label, features, amounts in _rows(batches):
-            any_row = True
+        state, at = shipped.value.copy(), None
+        for part, label, features, amounts in _rows(batches):
+            if part != at:
+                if at is not None:
+                    yield pa.RecordBatch.from_pydict({"state": pa.array([state.tobytes()], pa.binary())})
+                    state = shipped.value.copy()
+                at = part
+            z, n = state
             near_z, near_n = z[features], n[features]
             weights = _weights(near_z, near_n)
             logits = amounts @ weights
@@ -275,7 +284,7 @@ def _epoch(shipped):
             squares = gradient * gradient
             z[features] = near_z + gradient - (np.sqrt(near_n + squares) - np.sqrt(near_n)) / ALPHA * weights
             n[features] = near_n + squares
-        if any_row:
+        if at is not None:
             yield pa.RecordBatch.from_pydict({"state": pa.array([state.tobytes()], pa.binary())})
 
     return epoch
@@ -284,7 +293,7 @@ def _epoch(shipped):
 def _losses(weights: np.ndarray):
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(TEMPERATURES))
-        for label, features, amounts in _rows(batches):
+        for _, label, features, amounts in _rows(batches):
             logits = (amounts @ weights[features])[None, :] / np.array(TEMPERATURES)[:, None]
             top = logits.max(axis=1)
             total += np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top - logits[:, label]
