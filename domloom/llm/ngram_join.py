@@ -9,13 +9,15 @@ lists of a text is a binary probe of its own sorted shingles.
 
 Lists are not multiplied out. First each list compares all members with one, which a hash picks
 anew for each list, so a group of near copies falls together after a number of comparisons
-linear in its postings. Then only pairs of different components are left, and of those only
-pairs that occur often enough in the short lists are compared.
+linear in its postings. Then only pairs of different components are left. Lists that have their
+member of least hash in common are brought together, and a pair is passed on only if what it
+shares there, and could share elsewhere, reaches T; the sums over all short lists decide which
+pairs are compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,41 +39,110 @@ SKETCH_BITS = 19
 #: Members of a list handled as one piece; longer lists are split by a hash of the document.
 PIECE = 50_000
 
+#: Rows of one key handled as one block.
+CELL = 200_000
+
 #: Members of one text compared in one piece.
 UNIT = 500
 
-#: Word hashes kept per task.
-CACHED_WORDS = 1_000_000
-
 BASE = np.uint64(0x9E3779B97F4A7C15)
 OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of whole texts."""
+    """Sorted distinct 64-bit shingle hashes of whole texts.
+
+    Texts are hashed together, about ``BLOCK`` bytes at a time, without an object per word: the
+    hash of a word is a difference of prefix sums of its bytes times powers of a base, divided
+    by the power at which it begins (the base is odd and has an inverse modulo 2**64), then mixed.
+    """
+
+    BLOCK = 1 << 20
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        # On bytes, lower() is A-Z only and split() cuts at ASCII white space only.
-        tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not tokens:
-            return np.zeros(0, dtype=np.uint64)
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for token in set(tokens).difference(known):
-            known[token] = xxhash.xxh3_64_intdigest(token)
-        hashed = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-        k = min(self.words, len(hashed))
-        count = len(hashed) - k + 1
+        self.powers = self.inverses = np.zeros(0, dtype=np.uint64)
+
+    def each(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+        """The shingles of each text, in order."""
+        waiting: list[bytes] = []
+        size = 0
+        for text in texts:
+            # On bytes, lower() is A-Z only.
+            data = text.encode("utf-8", "surrogatepass").lower() if text else b""
+            if len(data) > self.BLOCK:
+                yield from self._block(waiting)
+                waiting, size = [], 0
+                yield self._distinct(np.concatenate([self._words(part)[0] for part in self._parts(data)]))
+                continue
+            waiting.append(data)
+            size += len(data)
+            if size > self.BLOCK:
+                yield from self._block(waiting)
+                waiting, size = [], 0
+        yield from self._block(waiting)
+
+    def _parts(self, data: bytes) -> Iterator[bytes]:
+        """A long text, cut at white space."""
+        begin = 0
+        while begin < len(data):
+            end = begin + self.BLOCK
+            while end < len(data) and not data[end : end + 1].isspace():
+                end += 1
+            yield data[begin:end]
+            begin = end
+
+    def _block(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if not texts:
+            return
+        hashed, starts = self._words(b"\n".join(texts))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        bounds = [0, *np.searchsorted(starts, ends).tolist()]
+        shingles = self._shingles(hashed, self.words)
+        for low, high in zip(bounds, bounds[1:]):
+            if high - low < self.words:
+                yield self._distinct(hashed[low:high])
+            else:
+                yield self._sorted(shingles[low : high - self.words + 1])
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and first bytes of the words, cut at ASCII white space."""
+        if len(data) > len(self.powers):
+            size = max(len(data), self.BLOCK + 4096)
+            self.powers = np.cumprod(np.full(size, BASE, dtype=np.uint64))
+            self.inverses = np.cumprod(np.full(size, pow(int(BASE), -1, 2**64), dtype=np.uint64))
+        chars = np.frombuffer(data, dtype=np.uint8)
+        gap = np.ones(len(chars) + 2, dtype=bool)
+        gap[1:-1] = (chars == 32) | (chars - np.uint8(9) <= np.uint8(4))
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(chars) + 1, dtype=np.uint64)
+        np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * self.powers[: len(chars)], out=sums[1:])
+        hashed = (sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64) * OTHER
+        return _mixed(hashed), starts
+
+    @staticmethod
+    def _shingles(hashed: np.ndarray, k: int) -> np.ndarray:
+        count = max(0, len(hashed) - k + 1)
         shingles = np.full(count, k, dtype=np.uint64)
         for j in range(k):
-            shingles = (shingles ^ hashed[j : j + count]) * BASE
+            shingles ^= hashed[j : j + count]
+            shingles *= BASE
             shingles ^= shingles >> np.uint64(29)
-        return np.unique(shingles)
+        return shingles
+
+    def _distinct(self, hashed: np.ndarray) -> np.ndarray:
+        return self._sorted(self._shingles(hashed, min(self.words, len(hashed))) if len(hashed) else hashed)
+
+    @staticmethod
+    def _sorted(values: np.ndarray) -> np.ndarray:
+        values = np.sort(values)
+        return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) > 1 else values
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(32))) * OTHER
+    return values ^ (values >> np.uint64(29))
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -111,16 +182,14 @@ def jaccard_components(
     heads = checkpointed(_merge(merged.where("kind = 'head'").select(
         "token", F.lit(0).alias("salt"), F.lit(False).alias("split"), F.col("a").alias("doc_id"), "n"), percent))
     first = checkpointed(_pairs(merged).unionByName(_pairs(heads)).distinct())
-    members = merged.where("kind = 'member'").select("token", F.col("a").alias("doc_id"), "n")
+    members = merged.where("kind = 'member'").select("token", F.col("a").alias("doc_id"), F.col("b").alias("head"), "n")
 
     ids = first.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select("doc_id")).distinct()
     candidates = checkpointed(texts.join(ids, ["doc_id"], "left_semi"))
     links = checkpointed(_compare(first, candidates, words, percent))
 
     parts = components(_by_first_copy(links, copies))
-    labelled = checkpointed(_labelled(members, copies, parts))
-    torn = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    crossing = labelled.join(torn, ["token"], "left_semi").repartition("token").sortWithinPartitions("token", "doc_id")
+    crossing = _crossing_rows(_labelled(members, copies, parts))
     counted = crossing.mapInArrow(_crossing(percent), "a bigint, b bigint, n_a int, n_b int, seen int").groupBy("a", "b").agg(
         F.sum("seen").alias("seen"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     # T-occurrence: what both share is at most what they share in the short lists and all long
@@ -174,8 +243,7 @@ def _measure(words: int):
         empty = {"slice": pa.int32(), "salt": pa.int32(), "counts": pa.binary()}
         for batch in batches:
             n, high, low = [], [], []
-            for text in batch.column(1).to_pylist():
-                shingles = shingler(text)
+            for shingles in shingler.each(batch.column(1).to_pylist()):
                 mark = _fingerprint(shingles)
                 n.append(len(shingles))
                 high.append(mark[0])
@@ -226,10 +294,9 @@ def _post(shipped, words: int, percent: int, piece: int):
                 [pa.array(c, t) for c, t in zip(columns, types)], names=["token", "salt", "split", "doc_id", "n"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shingles = shingler(text) if doc_id is not None else ()
+            for doc_id, shingles in zip(batch.column(0).to_pylist(), shingler.each(batch.column(1).to_pylist())):
                 n = len(shingles)
-                if n == 0:
+                if n == 0 or doc_id is None:
                     continue
                 mark = _fingerprint(shingles)
                 if mark in seen:
@@ -257,7 +324,8 @@ def _post(shipped, words: int, percent: int, piece: int):
 
 def _merge(postings: DataFrame, percent: int) -> DataFrame:
     """Lists of at least two members, merged by Spark's sort: ``pair`` rows of each member with the
-    one picked, ``member`` rows of lists in which other pairs remain, ``head`` rows of split lists."""
+    one picked, ``member`` rows (with the one picked) of lists in which other pairs remain, ``head``
+    rows of split lists."""
     lists = postings.withColumn("pick", F.xxhash64("token", "doc_id")).repartition("token", "salt").sortWithinPartitions(
         "token", "salt", "pick", "doc_id")
     return lists.mapInArrow(_stars(percent), _MERGED)
@@ -285,7 +353,7 @@ def _stars(percent: int):
             fresh = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)]) if len(a) else np.zeros(0, dtype=bool)
             yield rows("pair", np.zeros(fresh.sum(), dtype=np.int64), a[fresh], b[fresh], np.zeros(fresh.sum(), dtype=np.int32))
             more = np.repeat((lengths > 2) | split[begins], lengths)
-            yield rows("member", token[more], doc[more], None, n[more])
+            yield rows("member", token[more], doc[more], doc[head][more], n[more])
             heads = begins[split[begins]]
             yield rows("head", token[heads], doc[heads], None, n[heads])
 
@@ -327,34 +395,78 @@ def _by_first_copy(links: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, copies: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of lists with the component found so far."""
+    """Members of open lists with the component found so far."""
     named = members.join(copies, ["doc_id"], "left").withColumn("first_id", F.coalesce("first_id", "doc_id"))
-    return named.join(parts.withColumnRenamed("id", "first_id"), ["first_id"], "left").select(
-        "token", F.coalesce("component", "first_id").alias("part"), "doc_id", "n")
+    return checkpointed(named.join(parts.withColumnRenamed("id", "first_id"), ["first_id"], "left").select(
+        "token", F.coalesce("component", "first_id").alias("part"), "doc_id", "head", "n"))
+
+
+def _crossing_rows(labelled: DataFrame) -> DataFrame:
+    """Lists that still hold several components, sorted by ``(key, piece)``.
+
+    The key of a list is its member of least hash, which the lists of a group of similar texts
+    mostly have in common, so that a task sees most of what a pair shares. The rows of a key
+    beyond ``CELL`` are dealt into blocks by document, and each pair of blocks is a piece.
+    """
+    lists = labelled.groupBy("token").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"),
+        F.min(F.struct(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").alias("key"))).alias("least"),
+    ).where("low <> high").select("token", F.col("least.key").alias("key"))
+    keyed = checkpointed(labelled.join(lists, ["token"]))
+    blocks = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
+    # Pairs that are left share only lists of this kind.
+    shared = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    dealt = keyed.join(shared, ["doc_id"]).join(blocks, ["key"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    pieces = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, "block") * F.col("blocks") + F.greatest(x, "block"))
+    spread = dealt.withColumn("piece", F.explode(pieces))
+    return spread.repartition("key", "piece").sortWithinPartitions("key", "piece", "token", "doc_id").select(
+        "key", "piece", "token", "part", "doc_id", "head", "n", "shared", "block", "blocks")
 
 
 def _crossing(percent: int):
-    """Pairs of different components in a list, of sizes that can be similar."""
+    """Pairs of different components with the number of lists of a key they share, unless they were
+    compared as member and pick of a list, or sizes or counts rule them out."""
+
+    def found(part, doc, head, token, n, shared, block, blocks, piece) -> Iterator[pa.RecordBatch]:
+        ids, first, rows = np.unique(doc, return_index=True, return_inverse=True)
+        own, size, lists, cell = part[first], n[first].astype(np.int64), shared[first].astype(np.int64), block[first]
+        local = np.bincount(rows)
+        begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        ends = np.concatenate([begins[1:], [len(token)]])
+        at = np.repeat(np.arange(len(begins)), ends - begins)
+        picked = np.searchsorted(ids, head)
+        picked = np.where(ids[np.minimum(picked, len(ids) - 1)] == head, picked, -1)
+        by_doc = np.split(at[np.argsort(rows, kind="stable")], np.cumsum(local)[:-1])
+        # ceil(percent * n / 100) - 1 shingles stand in long lists
+        rest = needed(size, percent) - 1
+        values, counts = np.unique(own, return_counts=True)
+        few = own != values[counts.argmax()]
+        low, high = divmod(piece, blocks)
+        for i in np.flatnonzero(few):
+            seen = np.bincount(np.concatenate([rows[begins[t] : ends[t]] for t in by_doc[i]]), minlength=len(ids))
+            use = (seen > 0) & (own != own[i]) & ~(few & (ids <= ids[i]))
+            use &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+            use &= cell == (high if cell[i] == low else low)
+            use[picked[(rows == i) & (picked >= 0)]] = False
+            use[rows[picked == i]] = False
+            total = -(-percent * (size + size[i]) // (100 + percent))
+            elsewhere = np.minimum(lists - local, lists[i] - local[i])
+            use &= seen + elsewhere + np.maximum(rest, rest[i]) >= total
+            others = np.flatnonzero(use)
+            if len(others):
+                first_one = ids[others] > ids[i]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.where(first_one, ids[i], ids[others]), pa.int64()), pa.array(np.where(first_one, ids[others], ids[i]), pa.int64()),
+                    pa.array(np.where(first_one, size[i], size[others]), pa.int32()), pa.array(np.where(first_one, size[others], size[i]), pa.int32()),
+                    pa.array(seen[others], pa.int32()),
+                ], names=["a", "b", "n_a", "n_b", "seen"])
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, part, doc, n in whole_groups(batches, 1):
-            new = np.flatnonzero(np.diff(token)) + 1
-            for rows in np.split(np.arange(len(token)), new):
-                own, ids, size = part[rows], doc[rows], n[rows].astype(np.int64)
-                values, counts = np.unique(own, return_counts=True)
-                few = own != values[counts.argmax()]
-                for i in np.flatnonzero(few):
-                    use = (own != own[i]) & ~(few & (ids <= ids[i]))
-                    use &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
-                    others = np.flatnonzero(use)
-                    if not len(others):
-                        continue
-                    first = ids[others] > ids[i]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.where(first, ids[i], ids[others]), pa.int64()), pa.array(np.where(first, ids[others], ids[i]), pa.int64()),
-                        pa.array(np.where(first, size[i], size[others]), pa.int32()), pa.array(np.where(first, size[others], size[i]), pa.int32()),
-                        pa.array(np.ones(len(others)), pa.int32()),
-                    ], names=["a", "b", "n_a", "n_b", "seen"])
+        for key, piece, token, part, doc, head, n, shared, block, blocks in whole_groups(batches, 2):
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(piece) != 0)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(key)]):
+                span = slice(low, high)
+                yield from found(part[span], doc[span], head[span], token[span], n[span], shared[span], block[span], int(blocks[low]), int(piece[low]))
 
     return crossing
 
@@ -376,10 +488,10 @@ def _probe(words: int, percent: int):
         shingler, key, held = Shingler(words), None, []
         for batch in batches:
             a, b = [], []
-            for unit, piece, is_probe, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            *columns, texts = (c.to_pylist() for c in batch.columns)
+            for unit, piece, is_probe, doc_id, own in zip(*columns, shingler.each(texts)):
                 if (unit, piece) != key:
                     key, held = (unit, piece), []
-                own = shingler(text)
                 if not is_probe:
                     held.append(own)
                 elif any(similar(own, other, percent) for other in held):
