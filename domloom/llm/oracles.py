@@ -66,5 +66,21 @@ FROM gaps g LEFT JOIN closing c ON g.doc_id = c.doc_id AND g.source IS NOT DISTI
 """
 
 
+# 160 bits as 32 digits: five hex digits are four of base32.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, payload, list_aggregate([substr('{_BASE32}', 1 + (
+      (('0x' || substr(hex, (1 + 5 * (i // 4))::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1) for i in range(32)],
+    'string_agg', '') AS digest FROM p),
+g AS (SELECT payload, max(page_id) AS original FROM p GROUP BY payload)
+SELECT d.page_id, strlen(d.payload)::BIGINT AS payload_bytes, d.digest AS payload_digest,
+  CASE WHEN d.page_id = g.original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN d.page_id <> g.original THEN g.original END AS refers_to
+FROM d JOIN g ON d.payload = g.payload
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_DEDUP, "op8_line_dedup": LINE_DEDUP, "op10_mixing": MIXING}
+    return {"op1_exact_dedup": EXACT_DEDUP, "op3_warc": WARC, "op8_line_dedup": LINE_DEDUP, "op10_mixing": MIXING}
