@@ -23,21 +23,21 @@ from domloom.functions.text import COMMENT, SCRIPT_STYLE, decode_entities_sql
 
 # The conversion table, applied in this order.
 INLINE_RULES: list[tuple[str, str]] = [
-    (r"(?i)<br\b[^>]*>", "\n"),
-    (r"(?i)<code\b[^>]*>\s*([^<]+?)\s*</code>", "`$1`"),
+    (r"(?i)<br(?=[\s/>])[^>]*>", "\n"),
+    (r"(?i)<code(?=[\s/>])[^>]*>\s*([^<]+?)\s*</code>", "`$1`"),
     (r"(?i)<(?:strong|b)(?:\s[^>]*)?>\s*([^<]*?[^<\s])\s*</(?:strong|b)>", "**$1**"),
     (r"(?i)<(?:em|i)(?:\s[^>]*)?>\s*([^<]*?[^<\s])\s*</(?:em|i)>", "*$1*"),
     (r"(?i)<(?:strong|b)(?:\s[^>]*)?>\s*([^<]*?[^<\s])\s*</(?:strong|b)>", "**$1**"),
     (r"(?i)<(?:em|i)(?:\s[^>]*)?>\s*([^<]*?[^<\s])\s*</(?:em|i)>", "*$1*"),
-    (r"(?i)<a\b[^<>]*?\shref\s*=\s*[\"']?([^\"'\s>]*)[^<>]*>\s*([^<]*?)\s*</a>", "[$2]($1)"),
+    (r"(?i)<a(?=[\s/>])[^<>]*?\shref\s*=\s*[\"']?([^\"'\s>]*)[^<>]*>\s*([^<]*?)\s*</a>", "[$2]($1)"),
 ]
 BLOCK_RULES: list[tuple[str, str]] = [
-    (r"(?i)<hr\b[^>]*>", "\n\n---\n\n"),
+    (r"(?i)<hr(?=[\s/>])[^>]*>", "\n\n---\n\n"),
     (
-        r"(?i)</?(?:p|div|article|section|main|header|footer|aside|nav|table|figure|form|address|dl|dt|dd)\b[^>]*>",
+        r"(?i)</?(?:p|div|article|section|main|header|footer|aside|nav|table|figure|form|address|dl|dt|dd)(?=[\s/>])[^>]*>",
         "\n\n",
     ),
-    (r"(?i)</?(?:tr|caption|figcaption)\b[^>]*>", "\n"),
+    (r"(?i)</?(?:tr|caption|figcaption)(?=[\s/>])[^>]*>", "\n"),
 ]
 ANY_TAG = r"<[!?/A-Za-z][^>]*>"
 QUOTE_OPEN, QUOTE_CLOSE = "\x01", "\x02"
@@ -48,7 +48,7 @@ def _chain(text: str, rules: list[tuple[str, str]]) -> str:
 
 
 def _images(text: str) -> str:
-    tag = r"(?i)\A<img\b[^>]*>"
+    tag = r"(?i)\A<img(?=[\s/>])[^>]*>"
 
     def attribute(name: str, value: str) -> str:
         return f"regexp_extract(tag, {sql_literal(rf'(?i)\s{name}\s*=\s*{value}')}, 1)"
@@ -59,7 +59,7 @@ def _images(text: str) -> str:
         f"regexp_extract(p, {sql_literal(tag)}, 0)", "tag",
         f"CASE WHEN tag = '' THEN p ELSE concat('![', {alt}, '](', {src}, ')', {sql_replace('p', tag)}) END",
     )
-    parts = f"split(t, {sql_literal(r'(?i)(?=<img\b)')})"
+    parts = f"split(t, {sql_literal(r'(?i)(?=<img(?=[\s/>]))')})"
     return sql_let(
         text, "t",
         f"CASE WHEN NOT contains(lower(t), '<img') THEN t ELSE array_join(transform({parts}, p -> {image}), '') END",
@@ -68,13 +68,13 @@ def _images(text: str) -> str:
 
 def _headings(text: str) -> str:
     """``#`` to ``######``; cut at heading tags, so that an open heading costs one look ahead."""
-    tag = sql_literal(r"(?is)\A<h([1-6])\b[^>]*>\s*(.*?)\s*</h\1\s*>")
+    tag = sql_literal(r"(?is)\A<h([1-6])(?=[\s/>])[^>]*>\s*(.*?)\s*</h\1\s*>")
     level = f"regexp_extract(p, {tag}, 1)"
     heading = (
         f"CASE WHEN {level} = '' THEN p ELSE concat(chr(10), chr(10), repeat('#', CAST({level} AS INT)), ' ', "
         f"regexp_extract(p, {tag}, 2), chr(10), chr(10), regexp_replace(p, {tag}, '')) END"
     )
-    start = r"(?i)<h[1-6]\b"
+    start = r"(?i)<h[1-6](?=[\s/>])"
     parts = f"split(t, {sql_literal(f'(?={start})')})"
     return sql_let(
         text, "t",
@@ -87,7 +87,7 @@ def _lists(text: str) -> str:
 
     The text is cut at list tags; a fold over the pieces tracks the open lists.
     """
-    tag = r"(?i)\A<(/?(?:ul|ol|li))\b[^>]*>"
+    tag = r"(?i)\A<(/?(?:ul|ol|li))(?=[\s/>])[^>]*>"
     name = f"lower(regexp_extract(p, {sql_literal(tag)}, 1))"
     mark = """CASE name
         WHEN 'li' THEN concat(chr(10), repeat('  ', greatest(length(acc.open) - 1, 0)),
@@ -110,11 +110,11 @@ def _lists(text: str) -> str:
         f"ELSE concat(m, {sql_replace('p', tag + r'[ \t\n]*')}) END"
     )
     convert = sql_let(
-        f"split(t, {sql_literal(r'(?i)(?=</?(?:ul|ol|li)\b)')})", "parts",
+        f"split(t, {sql_literal(r'(?i)(?=</?(?:ul|ol|li)(?=[\s/>]))')})", "parts",
         f"array_join(zip_with({marks}, parts, (m, p) -> {item}), '')",
     )
     return sql_let(
-        text, "t", f"CASE WHEN NOT rlike(t, {sql_literal(r'(?i)<(?:li|ul|ol)\b')}) THEN t ELSE {convert} END"
+        text, "t", f"CASE WHEN NOT rlike(t, {sql_literal(r'(?i)<(?:li|ul|ol)(?=[\s/>])')}) THEN t ELSE {convert} END"
     )
 
 
@@ -142,7 +142,7 @@ def _quotes(text: str) -> str:
 def _prose(html: str) -> str:
     text = _images(sql_replace(html, r"[ \t\r\n]+", " "))
     text = _chain(text, INLINE_RULES)
-    text = sql_replace(text, r"(?i)<blockquote\b[^>]*>", QUOTE_OPEN)
+    text = sql_replace(text, r"(?i)<blockquote(?=[\s/>])[^>]*>", QUOTE_OPEN)
     text = sql_replace(text, r"(?i)</blockquote\s*>", QUOTE_CLOSE)
     text = _chain(_headings(text), BLOCK_RULES)
     text = sql_replace(text, r" *\n *", "\n")
@@ -153,15 +153,15 @@ def _prose(html: str) -> str:
 
 def html_to_markdown(html: str) -> Column:
     """Markdown for an HTML fragment or page; null stays null."""
-    inner = sql_replace(sql_replace("c", r"(?i)\A<pre\b[^>]*>\n?|</pre\s*>"), ANY_TAG)
+    inner = sql_replace(sql_replace("c", r"(?i)\A<pre(?=[\s/>])[^>]*>\n?|</pre\s*>"), ANY_TAG)
     code = decode_entities_sql(sql_replace(inner, r"\n+\z"))
-    chunk = f"""CASE WHEN rlike(c, {sql_literal(r'(?i)\A<pre\b')})
+    chunk = f"""CASE WHEN rlike(c, {sql_literal(r'(?i)\A<pre(?=[\s/>])')})
         THEN concat({sql_literal(chr(10) * 2 + '```' + chr(10))}, {code}, {sql_literal(chr(10) + '```' + chr(10) * 2)})
         ELSE {_prose('c')} END"""
     clean = sql_replace(html, f"[{QUOTE_OPEN}{QUOTE_CLOSE}]")
     clean = sql_replace(sql_replace(clean, SCRIPT_STYLE), COMMENT)
     tagged, rest = sql_before_last_tag("h")
-    chunks = f"split({tagged}, {sql_literal(r'(?i)(?=<pre\b)|(?<=</pre>)')})"
+    chunks = f"split({tagged}, {sql_literal(r'(?i)(?=<pre(?=[\s/>]))|(?<=</pre>)')})"
     plain = decode_entities_sql(sql_replace(rest, r"[ \t\r\n]+", " "))
     joined = f"concat(array_join(transform({chunks}, c -> {chunk}), ''), {plain})"
     return F.expr(sql_strip(sql_replace(sql_let(clean, "h", joined), r"\n{3,}", "\n\n")))

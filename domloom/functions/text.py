@@ -28,10 +28,13 @@ _OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";") and n in _NAMED),
 
 _CLOSED_ENTITY = r"\A&([A-Za-z][A-Za-z0-9]*);"
 _OPEN_ENTITY = r"\A&(" + "|".join(map(re.escape, _OPEN_NAMES)) + ")"
-_DECIMAL = r"\A&#([0-9]{1,8});?"
-_HEX = r"\A&#[xX]([0-9A-Fa-f]{1,6});?"
+_DECIMAL = r"\A&#([0-9]+);?"
+_HEX = r"\A&#[xX]([0-9A-Fa-f]+);?"
 
-SCRIPT_STYLE = r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
+# HTML reads references to 128-159 as windows-1252, where that has a character.
+_C1 = ", ".join(str(ord(bytes([c]).decode("cp1252", "ignore") or chr(c))) for c in range(128, 160))
+
+SCRIPT_STYLE = r"(?is)<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 TAG = r"(?s)<!--.*?(?:-->|\z)|<[!?/A-Za-z][^>]*>"
 
@@ -40,8 +43,10 @@ _NAMES = "map(" + ", ".join(sql_literal(x) for pair in _NAMED.items() for x in p
 
 
 def _code_point(n: str) -> str:
-    bad = f"({n} = 0 OR {n} > 1114111 OR {n} BETWEEN 55296 AND 57343)"
-    return f"decode(unhex(lpad(hex(CASE WHEN {bad} THEN 65533 ELSE {n} END), 8, '0')), 'UTF-32')"
+    """SQL for the character of a number; a null is a number too large to be one."""
+    point = """CASE WHEN n IS NULL OR n <= 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN 65533L
+        WHEN n BETWEEN 128 AND 159 THEN CAST(get(array(%s), CAST(n - 128 AS INT)) AS BIGINT) ELSE n END""" % _C1
+    return sql_let(n, "n", f"decode(unhex(lpad(hex({point}), 8, '0')), 'UTF-32')")
 
 
 def decode_entities_sql(text: str) -> str:
@@ -54,8 +59,8 @@ def decode_entities_sql(text: str) -> str:
         WHEN NOT startswith(p, '&') THEN p
         WHEN {closed} IS NOT NULL THEN concat({closed}, {sql_replace('p', _CLOSED_ENTITY)})
         WHEN {open_name} != '' THEN concat(names[{open_name}], {sql_replace('p', _OPEN_ENTITY + ';?')})
-        WHEN {decimal} != '' THEN concat({_code_point(f"CAST({decimal} AS BIGINT)")}, {sql_replace('p', _DECIMAL)})
-        WHEN {hexadecimal} != '' THEN concat({_code_point(f"CAST(conv({hexadecimal}, 16, 10) AS BIGINT)")}, {sql_replace('p', _HEX)})
+        WHEN {decimal} != '' THEN concat({_code_point(f"try_cast({decimal} AS BIGINT)")}, {sql_replace('p', _DECIMAL)})
+        WHEN {hexadecimal} != '' THEN concat({_code_point(f"try_cast(conv({hexadecimal}, 16, 10) AS BIGINT)")}, {sql_replace('p', _HEX)})
         ELSE p END"""
     pieces = f"transform(split(t, '(?=&)'), p -> {piece})"
     decoded = sql_let(_NAMES, "names", f"array_join({pieces}, '')")
@@ -78,8 +83,8 @@ def text_content(html: str) -> Column:
 
 def body_content(html: str) -> Column:
     """Outer HTML of ``body``; the whole input where there is none."""
-    closed = f"regexp_extract({html}, {sql_literal(r'(?is)<body\b.*</body\s*>')}, 0)"
-    unclosed = f"regexp_extract({html}, {sql_literal(r'(?is)<body\b.*')}, 0)"
+    closed = f"regexp_extract({html}, {sql_literal(r'(?is)<body(?=[\s/>]).*</body\s*>')}, 0)"
+    unclosed = f"regexp_extract({html}, {sql_literal(r'(?is)<body(?=[\s/>]).*')}, 0)"
     return F.expr(f"coalesce(nullif({closed}, ''), nullif({unclosed}, ''), {html})")
 
 

@@ -174,14 +174,17 @@ def validate_extractions(page_ids: DataFrame, sections: Sequence[Section], actua
 
     Every page must have every section with an XPath and no other; scalars carry no list,
     lists are never null. Both sides shuffle on ``(page_id, section)``, which no page or
-    section can skew.
+    section can skew, with whether value and list are null instead of the texts themselves.
     """
     entries = [
         F.struct(F.lit(s.name).alias("section"), F.lit(s.is_list).alias("want_list"), F.lit(True).alias("wanted"))
         for s in usable(sections)
     ]
     expected = page_ids.select("page_id", F.inline(F.array(*entries)))
-    have = actual.select("page_id", "section", "is_list", "value", "values", F.lit(True).alias("present"))
+    have = actual.select(
+        "page_id", "section", "is_list", F.col("value").isNotNull().alias("has_value"),
+        F.col("values").isNotNull().alias("has_list"), F.lit(True).alias("present"),
+    )
     both = expected.join(have, ["page_id", "section"], "full_outer")
 
     def issue(condition: Column, type_: str) -> Column:
@@ -194,11 +197,11 @@ def validate_extractions(page_ids: DataFrame, sections: Sequence[Section], actua
         issue(
             present & wanted
             & ((F.col("is_list") != F.col("want_list"))
-               | (F.col("want_list") & F.col("value").isNotNull())
-               | (~F.col("want_list") & F.col("values").isNotNull())),
+               | (F.col("want_list") & F.col("has_value"))
+               | (~F.col("want_list") & F.col("has_list"))),
             "WrongShape",
         ),
-        issue(present & wanted & F.col("want_list") & F.col("values").isNull(), "NullList"),
+        issue(present & wanted & F.col("want_list") & ~F.col("has_list"), "NullList"),
     )
     return both.select(
         "page_id", "section", F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("type")

@@ -40,7 +40,9 @@ class StepStore:
     def load(self, run_id: int, step: str) -> DataFrame | None:
         try:
             return self.spark.read.parquet(self._path(run_id, step))
-        except AnalysisException:
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def exists(self, run_id: int, step: str) -> bool:
@@ -49,7 +51,9 @@ class StepStore:
     def manifest(self) -> DataFrame:
         try:
             return self.spark.read.schema(MANIFEST_SCHEMA).parquet(f"{self.root}/manifest")
-        except AnalysisException:
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], MANIFEST_SCHEMA)
 
 

@@ -228,3 +228,14 @@ def test_step_prefix(spark):
 def test_sql_literal(spark):
     for text in ("plain", "it's", "back\\slash", "//a[@x='1']", "ü\n", ""):
         assert spark.range(1).selectExpr(f"{sql_literal(text)} AS x").first().x == text
+
+
+def test_text_keeps_what_follows_odd_tags_and_references(spark):
+    pages = [
+        ("<p>keep one</p><style-guide>shown</style-guide><p>keep two</p>", "keep one shown keep two"),
+        ("<p>it&#146;s &#150; ok</p>", "it\u2019s \u2013 ok"),
+        ("<p>&#000000065;B &#x0000000041;C &#99999999999999999999999;</p>", "AB AC \ufffd"),
+        ("<p>a</p><script>x</script><p>b</p>", "a b"),
+    ]
+    rows = spark.createDataFrame(pages, "html string, want string").withColumn("got", tx.text_content("html"))
+    assert [r.got for r in rows.collect()] == [w for _, w in pages]

@@ -4,10 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from domloom.plans.oracles import all_oracles
+from domloom.plans.queries import all_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+# The queries of the optional subpackage have tests of their own.
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +35,7 @@ def test_query(spark, duck, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 def test_entry(spark):
