@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domloom.operators.structure import page_total
+from domloom.operators.xpath import XPATH_SHAPE
 
 SCHEMA_VERSION = "1.0"
 SCHEMA_DESCRIPTION = "Schema for extracting content from HTML pages"
@@ -34,9 +35,10 @@ class Section:
 
     @property
     def candidates(self) -> tuple[str, ...]:
-        """XPaths to try in order."""
-        first = (self.xpath,) if self.xpath else ()
-        return first + tuple(x for x in self.xpath_list if x != self.xpath)
+        """XPaths to try in order; none for a section without an XPath of its own."""
+        if not self.xpath:
+            return ()
+        return (self.xpath, *(x for x in self.xpath_list if x != self.xpath))
 
 
 def infer_schema(variants: DataFrame, pages: DataFrame, min_support: float = 0.01) -> DataFrame:
@@ -201,12 +203,6 @@ def simplify_schema(
     )
 
 
-# Shape of an XPath this library evaluates, for checks over large schema tables.
-XPATH_SHAPE = (
-    r"^(?:/{1,2}(?:\*|[A-Za-z_][\w.-]*)(?:\[[^\[\]]+\])*)+(?:/@[A-Za-z_][\w.:-]*|/text\(\))?$"
-)
-
-
 def validate_schema(schema_rows: DataFrame) -> DataFrame:
     """Issue rows for malformed schema rows.
 

@@ -30,6 +30,7 @@ _TAIL = re.compile(r"(?:/text\(\)|(//?)@([A-Za-z_][\w.:-]*))\Z")
 _PREDICATE = re.compile(r"\[((?:[^\]'\"]|'[^']*'|\"[^\"]*\")*)\]")
 _ATTR = r"@([A-Za-z_][\w.:-]*)"
 _TEXT = r"(?:'([^']*)'|\"([^\"]*)\")"
+_POSITION = r"\d+|last\(\)"
 _HAS = re.compile(rf"{_ATTR}\Z")
 _EQUALS = re.compile(rf"{_ATTR}\s*=\s*{_TEXT}\Z")
 _CONTAINS = re.compile(rf"(contains|starts-with)\(\s*{_ATTR}\s*,\s*{_TEXT}\s*\)\Z")
@@ -39,6 +40,30 @@ _TOKEN = re.compile(
 )
 
 
+
+
+def _shape() -> str:
+    """The same grammar as one regular expression for ``rlike``, from the patterns above."""
+
+    def whole(pattern: re.Pattern) -> str:
+        return pattern.pattern.removesuffix(r"\Z")
+
+    def body(*extra: str) -> str:
+        part = rf"(?:{'|'.join([*map(whole, (_EQUALS, _HAS, _CONTAINS, _TOKEN)), *extra])})"
+        return rf"\[\s*{part}(?:\s+(?:and|or)\s+{part})*\s*\]"
+
+    named = rf"[A-Za-z_][\w.-]*(?:{body(_POSITION)}(?:{body()})*)?"
+    step = rf"(?:{named}|\*(?:{body()})*)"
+    steps = rf"(?:\.?//?)?{step}(?://?{step})*"
+    tail = rf"(?:/text\(\)|//?{_ATTR})"
+    alone = rf"(?:(?:\./)?(?:text\(\)|{_ATTR})|\.?//{_ATTR})"
+    return rf"(?U)\A\s*(?:{alone}|{steps}{tail}?|{steps}(?:\s*\|\s*{steps})+)\s*\z"
+
+
+#: What ``compile_xpath`` supports, for checks over large schema tables.
+XPATH_SHAPE = _shape()
+
+
 class Unsupported(ValueError):
     pass
 
@@ -48,6 +73,7 @@ class Step:
     descendant: bool
     name: str
     tests: list[Test] = field(default_factory=list)
+    or_self: bool = False
 
     def matches(self, n: str) -> list[str]:
         name = [f"{n}.tag = {sql_literal(self.name)}"] if self.name != "*" else []
@@ -112,9 +138,12 @@ def _select_segment(nodes: str, steps: list[Step], context: str | None) -> str:
         return f"filter({nodes}, n -> {' AND '.join(conditions) or 'true'})"
     if len(steps) == 1:
         # set intersection of element numbers, linear in the size of the subtrees
-        inner = (
-            f"flatten(transform(filter({context}, c -> c.last_nid > c.nid), c -> sequence(c.nid + 1, c.last_nid)))"
-        )
+        if steps[0].or_self:
+            inner = f"flatten(transform({context}, c -> sequence(c.nid, c.last_nid)))"
+        else:
+            inner = (
+                f"flatten(transform(filter({context}, c -> c.last_nid > c.nid), c -> sequence(c.nid + 1, c.last_nid)))"
+            )
         own = f"transform(filter({nodes}, n -> {' AND '.join(conditions) or 'true'}), n -> n.nid)"
         return f"transform(array_intersect({own}, {inner}), i -> get({nodes}, i - 1))"
     conditions.append(f"exists(outer, c -> c.nid < {top}.nid AND {top}.nid <= c.last_nid)")
@@ -124,7 +153,7 @@ def _select_segment(nodes: str, steps: list[Step], context: str | None) -> str:
 
 def _predicate(source: str, name: str, first: bool) -> tuple[Test, set[str]]:
     source = source.strip()
-    if re.fullmatch(r"\d+|last\(\)", source):
+    if re.fullmatch(_POSITION, source):
         if name == "*" or not first:
             raise Unsupported("position is supported only directly after an element name")
         if source == "last()":
@@ -179,15 +208,19 @@ def compile_xpath(expression: str) -> XPath:
     try:
         if not source:
             raise Unsupported("empty expression")
-        if source.startswith("./"):
+        if source.startswith(".//"):
             source = source[1:]
+        elif source.startswith("./"):
+            source = "/*/" + source[2:]
         elif not source.startswith("/"):
             source = "/*/" + source
-        fields = {"nid", "parent_nid", "tag"}
+        fields, below = {"nid", "parent_nid", "tag"}, False
         if tail := _TAIL.search(source):
             source = source[: tail.start()]
             result.attribute, result.text_only = tail[2], tail[2] is None
-            if tail[1] == "//" or not source:
+            if not source and tail[1] != "//":
+                raise Unsupported("the document itself has no attributes or text")
+            if below := tail[1] == "//":
                 source += "//*"
             if result.attribute:
                 fields.add("attrs")
@@ -203,6 +236,8 @@ def compile_xpath(expression: str) -> XPath:
                 fields |= used
             result.steps.append(step)
             at = m.end()
+        # ``//@a`` starts at the elements it stands after.
+        result.steps[-1].or_self = below
         if sum(s.descendant for s in result.steps[1:]):
             fields.add("last_nid")
         result.fields = frozenset(fields)

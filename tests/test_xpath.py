@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from domloom.operators.nodes import page_nodes, page_runs, parse_pages
+from domloom.operators.schema import validate_schema
 from domloom.operators.xpath import compile_xpath, select_xpath, suggest_xpath, unsupported_xpaths, xpath_text
 
 PAGE = """<html><head><title>T</title></head><body>
@@ -41,6 +42,13 @@ CASES = {
     ".//h1": ["H"],
     "body/nav/ul/li[1]": ["a"],
     "/body": [],
+    "./body/nav/ul/li[1]": ["a"],
+    "./li": [],
+    "//a//@href": ["/u", "it's"],
+    "//div//@rel": ["next"],
+    "//nav//@class": ["x list", "on"],
+    ".//@rel": ["next"],
+    "li | //h1": ["H"],
     "//table": [],
 }
 
@@ -51,15 +59,29 @@ def test_select(parsed, expression):
     assert [r.value for r in rows] == CASES[expression]
 
 
-@pytest.mark.parametrize("expression", [
+UNSUPPORTED = [
     "//a[position()<3]", "//p[text()='x']", "count(//p)", "", "//p[", "//*[2]", "//p[@a][2]", "//a/following-sibling::b", "//a/@x | //b",
-])
+    "/@href", "/text()", "//ul[li]", "(//a)[1]", "//text()", "//a | ", "//li[2][@a", "//div/", "//a[@b and]",
+]
+
+
+@pytest.mark.parametrize("expression", UNSUPPORTED)
 def test_unsupported_matches_nothing_and_says_why(spark, parsed, expression):
     assert not compile_xpath(expression).supported
     assert select_xpath(parsed, {"x": expression, "ok": "//h1"}).filter("name = 'x'").count() == 0
     assert unsupported_xpaths(spark, {"x": expression, "ok": "//h1"}).count() == 1
 
 
+def test_schemas_are_checked_by_the_grammar_of_the_compiler(spark):
+    more = ["h1", "//h1 | //footer", "//a[@href='x[1]']", "//a[ @b = 'c' ][@d]", "//p[2][@a]", "//p[@a and 2]", " //p ", "@id",
+            "./@id", "./text()", "//a[@x='it and b' or @y]", "//a['x']", "//a[@b='x\"y']", "//a//b//@c", "a/b", "//a//text()"]
+    expressions = [*CASES, *UNSUPPORTED, *more]
+    rows = spark.createDataFrame([(1, i, "n", x) for i, x in enumerate(expressions)],
+                                 "schema_id int, position int, name string, xpath string")
+    bad = {r.position for r in validate_schema(rows).collect()}
+    assert {expressions[i] for i in bad} == {x for x in expressions if not compile_xpath(x).supported}
+
+
 def test_own_xpath_selects_exactly_the_node(parsed):
     nodes = page_nodes(parsed, "nid", "xpath").collect()
     for page in (1, 2):
