@@ -13,7 +13,6 @@ Recovery rules, fixed here and pinned by golden tests:
 * blank text is dropped except inside text elements and after inline elements
 * stray end tags are ignored; an inline end tag never closes across a block element
 * end of input closes everything
-* elements nested deeper than ``MAX_DEPTH`` become siblings at that depth
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from __future__ import annotations
 import html as _html
 import re
 
-MAX_DEPTH = 512
 
 # Element classes of HTML.
 VOID = frozenset(
@@ -94,7 +92,7 @@ class PageScan:
 
     __slots__ = (
         "source", "tag", "parent", "last", "attrs", "run_start", "run_end", "head_end",
-        "html_start", "html_end", "runs", "_stack", "_last_child", "_body",
+        "html_start", "html_end", "runs", "_stack", "_opened", "_last_child", "_body",
     )
 
     def __init__(self, source: str):
@@ -110,6 +108,7 @@ class PageScan:
         self.html_end: list[int] = []
         self.runs: list[str] = []
         self._stack: list[int] = []
+        self._opened: dict[str, int] = {}
         self._last_child: list[str | None] = []
         self._body = -1
         self._scan()
@@ -117,8 +116,6 @@ class PageScan:
     # -- stack -------------------------------------------------------------------------
     def _open(self, tag: str, attrs: dict[str, str], start: int) -> None:
         stack = self._stack
-        if len(stack) >= MAX_DEPTH:
-            self._close_top(start)
         at = len(self.tag)
         n_runs = len(self.runs)
         if stack:
@@ -139,6 +136,7 @@ class PageScan:
         self.html_end.append(-1)
         self._last_child.append(None)
         stack.append(at)
+        self._opened[tag] = self._opened.get(tag, 0) + 1
 
     def _mark_head(self, i: int) -> None:
         if self.head_end[i] < 0:
@@ -146,6 +144,7 @@ class PageScan:
 
     def _close_top(self, end: int) -> None:
         i = self._stack.pop()
+        self._opened[self.tag[i]] -= 1
         self._mark_head(i)
         self.run_end[i] = len(self.runs)
         self.last[i] = len(self.tag)
@@ -153,6 +152,9 @@ class PageScan:
             self.html_end[i] = end
 
     def _close_implied(self, closes: frozenset, scope: frozenset, at: int) -> None:
+        # Without an open element of these names there is nothing to look for, however deep the stack.
+        if not any(map(self._opened.get, closes)):
+            return
         stack, tags = self._stack, self.tag
         for k in range(len(stack) - 1, -1, -1):
             name = tags[stack[k]]
@@ -211,6 +213,8 @@ class PageScan:
             if 0 <= target < len(tags) and tags[target] == tag:
                 self.html_end[target] = end
             return
+        if not self._opened.get(tag):
+            return
         for k in range(len(stack) - 1, -1, -1):
             name = tags[stack[k]]
             if name == tag:
@@ -293,6 +297,13 @@ class PageScan:
             paths.append(f"{paths[parent - 1]}/{tag}" if parent else tag)
         return paths
 
+    def path_chars(self) -> int:
+        """About the length of all paths together, which grows with elements times depth."""
+        lengths: list[int] = []
+        for parent, tag in zip(self.parent, self.tag):
+            lengths.append((lengths[parent - 1] if parent else 0) + len(tag) + 1)
+        return sum(lengths)
+
     def depths(self) -> list[int]:
         depths: list[int] = []
         for parent in self.parent:

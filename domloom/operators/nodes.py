@@ -51,6 +51,10 @@ _ARROW = {
 # Output batches are cut at about this many source characters.
 BATCH_CHARS = 8 * 1024 * 1024
 
+#: Node fields that hold or need a path per element, and how many characters of paths a page may have.
+PATH_FIELDS = frozenset(("gpath", "gseq", "xpath"))
+MAX_PATH_CHARS = 1 << 27
+
 NO_CONTENT = "No HTML content available"
 
 
@@ -118,8 +122,14 @@ class _Batch:
             self.chars += len(source)
             try:
                 scan = PageScan(source)
+                for path in PATH_FIELDS.intersection(self.fields):
+                    size = scan.path_chars()
+                    if size > MAX_PATH_CHARS:
+                        raise ValueError(f"{path} of all elements would take {size} characters")
+                    self.chars += size
+                values = list(_node_values(scan, self.fields))
             except Exception as exc:  # one bad page must not fail the job
-                error = f"{type(exc).__name__}: {exc}"
+                scan, error = None, f"{type(exc).__name__}: {exc}"
         self.errors.append(error)
         if scan is None:
             self.sizes.append(None)
@@ -127,8 +137,8 @@ class _Batch:
             return
         self.sizes.append(len(scan.tag))
         self.run_lists.append(scan.runs)
-        for field, values in _node_values(scan, self.fields):
-            self.columns[field].extend(values)
+        for field, column in values:
+            self.columns[field].extend(column)
 
     def to_arrow(self, source: pa.RecordBatch, keep: Sequence[str]) -> pa.RecordBatch:
         arrays = []
@@ -170,7 +180,8 @@ def parse_pages(
 
     Pass only the node ``fields`` the job reads: Spark cannot prune columns inside a
     Python operator, so they are pruned here. A page without content or one that cannot be
-    parsed keeps its row, with ``error`` set and null ``nodes``.
+    parsed keeps its row, with ``error`` set and null ``nodes``; so does one whose element
+    paths, if asked for, exceed ``MAX_PATH_CHARS``, which takes thousands of nested elements.
     """
     wanted = tuple(NODE_FIELDS) if fields is None else tuple(f for f in NODE_FIELDS if f in set(fields))
 

@@ -2,7 +2,8 @@
 
 import pytest
 
-from domloom.functions.html_scan import MAX_DEPTH, PageScan, parse_attributes
+from domloom.functions.html_scan import PageScan, parse_attributes
+from domloom.operators import nodes
 
 
 def elements(source):
@@ -113,16 +114,29 @@ def test_subtree_intervals_nest():
             assert parent < i and last <= s.last[parent - 1]
 
 
-def test_deep_nesting_is_flattened_not_lost():
-    n = 2000
-    s = PageScan("<div>" * n + "x")
-    assert s.tag.count("div") == n and max(s.depths()) <= MAX_DEPTH and "".join(s.runs) == "x"
+def test_deep_nesting_is_kept():
+    n = 3000
+    s = PageScan("<div>" * n + "<p>x" + "</div>" * n + "<p>y")
+    assert s.depths() == [1, 2, *range(3, n + 4), 3] and "".join(s.runs) == "xy"
+    assert s.xpaths()[-2:] == ["/html/body" + "/div" * n + "/p", "/html/body/p"]
+    assert s.last[2] == n + 3 and s.path_chars() == sum(len(p) + 1 for p in s.gpaths())
 
 
 def test_hostile_input_is_linear():
     import time
 
-    for source in ("<a '" * 20_000, "<" * 200_000, "<!--" * 50_000, "<p><b>" * 20_000):
+    for source in ("<a '" * 20_000, "<" * 200_000, "<!--" * 50_000, "<p><b>" * 20_000, "<div>" * 100_000, "<b></i>" * 50_000):
         start = time.time()
         PageScan(source)
         assert time.time() - start < 10
+
+
+def test_page_with_too_long_paths_keeps_its_row(monkeypatch):
+    monkeypatch.setattr(nodes, "MAX_PATH_CHARS", 100)
+    batch = nodes._Batch(("nid", "xpath"))
+    batch.add(1, "<p>a")
+    batch.add(2, "<div>" * 20)
+    assert batch.sizes == [3, None] and batch.errors[0] is None and "xpath" in batch.errors[1]
+    free = nodes._Batch(("nid",))
+    free.add(2, "<div>" * 20)
+    assert free.sizes == [22] and free.errors == [None]
