@@ -144,3 +144,9 @@ def test_stream_continues_where_it_stopped_and_equals_the_batch(spark, tmp_path)
     def rows(df):
         return sorted(map(str, df.select("page_id", "error", "fields").collect()))
     assert rows(spark.read.parquet(out)) == rows(ex.extract(pages, SECTIONS))
+
+
+def test_section_without_xpath_is_absent_even_with_fallbacks(pages_of):
+    sections = [Section("a", "//h1"), Section("b", None, xpath_list=("//h1",)), Section("c", "", xpath_list=("//h1",))]
+    rows = ex.extract_sections(pages_of("<h1>t"), sections, fallback=True).collect()
+    assert [(r.section, r.value) for r in rows] == [("a", "t")]
