@@ -48,35 +48,41 @@ def record_headers(pages: DataFrame) -> DataFrame:
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``page_id, refers_to, refers_to_uri`` of the records that repeat an earlier payload.
+    """``page_id, payload_digest, payload_bytes, refers_to, refers_to_uri`` of the records that
+    repeat an earlier payload.
 
     Of records with equal digest and length the one with the largest ``page_id`` is the
     response. Headers are shuffled by digest with partial maxima; payloads are not moved, and a
     digest may have any share of the records. Records below ``min_bytes`` are all responses.
+
+    Rows that repeat a page id and its payload are one row here; those that repeat the
+    response's are responses too. Rows with a null page id revisit nothing and are not revisited
+    unless no row with the payload has an id; then all are responses.
     """
     large = headers.where(F.col("payload_bytes") >= min_bytes)
     first = large.groupBy("payload_digest", "payload_bytes").agg(
         F.max(F.struct("page_id", "target_uri")).alias("original"), F.count(F.lit(1)).alias("n")
     ).where("n > 1").drop("n")
     return large.join(first, ["payload_digest", "payload_bytes"]).where("page_id <> original.page_id").select(
-        "page_id", F.col("original.page_id").alias("refers_to"), F.col("original.target_uri").alias("refers_to_uri")
-    )
+        "page_id", "payload_digest", "payload_bytes",
+        F.col("original.page_id").alias("refers_to"), F.col("original.target_uri").alias("refers_to_uri"),
+    ).distinct()
 
 
 def write_archives(pages: DataFrame, revisits: DataFrame, path: str, date: str, records_per_file: int = 2_000) -> None:
     """Archives with fresh headers: a response or revisit record for each of ``pages``.
 
     A file holds at most ``records_per_file`` records, which bounds what a reading task loads.
-    Pages with a null id are left out, for nothing could refer to them. Line ends in a URL
-    would end its header line and are written as percent codes.
+    Revisits are found by id and payload, so pages that share an id keep their own payloads. A
+    page with a null id is a response whose record id is named by its URL and digest. Line ends
+    in a URL would end its header line and are written as percent codes.
     """
-    html = or_empty(F.col("html"))
-    base = pages.where("page_id IS NOT NULL").select("page_id", "url", html.alias("__html")).join(
-        revisits, ["page_id"], "left"
-    )
     payload = F.col("__html").cast("binary")
+    base = pages.select("page_id", "url", or_empty(F.col("html")).alias("__html")).withColumns({
+        "payload_digest": payload_digest(payload), "payload_bytes": F.octet_length(payload).cast("bigint"),
+    }).join(revisits, ["page_id", "payload_digest", "payload_bytes"], "left")
     is_revisit = F.col("refers_to").isNotNull()
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload), F.lit(RECORD_END))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes"), F.lit(RECORD_END))
     block = F.when(is_revisit, http).otherwise(F.concat(http, F.col("__html")))
 
     def line(name: str, *value: Column) -> Column:
@@ -85,10 +91,10 @@ def write_archives(pages: DataFrame, revisits: DataFrame, path: str, date: str,
     record = F.concat(
         F.lit(VERSION),
         line("WARC-Type", F.when(is_revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", _urn(F.col("page_id"))),
+        line("WARC-Record-ID", F.coalesce(_urn(F.col("page_id")), _named_urn(or_empty(F.col("url")), F.col("payload_digest")))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", _one_line(F.col("url"))),
-        line("WARC-Payload-Digest", F.lit("sha1:"), payload_digest(payload)),
+        line("WARC-Payload-Digest", F.lit("sha1:"), F.col("payload_digest")),
         F.when(is_revisit, F.concat(
             line("WARC-Profile", F.lit(PROFILE)),
             line("WARC-Refers-To", _urn(F.col("refers_to"))),
@@ -116,10 +122,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Records with ``refers_to``: the page of the response a revisit points to, by its record id."""
-    originals = records.where("record_type = 'response'").select(
+    """Records with ``refers_to``: the page of the response a revisit points to, by its record id.
+
+    Responses that repeat a record id count once here, so no record is multiplied.
+    """
+    originals = records.where("record_type = 'response' AND page_id IS NOT NULL").select(
         F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")
-    )
+    ).distinct()
     revisits = records.where("record_type = 'revisit'").join(originals, ["refers_to_id"], "left")
     responses = records.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("bigint"))
     return responses.unionByName(revisits)
@@ -132,6 +141,13 @@ def _urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-8"), part(13, 3), F.lit("-8000-"), part(16, 1), F.lit("00000000000>"))
 
 
+def _named_urn(*names: Column) -> Column:
+    """A UUID in the layout of version 3 (named by an MD5)."""
+    digits = F.md5(F.concat_ws("\n", *names))
+    part = lambda start, n: F.substring(digits, start, n)
+    return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-3"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
+
+
 def _one_line(uri: Column) -> Column:
     return F.replace(F.replace(or_empty(uri), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 

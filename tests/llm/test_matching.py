@@ -119,6 +119,22 @@ def test_archives(spark):
     assert [r["record_type"] for r in parse_records(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n")] == ["warcinfo"]
 
 
+def test_archives_of_repeated_rows(spark):
+    """Rows that share an id keep their payloads, none is multiplied, null ids are responses."""
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (2, "u", "a"), (2, "u", "a"), (2, "v", "c"), (None, None, "a"), (None, "w", None), (None, "w", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("refers_to", F.lit("clash"))
+    path = shared_dir(spark, "warc")
+    write_archives(pages, resolve_revisits(record_headers(pages)), path, "2026-01-01T00:00:00Z")
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload and bytes(r.payload).decode()) for r in resolved(read_archives(spark, path)).collect()]
+    assert sorted(got, key=str) == sorted([
+        (1, "revisit", 2, None), (1, "revisit", 2, None), (1, "response", None, "b"), (2, "response", None, "a"), (2, "response", None, "a"),
+        (2, "response", None, "c"), (None, "response", None, "a"), (None, "response", None, b""), (None, "response", None, b""),
+    ], key=str)
+    path = shared_dir(spark, "warc")
+    write_archives(pages.limit(0), resolve_revisits(record_headers(pages.limit(0))), path, "2026-01-01T00:00:00Z")
+    assert resolved(read_archives(spark, path)).count() == 0
+
+
 def test_boilerplate(spark):
     rows = [(i, f"own {i}\n  Cookie notice \nsites {i % 3}\n", f"s{i % 12}") for i in range(24)] + [(100, None, "s1"), (101, "", None), (102, "Cookie notice", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("h1", F.lit("clash"))
