@@ -25,6 +25,11 @@ def usable(sections: Sequence[Section]) -> list[Section]:
     return list({s.name: s for s in sections if s.candidates}.values())
 
 
+def unsupported(sections: Sequence[Section]) -> dict[str, str]:
+    """Why a section can match nothing: the reason by name, for XPaths outside the subset."""
+    return {s.name: compile_xpath(s.xpath).reason for s in usable(sections) if not compile_xpath(s.xpath).supported}
+
+
 def schema_fields(sections: Sequence[Section], full_text: bool = False) -> tuple[str, ...]:
     extra = ("run_start", "run_end") if full_text else ()
     return fields_for([x for s in sections for x in s.candidates], *extra)

@@ -11,6 +11,7 @@ import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -326,13 +327,14 @@ def revalidation_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def settle_review(reviews: DataFrame) -> DataFrame:
     """``(subject_id, code, review)`` to the code to use: the review's fix if it parses."""
-    offered = reviews.select("subject_id", "code", reviewed_code(F.col("review")).alias("fixed"))
-    parsed = code_facts(
-        offered.filter(F.col("fixed").isNotNull()).select("subject_id", F.col("fixed").alias("code"))
-    )
-    good = parsed.filter(F.col("error").isNull()).select("subject_id", F.col("code").alias("good"))
-    return offered.join(good, "subject_id", "left").select(
-        "subject_id",
-        F.coalesce("good", "code").alias("code"),
-        F.col("good").isNotNull().alias("fixed"),
-    )
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            subject_id, code, fixed = batch.columns
+            good = pa.array([f is not None and _facts(f)["error"] is None for f in fixed.to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [subject_id, pc.if_else(good, fixed, code), good], names=["subject_id", "code", "fixed"]
+            )
+
+    offered = reviews.select(F.col("subject_id").cast("bigint"), "code", reviewed_code(F.col("review")).alias("fixed"))
+    return offered.mapInArrow(settle, "subject_id bigint, code string, fixed boolean")

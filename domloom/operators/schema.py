@@ -41,12 +41,12 @@ class Section:
         return (self.xpath, *(x for x in self.xpath_list if x != self.xpath))
 
 
-def infer_schema(variants: DataFrame, pages: DataFrame, min_support: float = 0.01) -> DataFrame:
+def infer_schema(variants: DataFrame, pages: DataFrame, min_support: float = 0.0) -> DataFrame:
     """One schema row per section seen, from ``section_variants``.
 
     The best path is the one on most pages (shorter, then smaller, wins ties). ``xpath_list``
-    ranks the paths with at least ``min_support`` of all pages; that keeps the list finite
-    on any number of pages, and the rarer paths stay in ``xpath_coverage``.
+    ranks all paths of the section. Where pages share little structure, ``min_support`` asks for
+    paths on that share of all pages only; ``xpath_coverage`` ranks all of them as rows.
     """
     path = F.concat(F.lit("/"), F.col("gpath"))
     order = F.struct(F.col("pages"), -F.length("gpath"), F.col("gpath"))

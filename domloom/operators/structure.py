@@ -274,16 +274,20 @@ def section_variants(sections: DataFrame) -> DataFrame:
         F.posexplode(tally(F.col("gpaths"))).alias("pos", "path"),
     )
     lead = F.col("pos") == 0
+    keys = ("section", "type", "description", "gpath")
+    counts = ("pages", "matches", "lead_pages", "lead_list_pages")
+    # Counts hash; minima and maxima of strings sort, so they see a row per distinct class.
+    by_class = rows.groupBy(
+        *keys[:3], F.col("path.item").alias("gpath"), F.when(lead, F.col("cls")).alias("cls")
+    ).agg(
+        F.count_if(F.col("path.seen")).alias("pages"),
+        F.count_if(~F.col("path.seen")).alias("matches"),
+        F.count_if(lead).alias("lead_pages"),
+        F.count_if(lead & F.col("is_list")).alias("lead_list_pages"),
+    )
     return (
-        rows.groupBy("section", "type", "description", F.col("path.item").alias("gpath"))
-        .agg(
-            F.count_if(F.col("path.seen")).alias("pages"),
-            F.count_if(~F.col("path.seen")).alias("matches"),
-            F.count_if(lead).alias("lead_pages"),
-            F.count_if(lead & F.col("is_list")).alias("lead_list_pages"),
-            F.min(F.when(lead, F.col("cls"))).alias("cls_low"),
-            F.max(F.when(lead, F.col("cls"))).alias("cls_high"),
-        )
+        by_class.groupBy(*keys)
+        .agg(*[F.sum(c).alias(c) for c in counts], F.min("cls").alias("cls_low"), F.max("cls").alias("cls_high"))
         .withColumn("cls", F.when((F.col("cls_low") == F.col("cls_high")) & (F.col("cls_low") != ""), F.col("cls_low")))
         .drop("cls_low", "cls_high")
     )

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import sql_let, sql_literal, sql_strip
+from domloom.functions.columns import sql_let, sql_literal, sql_strip, step_prefix
 from domloom.operators.nodes import node_text_sql
 
 # A test turns the SQL name of a node into a SQL condition.
@@ -277,6 +277,17 @@ def xpath_text(parsed: DataFrame, expression: str) -> DataFrame:
     return parsed.selectExpr("page_id", f"inline(transform({xp.select()}, n -> {row}))")
 
 
+def common_xpath(nodes: DataFrame, *by: str) -> DataFrame:
+    """Longest path that all elements of a group share: ``by`` columns, ``n, common``.
+
+    Elements are counted by path first, which hashes and combines map-side, however many of
+    them one group has; only distinct paths are sorted for the group's ends.
+    """
+    paths = nodes.groupBy(*by, "xpath").agg(F.count("*").alias("n"))
+    ends = paths.groupBy(*by).agg(F.sum("n").alias("n"), F.min("xpath").alias("low"), F.max("xpath").alias("high"))
+    return ends.select(*by, "n", step_prefix(F.col("low"), F.col("high")).alias("common"))
+
+
 def unsupported_xpaths(spark: SparkSession, expressions: Mapping[str, str]) -> DataFrame:
     rows = [
         (name, x, compile_xpath(x).reason)

@@ -120,7 +120,8 @@ def _snippet_case() -> str:
     return f"CASE page_id % {len(SNIPPETS)} {cases} END"
 
 
-LETTERS = f"regexp_replace({TITLE}, '[^A-Za-z ]', '')"
+# The letters of the whole page.
+LETTERS = "regexp_replace(html, '[^A-Za-z ]+', '')"
 CODE = f"concat({_snippet_case()}, '# ', {LETTERS}, chr(10))"
 
 
@@ -146,7 +147,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REVIEWS = f"""CASE page_id % 5
-  WHEN 0 THEN concat('Looks fine.', chr(10), '- add tests', chr(10), '  * rename ', {TITLE}, chr(10), 'end')
+  WHEN 0 THEN concat('Looks fine.', chr(10), '- add tests', chr(10), '  * rename ', {LETTERS}, chr(10), 'end')
   WHEN 1 THEN concat('Use this:', chr(10), {FENCE}, 'python', chr(10), {quoted(SNIPPETS[0])}, {FENCE}, chr(10), '- fixed')
   WHEN 2 THEN concat({FENCE}, chr(10), 'x = 1', chr(10), {FENCE})
   WHEN 3 THEN concat({FENCE}, 'python', chr(10), {quoted(SNIPPETS[3] * 3)}, {FENCE}, chr(10), '* broken')

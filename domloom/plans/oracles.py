@@ -359,13 +359,15 @@ _LAYOUT = """layout AS (
 _SECTIONS_RANKED = f"""{NV}, {SECTION_ROWS},
 best AS (SELECT section, arg_max(gpath, (pages, -length(gpath), gpath)) AS gpath,
   arg_max(cls, (pages, -length(gpath), gpath)) AS cls, any_value(type) AS type, any_value(description) AS description,
-  string_agg('/' || gpath, '|' ORDER BY pages DESC, length(gpath), gpath) FILTER (pages >= 0.01 * (SELECT total FROM total)) AS xpath_list,
+  string_agg('/' || gpath, '|' ORDER BY pages DESC, length(gpath), gpath) AS xpath_list,
   sum(lead_pages) AS pages, sum(lead_list_pages) AS lists, count(*) AS paths FROM variants GROUP BY section)"""
 
 
 def all_oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     o["load_pages"] = "SELECT page_id, coalesce(url, 'unknown') AS identifier, CAST(length(html) AS BIGINT) AS n_chars FROM pages"
+    o["load_html_dir"] = """SELECT CASE WHEN page_id % 7 <> 0 THEN md5(replace(html, chr(13) || chr(10), chr(10)) || chr(10)) END AS html_md5,
+        CASE WHEN page_id % 7 = 0 THEN 'not valid UTF-8' END AS error, count(*) AS n_files FROM pages WHERE html <> '' GROUP BY ALL"""
     o["load_urls"] = f"WITH {_LINES} SELECT line_no, url FROM lines WHERE url != '' AND url NOT LIKE '#%' AND {_VALID}"
     o["rejected_urls"] = f"WITH {_LINES} SELECT line_no, url, 'invalid URL' AS reason FROM lines WHERE url != '' AND url NOT LIKE '#%' AND NOT {_VALID}"
     o["url_valid"] = f"WITH t AS (SELECT page_id, {inputs.URL_FORMS} AS url FROM pages) SELECT page_id, url AS candidate, {_VALID} AS valid FROM t"
@@ -569,6 +571,7 @@ def all_oracles() -> dict[str, str]:
     o["completed_steps"] = """SELECT user_id, CAST(CASE WHEN event_id % 9 = 6 THEN 6 ELSE event_id % 9 + 1 END AS INT) AS step_number, max(event_id) AS run_id
         FROM events WHERE event_id % 9 <= 6 GROUP BY ALL"""
     o["pending_pages"] = "SELECT page_id FROM pages WHERE url LIKE '%/es/%' OR url LIKE '%/fr/%' OR url LIKE '%/de/%'"
+    o["pending_pages_html"] = "SELECT page_id, url, md5(html) AS html_md5 FROM pages WHERE url LIKE '%/es/%' OR url LIKE '%/fr/%' OR url LIKE '%/de/%'"
     o["regenerate_fallback"] = """WITH r AS (SELECT page_id AS subject_id, url, CASE WHEN url LIKE '%#top%' THEN '' WHEN url LIKE '%/de/%' THEN '# fallback template: ' || url ELSE url END AS result FROM pages),
         x AS (SELECT subject_id, result, CASE WHEN url LIKE '%spam-farm%' THEN 'failed' WHEN result = '' THEN 'missing' WHEN result LIKE '# fallback%' THEN 'fallback' END AS reason FROM r)
         SELECT * FROM x WHERE reason IS NOT NULL"""

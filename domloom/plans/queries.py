@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import step_prefix
 from domloom.functions.markdown import html_to_markdown, markdown_escape
 from domloom.functions.responses import (
     MODES,
@@ -24,12 +23,13 @@ from domloom.operators import schema as sc
 from domloom.operators import structure as st
 from domloom.operators.nodes import node_text, page_nodes, parse_pages
 from domloom.operators.schema import Section
+from domloom.operators.xpath import common_xpath as paths_in_common
 from domloom.operators.xpath import fields_for, select_xpath, suggest_xpath, xpath_text
 from domloom.plans import inputs
 from domloom.plans.flows import to_markdown
 from domloom.session import checkpointed, shared_dir
 from domloom.sources import sinks, urls
-from domloom.sources.pages import with_identifier
+from domloom.sources.pages import load_html_dir, with_identifier
 from domloom.sources.steps import StepStore
 from domloom.streaming.incremental import incremental_extract
 
@@ -107,6 +107,18 @@ def load_pages(spark, sf):
     )
 
 
+@query("load_html_dir")
+def load_html_files(spark, sf):
+    """Every page as a file of its own, each seventh with a byte that is not UTF-8, read back."""
+    path = shared_dir(spark, "html")
+    pages = inputs.table(spark, sf, "pages")
+    broken = F.concat(F.col("html").cast("binary"), F.lit(b"\xff")).cast("string")
+    pages.where("html <> ''").select(F.when(F.col("page_id") % 7 == 0, broken).otherwise(F.col("html")).alias("value")).write.option(
+        "maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    files = load_html_dir(spark, path, "*.txt")
+    return files.groupBy(F.md5(F.col("html").cast("binary")).alias("html_md5"), "error").agg(F.count("*").alias("n_files"))
+
+
 def _url_lines(spark, sf):
     return inputs.page_urls(spark, sf).select(
         F.col("page_id").alias("line_no"), F.expr(inputs.URL_LINES).alias("line")
@@ -296,10 +308,7 @@ def xpath_texts(spark, sf):
 @query("common_xpath")
 def common_xpath(spark, sf):
     nodes = page_nodes(parse_pages(inputs.pages(spark, sf), ("tag", "xpath")))
-    ends = nodes.groupBy("tag").agg(
-        F.count("*").alias("n"), F.min("xpath").alias("low"), F.max("xpath").alias("high")
-    )
-    return ends.select("tag", "n", step_prefix(F.col("low"), F.col("high")).alias("common"))
+    return paths_in_common(nodes, "tag")
 
 
 @query("suggest_xpath")
@@ -480,7 +489,7 @@ def extraction_records(spark, sf):
 
 
 def _status(spark, sf):
-    return ex.extract_status(ex.extract(inputs.varied_pages(spark, sf), SECTIONS[:1]), _page_name())
+    return ex.extract_status(ex.extract(inputs.varied_pages(spark, sf), SECTIONS), _page_name())
 
 
 @query("extract_status")
@@ -719,6 +728,15 @@ def pending_pages(spark, sf):
     return runstate.pending_page_ids(pages, _done(pages, key), key)
 
 
+@query("pending_pages_html")
+def pending_pages_html(spark, sf):
+    """The pages to resume with themselves, not only their ids."""
+    pages = inputs.pages(spark, sf)
+    key = runstate.schema_hash(SECTIONS)
+    pending = runstate.pending_pages(pages, _done(pages, key), key)
+    return pending.select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
 @query("regenerate_fallback")
 def regenerate_fallback(spark, sf):
     results = inputs.pages(spark, sf).select(

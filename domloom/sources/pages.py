@@ -31,15 +31,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spread(spark.read.parquet(path).select("page_id", "url", "html"), "page_id")
 
 
-def load_html_dir(spark: SparkSession, directory: str) -> DataFrame:
-    """``*.html`` directly below ``directory`` as ``(path, name, html, error)``.
+def load_html_dir(spark: SparkSession, directory: str, pattern: str = "*.html") -> DataFrame:
+    """Files named like ``pattern`` directly below ``directory`` as ``(path, name, html, error)``.
 
     Line ends are normalised as text reading does. A file that is not UTF-8 keeps its row
     with a null ``html`` and an error, so callers can log and skip it (``readable``). A
     missing directory gives an empty table.
     """
     try:
-        files = spark.read.text(directory, wholetext=True, pathGlobFilter="*.html")
+        files = spark.read.text(directory, wholetext=True, pathGlobFilter=pattern)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -7,6 +7,7 @@ import json
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MANIFEST_SCHEMA = "run_id int, step string, ts timestamp, payload string, metadata string"
 
@@ -15,7 +16,7 @@ class StepStore:
     """One Parquet table per step below a root folder, and one manifest for all steps.
 
     The table is written before its manifest row, so a row in the manifest always refers to
-    a complete table.
+    a complete table, and a table without one counts as not written.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -38,15 +39,16 @@ class StepStore:
         self.spark.createDataFrame([row], MANIFEST_SCHEMA).write.mode("append").parquet(f"{self.root}/manifest")
 
     def load(self, run_id: int, step: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self._path(run_id, step))
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+        return self.spark.read.parquet(self._path(run_id, step)) if self.exists(run_id, step) else None
 
     def exists(self, run_id: int, step: str) -> bool:
-        return self.load(run_id, step) is not None
+        noted = self.manifest().where((F.col("run_id") == run_id) & (F.col("step") == step))
+        return bool(noted.agg(F.max_by(F.col("payload").isNotNull(), "ts")).first()[0])
+
+    def withdraw(self, run_id: int, step: str) -> None:
+        """From now on the step counts as not written, until it is saved again."""
+        if self.exists(run_id, step):
+            self.note(run_id, step, None, {"withdrawn": True})
 
     def manifest(self) -> DataFrame:
         try:
