@@ -167,6 +167,14 @@ def html_to_markdown(html: str) -> Column:
     return F.expr(sql_strip(sql_replace(sql_let(clean, "h", joined), r"\n{3,}", "\n\n")))
 
 
+MARKUP = r"([\\`*_{}\[\]()#+.!-])"
+
+
 def markdown_escape(text: str) -> Column:
     """Backslash before every character Markdown would read as markup."""
-    return F.expr(sql_replace(text, r"([\\`*_{}\[\]()#+.!-])", r"\\$1"))
+    return F.expr(sql_replace(text, MARKUP, r"\\$1"))
+
+
+def escaped(text: Column) -> Column:
+    """``markdown_escape`` of a column that has no name, such as an item of a list."""
+    return F.regexp_replace(text, MARKUP, r"\\$1")

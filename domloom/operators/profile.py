@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from domloom.functions.markdown import escaped, html_to_markdown, markdown_escape
 from domloom.operators.extract import field_of, usable
 from domloom.operators.schema import MAX_SECTIONS, Section, checked_count, few_rows
 
@@ -103,32 +104,49 @@ def collect_roles(profile: DataFrame) -> dict[str, str]:
     return {r["section"]: r["role"] for r in rows}
 
 
+def collect_types(profile: DataFrame) -> dict[str, str]:
+    """Field types by section, for a driver that builds expressions from them."""
+    rows = few_rows(profile.select("section", "field_type")).collect()
+    if len(rows) > MAX_SECTIONS:
+        raise ValueError(f"profile has more than {MAX_SECTIONS} sections")
+    return {r["section"]: r["field_type"] for r in rows}
+
+
 def records_to_markdown(
     extracted: DataFrame,
     sections: Sequence[Section],
     roles: dict[str, str],
+    types: dict[str, str] | None = None,
     title: str = "title",
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """``(page_id, markdown)``: title, then metadata, then main fields, then structure.
 
     The title becomes a heading, metadata ``**name**: value`` lines, a main text field
-    plain text, and every list a Markdown list under its name. Fields without text
+    plain text, and every list a Markdown list under its name. Fields of type ``html`` are
+    converted, ``object`` fields become code, all other texts are escaped. Fields without text
     leave no trace. Pages that failed have a null document.
     """
     wanted = usable(sections)
+    fields = {s.name: f"field_{i}" for i, s in enumerate(wanted)}
+    types = types or {}
 
     def block(s: Section, role: str) -> Column:
-        value = field_of(s)
+        name, type_ = fields[s.name], types.get(s.name, "text")
+        opened = f"**{s.name}**: "
         if s.is_list:
-            items = F.filter(value, lambda v: v != "")
-            listed = F.array_join(F.transform(items, lambda v: F.concat(F.lit("- "), v)), "\n")
+            items = F.filter(name, lambda v: v != "")
+            listed = F.array_join(F.transform(items, lambda v: F.concat(F.lit("- "), escaped(v))), "\n")
             return F.when(F.size(items) > 0, F.concat(F.lit(f"## {s.name}\n\n"), listed))
-        text = F.when(F.coalesce(value, F.lit("")) != "", value)
+        shown = html_to_markdown(name) if type_ == "html" else markdown_escape(name)
+        if type_ == "object":
+            shown = F.concat(F.lit("```\n"), name, F.lit("\n```"))
+            opened = f"**{s.name}**:\n\n"
+        text = F.when(F.coalesce(F.col(name), F.lit("")) != "", shown)
         if s.name == title:
             return F.concat(F.lit("# "), text)
         if role == "metadata":
-            return F.concat(F.lit(f"**{s.name}**: "), text)
+            return F.concat(F.lit(opened), text)
         if role == "structural":
             return F.concat(F.lit(f"## {s.name}\n\n"), text)
         return text
@@ -139,6 +157,7 @@ def records_to_markdown(
     )
     blocks = [block(s, roles.get(s.name, "main")) for s in ordered]
     document = F.concat_ws("\n\n", *blocks) if blocks else F.lit("")
-    return extracted.select(
-        "page_id", *keep, F.when(F.col("fields").isNotNull(), document).alias("markdown")
+    rows = extracted.select(
+        "page_id", *keep, F.col("fields").isNotNull().alias("has_fields"), *[field_of(s).alias(fields[s.name]) for s in wanted]
     )
+    return rows.select("page_id", *keep, F.when(F.col("has_fields"), document).alias("markdown"))

@@ -33,14 +33,21 @@ def learn(
     return collect_schema(infer_schema(variants, pages, min_support))
 
 
-def to_markdown(extracted: DataFrame, sections: Sequence[Section], **options) -> DataFrame:
-    """Documents for extracted records, with field roles taken from the records themselves.
+def to_markdown(
+    extracted: DataFrame, sections: Sequence[Section], profiled: DataFrame | None = None, **options
+) -> DataFrame:
+    """Documents for extracted records.
 
-    The records are read twice, so they are written once instead of parsed twice.
+    Roles and types of fields come from ``profiled``, a table of ``field_profile``, and the
+    records are read once. Without it they come from the records themselves, which are then
+    read twice, so they are written once instead of parsed twice.
     """
-    extracted = checkpointed(extracted)
-    roles = profile.collect_roles(profile.field_profile(extractions(extracted)))
-    return profile.records_to_markdown(extracted, sections, roles, **options)
+    if profiled is None:
+        extracted = checkpointed(extracted)
+        profiled = checkpointed(profile.field_profile(extractions(extracted)))
+    return profile.records_to_markdown(
+        extracted, sections, profile.collect_roles(profiled), profile.collect_types(profiled), **options
+    )
 
 
 def current_extractions(store: StepStore, run_id: int) -> DataFrame | None:
@@ -103,11 +110,9 @@ def process(
 
     if not store.exists(run_id, PROFILE):
         store.save(run_id, PROFILE, profile.field_profile(extractions(current_extractions(store, run_id))))
-    roles = profile.collect_roles(store.load(run_id, PROFILE))
     stored, rendered = store.load(run_id, EXTRACTIONS), store.load(run_id, MARKDOWN)
     # Batches that an interrupted run extracted but did not render are rendered with this one.
     left = stored if rendered is None else stored.join(rendered.select("batch").distinct(), ["batch"], "left_anti")
-    store.save(
-        run_id, MARKDOWN, profile.records_to_markdown(left, sections, roles, keep=["batch"]), append=rendered is not None
-    )
+    documents = to_markdown(left, sections, store.load(run_id, PROFILE), keep=["batch"])
+    store.save(run_id, MARKDOWN, documents, append=rendered is not None)
     return _newest(store.load(run_id, MARKDOWN))

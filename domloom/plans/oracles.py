@@ -177,12 +177,13 @@ PROFILE = """, profile AS (
     FROM long) GROUP BY section)"""
 
 # Two spellings of one document: the fields in the order their roles give.
-MARKDOWN = """, wide AS (
+MARKDOWN = r""", wide AS (
   SELECT page_id,
-    max(value) FILTER (section = 'title') AS title, max(value) FILTER (section = 'doc_title') AS doc_title,
-    max(value) FILTER (section = 'ad') AS ad, max(value) FILTER (section = 'footer') AS footer,
-    max("values") FILTER (section = 'links') AS links, max("values") FILTER (section = 'paragraphs') AS paragraphs
-  FROM long GROUP BY page_id),
+    max(escaped) FILTER (section = 'title') AS title, max(escaped) FILTER (section = 'doc_title') AS doc_title,
+    max(escaped) FILTER (section = 'ad') AS ad, max(escaped) FILTER (section = 'footer') AS footer,
+    max(escaped) FILTER (section = 'links') AS links, max(escaped) FILTER (section = 'paragraphs') AS paragraphs
+  FROM (SELECT *, regexp_replace(CASE WHEN is_list THEN "values" ELSE value END, '([\\`*_{}\[\]()#+.!-])', '\\\1', 'g') AS escaped FROM long)
+  GROUP BY page_id),
 bullets AS (
   SELECT *, array_to_string(list_transform(list_filter(string_split(links, chr(31)), lambda x: x != ''), lambda x: '- ' || x), chr(10)) AS link_list,
     array_to_string(list_transform(list_filter(string_split(paragraphs, chr(31)), lambda x: x != ''), lambda x: '- ' || x), chr(10)) AS p_list

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from domloom.operators import extract as ex
 from domloom.operators import profile
 from domloom.operators.schema import Section
+from domloom.plans.flows import to_markdown
 from domloom.streaming.incremental import incremental_extract
 
 PAGE = "<title>T</title><h1>Head</h1><ul><li>a<li><b>x</b>y</ul><p class=k>one <b>two</b></p>"
@@ -132,6 +133,17 @@ def test_field_types(spark):
     assert {r.section: r.field_type for r in profile.field_profile(table).collect()} == {"h": "html", "o": "object", "t": "text", "l": "list"}
 
 
+def test_records_by_field_type(spark):
+    entry = "struct<section:string,is_list:boolean,value:string,values:array<string>,source_xpath:string>"
+    fields = [("title", False, "1. *A*", None, None), ("h", False, "<p>x <b>y</b> <a href='/z'>z</a></p>", None, None),
+              ("o", False, '{"a_b":1}', None, None), ("t", False, "a_b [c]", None, None), ("l", True, None, ["x_y", "", "z"], None)]
+    extracted = spark.createDataFrame([(1, None, fields), (2, "e", None)], f"page_id bigint, error string, fields array<{entry}>")
+    sections = [Section(f[0], "//p", is_list=f[1]) for f in fields]
+    docs = {r.page_id: r.markdown for r in to_markdown(extracted, sections).collect()}
+    assert docs[2] is None and docs[1].split("\n\n") == [
+        "# 1\\. \\*A\\*", "**h**: x **y** [z](/z)", '**o**:', '```\n{"a_b":1}\n```', "**t**: a\\_b \\[c\\]", "## l", "- x\\_y\n- z"]
+
+
 def test_stream_continues_where_it_stopped_and_equals_the_batch(spark, tmp_path):
     source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
