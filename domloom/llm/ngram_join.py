@@ -13,6 +13,10 @@ linear in its postings. Then only pairs of different components are left. Lists
 member of least hash in common are brought together, and a pair is passed on only if what it
 shares there, and could share elsewhere, reaches T; the sums over all short lists decide which
 pairs are compared.
+
+After that all similar pairs lie within components. Components whose pairs were not all found are
+cut into blocks, and each pair of blocks counts what its sets share: frequent shingles by a matrix
+product, rare ones pair by pair. Only link counts leave a block, never pairs.
 """
 
 from __future__ import annotations
@@ -45,6 +49,10 @@ CELL = 200_000
 #: Members of one text compared in one piece.
 UNIT = 500
 
+#: Sets, and shingles of all its sets, of a block in which links are counted.
+BLOCK_SETS = 1000
+BLOCK_SHINGLES = 2_000_000
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -152,44 +160,50 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 def jaccard_components(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
-    piece: int = PIECE,
+    piece: int = PIECE, block_sets: int = BLOCK_SETS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, n_links, component_id``.
 
-    ``n_links`` counts the different texts found similar by comparison; texts of one component
-    need not all be compared. Equal shingle sets are searched for once per task and grouped by a
-    128-bit fingerprint. The search is exact: no list, candidate or text is cut short.
+    Nodes are the different pairs of an id and a shingle set. ``n_links`` is the number of other
+    nodes whose sets are similar to the row's own set, equal sets included. Equal sets are searched
+    for once, under 64 bits of a fingerprint, and count by their number of ids. The search is exact:
+    no list, candidate or text is cut short.
 
-    The three passes over the documents move no text; texts that share a short list with another
-    are shuffled once by id and then once per comparison. Every table of the search is written
-    to the shared folder once.
+    The passes over the documents move no text; texts that share a short list with another are
+    shuffled once by set, once per comparison, and once per pair of blocks that counts links.
+    Counting is quadratic in the sets of a component, as its links are. Every table of the search
+    is written to the shared folder once.
 
     Null and empty texts, and texts without words, have no shingles and no links. Texts of fewer
-    than ``words`` words are one shingle. Rows that repeat an id are one document: links of any
-    count for all. Rows with a null id are not linked and have a null component. Other columns
-    are ignored. An empty table gives no rows.
+    than ``words`` words are one shingle. Rows that repeat an id are one document: each row has the
+    links of its own text, and all have one component. Rows with a null id are not linked and have
+    a null component. Other columns are ignored. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     measured = checkpointed(texts.mapInArrow(_measure(words), _MEASURED))
     sizes = measured.where("slice IS NULL")
     sketch = blobs.summed(measured.where("slice IS NOT NULL").select("slice", "salt", "counts"), 2 << SKETCH_BITS)
-    copies = checkpointed(_copies(sizes))
+    named = checkpointed(sizes.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "node", "n").distinct())
+    sets = checkpointed(named.groupBy("node").agg(
+        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")))
 
     shipped = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
     postings = texts.mapInArrow(_post(shipped, words, percent, piece), _POSTING)
     merged = checkpointed(_merge(postings, percent))
     # Pieces of a split list meet through the members they were compared with.
     heads = checkpointed(_merge(merged.where("kind = 'head'").select(
-        "token", F.lit(0).alias("salt"), F.lit(False).alias("split"), F.col("a").alias("doc_id"), "n"), percent))
+        "token", F.lit(0).alias("salt"), F.lit(False).alias("split"), F.col("a").alias("node"), "n"), percent))
     first = checkpointed(_pairs(merged).unionByName(_pairs(heads)).distinct())
-    members = merged.where("kind = 'member'").select("token", F.col("a").alias("doc_id"), F.col("b").alias("head"), "n")
+    members = merged.where("kind = 'member'").select("token", F.col("a").alias("node"), F.col("b").alias("head"), "n")
 
-    ids = first.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select("doc_id")).distinct()
-    candidates = checkpointed(texts.join(ids, ["doc_id"], "left_semi"))
+    nodes = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
+    candidates = checkpointed(
+        texts.where("doc_id IS NOT NULL").mapInArrow(_by_node(words), "node bigint, text string")
+        .join(nodes, ["node"], "left_semi").dropDuplicates(["node"]))
     links = checkpointed(_compare(first, candidates, words, percent))
 
-    parts = components(_by_first_copy(links, copies))
-    crossing = _crossing_rows(_labelled(members, copies, parts))
+    parts = components(links)
+    crossing = _crossing_rows(_labelled(members, parts))
     counted = crossing.mapInArrow(_crossing(percent), "a bigint, b bigint, n_a int, n_b int, seen int").groupBy("a", "b").agg(
         F.sum("seen").alias("seen"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     # T-occurrence: what both share is at most what they share in the short lists and all long
@@ -199,28 +213,32 @@ def jaccard_components(
     second = checkpointed(counted.where(F.col("seen") + long_lists >= total).select("a", "b").join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         links = checkpointed(links.unionByName(_compare(second, candidates, words, percent)))
-        parts = components(_by_first_copy(links, copies))
-
-    degrees = _by_first_copy(links, copies).select(F.explode(F.array("a", "b")).alias("first_id")).groupBy("first_id").agg(
-        F.count(F.lit(1)).alias("n_links"))
-    placed = sizes.select("doc_id", F.col("n").cast("bigint").alias("n_shingles")).join(
-        copies, ["doc_id"], "left").withColumn("first_id", F.coalesce("first_id", "doc_id"))
-    return placed.join(parts.withColumnRenamed("id", "first_id"), ["first_id"], "left").join(
-        degrees, ["first_id"], "left"
-    ).select(
-        "doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("component", "first_id").alias("component_id"),
-    )
-
-
-_MEASURED = "doc_id bigint, n int, high bigint, low bigint, slice int, salt int, counts binary"
-_POSTING = "token bigint, salt int, split boolean, doc_id bigint, n int"
+        parts = components(links)
+
+    degrees = checkpointed(_degrees(links, parts, sets, candidates, words, percent, block_sets))
+    same_id = checkpointed(named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b"))
+    if not same_id.isEmpty():
+        parts = components(links.unionByName(
+            named.join(same_id.select("doc_id", "a"), ["doc_id"]).select("a", F.col("node").alias("b")).where("a <> b")))
+    grouped = sets.join(parts.withColumnRenamed("id", "node"), ["node"], "left")
+    lowest = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    found = checkpointed(
+        grouped.where("component IS NOT NULL OR copies > 1").join(lowest, ["component"], "left").join(degrees, ["node"], "left").select(
+            "node", F.coalesce("component_id", "first_id").alias("component_id"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    placed = sizes.select(
+        "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.col("node")).alias("node"))
+    return placed.join(found, ["node"], "left").select(
+        "doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+_MEASURED = "doc_id bigint, n int, node bigint, slice int, salt int, counts binary"
+_POSTING = "token bigint, salt int, split boolean, node bigint, n int"
 _MERGED = "kind string, token bigint, a bigint, b bigint, n int"
 
 
-def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
-    digest = xxhash.xxh3_128_digest(shingles.tobytes())
-    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+def _fingerprint(shingles: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_128_digest(shingles.tobytes())[:8], "big", signed=True)
 
 
 def _counters(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,12 +260,11 @@ def _measure(words: int):
 
         empty = {"slice": pa.int32(), "salt": pa.int32(), "counts": pa.binary()}
         for batch in batches:
-            n, high, low = [], [], []
+            n, nodes = [], []
             for shingles in shingler.each(batch.column(1).to_pylist()):
                 mark = _fingerprint(shingles)
                 n.append(len(shingles))
-                high.append(mark[0])
-                low.append(mark[1])
+                nodes.append(mark)
                 if mark not in seen:
                     seen.add(mark)
                     waiting.append(shingles)
@@ -256,26 +273,34 @@ def _measure(words: int):
                         count()
                         waiting, size = [], 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(nodes, pa.int64()),
                  *[pa.nulls(len(n), t) for t in empty.values()]],
-                names=["doc_id", "n", "high", "low", *empty],
+                names=["doc_id", "n", "node", *empty],
             )
         count()
         for part in blobs.sliced(counts, TaskContext.get().partitionId()):
-            blank = [pa.nulls(part.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*blank, *part.columns], names=["doc_id", "n", "high", "low", *empty])
+            blank = [pa.nulls(part.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*blank, *part.columns], names=["doc_id", "n", "node", *empty])
 
     return measure
 
 
-def _copies(sizes: DataFrame) -> DataFrame:
-    """``(doc_id, first_id)`` of documents whose shingle set a smaller id has too. A document
-    that stands in several rows belongs to the smallest."""
-    marked = sizes.where("n > 0 AND doc_id IS NOT NULL")
-    groups = marked.groupBy("n", "high", "low").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where(
-        "first_id <> last_id")
-    return marked.join(groups, ["n", "high", "low"]).where("doc_id <> first_id").groupBy("doc_id").agg(
-        F.min("first_id").alias("first_id"))
+def _by_node(words: int):
+    """Texts under their nodes, each once per task."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(words), set()
+        for batch in batches:
+            nodes, fresh = [], []
+            for shingles in shingler.each(batch.column(1).to_pylist()):
+                mark = _fingerprint(shingles)
+                nodes.append(mark)
+                fresh.append(len(shingles) > 0 and mark not in seen)
+                seen.add(mark)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(1)], names=["node", "text"]).filter(
+                pa.array(fresh, pa.bool_()))
+
+    return named
 
 
 def _post(shipped, words: int, percent: int, piece: int):
@@ -291,7 +316,7 @@ def _post(shipped, words: int, percent: int, piece: int):
             columns = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in out]
             types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32())
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], names=["token", "salt", "split", "doc_id", "n"])
+                [pa.array(c, t) for c, t in zip(columns, types)], names=["token", "salt", "split", "node", "n"])
 
         for batch in batches:
             for doc_id, shingles in zip(batch.column(0).to_pylist(), shingler.each(batch.column(1).to_pylist())):
@@ -307,10 +332,10 @@ def _post(shipped, words: int, percent: int, piece: int):
                 short = n - int(needed(n, percent)) + 1
                 rare = np.lexsort((shingles, often))[:short]
                 pieces = np.maximum(often[rare].astype(np.int64) - usual, 0) // piece + 1
-                own = (doc_id * int(BASE) & (2**64 - 1)) >> 33
+                own = (mark * int(BASE) & (2**64 - 1)) >> 33
                 for column, values in zip(out, (
                     shingles[rare].view(np.int64), (own % pieces).astype(np.int32), pieces > 1,
-                    np.full(short, doc_id), np.full(short, n, dtype=np.int32),
+                    np.full(short, mark), np.full(short, n, dtype=np.int32),
                 )):
                     column.append(values)
                 size += short
@@ -326,8 +351,8 @@ def _merge(postings: DataFrame, percent: int) -> DataFrame:
     """Lists of at least two members, merged by Spark's sort: ``pair`` rows of each member with the
     one picked, ``member`` rows (with the one picked) of lists in which other pairs remain, ``head``
     rows of split lists."""
-    lists = postings.withColumn("pick", F.xxhash64("token", "doc_id")).repartition("token", "salt").sortWithinPartitions(
-        "token", "salt", "pick", "doc_id")
+    lists = postings.withColumn("pick", F.xxhash64("token", "node")).repartition("token", "salt").sortWithinPartitions(
+        "token", "salt", "pick", "node")
     return lists.mapInArrow(_stars(percent), _MERGED)
 
 
@@ -340,7 +365,11 @@ def _stars(percent: int):
              pa.nulls(len(token), pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array(n, pa.int32())], names=names)
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, salt, split, doc, n, _ in whole_groups(batches, 2):
+        for columns in whole_groups(batches, 2):
+            # A set that several tasks have read stands in a list once.
+            token, salt, _, doc, *_ = columns
+            once = np.concatenate([[True], (np.diff(token) != 0) | (np.diff(salt) != 0) | (np.diff(doc) != 0)])
+            token, salt, split, doc, n, _ = (c[once] for c in columns)
             new = np.flatnonzero((np.diff(token) != 0) | (np.diff(salt) != 0)) + 1
             begins = np.concatenate([[0], new])
             lengths = np.diff(np.concatenate([begins, [len(token)]]))
@@ -385,20 +414,10 @@ def _pairs(merged: DataFrame) -> DataFrame:
     return merged.where("kind = 'pair'").select("a", "b")
 
 
-def _by_first_copy(links: DataFrame, copies: DataFrame) -> DataFrame:
-    """Links between the first documents of their groups of copies, each once."""
-    named = links
-    for side in ("a", "b"):
-        first = copies.select(F.col("doc_id").alias(side), F.col("first_id").alias(f"first_{side}"))
-        named = named.join(first, [side], "left").withColumn(side, F.coalesce(f"first_{side}", side)).drop(f"first_{side}")
-    return named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _labelled(members: DataFrame, copies: DataFrame, parts: DataFrame) -> DataFrame:
+def _labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Members of open lists with the component found so far."""
-    named = members.join(copies, ["doc_id"], "left").withColumn("first_id", F.coalesce("first_id", "doc_id"))
-    return checkpointed(named.join(parts.withColumnRenamed("id", "first_id"), ["first_id"], "left").select(
-        "token", F.coalesce("component", "first_id").alias("part"), "doc_id", "head", "n"))
+    return checkpointed(members.join(parts.withColumnRenamed("id", "node"), ["node"], "left").select(
+        "token", F.coalesce("component", "node").alias("part"), "node", "head", "n"))
 
 
 def _crossing_rows(labelled: DataFrame) -> DataFrame:
@@ -410,17 +429,17 @@ def _crossing_rows(labelled: DataFrame) -> DataFrame:
     """
     lists = labelled.groupBy("token").agg(
         F.min("part").alias("low"), F.max("part").alias("high"),
-        F.min(F.struct(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").alias("key"))).alias("least"),
+        F.min(F.struct(F.xxhash64("node").alias("hash"), F.col("node").alias("key"))).alias("least"),
     ).where("low <> high").select("token", F.col("least.key").alias("key"))
     keyed = checkpointed(labelled.join(lists, ["token"]))
     blocks = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
     # Pairs that are left share only lists of this kind.
-    shared = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    dealt = keyed.join(shared, ["doc_id"]).join(blocks, ["key"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    shared = keyed.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    dealt = keyed.join(shared, ["node"]).join(blocks, ["key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pieces = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, "block") * F.col("blocks") + F.greatest(x, "block"))
     spread = dealt.withColumn("piece", F.explode(pieces))
-    return spread.repartition("key", "piece").sortWithinPartitions("key", "piece", "token", "doc_id").select(
-        "key", "piece", "token", "part", "doc_id", "head", "n", "shared", "block", "blocks")
+    return spread.repartition("key", "piece").sortWithinPartitions("key", "piece", "token", "node").select(
+        "key", "piece", "token", "part", "node", "head", "n", "shared", "block", "blocks")
 
 
 def _crossing(percent: int):
@@ -476,11 +495,11 @@ def _compare(pairs: DataFrame, candidates: DataFrame, words: int, percent: int)
     pieces of about ``UNIT``, sorted so that a task holds the shingles of one ``a`` at a time."""
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     pieces = checkpointed(pairs.join(degree, ["a"]).select(
-        F.col("a").alias("unit"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / UNIT)).cast("int").alias("piece"), F.col("b").alias("doc_id")))
-    sent = pieces.select("unit", "piece", F.lit(True).alias("probe"), "doc_id").unionByName(
-        pieces.select("unit", "piece", F.lit(False).alias("probe"), F.col("unit").alias("doc_id")).distinct())
-    units = candidates.join(sent, ["doc_id"]).repartition("unit", "piece").sortWithinPartitions("unit", "piece", "probe")
-    return units.select("unit", "piece", "probe", "doc_id", "text").mapInArrow(_probe(words, percent), "a bigint, b bigint").distinct()
+        F.col("a").alias("unit"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / UNIT)).cast("int").alias("piece"), F.col("b").alias("node")))
+    sent = pieces.select("unit", "piece", F.lit(True).alias("probe"), "node").unionByName(
+        pieces.select("unit", "piece", F.lit(False).alias("probe"), F.col("unit").alias("node")).distinct())
+    units = candidates.join(sent, ["node"]).repartition("unit", "piece").sortWithinPartitions("unit", "piece", "probe")
+    return units.select("unit", "piece", "probe", "node", "text").mapInArrow(_probe(words, percent), "a bigint, b bigint").distinct()
 
 
 def _probe(words: int, percent: int):
@@ -489,14 +508,14 @@ def _probe(words: int, percent: int):
         for batch in batches:
             a, b = [], []
             *columns, texts = (c.to_pylist() for c in batch.columns)
-            for unit, piece, is_probe, doc_id, own in zip(*columns, shingler.each(texts)):
+            for unit, piece, is_probe, node, own in zip(*columns, shingler.each(texts)):
                 if (unit, piece) != key:
                     key, held = (unit, piece), []
                 if not is_probe:
                     held.append(own)
                 elif any(similar(own, other, percent) for other in held):
                     a.append(unit)
-                    b.append(doc_id)
+                    b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return probe
@@ -510,3 +529,111 @@ def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     at = np.searchsorted(large, small)
     shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
     return 100 * shared >= percent * (len(one) + len(two) - shared)
+
+
+def _degrees(
+    links: DataFrame, parts: DataFrame, sets: DataFrame, candidates: DataFrame, words: int, percent: int, block_sets: int,
+) -> DataFrame:
+    """``(node, links)``: the number of ids under the sets similar to that of each linked node.
+
+    Where links were found between all pairs of a component, they are added up. Other components
+    are dealt into blocks, and every pair of blocks is compared as a whole.
+    """
+    placed = checkpointed(parts.withColumnRenamed("id", "node").join(sets.select("node", "copies", "n"), ["node"]))
+    pairs = links.join(parts.withColumnRenamed("id", "a"), ["a"]).groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
+    found = placed.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).join(pairs, ["component"])
+    whole = F.col("pairs") == F.expr("m * (m - 1) / 2")
+    blocks = F.ceil(F.greatest(F.col("m") / block_sets, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    marked = checkpointed(placed.join(found.select("component", whole.alias("whole"), blocks.alias("blocks")), ["component"]))
+
+    closed = marked.where("whole")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    added = both.join(closed.select(F.col("node").alias("b"), "copies"), ["b"]).select(F.col("a").alias("node"), F.col("copies").alias("links"))
+
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, "block") * F.col("blocks").cast("bigint") + F.greatest(x, "block"))
+    sent = marked.where("NOT whole").withColumn("block", block).withColumn("piece", F.explode(pieces)).select(
+        "component", "piece", (F.col("block") == F.expr("piece div blocks")).alias("low"), (F.col("block") == F.expr("piece % blocks")).alias("high"),
+        "node", "copies")
+    units = candidates.join(sent, ["node"]).repartition("component", "piece").sortWithinPartitions("component", "piece")
+    counted = units.select("component", "piece", "low", "high", "node", "copies", "text").mapInArrow(
+        _count_links(words, percent), "node bigint, links bigint")
+    return added.unionByName(counted).groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _count_links(words: int, percent: int):
+    names = ["node", "links"]
+
+    def links(held: list[tuple]) -> pa.RecordBatch:
+        low, high, nodes, copies = (np.array(c) for c in list(zip(*held))[:4])
+        sets = [h[4] for h in held]
+        rows, columns = np.flatnonzero(low), np.flatnonzero(high)
+        counts = np.zeros(len(held), dtype=np.int64)
+        if len(rows) and len(columns):
+            size = np.array([len(s) for s in sets], dtype=np.int64)
+            both = shared_counts([sets[i] for i in rows], [sets[i] for i in columns]).astype(np.int64)
+            near = (both > 0) & (100 * both >= percent * (size[rows][:, None] + size[columns] - both))
+            near &= rows[:, None] != columns
+            counts[rows] += near @ copies[columns]
+            if not (low & high).any():
+                counts[columns] += copies[rows] @ near
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64())], names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, key, held = Shingler(words), None, []
+        for batch in batches:
+            *columns, texts = (c.to_pylist() for c in batch.columns)
+            for component, piece, low, high, node, copies, own in zip(*columns, shingler.each(texts)):
+                if (component, piece) != key:
+                    if held:
+                        yield links(held)
+                    key, held = (component, piece), []
+                held.append((low, high, node, copies, own))
+        if held:
+            yield links(held)
+
+    return count
+
+
+def shared_counts(rows: Sequence[np.ndarray], columns: Sequence[np.ndarray], step: int = 2048, most: int = 4_000_000) -> np.ndarray:
+    """How many elements each of the sets ``rows`` shares with each of ``columns``."""
+    shape = (len(rows), len(columns))
+    values, at = np.unique(np.concatenate([*rows, *columns]), return_inverse=True)
+    owner = np.repeat(np.arange(sum(shape)), [len(s) for s in (*rows, *columns)])
+    is_row = owner < shape[0]
+    sides = []
+    for mine, first in ((is_row, 0), (~is_row, shape[0])):
+        order = np.argsort(at[mine], kind="stable")
+        sides.append((at[mine][order], owner[mine][order] - first, np.bincount(at[mine], minlength=len(values))))
+    (row_at, row_of, row_n), (column_at, column_of, column_n) = sides
+    pairs = row_n * column_n
+    total = np.zeros(shape, dtype=np.int32)
+
+    # Frequent elements: products of indicator matrices, ``step`` elements at a time.
+    often = pairs * 100 > shape[0] * shape[1]
+    often &= pairs > 100
+    number = np.cumsum(often) - 1
+    for begin in range(0, int(often.sum()), step):
+        parts = []
+        for place, of, n in ((row_at, row_of, shape[0]), (column_at, column_of, shape[1])):
+            use = often[place] & (number[place] >= begin) & (number[place] < begin + step)
+            part = np.zeros((n, step), dtype=np.float32)
+            part[of[use], number[place[use]] - begin] = 1
+            parts.append(part)
+        total += (parts[0] @ parts[1].T).astype(np.int32)
+
+    # The others pair by pair: each place in ``rows`` meets those of the element in ``columns``.
+    use = ~often[row_at] & (column_n[row_at] > 0)
+    row_at, row_of = row_at[use], row_of[use]
+    begins = (np.cumsum(column_n) - column_n)[row_at]
+    lengths = column_n[row_at]
+    ends = np.cumsum(lengths)
+    low = 0
+    while low < len(lengths):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
+        n = lengths[low:high]
+        met = np.repeat(begins[low:high] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cells = np.repeat(row_of[low:high] * shape[1], n) + column_of[met]
+        total += np.bincount(cells, minlength=shape[0] * shape[1]).reshape(shape).astype(np.int32)
+        low = high
+    return total

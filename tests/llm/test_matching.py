@@ -66,6 +66,49 @@ def test_near_copies(spark, piece):
     assert jaccard_components(docs.limit(0)).count() == 0
 
 
+def links_by_force(rows):
+    """Per ``(id, set)``, how many other such pairs have a similar set, and the least id of its group."""
+    shingled = lambda words: frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+    nodes = sorted({(i, shingled(text.split())) for i, text in rows}, key=lambda n: (n[0], sorted(n[1])))
+    part = {i: i for i, _ in nodes}
+    links = dict.fromkeys(nodes, 0)
+    for x in nodes:
+        for y in nodes:
+            shared = len(x[1] & y[1])
+            if x != y and 100 * shared >= 80 * (len(x[1]) + len(y[1]) - shared):
+                links[x] += 1
+                low, high = sorted((part[x[0]], part[y[0]]))
+                part = {k: low if v == high else v for k, v in part.items()}
+    return sorted((i, len(own), n, part[i]) for (i, own), n in links.items())
+
+
+@pytest.mark.parametrize("block_sets", [1000, 7])
+def test_links_are_counted(spark, block_sets):
+    """All links of a group of near copies that are mostly compared with few others, and of copies."""
+    texts = []
+    for i in range(90):
+        own = [f"w{k}" for k in range(120)]
+        for edit in range(i % 3):
+            own[(11 * i + 37 * edit) % 120] = f"x{i}-{edit}"
+        texts += [(i, " ".join(own))] + [(1000 + i, " ".join(own))] * (i % 4 == 1)
+    texts += [(i, " ".join(f"v{k}" for k in range(i % 2, 80))) for i in range(200, 206)]
+    got = jaccard_components(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5), block_sets=block_sets)
+    assert sorted(map(tuple, got.collect())) == links_by_force(texts)
+
+
+def test_links_of_repeated_ids(spark):
+    """Ids with texts of different sizes: every text has its own links, an id has one component."""
+    texts = []
+    for i in range(60):
+        size = 40 + 9 * (i % 8)
+        own = [f"w{k}" for k in range(size)]
+        own[(13 * i) % size] = f"x{i}"
+        texts += [(i % 25, " ".join(own)), (100 + i, " ".join(f"y{i}-{k}" for k in range(30)))]
+    texts += [(3, " ".join(f"y7-{k}" for k in range(30)))]
+    got = jaccard_components(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3))
+    assert sorted(map(tuple, got.collect())) == links_by_force(texts)
+
+
 def test_reordered_test_items(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
     texts = [
