@@ -73,6 +73,9 @@ BAND = 16
 MIN_COVERAGE = 0.8
 
 MATCH, MISS, GAP = 2, -1, -1
+
+#: Stands for the words of a match in further alignments; no word has this number.
+TAKEN = -1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 RESULT = (
@@ -96,8 +99,10 @@ def license_scan(
     Templates, a parameter of fixed size, are winnowed into an inverted index of fingerprints.
     Every run of ``GRAM`` words of the whole text is looked up; hits of a template that lie close
     together on neighbouring diagonals are one candidate, which a local alignment within a band
-    of those diagonals then settles. Overlapping places of one template are reported once, the
-    best first. Documents are neither shuffled nor copied.
+    of those diagonals then settles. The words of a match are taken and the rest of the candidate is
+    aligned again, until too little matches, so notices that follow each other closely give a row
+    each. Overlapping places of one template are reported once, the best first. Documents are
+    neither shuffled nor copied.
 
     Null and empty texts match nothing. Rows that repeat are reported each. Other columns are
     ignored. An empty table, and a template without words, give no rows.
@@ -146,24 +151,31 @@ class TemplateIndex:
         number = self.numbers.get
         words = np.fromiter((number(t, 0) for t in tokens), dtype=np.int64, count=len(tokens))
         offsets: list[tuple[int, int]] | None = None
+        before, left = -1, words
         for owner, low, high, first, last in self._candidates(words):
             template = self.templates[owner]
             begin = max(0, low - BAND)
-            pairs = align(template.words, words[begin : high + len(template.words) + BAND], first - begin - BAND, last - begin + BAND)
-            if len(pairs) < min_coverage * len(template.words):
-                continue
-            if offsets is None:
-                # Lower-casing can change the length of a text, so places are taken from the original.
-                offsets = [m.span() for m in TOKEN.finditer(text)]
-                if len(offsets) != len(tokens):
-                    offsets = [(k, k + 1) for k in range(len(tokens))]
-            at = [begin + j for _, j in pairs]
-            runs = np.split(np.array(at), np.flatnonzero(np.diff(at) != 1) + 1)
-            yield {
-                "license": template.name, "coverage": len(pairs) / len(template.words), "matched_words": len(pairs),
-                "template_words": len(template.words), "start": offsets[at[0]][0], "end": offsets[at[-1]][1],
-                "spans": [{"start": offsets[r[0]][0], "end": offsets[r[-1]][1]} for r in runs],
-            }
+            end = high + len(template.words) + BAND
+            if owner != before:
+                before, left = owner, words
+            while pairs := align(template.words, left[begin:end], first - begin - BAND, last - begin + BAND):
+                if len(pairs) < min_coverage * len(template.words):
+                    break
+                at = [begin + j for _, j in pairs]
+                # Bands of neighbouring candidates overlap, so taken words hold for all of them.
+                left = words.copy() if left is words else left
+                left[at[0] : at[-1] + 1] = TAKEN
+                if offsets is None:
+                    # Lower-casing can change the length of a text, so places are taken from the original.
+                    offsets = [m.span() for m in TOKEN.finditer(text)]
+                    if len(offsets) != len(tokens):
+                        offsets = [(k, k + 1) for k in range(len(tokens))]
+                runs = np.split(np.array(at), np.flatnonzero(np.diff(at) != 1) + 1)
+                yield {
+                    "license": template.name, "coverage": len(pairs) / len(template.words), "matched_words": len(pairs),
+                    "template_words": len(template.words), "start": offsets[at[0]][0], "end": offsets[at[-1]][1],
+                    "spans": [{"start": offsets[r[0]][0], "end": offsets[r[-1]][1]} for r in runs],
+                }
 
     def _candidates(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """Template, first and last word of the place, and its lowest and highest diagonal."""

@@ -137,6 +137,18 @@ def test_licenses(spark):
     assert license_scan(docs.limit(0)).count() == 0
 
 
+def test_licenses_close_together(spark):
+    """Each of several notices a few words apart is a row, and none is reported twice."""
+    line = "Released under the MIT License"
+    fill = [f"file{k}" for k in range(20)]
+    texts = {gap: ". ".join([line + " " + " ".join(fill[:gap])] * 4) for gap in (0, 1, 3, 6, 11, 12, 20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rows = license_scan(docs).collect()
+    for gap, text in texts.items():
+        assert sorted((r.start, r.end) for r in rows if r.doc_id == gap) == [m.span() for m in re.finditer(line, text)]
+    assert all(r.license == "MIT-line" and r.coverage == 1.0 for r in rows)
+
+
 def test_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = fit_language_model(docs.where("doc_id % 4 <> 2"))
