@@ -134,7 +134,7 @@ class TemplateIndex:
         self.templates = []
         entries: list[tuple[int, int, int]] = []
         for name, text in templates:
-            words = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in TOKEN.findall(text.lower())], dtype=np.int64)
+            words = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in map(str.lower, TOKEN.findall(text))], dtype=np.int64)
             if not len(words):
                 continue
             for place, value in winnow(gram_hashes(words, min(GRAM, len(words)))):
@@ -147,7 +147,8 @@ class TemplateIndex:
         self.grams = sorted({min(GRAM, len(t.words)) for t in self.templates})
 
     def matches(self, text: str, min_coverage: float) -> Iterator[dict]:
-        tokens = TOKEN.findall(text.lower())
+        # Lower-casing can change the length of a text and split words, so it comes after the cut.
+        tokens = TOKEN.findall(text.lower()) if text.isascii() else [t.lower() for t in TOKEN.findall(text)]
         number = self.numbers.get
         words = np.fromiter((number(t, 0) for t in tokens), dtype=np.int64, count=len(tokens))
         offsets: list[tuple[int, int]] | None = None
@@ -165,11 +166,7 @@ class TemplateIndex:
                 # Bands of neighbouring candidates overlap, so taken words hold for all of them.
                 left = words.copy() if left is words else left
                 left[at[0] : at[-1] + 1] = TAKEN
-                if offsets is None:
-                    # Lower-casing can change the length of a text, so places are taken from the original.
-                    offsets = [m.span() for m in TOKEN.finditer(text)]
-                    if len(offsets) != len(tokens):
-                        offsets = [(k, k + 1) for k in range(len(tokens))]
+                offsets = offsets or [m.span() for m in TOKEN.finditer(text)]
                 runs = np.split(np.array(at), np.flatnonzero(np.diff(at) != 1) + 1)
                 yield {
                     "license": template.name, "coverage": len(pairs) / len(template.words), "matched_words": len(pairs),

@@ -149,6 +149,13 @@ def test_licenses_close_together(spark):
     assert all(r.license == "MIT-line" and r.coverage == 1.0 for r in rows)
 
 
+def test_licenses_after_letters_that_split(spark):
+    """Lower-casing splits the first word in two; places are characters all the same."""
+    text = "İstanbul İzmir. Released under the MIT License. Fin"
+    row = license_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert text[row.start : row.end] == "Released under the MIT License" and [tuple(s) for s in row.spans] == [(row.start, row.end)]
+
+
 def test_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = fit_language_model(docs.where("doc_id % 4 <> 2"))
