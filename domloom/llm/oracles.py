@@ -82,5 +82,77 @@ FROM d JOIN g ON d.payload = g.payload
 """
 
 
+_FINITE = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+
+HARD_NEGATIVES = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND {_FINITE}),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+SOURCE_DIVERGENCE = f"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+t AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n FROM g JOIN kept ON g.lang = kept.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+w AS (
+  SELECT lang, source, term, n, sum(n) OVER (PARTITION BY lang, source)::HUGEINT AS total,
+    sum(n) OVER (PARTITION BY lang, term)::HUGEINT AS lang_n, sum(n) OVER (PARTITION BY lang)::HUGEINT AS lang_total FROM t),
+s AS (
+  SELECT w.lang, source, term, n, 1 + (1000000000 * (n + 2)) // (total + 2 * v) AS p,
+    1 + (1000000000 * (lang_n + 2)) // (lang_total + 2 * v) AS q FROM w JOIN v ON w.lang = v.lang),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM s WHERE n > 0 AND p > q),
+x AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM x WHERE part = 'pair' OR rank <= 10
+"""
+
+NEAR_VECTORS = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND {_FINITE} AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+  SELECT DISTINCT a AS id, a AS other FROM links
+  UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a),
+lowest AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a AS id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id,
+  coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings e LEFT JOIN lowest ON e.vec_id = lowest.id LEFT JOIN degree ON e.vec_id = degree.id
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_DEDUP, "op3_warc": WARC, "op8_line_dedup": LINE_DEDUP, "op10_mixing": MIXING}
+    return {
+        "op1_exact_dedup": EXACT_DEDUP, "op3_warc": WARC, "op8_line_dedup": LINE_DEDUP, "op10_mixing": MIXING,
+        "op11_hard_negatives": HARD_NEGATIVES, "op12_source_audit": SOURCE_DIVERGENCE, "op13_embedding_dedup": NEAR_VECTORS,
+    }

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domloom.llm.decontaminate import contaminations
+from domloom.llm.embedding_dedup import near_vectors
 from domloom.llm.exact_dedup import exact_dedup
+from domloom.llm.hard_negatives import hard_negatives
 from domloom.llm.language_id import fit_language_model, held_out, predict_language
 from domloom.llm.licenses import license_scan
 from domloom.llm.line_dedup import remove_boilerplate
 from domloom.llm.mixing import mix_sources
 from domloom.llm.ngram_join import jaccard_components
 from domloom.llm.sharding import balanced_shards
+from domloom.llm.source_audit import source_divergence
 from domloom.llm.text import or_empty
 from domloom.llm.token_counts import TokenRollup, count_tokens, deleted, inserted, revised
 from domloom.llm.warc import read_archives, record_headers, resolve_revisits, resolved, write_archives
@@ -102,6 +105,21 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fiftieth row is an anchor; every seventh has a label that is one off."""
+    vectors = _table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), anchors=F.col("vec_id") % 50 == 0)
+
+
+def op12_source_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence(_table(spark, sf, "documents"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(_table(spark, sf, "embeddings"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -114,4 +132,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_sharding": op9_sharding,
         "op10_mixing": op10_mixing,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_source_audit": op12_source_audit,
+        "op13_embedding_dedup": op13_embedding_dedup,
     }

@@ -23,7 +23,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(llm_oracles()))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = duck.execute(llm_oracles()[name])
     names = sorted(d[0] for d in want.description)
