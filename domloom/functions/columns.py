@@ -81,11 +81,10 @@ def sql_strip(text: str) -> str:
     return sql_replace(text, STRIP)
 
 
-def sql_before_last_tag(text: str) -> tuple[str, str]:
-    """SQL for the part of ``text`` up to its last ``>`` and for the rest.
-
-    No tag can end in the rest. Tag patterns are kept off it, because there each ``<`` would
-    make the matcher look for a ``>`` up to the end of the page.
-    """
+def sql_whole_tags(text: str) -> str:
+    """``text`` in which every ``<`` has a ``>`` behind it: after the last ``>`` no tag can end, and
+    ``<`` becomes a reference there. Without that each ``<`` would make the matcher look for a
+    ``>`` up to the end of the page."""
     rest = f"substring_index({text}, '>', -1)"
-    return f"substring({text}, 1, length({text}) - length({rest}))", rest
+    shielded = f"concat(substring({text}, 1, length({text}) - length({rest})), replace({rest}, '<', '&lt;'))"
+    return f"CASE WHEN contains({rest}, '<') THEN {shielded} ELSE {text} END"

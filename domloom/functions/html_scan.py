@@ -63,7 +63,7 @@ P_RULE = (frozenset({"p"}), TABLE_SCOPE)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([A-Za-z][^\s/<>\"']*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )

@@ -13,23 +13,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from domloom.functions.columns import (
-    sql_before_last_tag,
     sql_let,
     sql_literal,
     sql_replace,
     sql_strip,
+    sql_whole_tags,
 )
-from domloom.functions.text import COMMENT, SCRIPT_STYLE, decode_entities_sql
+from domloom.functions.text import COMMENT, DECLARATION, SCRIPT_STYLE, TAG, decode_entities_sql
+
+# Stripped text of an element; what was tried once is not tried again in another way.
+_INNER = r"\s*+((?>[^<]*[^<\s]))\s*+"
 
 # The conversion table, applied in this order.
 INLINE_RULES: list[tuple[str, str]] = [
     (r"(?i)<br(?=[\s/>])[^>]*>", "\n"),
-    (r"(?i)<code(?=[\s/>])[^>]*>\s*([^<]+?)\s*</code>", "`$1`"),
-    (r"(?i)<(?:strong|b)(?:\s[^>]*)?>\s*([^<]*?[^<\s])\s*</(?:strong|b)>", "**$1**"),
-    (r"(?i)<(?:em|i)(?:\s[^>]*)?>\s*([^<]*?[^<\s])\s*</(?:em|i)>", "*$1*"),
-    (r"(?i)<(?:strong|b)(?:\s[^>]*)?>\s*([^<]*?[^<\s])\s*</(?:strong|b)>", "**$1**"),
-    (r"(?i)<(?:em|i)(?:\s[^>]*)?>\s*([^<]*?[^<\s])\s*</(?:em|i)>", "*$1*"),
-    (r"(?i)<a(?=[\s/>])[^<>]*?\shref\s*=\s*[\"']?([^\"'\s>]*)[^<>]*>\s*([^<]*?)\s*</a>", "[$2]($1)"),
+    (rf"(?i)<code(?=[\s/>])[^>]*+>{_INNER}</code>", "`$1`"),
+    (rf"(?i)<(?:strong|b)(?:\s[^>]*+)?+>{_INNER}</(?:strong|b)>", "**$1**"),
+    (rf"(?i)<(?:em|i)(?:\s[^>]*+)?+>{_INNER}</(?:em|i)>", "*$1*"),
+    (rf"(?i)<(?:strong|b)(?:\s[^>]*+)?+>{_INNER}</(?:strong|b)>", "**$1**"),
+    (rf"(?i)<(?:em|i)(?:\s[^>]*+)?+>{_INNER}</(?:em|i)>", "*$1*"),
+    (r"(?i)<a(?=[\s/>])(?>[^<>]*?\shref\s*=\s*[\"']?)([^\"'\s>]*+)[^<>]*+>\s*+((?>(?:[^<]*[^<\s])?))\s*+</a>", "[$2]($1)"),
 ]
 BLOCK_RULES: list[tuple[str, str]] = [
     (r"(?i)<hr(?=[\s/>])[^>]*>", "\n\n---\n\n"),
@@ -37,10 +40,15 @@ BLOCK_RULES: list[tuple[str, str]] = [
         r"(?i)</?(?:p|div|article|section|main|header|footer|aside|nav|table|figure|form|address|dl|dt|dd)(?=[\s/>])[^>]*>",
         "\n\n",
     ),
+    (r"(?i)</?(?:thead|tbody|tfoot)(?=[\s/>])[^>]*+> ?", ""),
+    (r"(?i)</tr\s*+> ?<tr(?=[\s/>])[^>]*+>", "\n"),
     (r"(?i)</?(?:tr|caption|figcaption)(?=[\s/>])[^>]*>", "\n"),
+    (r"(?i) ?<(?:td|th)(?=[\s/>])[^>]*> ?", "\x03"),
 ]
 ANY_TAG = r"<[!?/A-Za-z][^>]*>"
-QUOTE_OPEN, QUOTE_CLOSE = "\x01", "\x02"
+QUOTE_OPEN, QUOTE_CLOSE, CELL = "\x01", "\x02", "\x03"
+#: A page as tags and the text between them.
+_TOKENS = rf"(?is){TAG}|{DECLARATION}|[^<]++|<"
 
 
 def _chain(text: str, rules: list[tuple[str, str]]) -> str:
@@ -146,11 +154,25 @@ def _prose(html: str) -> str:
     text = sql_replace(text, r"(?i)</blockquote\s*>", QUOTE_CLOSE)
     text = _chain(_headings(text), BLOCK_RULES)
     text = sql_replace(text, r" *\n *", "\n")
+    # Cells of a row are kept apart, and the first begins the line.
+    text = sql_replace(sql_replace(text, rf"(\A|\n){CELL}", "$1"), CELL, " | ")
     text = sql_replace(_lists(text), ANY_TAG)
     text = sql_replace(text, r" +\n", "\n")
     return decode_entities_sql(_quotes(text))
 
 
+def _plain_tags(text: str) -> str:
+    """``text`` whose tags hold no ``<`` or ``>`` but their own: those in attributes become references.
+
+    Rules can then take the next ``>`` for the end of a tag.
+    """
+    inside = "replace(replace(substring(p, 2, length(p) - 2), '<', '&lt;'), '>', '&gt;')"
+    token = f"CASE WHEN length(p) > 2 AND startswith(p, '<') THEN concat('<', {inside}, '>') ELSE p END"
+    tokens = f"regexp_extract_all(t, {sql_literal(_TOKENS)}, 0)"
+    hidden = sql_literal(r"[\"'][^\"'<>]*+[<>]")
+    return sql_let(text, "t", f"CASE WHEN rlike(t, {hidden}) THEN array_join(transform({tokens}, p -> {token}), '') ELSE t END")
+
+
 def html_to_markdown(html: str) -> Column:
     """Markdown for an HTML fragment or page; null stays null."""
     inner = sql_replace(sql_replace("c", r"(?i)\A<pre(?=[\s/>])[^>]*>\n?|</pre\s*>"), ANY_TAG)
@@ -158,12 +180,10 @@ def html_to_markdown(html: str) -> Column:
     chunk = f"""CASE WHEN rlike(c, {sql_literal(r'(?i)\A<pre(?=[\s/>])')})
         THEN concat({sql_literal(chr(10) * 2 + '```' + chr(10))}, {code}, {sql_literal(chr(10) + '```' + chr(10) * 2)})
         ELSE {_prose('c')} END"""
-    clean = sql_replace(html, f"[{QUOTE_OPEN}{QUOTE_CLOSE}]")
-    clean = sql_replace(sql_replace(clean, SCRIPT_STYLE), COMMENT)
-    tagged, rest = sql_before_last_tag("h")
-    chunks = f"split({tagged}, {sql_literal(r'(?i)(?=<pre(?=[\s/>]))|(?<=</pre>)')})"
-    plain = decode_entities_sql(sql_replace(rest, r"[ \t\r\n]+", " "))
-    joined = f"concat(array_join(transform({chunks}, c -> {chunk}), ''), {plain})"
+    clean = sql_whole_tags(sql_replace(html, f"[{QUOTE_OPEN}{QUOTE_CLOSE}{CELL}]"))
+    clean = _plain_tags(sql_replace(clean, rf"(?is){SCRIPT_STYLE}|{COMMENT}"))
+    chunks = f"split(h, {sql_literal(r'(?i)(?=<pre(?=[\s/>]))|(?<=</pre>)')})"
+    joined = f"array_join(transform({chunks}, c -> {chunk}), '')"
     return F.expr(sql_strip(sql_replace(sql_let(clean, "h", joined), r"\n{3,}", "\n\n")))
 
 

@@ -6,25 +6,25 @@ Arguments are column names or SQL expressions.
 from __future__ import annotations
 
 import re
-from html.entities import html5, name2codepoint
+from collections.abc import Iterable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from domloom.functions.columns import (
-    sql_before_last_tag,
     sql_let,
     sql_literal,
     sql_replace,
     sql_strip,
+    sql_whole_tags,
 )
 
 # Names first that pages use most: the lookup scans in this order.
 _FREQUENT = ("amp", "quot", "lt", "gt", "nbsp", "copy", "middot", "apos")
-_NAMED = {n: html5[f"{n};"] for n in _FREQUENT}
-_NAMED.update((n, chr(c)) for n, c in name2codepoint.items() if n not in _NAMED)
+_NAMED = {n: html5[f"{n};"] for n in (*_FREQUENT, *sorted(n[:-1] for n in html5 if n.endswith(";") and n[:-1] not in _FREQUENT))}
 # Names HTML also accepts without the closing semicolon; the longest one wins.
-_OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";") and n in _NAMED), key=lambda n: (-len(n), n))
+_OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
 _CLOSED_ENTITY = r"\A&([A-Za-z][A-Za-z0-9]*);"
 _OPEN_ENTITY = r"\A&(" + "|".join(map(re.escape, _OPEN_NAMES)) + ")"
@@ -34,12 +34,28 @@ _HEX = r"\A&#[xX]([0-9A-Fa-f]+);?"
 # HTML reads references to 128-159 as windows-1252, where that has a character.
 _C1 = ", ".join(str(ord(bytes([c]).decode("cp1252", "ignore") or chr(c))) for c in range(128, 160))
 
-SCRIPT_STYLE = r"(?is)<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
-COMMENT = r"(?s)<!--.*?(?:-->|\z)"
-TAG = r"(?s)<!--.*?(?:-->|\z)|<[!?/A-Za-z][^>]*>"
+# The rest of a start or end tag. A quote hides ``>`` up to its match; where a quote has none, or a
+# tag begins outside quotes, the first ``>`` ends the tag. A quote swaps two of the three states a
+# place can have (outside, in double, in single quotes), so looks ahead from different tags never
+# come to the same state, and at most two of them pass any place: the search is linear.
+TAG_END = r"(?:(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)"
+COMMENT = r"<!--.*?(?:-->|\z)"
+SCRIPT_STYLE = rf"<(script|style)(?=[\s/>]){TAG_END}.*?(?:</\1(?=[\s/>])[^>]*+>|\z)"
+DECLARATION = r"<[!?/][^>]*+>"
+TAG = rf"</?[a-z]{TAG_END}"
+#: All that is no text. Patterns are to be used with ``(?is)``, on text with whole tags.
+MARKUP = rf"(?is){COMMENT}|{SCRIPT_STYLE}|{TAG}|{DECLARATION}"
+#: The first body outside comments, scripts and other tags.
+_BODY = rf"(?is)\A(?:[^<]++|{COMMENT}|{SCRIPT_STYLE}|(?!<body[\s/>]){TAG}|{DECLARATION}|<(?!body[\s/>]))*+(<body{TAG_END}.*+)"
 
 
-_NAMES = "map(" + ", ".join(sql_literal(x) for pair in _NAMED.items() for x in pair) + ")"
+def _split(words: Iterable[str]) -> str:
+    return f"split({sql_literal(chr(10).join(words))}, chr(10))"
+
+
+# A new line is itself the value of one name.
+_NAMES = (f"map_from_arrays({_split(_NAMED)}, transform({_split(v.replace(chr(10), '') for v in _NAMED.values())}, "
+          "v -> CASE WHEN v = '' THEN chr(10) ELSE v END))")
 
 
 def _code_point(n: str) -> str:
@@ -74,18 +90,20 @@ def decode_entities(text: str) -> Column:
 
 def text_content(html: str) -> Column:
     """Visible text: script and style dropped, strings stripped and joined by one blank."""
-    tagged, rest = sql_before_last_tag("h")
-    pieces = f"concat(split({tagged}, {sql_literal(TAG)}), array({rest}))"
+    pieces = f"split(h, {sql_literal(MARKUP)})"
     stripped = f"transform({pieces}, s -> {sql_strip(decode_entities_sql('s'))})"
     text = f"array_join(filter({stripped}, s -> s != ''), ' ')"
-    return F.expr(f"coalesce({sql_let(sql_replace(html, SCRIPT_STYLE, '<!---->'), 'h', text)}, '')")
+    return F.expr(f"coalesce({sql_let(sql_whole_tags(html), 'h', text)}, '')")
 
 
 def body_content(html: str) -> Column:
-    """Outer HTML of ``body``; the whole input where there is none."""
-    closed = f"regexp_extract({html}, {sql_literal(r'(?is)<body(?=[\s/>]).*</body\s*>')}, 0)"
-    unclosed = f"regexp_extract({html}, {sql_literal(r'(?is)<body(?=[\s/>]).*')}, 0)"
-    return F.expr(f"coalesce(nullif({closed}, ''), nullif({unclosed}, ''), {html})")
+    """Outer HTML of ``body``, to its last end tag if it has one; the whole input where there is none."""
+    rest = f"substring_index({html}, '>', -1)"
+    tagged = f"substring({html}, 1, length({html}) - length({rest}))"
+    found = f"regexp_extract({tagged}, {sql_literal(_BODY)}, 2)"
+    closed = f"regexp_extract(b, {sql_literal(r'(?is)\A.*</body\s*+>')}, 0)"
+    body = sql_let(found, "b", f"CASE WHEN b = '' THEN {html} ELSE coalesce(nullif({closed}, ''), concat(b, {rest})) END")
+    return F.expr(body)
 
 
 def truncate_html(html: str, max_chars: int = 500_000, marker: str = "\n... [truncated]") -> Column:

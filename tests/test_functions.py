@@ -239,3 +239,80 @@ def test_text_keeps_what_follows_odd_tags_and_references(spark):
     ]
     rows = spark.createDataFrame(pages, "html string, want string").withColumn("got", tx.text_content("html"))
     assert [r.got for r in rows.collect()] == [w for _, w in pages]
+
+
+QUOTED = {
+    '<a title="a>b">t</a>': "t",
+    "<p><a title='x > y' href=/u>t</a> and <b data-x='</b>'>c</b></p>": "t and c",
+    '<img alt="1 < 2 > 0">after': "after",
+    '<p class="open>a</p><p>b</p>': "a b",
+    '<script data-x="a>b">no</script x>yes': "yes",
+    '<a ">"><b>x</b>': "x",
+    "a < b <i>c</i> <d": "a < b c <d",
+    "<script>a<b>c": "",
+    "<p>x<!-- a>b --> y</p><!-- open <p>": "x y",
+}
+
+
+def test_quotes_hide_the_end_of_a_tag(spark):
+    assert apply(spark, list(QUOTED), tx.text_content) == list(QUOTED.values())
+    pages = {
+        '<a title="a>b" href="/u">t</a>': "[t](/u)", '<p data-x="</p><h1>">a</p>': "a", '<img alt="a>b" src="c.png">': "![a>b](c.png)",
+        '<h2 id="x>y">a</h2>': "## a", "it's <b>a</b> isn't it": "it's **a** isn't it",
+        "<body data-x='<b>'><p>a": "a",
+    }
+    assert apply(spark, list(pages), md.html_to_markdown) == list(pages.values())
+    bodies = {
+        "<!-- <body > --><div title='<body >'></div><script>'<body >'</script><BODY id='>'>a</body >b": "<BODY id='>'>a</body >",
+        "<body x": "<body x", "<p>a</p><body": "<p>a</p><body", "<body><p>a</p> b": "<body><p>a</p> b", "<bodyx>a": "<bodyx>a",
+    }
+    assert apply(spark, list(bodies), tx.body_content) == list(bodies.values())
+
+
+def test_table_cells_stay_apart(spark):
+    pages = {
+        "<table><tr><th>a</th><th>b</th></tr><tr><td>c<td><b>d</b></tr></table>e": "a | b\nc | **d**\n\ne",
+        "<table><tr><td>a</td></tr></table>": "a", "<td>a</td> <td></td><td>b</td>": "a |  | b",
+    }
+    assert apply(spark, list(pages), md.html_to_markdown) == list(pages.values())
+
+
+def test_text_agrees_with_the_scanner_on_random_tags(spark):
+    """Both read tags, quotes and comments alike, whatever they are strung together from."""
+    import random
+
+    from domloom.functions.html_scan import PageScan
+
+    draw = random.Random(7)
+    pieces = ["<b", "<i>", "</i>", ">", '"', "'", " x", "=", "t ", "<!--", "-->", "<br>", "</b>", "a", "&amp;", "<img alt='>'>"]
+    pages = ["<p>s " + "".join(draw.choice(pieces) for _ in range(draw.randrange(1, 25))) + "</p>" for _ in range(400)]
+    squeezed = lambda text: re.sub(r"\s+", "", text)
+    got = apply(spark, pages, tx.text_content)
+    assert [squeezed(t) for t in got] == [squeezed("".join(PageScan(p).runs)) for p in pages]
+
+
+def test_all_entity_names(spark):
+    from html.entities import html5
+
+    texts = [f"a&{name}b &{name.rstrip(';')}1" for name in html5]
+    assert apply(spark, texts, tx.decode_entities) == [stdlib_html.unescape(t) for t in texts]
+
+
+HOSTILE = ["<script ", "<body ", "<a \">\"", "<a '", "<a \"'>", "<code><br>", "</script ", "<b>\n<br>", "<a href ", "<td", "<!-- ", "&notin"]
+
+
+@pytest.mark.parametrize("column", [tx.text_content, tx.body_content, md.html_to_markdown])
+def test_open_tags_cost_linear_time(spark, column):
+    import time
+
+    def seconds(repeats):
+        pages = [unit * repeats for unit in HOSTILE] + ["<code>" + "<br>" * repeats + "x", "<a href=1>" + "<br>" * repeats + "<i>"]
+        best = float("inf")
+        for _ in range(3):
+            start = time.perf_counter()
+            apply(spark, pages, column)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    small, large = seconds(4_000), seconds(16_000)
+    assert large < 4 * 2.2 * small
