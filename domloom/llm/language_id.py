@@ -42,7 +42,10 @@ TEMPERATURES = tuple(float(t) for t in np.geomspace(0.02, 5.0, 80))
 #: Characters hashed at a time, the unit of memory.
 BLOCK = 1 << 19
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Values of a state, for all languages, that are one row when states are averaged.
+STATE_VALUES = 1 << 16
+
+_WORD = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -107,8 +110,9 @@ def fit_language_model(
 
     Document frequencies cover all labelled rows. Weights are fitted on a sample bounded by
     ``ROWS_PER_LANGUAGE``, drawn by a hash of the id. Each epoch streams the written sample in
-    ``PARTS`` parts, each continuing from the common state, and averages their states; the
-    driver holds a few states of ``2**BITS`` features times languages, never rows.
+    ``PARTS`` parts, each continuing from the common state. States are averaged in slices of features
+    and stay in tables; the driver gets the final weights only, ``2**BITS`` features times languages
+    in single precision.
     """
     labelled = docs.where(F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
@@ -129,22 +133,30 @@ def fit_language_model(
     )
     vectors = checkpointed(sample.mapInArrow(_vectors(idf), _VECTOR_SCHEMA))
     # Neighbours in a part come in random order, the same on every run.
-    fitting = checkpointed(vectors.where("NOT calibrate").withColumn("part", F.pmod(F.col("shuffled"), F.lit(PARTS)).cast("int")))
-    fitting = fitting.repartition("part").sortWithinPartitions("part", "shuffled").select("part", *vectors.columns)
-    state = np.zeros((2, (1 << BITS) + 1, len(languages)), dtype=np.float64)
+    spark = docs.sparkSession
+    fitting = vectors.where("NOT calibrate").select(
+        F.pmod(F.col("shuffled"), F.lit(PARTS)).cast("int").alias("part"), F.lit(1).alias("kind"), "shuffled", "label", "features", "amounts")
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    state = spark.createDataFrame([], _STATE)
     for _ in range(EPOCHS):
-        shipped = docs.sparkSession.sparkContext.broadcast(state)
-        parts = [np.frombuffer(r["state"], dtype=np.float64).reshape(state.shape)
-                 for r in fitting.mapInArrow(_epoch(shipped), "state binary").collect()]
-        state = sum(parts) / len(parts) if parts else state
-        shipped.unpersist()
-    weights = _weights(state[0], state[1])
-    table, bias = weights[:-1] * idf[:, None] * SCALE, weights[-1]
-    loss = vectors.where("calibrate").mapInArrow(_losses(weights), "losses array<double>").agg(
+        # The common state comes first in each part.
+        known = state.select(every_part, F.lit(0).alias("kind"), F.col("slice").alias("shuffled"), F.lit(0).alias("label"),
+                             F.col("z").alias("features"), F.col("n").alias("amounts"))
+        rows = known.unionByName(fitting).repartition("part").sortWithinPartitions("part", "kind", "shuffled")
+        state = checkpointed(rows.mapInArrow(_epoch(len(languages)), _STATE).repartition("slice").mapInArrow(_averaged, _STATE))
+    weights = np.zeros(((1 << BITS) + 1, len(languages)), dtype=np.float32)
+    for row in state.mapInArrow(_final_weights, "slice bigint, weights binary").toLocalIterator():
+        part = np.frombuffer(row["weights"], dtype=np.float32).reshape(-1, len(languages))
+        begin = row["slice"] * _slice_features(len(languages))
+        weights[begin : begin + len(part)] = part
+    shipped = spark.sparkContext.broadcast(weights)
+    loss = vectors.where("calibrate").mapInArrow(_losses(shipped), "losses array<double>").agg(
         *[F.sum(F.get("losses", F.lit(i))).alias(f"l{i}") for i in range(len(TEMPERATURES))]
     ).first()
+    shipped.destroy()
     temperature = min(zip(loss, TEMPERATURES))[1] if loss and loss[0] is not None else 1.0
-    return LanguageModel(languages, table, bias, temperature)
+    weights[:-1] *= idf[:, None] * np.float32(SCALE)
+    return LanguageModel(languages, weights[:-1], weights[-1].astype(np.float64), temperature)
 
 
 def predict_language(
@@ -202,7 +214,8 @@ def _predictions(model: LanguageModel, texts: Sequence[str | None]) -> tuple[np.
     shares /= shares.sum(axis=1, keepdims=True)
     best = shares.argmax(axis=1)
     score = shares[np.arange(len(texts)), best]
-    lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], dtype=bool)
+    # Superscripts, fractions and the like are word characters, but no letters.
+    lettered = np.array([bool(t) and any(m[0].isalpha() for m in _WORD.finditer(t)) for t in texts], dtype=bool)
     return np.where(lettered, best, len(model.languages)), np.where(lettered, score, 0.0)
 
 
@@ -247,13 +260,19 @@ def _vectors(idf: np.ndarray):
     return vectors
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Part, label, features and amounts of each row, with the constant feature at the end."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            features = np.frombuffer(row["features"], dtype=np.int32)
-            amounts = np.frombuffer(row["amounts"], dtype=np.float32)
-            yield row.get("part", 0), row["label"], np.append(features, 1 << BITS), np.append(amounts, 1.0).astype(np.float64)
+def _example(row: dict) -> tuple[int, np.ndarray, np.ndarray]:
+    """Label, features and amounts of a row, with the constant feature at the end."""
+    features = np.frombuffer(row["features"], dtype=np.int32)
+    amounts = np.frombuffer(row["amounts"], dtype=np.float32)
+    return row["label"], np.append(features, 1 << BITS), np.append(amounts, 1.0).astype(np.float64)
+
+
+_STATE = "slice bigint, z binary, n binary"
+_STATE_ARROW = pa.schema([("slice", pa.int64()), ("z", pa.binary()), ("n", pa.binary())])
+
+
+def _slice_features(languages: int) -> int:
+    return max(1, STATE_VALUES // languages)
 
 
 def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -262,39 +281,76 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(active, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
 
 
-def _epoch(shipped):
-    """The state each part of the sample comes to, however parts are dealt to tasks."""
+def _epoch(languages: int):
+    """The state each part of the sample comes to, in slices, however parts are dealt to tasks."""
+
+    def slices(state: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = _slice_features(languages)
+        for number, begin in enumerate(range(0, state.shape[1], step)):
+            z, n = state[:, begin : begin + step]
+            yield pa.RecordBatch.from_pylist([{"slice": number, "z": z.tobytes(), "n": n.tobytes()}], _STATE_ARROW)
 
     def epoch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, at = shipped.value.copy(), None
-        for part, label, features, amounts in _rows(batches):
-            if part != at:
-                if at is not None:
-                    yield pa.RecordBatch.from_pydict({"state": pa.array([state.tobytes()], pa.binary())})
-                    state = shipped.value.copy()
-                at = part
-            z, n = state
-            near_z, near_n = z[features], n[features]
-            weights = _weights(near_z, near_n)
-            logits = amounts @ weights
-            shares = np.exp(logits - logits.max())
-            shares /= shares.sum()
-            shares[label] -= 1.0
-            gradient = amounts[:, None] * shares[None, :]
-            squares = gradient * gradient
-            z[features] = near_z + gradient - (np.sqrt(near_n + squares) - np.sqrt(near_n)) / ALPHA * weights
-            n[features] = near_n + squares
-        if at is not None:
-            yield pa.RecordBatch.from_pydict({"state": pa.array([state.tobytes()], pa.binary())})
+        state = at = None
+        examples = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != at:
+                    if examples:
+                        yield from slices(state)
+                    state, at, examples = np.zeros((2, (1 << BITS) + 1, languages), dtype=np.float32), row["part"], 0
+                if not row["kind"]:
+                    begin = row["shuffled"] * _slice_features(languages)
+                    for own, field in zip(state, ("features", "amounts")):
+                        part = np.frombuffer(row[field], dtype=np.float32).reshape(-1, languages)
+                        own[begin : begin + len(part)] = part
+                    continue
+                examples += 1
+                label, features, amounts = _example(row)
+                z, n = state
+                near_z, near_n = z[features].astype(np.float64), n[features].astype(np.float64)
+                weights = _weights(near_z, near_n)
+                logits = amounts @ weights
+                shares = np.exp(logits - logits.max())
+                shares /= shares.sum()
+                shares[label] -= 1.0
+                gradient = amounts[:, None] * shares[None, :]
+                squares = gradient * gradient
+                z[features] = near_z + gradient - (np.sqrt(near_n + squares) - np.sqrt(near_n)) / ALPHA * weights
+                n[features] = near_n + squares
+        if examples:
+            yield from slices(state)
 
     return epoch
 
 
-def _losses(weights: np.ndarray):
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of all parts' states, by slice."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = np.array([np.frombuffer(row[field], dtype=np.float32) for field in ("z", "n")], dtype=np.float64)
+            total = sums.setdefault(row["slice"], [0, 0.0])
+            total[0], total[1] = total[0] + 1, total[1] + own
+    for number, (count, total) in sums.items():
+        z, n = (total / count).astype(np.float32)
+        yield pa.RecordBatch.from_pylist([{"slice": number, "z": z.tobytes(), "n": n.tobytes()}], _STATE_ARROW)
+
+
+def _final_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            z, n = (np.frombuffer(row[field], dtype=np.float32).astype(np.float64) for field in ("z", "n"))
+            yield pa.RecordBatch.from_pydict({
+                "slice": pa.array([row["slice"]], pa.int64()), "weights": pa.array([_weights(z, n).astype(np.float32).tobytes()], pa.binary())})
+
+
+def _losses(shipped):
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(TEMPERATURES))
-        for _, label, features, amounts in _rows(batches):
-            logits = (amounts @ weights[features])[None, :] / np.array(TEMPERATURES)[:, None]
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            label, features, amounts = _example(row)
+            logits = (amounts @ shipped.value[features])[None, :] / np.array(TEMPERATURES)[:, None]
             top = logits.max(axis=1)
             total += np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top - logits[:, label]
         yield pa.RecordBatch.from_pydict({"losses": pa.array([total.tolist()], pa.list_(pa.float64()))})

@@ -10,13 +10,15 @@ lists of a text is a binary probe of its own sorted shingles.
 Lists are not multiplied out. First each list compares all members with one, which a hash picks
 anew for each list, so a group of near copies falls together after a number of comparisons
 linear in its postings. Then only pairs of different components are left. Lists that have their
-member of least hash in common are brought together, and a pair is passed on only if what it
-shares there, and could share elsewhere, reaches T; the sums over all short lists decide which
-pairs are compared.
+member of least hash in common are brought together. Where few sets meet there, a pair is passed on
+only if what it shares there, and could share elsewhere, reaches T; the sums over all short lists
+decide which pairs are compared. Where many meet, no pair is listed: the sets are cut into blocks,
+each pair of blocks counts what its sets share, and gives back a spanning forest of the links
+between components.
 
 After that all similar pairs lie within components. Components whose pairs were not all found are
-cut into blocks, and each pair of blocks counts what its sets share: frequent shingles by a matrix
-product, rare ones pair by pair. Only link counts leave a block, never pairs.
+cut into blocks as well, and each pair of blocks counts what its sets share: frequent shingles by a
+matrix product, rare ones pair by pair. Only link counts leave a block, never pairs.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ SKETCH_BITS = 19
 #: Members of a list handled as one piece; longer lists are split by a hash of the document.
 PIECE = 50_000
 
-#: Rows of one key handled as one block.
-CELL = 200_000
+#: Sets under one key whose pairs are listed; more are compared in blocks.
+FEW = 16
 
 #: Members of one text compared in one piece.
 UNIT = 500
@@ -160,13 +162,15 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 def jaccard_components(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
-    piece: int = PIECE, block_sets: int = BLOCK_SETS,
+    piece: int = PIECE, block_sets: int = BLOCK_SETS, few: int = FEW, count_links: bool = True,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, n_links, component_id``.
 
+    Without ``count_links`` only components are looked for, and ``n_links`` is null.
+
     Nodes are the different pairs of an id and a shingle set. ``n_links`` is the number of other
     nodes whose sets are similar to the row's own set, equal sets included. Equal sets are searched
-    for once, under 64 bits of a fingerprint, and count by their number of ids. The search is exact:
+    for once, under a fingerprint of 64 bits, and count by their number of ids. The search is exact:
     no list, candidate or text is cut short.
 
     The passes over the documents move no text; texts that share a short list with another are
@@ -203,19 +207,23 @@ def jaccard_components(
     links = checkpointed(_compare(first, candidates, words, percent))
 
     parts = components(links)
-    crossing = _crossing_rows(_labelled(members, parts))
-    counted = crossing.mapInArrow(_crossing(percent), "a bigint, b bigint, n_a int, n_b int, seen int").groupBy("a", "b").agg(
+    light, heavy = _crossing_rows(_labelled(members, parts), few)
+    counted = light.mapInArrow(_crossing(percent), "a bigint, b bigint, n_a int, n_b int, seen int").groupBy("a", "b").agg(
         F.sum("seen").alias("seen"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     # T-occurrence: what both share is at most what they share in the short lists and all long
     # lists of the text whose short lists end first.
     total = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     long_lists = F.greatest(*[F.ceil(F.col(n) * percent / 100) - 1 for n in ("n_a", "n_b")])
     second = checkpointed(counted.where(F.col("seen") + long_lists >= total).select("a", "b").join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        links = checkpointed(links.unionByName(_compare(second, candidates, words, percent)))
+    joined = checkpointed(_joined_blocks(heavy, candidates, words, percent, block_sets))
+    found_more = not second.isEmpty()
+    if found_more:
+        links = links.unionByName(_compare(second, candidates, words, percent))
+    if found_more or not joined.isEmpty():
+        links = checkpointed(links.unionByName(joined).distinct())
         parts = components(links)
 
-    degrees = checkpointed(_degrees(links, parts, sets, candidates, words, percent, block_sets))
+    degrees = sets.limit(0).select("node", F.lit(0).cast("bigint").alias("links")) if not count_links else checkpointed(_degrees(links, parts, sets, candidates, words, percent, block_sets))
     same_id = checkpointed(named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b"))
     if not same_id.isEmpty():
         parts = components(links.unionByName(
@@ -226,10 +234,11 @@ def jaccard_components(
         grouped.where("component IS NOT NULL OR copies > 1").join(lowest, ["component"], "left").join(degrees, ["node"], "left").select(
             "node", F.coalesce("component_id", "first_id").alias("component_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    n_links = F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None).cast("bigint")
     placed = sizes.select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.col("node")).alias("node"))
     return placed.join(found, ["node"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "n_shingles", n_links.alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 _MEASURED = "doc_id bigint, n int, node bigint, slice int, salt int, counts binary"
@@ -420,35 +429,117 @@ def _labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
         "token", F.coalesce("component", "node").alias("part"), "node", "head", "n"))
 
 
-def _crossing_rows(labelled: DataFrame) -> DataFrame:
-    """Lists that still hold several components, sorted by ``(key, piece)``.
+def _crossing_rows(labelled: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
+    """Lists that still hold several components: rows by list of keys under which at most ``few``
+    sets meet, sorted by key, and ``(key, node, part, n)`` of the other keys.
 
     The key of a list is its member of least hash, which the lists of a group of similar texts
-    mostly have in common, so that a task sees most of what a pair shares. The rows of a key
-    beyond ``CELL`` are dealt into blocks by document, and each pair of blocks is a piece.
+    mostly have in common, so that a task sees most of what a pair shares. A pair that meets under
+    a key of the second kind is settled there, whatever else it shares.
     """
     lists = labelled.groupBy("token").agg(
         F.min("part").alias("low"), F.max("part").alias("high"),
         F.min(F.struct(F.xxhash64("node").alias("hash"), F.col("node").alias("key"))).alias("least"),
     ).where("low <> high").select("token", F.col("least.key").alias("key"))
     keyed = checkpointed(labelled.join(lists, ["token"]))
-    blocks = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
+    members = checkpointed(keyed.groupBy("key", "node").agg(F.max("part").alias("part"), F.max("n").alias("n")))
+    many = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > few).select("key")
+    light = keyed.join(many, ["key"], "left_anti")
     # Pairs that are left share only lists of this kind.
     shared = keyed.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    dealt = keyed.join(shared, ["node"]).join(blocks, ["key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pieces = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, "block") * F.col("blocks") + F.greatest(x, "block"))
-    spread = dealt.withColumn("piece", F.explode(pieces))
-    return spread.repartition("key", "piece").sortWithinPartitions("key", "piece", "token", "node").select(
-        "key", "piece", "token", "part", "node", "head", "n", "shared", "block", "blocks")
+    rows = light.join(shared, ["node"]).repartition("key").sortWithinPartitions("key", "token", "node").select(
+        "key", "token", "part", "node", "head", "n", "shared")
+    return rows, members.join(many, ["key"], "left_semi")
+
+
+def _pieces(rows: DataFrame, node: str = "node") -> DataFrame:
+    """Rows with a number of ``blocks``, dealt into blocks by node and sent to every pair of blocks
+    that has theirs: ``piece``, and whether the block is the pair's ``low`` one and its ``high`` one."""
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda x: F.least(x, "block") * F.col("blocks").cast("bigint") + F.greatest(x, "block"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")).withColumn("piece", F.explode(pairs))
+    return dealt.withColumn("low", F.col("block") == F.expr("piece div blocks")).withColumn("high", F.col("block") == F.expr("piece % blocks"))
+
+
+def _joined_blocks(heavy: DataFrame, candidates: DataFrame, words: int, percent: int, block_sets: int) -> DataFrame:
+    """Links between components among the sets under a key: a spanning forest per pair of blocks."""
+    blocks = heavy.groupBy("key").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / block_sets, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sent = _pieces(heavy.join(blocks, ["key"])).select("key", "piece", "low", "high", "node", "part")
+    units = candidates.join(sent, ["node"]).repartition("key", "piece").sortWithinPartitions("key", "piece")
+    return units.select("key", "piece", "low", "high", "node", "part", "text").mapInArrow(
+        _by_unit(words, _forest(percent)), "a bigint, b bigint").distinct()
+
+
+def _forest(percent: int):
+    def forest(held: list[tuple]) -> pa.RecordBatch:
+        rows, columns, near = _near(held, percent)
+        nodes, parts = (np.array(c) for c in list(zip(*held))[2:4])
+        left, right = np.nonzero(near)
+        left, right = rows[left], columns[right]
+        _, own = np.unique(parts, return_inverse=True)
+        # One link for each two components, then only those that join what was apart.
+        one, two = np.minimum(own[left], own[right]), np.maximum(own[left], own[right])
+        _, first = np.unique(one * len(held) + two, return_index=True)
+        root = list(range(int(own.max()) + 1))
+        chosen = []
+        for k in first[one[first] != two[first]].tolist():
+            x, y = int(one[k]), int(two[k])
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            if x != y:
+                root[y] = x
+                chosen.append(k)
+        a, b = nodes[left[chosen]], nodes[right[chosen]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    return forest
+
+
+def _near(held: list[tuple], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the low and in the high block, and which of their sets are similar. Rows of ``held``
+    begin with ``low`` and ``high`` and end with the set."""
+    low, high = (np.array(c) for c in list(zip(*held))[:2])
+    sets = [h[-1] for h in held]
+    rows, columns = np.flatnonzero(low), np.flatnonzero(high)
+    if not len(rows) or not len(columns):
+        return rows, columns, np.zeros((len(rows), len(columns)), dtype=bool)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    both = shared_counts([sets[i] for i in rows], [sets[i] for i in columns]).astype(np.int64)
+    near = (both > 0) & (100 * both >= percent * (size[rows][:, None] + size[columns] - both))
+    return rows, columns, near & (rows[:, None] != columns)
+
+
+def _by_unit(words: int, result):
+    """``result`` of the rows of each unit, whose texts are replaced by their sets; the first two
+    columns name the unit, the last is the text."""
+
+    def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, key, held = Shingler(words), None, []
+        for batch in batches:
+            *columns, texts = (c.to_pylist() for c in batch.columns)
+            for one, two, *row, own in zip(*columns, shingler.each(texts)):
+                if (one, two) != key:
+                    if held:
+                        yield result(held)
+                    key, held = (one, two), []
+                held.append((*row, own))
+        if held:
+            yield result(held)
+
+    return by_unit
 
 
 def _crossing(percent: int):
     """Pairs of different components with the number of lists of a key they share, unless they were
     compared as member and pick of a list, or sizes or counts rule them out."""
 
-    def found(part, doc, head, token, n, shared, block, blocks, piece) -> Iterator[pa.RecordBatch]:
+    def found(part, doc, head, token, n, shared) -> Iterator[pa.RecordBatch]:
         ids, first, rows = np.unique(doc, return_index=True, return_inverse=True)
-        own, size, lists, cell = part[first], n[first].astype(np.int64), shared[first].astype(np.int64), block[first]
+        own, size, lists = part[first], n[first].astype(np.int64), shared[first].astype(np.int64)
         local = np.bincount(rows)
         begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         ends = np.concatenate([begins[1:], [len(token)]])
@@ -460,12 +551,10 @@ def _crossing(percent: int):
         rest = needed(size, percent) - 1
         values, counts = np.unique(own, return_counts=True)
         few = own != values[counts.argmax()]
-        low, high = divmod(piece, blocks)
         for i in np.flatnonzero(few):
             seen = np.bincount(np.concatenate([rows[begins[t] : ends[t]] for t in by_doc[i]]), minlength=len(ids))
             use = (seen > 0) & (own != own[i]) & ~(few & (ids <= ids[i]))
             use &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
-            use &= cell == (high if cell[i] == low else low)
             use[picked[(rows == i) & (picked >= 0)]] = False
             use[rows[picked == i]] = False
             total = -(-percent * (size + size[i]) // (100 + percent))
@@ -481,11 +570,11 @@ def _crossing(percent: int):
                 ], names=["a", "b", "n_a", "n_b", "seen"])
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, piece, token, part, doc, head, n, shared, block, blocks in whole_groups(batches, 2):
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(piece) != 0)) + 1
+        for key, token, part, doc, head, n, shared in whole_groups(batches, 1):
+            cuts = np.flatnonzero(np.diff(key) != 0) + 1
             for low, high in zip([0, *cuts], [*cuts, len(key)]):
                 span = slice(low, high)
-                yield from found(part[span], doc[span], head[span], token[span], n[span], shared[span], block[span], int(blocks[low]), int(piece[low]))
+                yield from found(part[span], doc[span], head[span], token[span], n[span], shared[span])
 
     return crossing
 
@@ -550,49 +639,24 @@ def _degrees(
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     added = both.join(closed.select(F.col("node").alias("b"), "copies"), ["b"]).select(F.col("a").alias("node"), F.col("copies").alias("links"))
 
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, "block") * F.col("blocks").cast("bigint") + F.greatest(x, "block"))
-    sent = marked.where("NOT whole").withColumn("block", block).withColumn("piece", F.explode(pieces)).select(
-        "component", "piece", (F.col("block") == F.expr("piece div blocks")).alias("low"), (F.col("block") == F.expr("piece % blocks")).alias("high"),
-        "node", "copies")
+    sent = _pieces(marked.where("NOT whole")).select("component", "piece", "low", "high", "node", "copies")
     units = candidates.join(sent, ["node"]).repartition("component", "piece").sortWithinPartitions("component", "piece")
     counted = units.select("component", "piece", "low", "high", "node", "copies", "text").mapInArrow(
-        _count_links(words, percent), "node bigint, links bigint")
+        _by_unit(words, _link_counts(percent)), "node bigint, links bigint")
     return added.unionByName(counted).groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def _count_links(words: int, percent: int):
-    names = ["node", "links"]
-
+def _link_counts(percent: int):
     def links(held: list[tuple]) -> pa.RecordBatch:
-        low, high, nodes, copies = (np.array(c) for c in list(zip(*held))[:4])
-        sets = [h[4] for h in held]
-        rows, columns = np.flatnonzero(low), np.flatnonzero(high)
+        rows, columns, near = _near(held, percent)
+        nodes, copies = (np.array(c) for c in list(zip(*held))[2:4])
         counts = np.zeros(len(held), dtype=np.int64)
-        if len(rows) and len(columns):
-            size = np.array([len(s) for s in sets], dtype=np.int64)
-            both = shared_counts([sets[i] for i in rows], [sets[i] for i in columns]).astype(np.int64)
-            near = (both > 0) & (100 * both >= percent * (size[rows][:, None] + size[columns] - both))
-            near &= rows[:, None] != columns
-            counts[rows] += near @ copies[columns]
-            if not (low & high).any():
-                counts[columns] += copies[rows] @ near
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64())], names=names)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, key, held = Shingler(words), None, []
-        for batch in batches:
-            *columns, texts = (c.to_pylist() for c in batch.columns)
-            for component, piece, low, high, node, copies, own in zip(*columns, shingler.each(texts)):
-                if (component, piece) != key:
-                    if held:
-                        yield links(held)
-                    key, held = (component, piece), []
-                held.append((low, high, node, copies, own))
-        if held:
-            yield links(held)
+        counts[rows] += near @ copies[columns]
+        if not np.intersect1d(rows, columns).size:
+            counts[columns] += copies[rows] @ near
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64())], names=["node", "links"])
 
-    return count
+    return links
 
 
 def shared_counts(rows: Sequence[np.ndarray], columns: Sequence[np.ndarray], step: int = 2048, most: int = 4_000_000) -> np.ndarray:

@@ -49,9 +49,10 @@ def components_by_force(texts):
     return {i: (len(sets[i]), part[i]) for i in sets}
 
 
-@pytest.mark.parametrize("piece", [50_000, 1])
-def test_near_copies(spark, piece):
-    """Families of edited copies; with ``piece`` 1 every frequent list is split."""
+@pytest.mark.parametrize("piece, few, block_sets", [(50_000, 16, 1000), (1, 16, 1000), (50_000, 1, 7), (1, 1, 1000)])
+def test_near_copies(spark, piece, few, block_sets):
+    """Families of edited copies; with ``piece`` 1 every frequent list is split, with ``few`` 1 what
+    is left is compared in blocks."""
     words = [f"w{k}" for k in range(60)]
     texts = {}
     for i in range(120):
@@ -61,7 +62,7 @@ def test_near_copies(spark, piece):
         texts[i] = " ".join(own) if i % 11 else " ".join(own).upper()
     texts |= {200: None, 201: "", 202: "one two", 203: "ONE\ttwo\n", 204: "one", 205: "é" * 3, 206: "É" * 3, 207: "long " * 300_000}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    rows = jaccard_components(docs.withColumn("n", F.lit("clash")), piece=piece).collect()
+    rows = jaccard_components(docs.withColumn("n", F.lit("clash")), piece=piece, few=few, block_sets=block_sets).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components_by_force(texts)
     assert jaccard_components(docs.limit(0)).count() == 0
 
