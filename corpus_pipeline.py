@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat an id count as one document: they stay or go together, and of those that
     also repeat the text one stays. Rows with a null id are linked with nothing and all stay.
     """
-    groups = jaccard_components(docs)
+    groups = jaccard_components(docs, count_links=False)
     dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     kept = docs.join(dropped, ["doc_id"], "left_anti").select(*docs.columns)
