@@ -92,7 +92,7 @@ class PageScan:
 
     __slots__ = (
         "source", "tag", "parent", "last", "attrs", "run_start", "run_end", "head_end",
-        "html_start", "html_end", "runs", "_stack", "_opened", "_last_child", "_body",
+        "html_start", "html_end", "runs", "owners", "_stack", "_opened", "_last_child", "_body",
     )
 
     def __init__(self, source: str):
@@ -107,6 +107,7 @@ class PageScan:
         self.html_start: list[int] = []
         self.html_end: list[int] = []
         self.runs: list[str] = []
+        self.owners: list[int] = []
         self._stack: list[int] = []
         self._opened: dict[str, int] = {}
         self._last_child: list[str | None] = []
@@ -241,6 +242,7 @@ class PageScan:
             self._enter("p", at)
             self._open("p", {}, at)
         self.runs.append(text)
+        self.owners.append(self._stack[-1])
         # text between two children counts as the last child for the blank rule
         if self._last_child[self._stack[-1]] is not None:
             self._last_child[self._stack[-1]] = "span"
@@ -282,6 +284,7 @@ class PageScan:
                         text = _html.unescape(text)
                     if not text.isspace():
                         self.runs.append(text)
+                        self.owners.append(self._stack[-1])
                 at = stop
         while self._stack:
             self._close_top(size)
@@ -291,6 +294,13 @@ class PageScan:
         runs = self.runs
         return ["".join(runs[s:e]) or None for s, e in zip(self.run_start, self.head_end)]
 
+    def own_texts(self) -> list[list[str]]:
+        """Texts that lie directly in each element, one per run."""
+        texts: list[list[str]] = [[] for _ in self.tag]
+        for owner, run in zip(self.owners, self.runs):
+            texts[owner].append(run)
+        return texts
+
     def gpaths(self) -> list[str]:
         paths: list[str] = []
         for parent, tag in zip(self.parent, self.tag):

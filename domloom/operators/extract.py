@@ -17,7 +17,7 @@ from domloom.operators.nodes import NO_CONTENT, parse_pages
 from domloom.operators.schema import Section
 from domloom.operators.xpath import compile_xpath, fields_for
 
-EXTRACTION_TYPE = "section: string, is_list: boolean, value: string, values: array<string>, source_xpath: string"
+EXTRACTION_TYPE = "section: string, is_list: boolean, value: string, values: array<string>, source_xpath: string, reason: string"
 
 
 def usable(sections: Sequence[Section]) -> list[Section]:
@@ -52,15 +52,22 @@ def _extraction(section: Section, full_text: bool, fallback: bool) -> str:
             f"CASE WHEN exists(a.texts, t -> coalesce(t, '') != '') THEN a ELSE {choose(candidates[1:])} END",
         )
 
+    tried = section.candidates if fallback else section.candidates[:1]
     if section.is_list:
         shape = "CAST(NULL AS STRING) AS value, transform(a.texts, t -> coalesce(t, '')) AS values"
     else:
         shape = "get(a.texts, 0) AS value, CAST(NULL AS ARRAY<STRING>) AS values"
     row = (
         f"struct({sql_literal(section.name)} AS section, {str(section.is_list).lower()} AS is_list, "
-        f"{shape}, CASE WHEN size(a.texts) > 0 THEN a.xpath END AS source_xpath)"
+        f"{shape}, CASE WHEN size(a.texts) > 0 THEN a.xpath END AS source_xpath, {sql_literal(_reason(tried))} AS reason)"
     )
-    return sql_let(choose(section.candidates if fallback else section.candidates[:1]), "a", row)
+    return sql_let(choose(tried), "a", row)
+
+
+def _reason(expressions: Sequence[str]) -> str | None:
+    """Why none of the expressions can match anything, if so."""
+    reasons = [compile_xpath(x).reason for x in expressions]
+    return f"{expressions[0]}: {reasons[0]}" if all(reasons) else None
 
 
 def extract(
@@ -74,7 +81,8 @@ def extract(
 
     ``fields`` is an array with one entry per section that has an XPath, matched or not: a
     scalar without a match is null, a list without one is empty and never null. ``fields``
-    is null where the page has no content or failed to parse. ``full_text`` takes all text
+    is null where the page has no content or failed to parse. An entry whose XPaths are all outside
+    the supported subset says so in ``reason``. ``full_text`` takes all text
     inside a match instead of the text before its first child; ``fallback`` tries
     ``xpath_list`` in order until a candidate yields text.
     """
@@ -87,14 +95,21 @@ def extract(
     )
 
 
-def extractions(extracted: DataFrame, *keep: str) -> DataFrame:
-    """Long form: one row per page and section.
+def extractions(extracted: DataFrame, *keep: str, reasons: bool = False) -> DataFrame:
+    """Long form: one row per page and section; with ``reasons`` also why one cannot match.
 
     The outer form and a filter on its result: for a plain ``inline`` the optimizer would
     add a filter on the array's size, which evaluates every section a second time.
     """
     rows = extracted.select("page_id", *keep, F.inline_outer("fields"))
-    return rows.filter(F.col("section").isNotNull())
+    rows = rows.filter(F.col("section").isNotNull())
+    return rows if reasons else rows.drop("reason")
+
+
+def unmatched_sections(extracted: DataFrame) -> DataFrame:
+    """``(page_id, section, reason)`` of sections that could not be looked for on a page."""
+    rows = extractions(extracted, reasons=True)
+    return rows.where(F.col("reason").isNotNull()).select("page_id", "section", "reason")
 
 
 def extract_sections(pages: DataFrame, sections: Sequence[Section], **options) -> DataFrame:

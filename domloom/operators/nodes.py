@@ -34,6 +34,7 @@ NODE_FIELDS: dict[str, str] = {
     "gseq": "int",  # how often gpath has occurred in the page so far
     "xpath": "string",  # absolute path, index only where same-tag siblings exist
     "text_head": "string",  # text before the first child
+    "own_texts": "array<string>",  # runs of text directly inside the element
     "run_start": "int",  # slice of the page's text runs that lies inside the element
     "run_end": "int",
     "html_start": "int",  # code point offsets of the outer HTML
@@ -97,6 +98,8 @@ def _node_values(scan: PageScan, fields: Sequence[str]) -> Iterator[tuple[str, I
         derived["xpath"] = scan.xpaths()
     if "text_head" in wanted:
         derived["text_head"] = scan.text_heads()
+    if "own_texts" in wanted:
+        derived["own_texts"] = scan.own_texts()
     for field in fields:
         yield field, derived[field] if field in derived else getattr(scan, field)
 

@@ -412,7 +412,15 @@ def all_oracles() -> dict[str, str]:
         named("second_item", "tag = 'a' AND li_no = 2"), named("last_item", "tag = 'a' AND li_no = n_li"),
         named("ad", "cls = 'ad'"), named("ad_token", "cls = 'ad'"), named("bold", "tag = 'b'"),
         named("title_text", "tag = 'title'"), named("ends", "tag IN ('h1', 'footer')"),
+        named("with_items", "tag = 'ul' AND n_li > 0"), named("bare_items", "tag = 'li' AND cls IS NULL"),
+        named("after_heading", "tag = 'p'"), named("next_to_heading", "tag = 'p' AND p_no = 1 AND box = 'article'"),
+        named("own_text", "tag = 'a' AND (text_head = 'The' OR href = '/and')"),
+        named("first_ad", "cls = 'ad'"), named("early_items", "tag = 'a' AND li_no < 3"), named("first_of_page", "tag = 'a' AND li_no = 1"),
+        named("first_in_body", "tag = 'nav'"), named("below_nested", "tag = 'a'"),
     ])
+    o["unsupported_xpaths"] = """SELECT page_id, unnest(['menu', 'words']) AS section,
+        unnest([$$//a/ancestor::nav: unsupported: syntax at '/ancestor::nav'$$, $$count(//p): unsupported: syntax at '/count(//p)'$$]) AS reason
+        FROM pages WHERE html IS NOT NULL"""
     o["xpath_text"] = f"{N} SELECT page_id, nid, {stripped('full_text')} AS text FROM nodes WHERE tag IN ('h1', 'li', 'footer')"
     o["common_xpath"] = f"""{N}, steps AS (SELECT tag, unnest(string_split(xpath, '/')) AS step, generate_subscripts(string_split(xpath, '/'), 1) AS pos FROM nodes),
         n AS (SELECT tag, count(*) AS n FROM nodes GROUP BY tag),

@@ -78,9 +78,26 @@ XPATHS = {
     "title_text": "//title/text()",
     "ends": "//h1 | //footer",
     "none": "//section/p",
-    "unsupported": "//a[position()<3]",
+    "with_items": "//ul[li/a]",
+    "bare_items": "//li[not(@class) and a]",
+    "after_heading": "//h1/following-sibling::p",
+    "next_to_heading": "//article/h1/following-sibling::p[1]",
+    "own_text": "//a[text()='The' or @href='/and']",
+    "first_ad": "//div[@class='ad'][1]",
+    "early_items": "//li[position()<3]/a",
+    "first_of_page": "(//a)[1]",
+    "first_in_body": "/html/body/*[1]",
+    "below_nested": "//body//ul//a",
+    "unsupported": "//a/ancestor::nav",
 }
 
+#: What a schema can ask for that no page will give.
+OUT_OF_REACH = (
+    Section("heading", "//h1"),
+    Section("menu", "//a/ancestor::nav", xpath_list=("//li/..",)),
+    Section("words", "count(//p)", is_list=True),
+)
+
 
 # A character that page text does not hold.
 SEPARATOR = "\x1f"
@@ -299,6 +316,11 @@ def select_xpaths(spark, sf):
     return select_xpath(parsed, XPATHS)
 
 
+@query("unsupported_xpaths")
+def unsupported_sections(spark, sf):
+    return ex.unmatched_sections(ex.extract(inputs.pages(spark, sf), OUT_OF_REACH, fallback=True))
+
+
 @query("xpath_text")
 def xpath_texts(spark, sf):
     parsed = parse_pages(inputs.pages(spark, sf), fields_for(["//li"], "run_start", "run_end"))
