@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections.abc import Iterable, Iterator
 
 
 # Element classes of HTML.
@@ -301,18 +302,31 @@ class PageScan:
             texts[owner].append(run)
         return texts
 
-    def gpaths(self) -> list[str]:
-        paths: list[str] = []
+    def _paths(self, steps: Iterable[str]) -> Iterator[str]:
+        """Paths in document order; only those of the open elements are held."""
+        opened: list[int] = []
+        ends: list[int] = []
+        path = ""
+        for at, (parent, step) in enumerate(zip(self.parent, steps), 1):
+            while opened and opened[-1] != parent:
+                opened.pop()
+                ends.pop()
+            path = f"{path[: ends[-1] if ends else 0]}/{step}"
+            opened.append(at)
+            ends.append(len(path))
+            yield path
+
+    def gpaths(self) -> Iterator[str]:
+        return (path[1:] for path in self._paths(self.tag))
+
+    def path_numbers(self) -> list[int]:
+        """A number per element, the same where ``gpaths`` are the same."""
+        known: dict[tuple[int, str], int] = {}
+        numbers: list[int] = []
         for parent, tag in zip(self.parent, self.tag):
-            paths.append(f"{paths[parent - 1]}/{tag}" if parent else tag)
-        return paths
-
-    def path_chars(self) -> int:
-        """About the length of all paths together, which grows with elements times depth."""
-        lengths: list[int] = []
-        for parent, tag in zip(self.parent, self.tag):
-            lengths.append((lengths[parent - 1] if parent else 0) + len(tag) + 1)
-        return sum(lengths)
+            key = (numbers[parent - 1] if parent else 0, tag)
+            numbers.append(known.setdefault(key, len(known) + 1))
+        return numbers
 
     def depths(self) -> list[int]:
         depths: list[int] = []
@@ -337,9 +351,5 @@ class PageScan:
     def same_tag_and_class(self) -> tuple[list[int], list[int]]:
         return self.places([(p, t, a.get("class")) for p, t, a in zip(self.parent, self.tag, self.attrs)])
 
-    def xpaths(self) -> list[str]:
-        paths: list[str] = []
-        for parent, tag, idx, n in zip(self.parent, self.tag, *self.same_tag()):
-            step = f"{tag}[{idx}]" if n > 1 else tag
-            paths.append(f"{paths[parent - 1]}/{step}" if parent else f"/{step}")
-        return paths
+    def xpaths(self) -> Iterator[str]:
+        return self._paths(f"{tag}[{idx}]" if n > 1 else tag for tag, idx, n in zip(self.tag, *self.same_tag()))

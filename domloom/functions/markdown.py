@@ -175,6 +175,10 @@ def _plain_tags(text: str) -> str:
 
 def html_to_markdown(html: str) -> Column:
     """Markdown for an HTML fragment or page; null stays null."""
+    return F.expr(html_to_markdown_sql(html))
+
+
+def html_to_markdown_sql(html: str) -> str:
     inner = sql_replace(sql_replace("c", r"(?i)\A<pre(?=[\s/>])[^>]*>\n?|</pre\s*>"), ANY_TAG)
     code = decode_entities_sql(sql_replace(inner, r"\n+\z"))
     chunk = f"""CASE WHEN rlike(c, {sql_literal(r'(?i)\A<pre(?=[\s/>])')})
@@ -184,17 +188,21 @@ def html_to_markdown(html: str) -> Column:
     clean = _plain_tags(sql_replace(clean, rf"(?is){SCRIPT_STYLE}|{COMMENT}"))
     chunks = f"split(h, {sql_literal(r'(?i)(?=<pre(?=[\s/>]))|(?<=</pre>)')})"
     joined = f"array_join(transform({chunks}, c -> {chunk}), '')"
-    return F.expr(sql_strip(sql_replace(sql_let(clean, "h", joined), r"\n{3,}", "\n\n")))
+    return sql_strip(sql_replace(sql_let(clean, "h", joined), r"\n{3,}", "\n\n"))
 
 
 MARKUP = r"([\\`*_{}\[\]()#+.!-])"
+BACKSLASHED = r"\\$1"
 
 
 def markdown_escape(text: str) -> Column:
     """Backslash before every character Markdown would read as markup."""
-    return F.expr(sql_replace(text, MARKUP, r"\\$1"))
+    return F.expr(sql_replace(text, MARKUP, BACKSLASHED))
 
 
-def escaped(text: Column) -> Column:
-    """``markdown_escape`` of a column that has no name, such as an item of a list."""
-    return F.regexp_replace(text, MARKUP, r"\\$1")
+def list_items(items: str) -> Column:
+    """A Markdown list of the texts of an array that are not empty: those with tags are converted,
+    others escaped, further lines of an item indented."""
+    item = f"CASE WHEN rlike(v, {sql_literal(r'</?[A-Za-z][^>]*+>')}) THEN {html_to_markdown_sql('v')} ELSE {sql_replace('v', MARKUP, BACKSLASHED)} END"
+    listed = f"transform(filter({items}, v -> v != ''), v -> concat('- ', replace({item}, chr(10), concat(chr(10), '  '))))"
+    return F.expr(f"array_join({listed}, chr(10))")

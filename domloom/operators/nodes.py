@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from domloom.functions.columns import sql_let
 from domloom.functions.html_scan import PageScan
 
 NODE_FIELDS: dict[str, str] = {
@@ -30,9 +31,6 @@ NODE_FIELDS: dict[str, str] = {
     "attrs": "map<string,string>",
     "cls": "array<string>",
     "id": "string",
-    "gpath": "string",  # index-free path, e.g. html/body/article/p
-    "gseq": "int",  # how often gpath has occurred in the page so far
-    "xpath": "string",  # absolute path, index only where same-tag siblings exist
     "text_head": "string",  # text before the first child
     "own_texts": "array<string>",  # runs of text directly inside the element
     "run_start": "int",  # slice of the page's text runs that lies inside the element
@@ -40,6 +38,15 @@ NODE_FIELDS: dict[str, str] = {
     "html_start": "int",  # code point offsets of the outer HTML
     "html_end": "int",
 }
+# Fields that a path is put together from, see ``path_sql``.
+PATH_FIELDS = ("nid", "parent_nid", "depth", "tag", "idx", "n_same")
+# What rows of elements can have besides.
+ROW_FIELDS: dict[str, str] = {
+    **NODE_FIELDS,
+    "gpath": "string",  # index-free path, e.g. html/body/article/p
+    "gseq": "int",  # how often gpath has occurred in the page so far
+    "xpath": "string",  # absolute path, index only where same-tag siblings exist
+}
 # What the XPath matcher reads.
 MATCH_FIELDS = ("nid", "parent_nid", "last_nid", "tag", "idx", "n_same", "attrs", "cls", "id")
 
@@ -52,10 +59,6 @@ _ARROW = {
 # Output batches are cut at about this many source characters.
 BATCH_CHARS = 8 * 1024 * 1024
 
-#: Node fields that hold or need a path per element, and how many characters of paths a page may have.
-PATH_FIELDS = frozenset(("gpath", "gseq", "xpath"))
-MAX_PATH_CHARS = 1 << 27
-
 NO_CONTENT = "No HTML content available"
 
 
@@ -90,10 +93,10 @@ def _node_values(scan: PageScan, fields: Sequence[str]) -> Iterator[tuple[str, I
         derived["cls"] = [a["class"].split() if "class" in a else [] for a in scan.attrs]
     if "id" in wanted:
         derived["id"] = [a.get("id") for a in scan.attrs]
-    if wanted & {"gpath", "gseq"}:
-        derived["gpath"] = scan.gpaths()
     if "gseq" in wanted:
-        derived["gseq"] = PageScan.places(derived["gpath"])[0]
+        derived["gseq"] = PageScan.places(scan.path_numbers())[0]
+    if "gpath" in wanted:
+        derived["gpath"] = scan.gpaths()
     if "xpath" in wanted:
         derived["xpath"] = scan.xpaths()
     if "text_head" in wanted:
@@ -125,11 +128,6 @@ class _Batch:
             self.chars += len(source)
             try:
                 scan = PageScan(source)
-                for path in PATH_FIELDS.intersection(self.fields):
-                    size = scan.path_chars()
-                    if size > MAX_PATH_CHARS:
-                        raise ValueError(f"{path} of all elements would take {size} characters")
-                    self.chars += size
                 values = list(_node_values(scan, self.fields))
             except Exception as exc:  # one bad page must not fail the job
                 scan, error = None, f"{type(exc).__name__}: {exc}"
@@ -183,8 +181,9 @@ def parse_pages(
 
     Pass only the node ``fields`` the job reads: Spark cannot prune columns inside a
     Python operator, so they are pruned here. A page without content or one that cannot be
-    parsed keeps its row, with ``error`` set and null ``nodes``; so does one whose element
-    paths, if asked for, exceed ``MAX_PATH_CHARS``, which takes thousands of nested elements.
+    parsed keeps its row, with ``error`` set and null ``nodes``. What a row holds is linear in
+    its page: paths, which are not, are put together for the elements that need one
+    (``path_sql``) or while rows of elements are written (``node_rows``).
     """
     wanted = tuple(NODE_FIELDS) if fields is None else tuple(f for f in NODE_FIELDS if f in set(fields))
 
@@ -204,12 +203,59 @@ def parse_pages(
     return source.mapInArrow(scan, pages_schema(wanted) + extra)
 
 
+def path_sql(n: str, indexed: bool = True) -> str:
+    """SQL for the path of the element ``n`` of ``nodes``, from ``PATH_FIELDS``: absolute, with an index
+    where siblings have the same tag, or without any (``html/body/p``). It follows parent numbers."""
+    index = "CASE WHEN p.n_same > 1 THEN concat('[', p.idx, ']') ELSE '' END" if indexed else "''"
+    step = sql_let(
+        "get(nodes, up.at - 1)", "p", f"struct(p.parent_nid AS at, concat('/', p.tag, {index}, up.path) AS path)")
+    path = f"aggregate(sequence(1, {n}.depth), struct({n}.nid AS at, '' AS path), (up, k) -> {step}, up -> up.path)"
+    return path if indexed else f"substring({path}, 2)"
+
+
 def page_nodes(parsed: DataFrame, *fields: str) -> DataFrame:
-    """One row per element: ``page_id`` and the node fields (all parsed ones by default)."""
+    """One row per element of parsed pages: ``page_id`` and the node fields (all parsed ones by
+    default), also ``xpath`` and ``gpath`` where ``PATH_FIELDS`` were parsed."""
     nodes = parsed.schema["nodes"].dataType.elementType.names
-    return parsed.select("page_id", F.explode("nodes").alias("n")).select(
-        "page_id", *[F.col(f"n.{f}").alias(f) for f in (fields or nodes)]
-    )
+    paths = {"xpath": path_sql("n"), "gpath": path_sql("n", indexed=False)}
+    members = ", ".join(f"{paths.get(f, f'n.{f}')} AS {f}" for f in fields or nodes)
+    return parsed.selectExpr("page_id", f"inline(transform(nodes, n -> struct({members})))")
+
+
+def node_rows(pages: DataFrame, *fields: str) -> DataFrame:
+    """One row per element straight from ``(page_id, html)``: ``page_id`` and ``fields`` of ``ROW_FIELDS``.
+
+    Paths are built while rows are written, a batch of bounded size at a time, so that memory is
+    linear in the page however deep it nests. Pages that cannot be parsed have no rows.
+    """
+    schema = "page_id bigint, " + ", ".join(f"{f} {ROW_FIELDS[f]}" for f in fields)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        chars = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*held)) or [()] * (len(fields) + 1)
+            types = [pa.int64(), *(_ARROW[ROW_FIELDS[f]] for f in fields)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", *fields])
+
+        for batch in batches:
+            for page_id, source in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    scan = PageScan(source) if source else None
+                except Exception:  # one bad page must not fail the job
+                    scan = None
+                if scan is None:
+                    continue
+                for row in zip(*(values for _, values in _node_values(scan, fields))):
+                    held.append((page_id, *(list(v.items()) if isinstance(v, dict) else v for v in row)))
+                    chars += 64 + sum(len(v) for v in row if isinstance(v, str))
+                    if chars >= BATCH_CHARS:
+                        yield flush()
+                        held, chars = [], 0
+        yield flush()
+
+    return pages.select("page_id", "html").mapInArrow(rows, schema)
 
 
 def page_runs(parsed: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from domloom.functions.markdown import escaped, html_to_markdown, markdown_escape
+from domloom.functions.markdown import html_to_markdown, list_items, markdown_escape
 from domloom.operators.extract import field_of, usable
-from domloom.operators.schema import MAX_SECTIONS, Section, checked_count, few_rows
+from domloom.operators.schema import Section
 
 STRUCTURAL_PATH = r"/(?:nav|header|footer|aside)(?:[\[/]|$)"
 # A scalar field shorter than this on average is metadata, not main content.
@@ -83,33 +83,26 @@ def content_hierarchy(profile: DataFrame) -> DataFrame:
         return F.sort_array(F.collect_set(F.when(F.col("role") == role, F.col("section"))))
 
     main = F.col("role") == "main"
-    gathered = few_rows(profile).agg(
-        F.count("*").alias("n"),
+    gathered = profile.agg(
         names("main").alias("main_content_fields"),
         names("metadata").alias("metadata_fields"),
         names("structural").alias("structural_fields"),
         F.max_by(F.when(main, F.col("section")), F.when(main, F.struct(chars, F.col("section")))).alias("primary"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "field_type")))).alias("field_types"),
     )
-    return checked_count(gathered).withColumn(
+    return gathered.withColumn(
         "secondary", F.filter("main_content_fields", lambda f: f != F.col("primary"))
     )
 
 
 def collect_roles(profile: DataFrame) -> dict[str, str]:
-    """Section roles to the driver, after checking that there are few enough."""
-    rows = few_rows(profile.select("section", "role")).collect()
-    if len(rows) > MAX_SECTIONS:
-        raise ValueError(f"profile has more than {MAX_SECTIONS} sections")
-    return {r["section"]: r["role"] for r in rows}
+    """Section roles for the driver, which builds expressions from them: a row per section."""
+    return {r["section"]: r["role"] for r in profile.select("section", "role").collect()}
 
 
 def collect_types(profile: DataFrame) -> dict[str, str]:
-    """Field types by section, for a driver that builds expressions from them."""
-    rows = few_rows(profile.select("section", "field_type")).collect()
-    if len(rows) > MAX_SECTIONS:
-        raise ValueError(f"profile has more than {MAX_SECTIONS} sections")
-    return {r["section"]: r["field_type"] for r in rows}
+    """Field types by section, for the same."""
+    return {r["section"]: r["field_type"] for r in profile.select("section", "field_type").collect()}
 
 
 def records_to_markdown(
@@ -124,8 +117,8 @@ def records_to_markdown(
 
     The title becomes a heading, metadata ``**name**: value`` lines, a main text field
     plain text, and every list a Markdown list under its name. Fields of type ``html`` are
-    converted, ``object`` fields become code, all other texts are escaped. Fields without text
-    leave no trace. Pages that failed have a null document.
+    converted, as are items of lists that have tags; ``object`` fields become code, all other texts
+    are escaped. Fields without text leave no trace. Pages that failed have a null document.
     """
     wanted = usable(sections)
     fields = {s.name: f"field_{i}" for i, s in enumerate(wanted)}
@@ -135,9 +128,8 @@ def records_to_markdown(
         name, type_ = fields[s.name], types.get(s.name, "text")
         opened = f"**{s.name}**: "
         if s.is_list:
-            items = F.filter(name, lambda v: v != "")
-            listed = F.array_join(F.transform(items, lambda v: F.concat(F.lit("- "), escaped(v))), "\n")
-            return F.when(F.size(items) > 0, F.concat(F.lit(f"## {s.name}\n\n"), listed))
+            listed = list_items(name)
+            return F.when(listed != "", F.concat(F.lit(f"## {s.name}\n\n"), listed))
         shown = html_to_markdown(name) if type_ == "html" else markdown_escape(name)
         if type_ == "object":
             shown = F.concat(F.lit("```\n"), name, F.lit("\n```"))

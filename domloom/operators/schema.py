@@ -6,11 +6,12 @@ import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from domloom.operators.structure import page_total
 from domloom.operators.xpath import XPATH_SHAPE
+from domloom.session import checkpointed
 
 SCHEMA_VERSION = "1.0"
 SCHEMA_DESCRIPTION = "Schema for extracting content from HTML pages"
@@ -18,8 +19,8 @@ SCHEMA_ROW = (
     "name string, type string, description string, xpath string, xpath_list array<string>, "
     "is_list boolean, attributes map<string,string>, notes string"
 )
-# Drivers hold a schema whole, so a table of more sections than this is refused.
-MAX_SECTIONS = 10_000
+#: Alternative paths of a section that an inferred schema lists, best first.
+ALTERNATIVES = 20
 
 
 @dataclass(frozen=True)
@@ -41,35 +42,34 @@ class Section:
         return (self.xpath, *(x for x in self.xpath_list if x != self.xpath))
 
 
-def infer_schema(variants: DataFrame, pages: DataFrame, min_support: float = 0.0) -> DataFrame:
+def infer_schema(variants: DataFrame, pages: DataFrame, min_support: float = 0.0, k: int = ALTERNATIVES) -> DataFrame:
     """One schema row per section seen, from ``section_variants``.
 
-    The best path is the one on most pages (shorter, then smaller, wins ties). ``xpath_list``
-    ranks all paths of the section. Where pages share little structure, ``min_support`` asks for
-    paths on that share of all pages only; ``xpath_coverage`` ranks all of them as rows.
+    The best path is the one on most pages (shorter, then smaller, wins ties). ``xpath_list`` holds
+    the best ``k`` that are on a share of ``min_support`` of all pages; ``xpath_coverage`` ranks all of
+    them as rows. Tasks keep ``k`` paths of a section each before any are brought together, so no
+    task sees all paths of a section. ``variants`` is read twice and therefore written once.
     """
+    variants = checkpointed(variants)
     path = F.concat(F.lit("/"), F.col("gpath"))
-    order = F.struct(F.col("pages"), -F.length("gpath"), F.col("gpath"))
-    common = F.when(
-        F.col("pages") >= F.lit(min_support) * page_total(pages),
-        F.struct((-F.col("pages")).alias("a"), F.length("gpath").alias("b"), path.alias("xpath")),
-    )
+    order = F.struct(-F.col("pages"), F.length("gpath"), F.col("gpath"))
     grouped = variants.groupBy("section").agg(
-        F.max_by("type", order).alias("type"),
-        F.max_by("description", order).alias("description"),
-        F.max_by(path, order).alias("xpath"),
-        F.max_by("cls", order).alias("cls"),
-        F.sort_array(F.collect_list(common)).alias("ranked"),
+        F.min_by("type", order).alias("type"),
+        F.min_by("description", order).alias("description"),
+        F.min_by(path, order).alias("xpath"),
+        F.min_by("cls", order).alias("cls"),
         F.sum("lead_pages").alias("pages"),
         F.sum("lead_list_pages").alias("lists"),
         F.count("*").alias("paths"),
     )
-    return grouped.select(
+    listed = best_paths(variants, pages, min_support, k).groupBy("section").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "xpath"))).alias("ranked"))
+    return grouped.join(listed, ["section"], "left").select(
         F.col("section").alias("name"),
         "type",
         "description",
         "xpath",
-        F.transform("ranked", lambda r: r["xpath"]).alias("xpath_list"),
+        F.transform(F.coalesce("ranked", F.array().cast("array<struct<rank:int,xpath:string>>")), lambda r: r["xpath"]).alias("xpath_list"),
         (F.col("lists") * 2 > F.col("pages")).alias("is_list"),
         F.when(F.col("cls").isNotNull(), F.create_map(F.lit("class"), F.col("cls")))
         .otherwise(F.create_map().cast("map<string,string>"))
@@ -80,18 +80,27 @@ def infer_schema(variants: DataFrame, pages: DataFrame, min_support: float = 0.0
     )
 
 
+def best_paths(variants: DataFrame, pages: DataFrame, min_support: float = 0.0, k: int = ALTERNATIVES) -> DataFrame:
+    """``(section, rank, xpath, pages)``: the ``k`` paths of each section that are on most pages,
+    shorter ones and then smaller ones first among equals, on a share of ``min_support`` at least."""
+    best = Window.partitionBy("section").orderBy(F.desc("pages"), F.length("gpath"), "gpath")
+    frequent = variants.where(F.col("pages") >= F.lit(min_support) * page_total(pages))
+    ranked = frequent.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("section", "rank", F.concat(F.lit("/"), F.col("gpath")).alias("xpath"), "pages")
+
+
 def schema_document(schema: DataFrame, extraction_notes: str = "") -> DataFrame:
-    """The whole schema as one JSON document (one row, column ``json``).
+    """The whole schema as one JSON document (one row, column ``json``), sections by name.
 
-    More than ``MAX_SECTIONS`` rows are an error, and no more than that are gathered.
+    A schema has as many sections as there are rules or as its author wrote, each with at most the
+    alternatives it was inferred with, however many pages it was learnt from.
     """
     section = F.struct("name", "description", "xpath", "xpath_list", "is_list", "attributes", "notes")
     named = F.array_sort(
         F.collect_list(section),
         lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0),
     )
-    rows = few_rows(schema).agg(named.alias("rows"), F.count("*").alias("n"))
-    return checked_count(rows).select(
+    return schema.agg(named.alias("rows")).select(
         F.to_json(
             F.struct(
                 F.lit(SCHEMA_VERSION).alias("schema_version"),
@@ -106,23 +115,9 @@ def schema_document(schema: DataFrame, extraction_notes: str = "") -> DataFrame:
     )
 
 
-def few_rows(sections: DataFrame) -> DataFrame:
-    """At most one row more than a schema may have, enough to tell that there are too many."""
-    return sections.limit(MAX_SECTIONS + 1)
-
-
-def checked_count(gathered: DataFrame) -> DataFrame:
-    """``gathered`` without its count ``n``; an error where ``n`` exceeds ``MAX_SECTIONS``."""
-    message = F.lit(f"more than {MAX_SECTIONS} sections")
-    kept = F.when(F.col("n") > MAX_SECTIONS, F.raise_error(message).cast("bigint")).otherwise(F.col("n"))
-    return gathered.withColumn("n", kept).filter(F.col("n") >= 0).drop("n")
-
-
 def collect_schema(schema: DataFrame) -> list[Section]:
-    """Schema rows to the driver, after checking that there are few enough."""
-    rows = few_rows(schema.orderBy("name")).collect()
-    if len(rows) > MAX_SECTIONS:
-        raise ValueError(f"schema has more than {MAX_SECTIONS} sections")
+    """Schema rows to the driver, which compiles each section to an expression."""
+    rows = schema.orderBy("name").collect()
     known = set(schema.columns)
 
     def get(row, name, default):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from domloom.functions.columns import sql_let, sql_literal, sql_strip, tally
-from domloom.operators.nodes import node_text_sql
+from domloom.operators.nodes import PATH_FIELDS, node_text_sql, path_sql
 from domloom.operators.xpath import compile_xpath, fields_for
 from domloom.session import checkpointed
 
@@ -50,7 +50,7 @@ SECTION_RULES: tuple[SectionRule, ...] = (
 )
 
 SECTION_FIELDS = fields_for(
-    [x for r in SECTION_RULES for x in r.xpaths], "xpath", "gpath", "run_start", "run_end", "attrs"
+    [x for r in SECTION_RULES for x in r.xpaths], *PATH_FIELDS, "run_start", "run_end", "attrs"
 )
 
 
@@ -69,14 +69,14 @@ def _section(rule: SectionRule, sample_chars: int) -> str:
         {sql_literal(rule.section)} AS section,
         {sql_literal(rule.type)} AS type,
         {sql_literal(rule.description)} AS description,
-        {lead}.xpath AS xpath,
-        {lead}.gpath AS gpath,
+        {path_sql(lead)} AS xpath,
+        {path_sql(lead, indexed=False)} AS gpath,
         size(hits) > 1 AS is_list,
-        CASE WHEN size(hits) > 1 THEN concat('/', {lead}.gpath) END AS list_xpath,
+        CASE WHEN size(hits) > 1 THEN concat('/', {path_sql(lead, indexed=False)}) END AS list_xpath,
         {lead}.attrs AS attributes,
         substring({sql_strip(node_text_sql(lead))}, 1, {sample_chars}) AS content_sample,
         size(hits) AS n_matches,
-        transform(hits, n -> n.gpath) AS gpaths) END"""
+        transform(hits, n -> {path_sql('n', indexed=False)}) AS gpaths) END"""
     return sql_let(_first_match(rule.xpaths), "hits", row)
 
 
@@ -137,9 +137,11 @@ def class_id_patterns(parsed: DataFrame, pages: DataFrame) -> DataFrame:
     return _with_support(counted, pages)
 
 
-def structural_patterns(parsed: DataFrame, pages: DataFrame) -> DataFrame:
-    """Index-free paths: occurrences, pages, occurrences per page, support."""
-    rows = parsed.select(F.explode("nodes").alias("n")).select("n.gpath", "n.gseq")
+def structural_patterns(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Index-free paths: occurrences, pages, occurrences per page, support.
+
+    ``rows`` are elements with ``gpath`` and ``gseq``, from ``node_rows``.
+    """
     counted = rows.groupBy("gpath").agg(
         F.count("*").alias("occurrences"), F.count_if(F.col("gseq") == 1).alias("pages")
     )
@@ -150,10 +152,11 @@ def structural_patterns(parsed: DataFrame, pages: DataFrame) -> DataFrame:
 
 def repeating_patterns(parsed: DataFrame, min_repeat: int = 3) -> DataFrame:
     """Siblings alike in tag and class that occur at least ``min_repeat`` times together."""
-    groups = F.filter(F.col("nodes"), lambda n: (n["alike"] == 1) & (n["n_alike"] >= min_repeat))
+    groups = f"filter(nodes, n -> n.alike = 1 AND n.n_alike >= {int(min_repeat)})"
     # path and class in one string, because distinct strings are found by hashing
-    keys = F.transform(groups, lambda n: F.concat_ws(" ", n["gpath"], F.coalesce(n["attrs"]["class"], F.lit(""))))
-    sizes = F.transform(groups, lambda n: n["n_alike"])
+    path = path_sql("n", indexed=False)
+    keys = F.expr(f"transform({groups}, n -> concat_ws(' ', {path}, coalesce(n.attrs['class'], '')))")
+    sizes = F.expr(f"transform({groups}, n -> n.n_alike)")
     distinct = F.size(F.array_distinct(keys))
     # tally lists the distinct keys first, then one entry per group, in the order of sizes
     rows = parsed.select(F.posexplode(tally(keys)).alias("pos", "x"), sizes.alias("sizes"), distinct.alias("d")).select(
@@ -217,12 +220,12 @@ def _regions() -> str:
         array(concat('elements=', x.n.last_nid - x.n.nid + 1), concat('depth=', x.n.depth)) AS characteristics,
         concat(transform(x.n.cls, c -> concat('.', c)),
                CASE WHEN x.n.id IS NULL THEN CAST(array() AS ARRAY<STRING>) ELSE array(concat('#', x.n.id)) END) AS likely_xpath_hints,
-        x.n.gpath AS gpath, x.n.xpath AS xpath)"""
+        %s AS gpath, %s AS xpath)""" % (path_sql("x.n", indexed=False), path_sql("x.n"))
     roles = f"transform(nodes, n -> struct(n, {_region_role('n')} AS role))"
     return f"transform(filter({roles}, x -> x.role IS NOT NULL), x -> {region})"
 
 
-LAYOUT_FIELDS = ("nid", "last_nid", "depth", "tag", "attrs", "cls", "id", "gpath", "xpath")
+LAYOUT_FIELDS = (*PATH_FIELDS, "last_nid", "attrs", "cls", "id")
 
 
 def layout_roles(parsed: DataFrame) -> DataFrame:

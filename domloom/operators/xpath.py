@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domloom.functions.columns import sql_let, sql_literal, sql_strip, step_prefix
-from domloom.operators.nodes import node_text_sql
+from domloom.operators.nodes import node_text_sql, path_sql
 
 # A test turns the SQL name of a node into a SQL condition.
 Test = Callable[[str], str]
@@ -513,11 +513,11 @@ def select_xpath(parsed: DataFrame, expressions: Mapping[str, str], full_text: b
     """All matches of named expressions: ``(page_id, name, nid, xpath, value)``.
 
     Every expression is evaluated against the same parsed row, so any number of them costs
-    one parse and no shuffle.
+    one parse and no shuffle. Parse ``fields_for(expressions, *PATH_FIELDS)``.
     """
 
     def matches(name: str, xp: XPath) -> str:
-        row = f"struct({sql_literal(name)} AS name, n.nid AS nid, n.xpath AS xpath, {xp.value('n', full_text)} AS value)"
+        row = f"struct({sql_literal(name)} AS name, n.nid AS nid, {path_sql('n')} AS xpath, {xp.value('n', full_text)} AS value)"
         return f"transform({xp.select()}, n -> {row})"
 
     groups = ", ".join(matches(name, compile_xpath(x)) for name, x in expressions.items())
@@ -559,8 +559,8 @@ def suggest_xpath(parsed: DataFrame, sample: str, window: int = 100, limit: int
     """
     text = sql_strip(node_text_sql("n"))
     near_start = f"contains(substring(lower({text}), 1, {window}), {sql_literal(sample.lower())})"
-    hits = F.expr(f"filter(nodes, n -> {near_start})")
+    hits = f"filter(nodes, n -> {near_start})"
     return parsed.select(
         "page_id",
-        F.posexplode(F.transform(F.slice(hits, 1, limit), lambda n: n["xpath"])).alias("pos", "xpath"),
+        F.posexplode(F.expr(f"transform(slice({hits}, 1, {limit}), n -> {path_sql('n')})")).alias("pos", "xpath"),
     ).select("page_id", (F.col("pos") + 1).alias("rank"), "xpath")

@@ -29,8 +29,7 @@ def learn(
 ) -> list[Section]:
     """An extraction schema from a learning set of ``(page_id, html)``."""
     sections = page_sections(parse_pages(pages, SECTION_FIELDS), rules)
-    variants = checkpointed(section_variants(sections))
-    return collect_schema(infer_schema(variants, pages, min_support))
+    return collect_schema(infer_schema(section_variants(sections), pages, min_support))
 
 
 def to_markdown(

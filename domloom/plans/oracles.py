@@ -358,8 +358,8 @@ _LAYOUT = """layout AS (
   FROM nodes WHERE tag IN ('article', 'main', 'footer', 'nav', 'div'))"""
 
 _SECTIONS_RANKED = f"""{NV}, {SECTION_ROWS},
-best AS (SELECT section, arg_max(gpath, (pages, -length(gpath), gpath)) AS gpath,
-  arg_max(cls, (pages, -length(gpath), gpath)) AS cls, any_value(type) AS type, any_value(description) AS description,
+best AS (SELECT section, arg_min(gpath, (-pages, length(gpath), gpath)) AS gpath,
+  arg_min(cls, (-pages, length(gpath), gpath)) AS cls, any_value(type) AS type, any_value(description) AS description,
   string_agg('/' || gpath, '|' ORDER BY pages DESC, length(gpath), gpath) AS xpath_list,
   sum(lead_pages) AS pages, sum(lead_list_pages) AS lists, count(*) AS paths FROM variants GROUP BY section)"""
 

@@ -21,7 +21,7 @@ from domloom.operators import extract as ex
 from domloom.operators import lint, profile, runstate
 from domloom.operators import schema as sc
 from domloom.operators import structure as st
-from domloom.operators.nodes import node_text, page_nodes, parse_pages
+from domloom.operators.nodes import PATH_FIELDS, node_rows, node_text, page_nodes, parse_pages
 from domloom.operators.schema import Section
 from domloom.operators.xpath import common_xpath as paths_in_common
 from domloom.operators.xpath import fields_for, select_xpath, suggest_xpath, xpath_text
@@ -259,10 +259,7 @@ def step_tables(spark, sf):
 
 @query("page_nodes")
 def page_nodes_all(spark, sf):
-    parsed = parse_pages(
-        inputs.pages(spark, sf), ("nid", "parent_nid", "depth", "tag", "gpath", "text_head")
-    )
-    return page_nodes(parsed)
+    return node_rows(inputs.pages(spark, sf), "nid", "parent_nid", "depth", "tag", "gpath", "text_head")
 
 
 @query("tag_counts")
@@ -307,12 +304,12 @@ def body_contents(spark, sf):
 
 @query("node_xpath")
 def node_xpath(spark, sf):
-    return page_nodes(parse_pages(inputs.pages(spark, sf), ("nid", "xpath")))
+    return node_rows(inputs.pages(spark, sf), "nid", "xpath")
 
 
 @query("select_xpath")
 def select_xpaths(spark, sf):
-    parsed = parse_pages(inputs.pages(spark, sf), fields_for(XPATHS.values(), "xpath"))
+    parsed = parse_pages(inputs.pages(spark, sf), fields_for(XPATHS.values(), *PATH_FIELDS))
     return select_xpath(parsed, XPATHS)
 
 
@@ -329,13 +326,12 @@ def xpath_texts(spark, sf):
 
 @query("common_xpath")
 def common_xpath(spark, sf):
-    nodes = page_nodes(parse_pages(inputs.pages(spark, sf), ("tag", "xpath")))
-    return paths_in_common(nodes, "tag")
+    return paths_in_common(node_rows(inputs.pages(spark, sf), "tag", "xpath"), "tag")
 
 
 @query("suggest_xpath")
 def suggest_xpaths(spark, sf):
-    parsed = parse_pages(inputs.pages(spark, sf), ("xpath", "run_start", "run_end"))
+    parsed = parse_pages(inputs.pages(spark, sf), (*PATH_FIELDS, "run_start", "run_end"))
     return suggest_xpath(parsed, "The")
 
 
@@ -374,12 +370,12 @@ def class_id_patterns(spark, sf):
 @query("structural_patterns")
 def structural_patterns(spark, sf):
     pages = inputs.pages(spark, sf)
-    return st.structural_patterns(parse_pages(pages, ("gpath", "gseq")), inputs.table(spark, sf, "pages"))
+    return st.structural_patterns(node_rows(pages, "gpath", "gseq"), inputs.table(spark, sf, "pages"))
 
 
 @query("repeating_patterns")
 def repeating_patterns(spark, sf):
-    return st.repeating_patterns(parse_pages(inputs.pages(spark, sf), ("gpath", "attrs", "alike", "n_alike")))
+    return st.repeating_patterns(parse_pages(inputs.pages(spark, sf), (*PATH_FIELDS, "attrs", "alike", "n_alike")))
 
 
 @query("layout_roles")

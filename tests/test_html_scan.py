@@ -1,9 +1,12 @@
 """Golden tests of the recovery rules: every element as (xpath, leading text, all text)."""
 
+import tracemalloc
+
 import pytest
 
 from domloom.functions.html_scan import PageScan, parse_attributes
 from domloom.operators import nodes
+from domloom.operators.xpath import select_xpath
 
 
 def elements(source):
@@ -118,8 +121,10 @@ def test_deep_nesting_is_kept():
     n = 3000
     s = PageScan("<div>" * n + "<p>x" + "</div>" * n + "<p>y")
     assert s.depths() == [1, 2, *range(3, n + 4), 3] and "".join(s.runs) == "xy"
-    assert s.xpaths()[-2:] == ["/html/body" + "/div" * n + "/p", "/html/body/p"]
-    assert s.last[2] == n + 3 and s.path_chars() == sum(len(p) + 1 for p in s.gpaths())
+    assert list(s.xpaths())[-2:] == ["/html/body" + "/div" * n + "/p", "/html/body/p"]
+    assert s.last[2] == n + 3
+    paths = list(s.gpaths())
+    assert paths[-1] == "html/body/p" and len(set(s.path_numbers())) == len(set(paths))
 
 
 def test_hostile_input_is_linear():
@@ -131,12 +136,23 @@ def test_hostile_input_is_linear():
         assert time.time() - start < 10
 
 
-def test_page_with_too_long_paths_keeps_its_row(monkeypatch):
-    monkeypatch.setattr(nodes, "MAX_PATH_CHARS", 100)
-    batch = nodes._Batch(("nid", "xpath"))
-    batch.add(1, "<p>a")
-    batch.add(2, "<div>" * 20)
-    assert batch.sizes == [3, None] and batch.errors[0] is None and "xpath" in batch.errors[1]
-    free = nodes._Batch(("nid",))
-    free.add(2, "<div>" * 20)
-    assert free.sizes == [22] and free.errors == [None]
+def test_paths_take_memory_by_the_element(spark):
+    """A page whose paths take hundreds of megabytes together is parsed, searched and written row by row."""
+    from pyspark.sql import functions as F
+
+    n = 9_000
+    scan = PageScan("<div>" * n)
+    tracemalloc.start()
+    assert sum(map(len, scan.xpaths())) > 1 << 27
+    assert tracemalloc.get_traced_memory()[1] < 1 << 23
+    tracemalloc.stop()
+    pages = spark.createDataFrame([(1, "<div>" * n + "<p>x"), (2, "<p>a<p>b"), (3, None)], "page_id bigint, html string")
+    rows = nodes.node_rows(pages, "nid", "tag", "xpath", "gpath", "gseq", "attrs")
+    deep = rows.where("page_id = 1").agg(F.count("*"), F.max(F.length("xpath"))).first()
+    assert tuple(deep) == (n + 3, len("/html/body/p") + 4 * n)
+    assert [(r.xpath, r.gpath, r.gseq) for r in rows.where("page_id = 2 AND tag = 'p'").orderBy("nid").collect()] == [
+        ("/html/body/p[1]", "html/body/p", 1), ("/html/body/p[2]", "html/body/p", 2)]
+    parsed = nodes.parse_pages(pages)
+    found = select_xpath(parsed, {"x": "//p"}).collect()
+    assert sorted((r.page_id, len(r.xpath)) for r in found) == [(1, len("/html/body/p") + 4 * n), (2, 15), (2, 15)]
+    assert parsed.where("page_id = 1").first().error is None

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from domloom.operators import schema as sc
 from domloom.operators import structure as st
-from domloom.operators.nodes import parse_pages
+from domloom.operators.nodes import node_rows, parse_pages
 from domloom.operators.schema import Section
 
 A = """<html><body><header>top</header><nav class=menu><a href=1>x</a><a href=2>y</a></nav>
@@ -55,7 +55,7 @@ def test_class_and_id_patterns(parsed, pages):
 
 
 def test_structural_patterns(parsed, pages):
-    rows = {r.gpath: (r.occurrences, r.pages, r.avg_per_page) for r in st.structural_patterns(parsed, pages).collect()}
+    rows = {r.gpath: (r.occurrences, r.pages, r.avg_per_page) for r in st.structural_patterns(node_rows(pages, "gpath", "gseq"), pages).collect()}
     assert rows["html/body/article/p"] == (4, 2, 2.0) and rows["html/body"] == (3, 3, 1.0)
 
 
@@ -122,14 +122,20 @@ def test_infer_schema_and_exchange(spark, sections, pages):
     assert sc.collect_schema(table) == sorted(found.values(), key=lambda s: s.name)
 
 
-def test_schema_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(sc, "MAX_SECTIONS", 2)
-    table = sc.schema_table(spark, [Section(str(i), "//p") for i in range(3)])
-    with pytest.raises(ValueError):
-        sc.collect_schema(table)
-    with pytest.raises(Exception, match="more than 2 sections"):
-        sc.schema_document(table).collect()
-    assert sc.schema_document(table.limit(2)).count() == 1
+def test_inferred_schemas_list_the_best_paths(spark):
+    """Many paths of one section: the best are listed, all are ranked as rows."""
+    rows = [("title", "title", "d", f"html/body/{'x' * (i % 9 + 1)}{i:03d}/h1", 1 + i // 50, 1 + i // 50, 1, 0, None) for i in range(300)]
+    variants = spark.createDataFrame(rows, "section string, type string, description string, gpath string, pages bigint, matches bigint, "
+                                           "lead_pages bigint, lead_list_pages bigint, cls string")
+    pages = spark.range(10).withColumnRenamed("id", "page_id")
+    ranked = sorted(rows, key=lambda r: (-r[4], len(r[3]), r[3]))
+    for k in (1, 7, 20):
+        found = sc.infer_schema(variants.repartition(8), pages, k=k).first()
+        assert found.xpath_list == ["/" + r[3] for r in ranked[:k]] and found.xpath == found.xpath_list[0]
+        assert found.notes == "on 300 pages, 300 paths"
+    assert st.xpath_coverage(variants, pages).count() == 300
+    many = sc.schema_table(spark, [Section(f"s{i:05d}", "//p") for i in range(10_050)])
+    assert json.loads(sc.schema_document(many).first()["json"])["metadata"]["total_sections"] == 10_050
 
 
 def test_simplify(spark):
