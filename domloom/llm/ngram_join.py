@@ -659,7 +659,7 @@ def _link_counts(percent: int):
     return links
 
 
-def shared_counts(rows: Sequence[np.ndarray], columns: Sequence[np.ndarray], step: int = 2048, most: int = 4_000_000) -> np.ndarray:
+def shared_counts(rows: Sequence[np.ndarray], columns: Sequence[np.ndarray], step: int = 1024, most: int = 1 << 19) -> np.ndarray:
     """How many elements each of the sets ``rows`` shares with each of ``columns``."""
     shape = (len(rows), len(columns))
     values, at = np.unique(np.concatenate([*rows, *columns]), return_inverse=True)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from domloom.operators.ranking import number_rows
 from domloom.session import checkpointed
 
-#: Ids are numbered in ranges of 2**12; sums of ranges in ranges of 2**28.
-ID_SHIFTS = (12, 28)
+#: Rows are numbered in ranges of 2**12; sums of ranges in ranges of 2**28.
+ROW_SHIFTS = (12, 28)
 
 
 def balanced_shards(
@@ -24,7 +24,8 @@ def balanced_shards(
     hub stands for all pairs of its members, which are never listed; a single link is a hub of
     two. Documents that are alone under their hubs are free.
 
-    Linked documents start in the shard their id hashes to. In each round every hub counts its
+    Linked documents start in the shard that their smallest hub hashes to, so that small groups start
+    together; members of a hub larger than a shard start where their ids hash to. In each round every hub counts its
     members per shard, each document adds up the counts of its hubs and wants to go where most
     of its neighbours are: in even rounds among all shards, which lets full shards exchange
     documents, in odd rounds among shards with room, by which a group larger than a shard fills
@@ -37,18 +38,21 @@ def balanced_shards(
     partial sums, and its tally joins its members under adaptive skew splitting.
 
     Columns of ``docs`` named ``shard`` or ``slot`` are replaced. Rows that repeat an id keep a
-    slot each. A null id is linked with nothing. The result is
-    written once, so that reruns of lost tasks cannot number rows anew. Empty tables give no rows.
+    slot each. A null id is linked with nothing. Rows are numbered by their place in a table
+    written once, whatever their ids, so no window holds more than a range of it, and reruns of lost
+    tasks cannot number rows anew. Empty tables give no rows.
     """
     spark = docs.sparkSession
     hubs = links.where("doc_id IS NOT NULL AND hub IS NOT NULL").select("doc_id", "hub").distinct()
-    shared = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub")
-    hubs = checkpointed(hubs.join(shared, ["hub"], "left_semi"))
+    shared = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = checkpointed(hubs.join(shared, ["hub"]))
     counted = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     quota = [counted // n_shards + (s < counted % n_shards) for s in range(n_shards)]
-    labels = checkpointed(hubs.groupBy("doc_id").agg(F.min("hub").alias("tie")).select(
-        "doc_id", "tie", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("shard")
+    together = F.when(F.col("largest") <= min(quota), F.col("tie")).otherwise(F.col("doc_id").cast("bigint"))
+    labels = checkpointed(hubs.groupBy("doc_id").agg(F.min("hub").alias("tie"), F.max("n").alias("largest")).select(
+        "doc_id", "tie", F.pmod(F.xxhash64(together), F.lit(n_shards)).cast("int").alias("shard")
     ))
+    hubs = hubs.drop("n")
     still = 0
     for turn in range(rounds):
         load = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -112,17 +116,16 @@ def _dealt(spark, docs: DataFrame, labels: DataFrame, quota: Sequence[int]) -> D
     """Exact sizes: linked rows keep their shard up to its quota, all others fill the gaps."""
     # The caller's columns travel as one, whatever their names; ``shard`` and ``slot`` are replaced.
     columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select("doc_id", F.struct(*columns).alias("__row"))
+    rows = checkpointed(docs.select(F.monotonically_increasing_id().alias("__order"), "doc_id", F.struct(*columns).alias("__row")))
     placed = rows.join(labels, ["doc_id"], "left").withColumn("__key", F.coalesce("shard", F.lit(-1)))
-    placed = placed.withColumn("__order", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)))
-    numbered = checkpointed(number_rows(placed, ["__key"], "__order", "__number", ID_SHIFTS))
+    numbered = checkpointed(number_rows(placed, ["__key"], "__order", "__number", ROW_SHIFTS))
     held = {r["__key"]: r["n"] for r in numbered.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).collect()}
     kept = [min(held.get(s, 0), q) for s, q in enumerate(quota)]
     limit = F.get(_array(kept, "bigint"), F.col("__key"))
     stays = (F.col("__key") >= 0) & (F.col("__number") <= limit)
     over = numbered.where((F.col("__key") >= 0) & (F.col("__number") > limit)).drop("__number").withColumn("__pool", F.lit(0))
     pool = numbered.where("__key < 0").drop("shard").withColumn("__entry", F.col("__number") - 1).unionByName(
-        number_rows(over, ["__pool"], "__order", "__number", ID_SHIFTS)
+        number_rows(over, ["__pool"], "__order", "__number", ROW_SHIFTS)
         .withColumn("__entry", F.col("__number") - 1 + held.get(-1, 0)).drop("__pool", "shard")
     )
     # Entry e goes to the shard in whose stretch of gaps it falls.

@@ -9,6 +9,7 @@ import corpus_pipeline as pipeline
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+CLASHES = ("size", "__key", "__size", "score", "lang_pred", "row", "number", "copies", "words", "column1", "hub")
 LONG = "The house of the man and the garden of the woman stand by the river "
 
 
@@ -22,11 +23,13 @@ def odd(spark):
         (5, "", None, "a"), (6, "123 456", "de", "b"), (7, LONG * 3_000, "en", "a"), (7, LONG * 3_000, "en", "a"), (8, "one text", "en", "a"),
         (8, "quite another text", "en", "a"), (None, "no id here", "en", "a"), (None, "no id here", "en", "a"),
     ]
-    return spark.createDataFrame([(*r, None) for r in rows], SCHEMA).withColumn("size", F.lit("clash")).withColumn("__key", F.lit("clash"))
+    return spark.createDataFrame([(*r, None) for r in rows], SCHEMA).withColumns({c: F.lit("clash") for c in CLASHES})
 
 
 def taken(docs):
-    return Counter((r.doc_id, r.text) for r in docs.collect())
+    rows = docs.collect()
+    assert all(r[c] == "clash" for r in rows for c in CLASHES)
+    return Counter((r.doc_id, r.text) for r in rows)
 
 
 def test_languages_keep_what_has_letters(spark, odd):
