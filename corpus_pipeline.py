@@ -6,7 +6,7 @@ columns of ``documents``; the last adds where each row goes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domloom.llm.decontaminate import decontaminated
@@ -23,10 +23,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; a missing ``lang`` becomes the one predicted.
 
     Texts without letters go. A low score is no ground to drop: short clean texts have it too.
+    Columns travel under names of their place, whatever the caller's are.
     """
-    others = [c for c in docs.columns if c != "doc_id"]
-    told = predict_language(docs, fit_language_model(docs), keep=others).where(F.col("lang_pred") != UNDETERMINED)
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    plain = {c: f"column{i}" for i, c in enumerate(docs.columns)}
+    others = [plain[c] for c in docs.columns if c != "doc_id"]
+    told = predict_language(
+        docs.toDF(*plain.values()), fit_language_model(docs), plain["doc_id"], plain["text"], keep=others,
+    ).where(F.col("lang_pred") != UNDETERMINED).withColumn(plain["lang"], F.coalesce(plain["lang"], "lang_pred"))
+    return told.select(*[F.col("doc_id" if c == "doc_id" else plain[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,31 +56,28 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row per copy taken."""
-    mixed = mix_sources(docs).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), F.col("copies").alias("__copies")
-    ).where("__copies > 0").distinct()
-    taken = docs.withColumn("__size", word_count(F.col("text"))).join(
+    """The mix: a row per copy taken. The caller's columns travel as one."""
+    mixed = mix_sources(docs).select("doc_id", "source", "size", "copies").where("copies > 0").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), word_count(F.col("text")).alias("words"))
+    taken = rows.join(
         mixed,
-        F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-        & (F.col("__size") == F.col("__words")),
+        F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").cast("string").eqNullSafe(F.col("source"))
+        & (F.col("words") == F.col("size")),
     )
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``. Copies of a row are numbered on both sides of the
-    join, so the text is shuffled once, by document."""
-    text = or_empty(F.col("text"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64(text).cast("string")))
-    nodes = checkpointed(docs.select("doc_id", key.alias("__key"), F.xxhash64(text).alias("hub")))
-    sharded = balanced_shards(nodes.drop("hub"), nodes.select("doc_id", "hub"), N_SHARDS)
-    places = sharded.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("__places"))
-    copy = F.row_number().over(Window.partitionBy("__key").orderBy("n_chars"))
-    numbered = docs.withColumn("__key", key).withColumn("__copy", copy)
-    return numbered.join(places, ["__key"]).withColumn("__place", F.get("__places", F.col("__copy") - 1)).select(
-        *docs.columns, F.col("__place.shard").alias("shard"), F.col("__place.slot").alias("slot")
-    )
+    """``docs`` with ``shard`` and ``slot``.
+
+    Rows get a number of their own, in a table written once, by which they are linked, placed and
+    found again; ids that are null or repeated make no difference. Rows with equal texts are linked:
+    the copies that the mix took of a document, above all. The text is shuffled once.
+    """
+    numbered = checkpointed(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*docs.columns).alias("row")))
+    nodes = checkpointed(numbered.select(F.col("number").alias("doc_id"), F.xxhash64(or_empty(F.col("row.text"))).alias("hub")))
+    sharded = balanced_shards(nodes.select("doc_id"), nodes, N_SHARDS)
+    return numbered.join(sharded.withColumnRenamed("doc_id", "number"), ["number"]).select("row.*", "shard", "slot")
 
 
 STAGES = [
