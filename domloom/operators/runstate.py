@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from domloom.operators.schema import Section
@@ -39,15 +39,25 @@ def latest_state(manifest: DataFrame, *by: str) -> DataFrame:
     """Newest value of each field over all runs: ``field, value, run_id``.
 
     ``manifest`` has ``run_id, field, value``. A later run that recorded no value for a
-    field leaves the earlier one standing.
+    field leaves the earlier one standing; of several values of one run the greatest counts.
+
+    Runs are numbers, so the last one of each field is found by hashing, with partial maxima. Only
+    rows of a field's last run come along with their values, and those are put in order only
+    where that run recorded several.
     """
-    order = F.struct("run_id", "value")
-    return (
-        manifest.filter(F.col("value").isNotNull())
-        .groupBy(*by, "field")
-        .agg(F.max(order).alias("last"))
-        .select(*by, "field", F.col("last.value").alias("value"), F.col("last.run_id").alias("run_id"))
-    )
+    keys = [*by, "field"]
+    rows = manifest.filter(F.col("value").isNotNull())
+    # A run without a number comes before all others.
+    number = F.coalesce(F.col("run_id").cast("bigint"), F.lit(-(2**63)))
+    runs = rows.groupBy(*keys, "run_id").agg(F.count(F.lit(1)).alias("n"))
+    last = runs.groupBy(*keys).agg(F.max(number).alias("last"), F.max_by("n", number).alias("n"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
+    newest = rows.withColumn("number", number).alias("r").join(last.alias("l"), [*same, F.col("number") == F.col("last")]).select(
+        *[F.col(f"r.{k}").alias(k) for k in keys], "r.value", "r.run_id", "l.n")
+    greatest = Window.partitionBy(*keys).orderBy(F.desc("value"))
+    alone = newest.where("n = 1")
+    settled = newest.where("n > 1").withColumn("place", F.row_number().over(greatest)).where("place = 1")
+    return alone.select(*keys, "value", "run_id").unionByName(settled.select(*keys, "value", "run_id"))
 
 
 def completed_steps(manifest: DataFrame, *by: str) -> DataFrame:

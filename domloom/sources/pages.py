@@ -6,7 +6,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from domloom.session import checkpointed
+
 FILE_SCHEMA = "path string, name string, html string, error string"
+LISTING_SCHEMA = "path string, bytes bigint, modified timestamp"
+
+#: So many files are read by name.
+FEW_FILES = 1000
 
 
 def identifier(url: Column | None = None, path: Column | None = None) -> Column:
@@ -38,21 +44,68 @@ def load_html_dir(spark: SparkSession, directory: str, pattern: str = "*.html")
     with a null ``html`` and an error, so callers can log and skip it (``readable``). A
     missing directory gives an empty table.
     """
+    files = _files(spark, "text", directory, pattern)
+    return spark.createDataFrame([], FILE_SCHEMA) if files is None else _contents(files)
+
+
+def _files(spark: SparkSession, kind: str, directory: str, pattern: str) -> DataFrame | None:
     try:
-        files = spark.read.text(directory, wholetext=True, pathGlobFilter=pattern)
+        return spark.read.format(kind).options(wholetext=True, pathGlobFilter=pattern).load(directory)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], FILE_SCHEMA)
+        return None
+
+
+def _contents(files: DataFrame, *more: Column) -> DataFrame:
     valid = F.is_valid_utf8("value")
     return files.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("name"),
         F.when(valid, F.regexp_replace("value", r"\r\n?", "\n")).alias("html"),
         F.when(~valid, F.lit("not valid UTF-8")).alias("error"),
+        *more,
     )
 
 
+def _stamp() -> list[Column]:
+    return [F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_modification_time").alias("modified")]
+
+
+def list_html_dir(spark: SparkSession, directory: str, pattern: str = "*.html") -> DataFrame:
+    """``(path, bytes, modified)`` of the files that ``load_html_dir`` would read, none of them opened."""
+    files = _files(spark, "binaryFile", directory, pattern)
+    if files is None:
+        return spark.createDataFrame([], LISTING_SCHEMA)
+    return files.select(F.col("_metadata.file_path").alias("path"), *_stamp())
+
+
+def load_changed(spark: SparkSession, directory: str, done: DataFrame, pattern: str = "*.html", few: int = FEW_FILES) -> DataFrame:
+    """The files of ``load_html_dir`` that are new or changed since ``done`` was listed, with their
+    ``bytes`` and ``modified`` for the next time.
+
+    ``done`` is an earlier listing. A file is taken for unchanged if path, length and time of change
+    are the same. Up to ``few`` changed files are read by name. More are read by the range of
+    their times and lengths, which the scan applies to the listing before it opens a file, and then
+    by name in a join.
+    """
+    key = ["path", "bytes", "modified"]
+    changed = checkpointed(list_html_dir(spark, directory, pattern).join(done.select(*key).distinct(), key, "left_anti"))
+    found = changed.agg(
+        F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in key[1:]]).first()
+    if not found["n"]:
+        return spark.createDataFrame([], f"{FILE_SCHEMA}, {LISTING_SCHEMA.removeprefix('path string, ')}")
+    files = _files(spark, "text", directory, pattern)
+    if found["n"] <= few:
+        files = files.where(F.col("_metadata.file_path").isin([r["path"] for r in changed.select("path").collect()]))
+    else:
+        size, modified = _stamp()
+        files = files.where(
+            size.between(found["min_bytes"], found["max_bytes"]) & modified.between(found["min_modified"], found["max_modified"]))
+    rows = _contents(files, *_stamp())
+    return rows if found["n"] <= few else rows.join(changed.select("path"), ["path"], "left_semi")
+
+
 def readable(files: DataFrame) -> DataFrame:
     return files.filter(F.col("error").isNull())
 

@@ -1,7 +1,8 @@
 """Sinks for extraction records and Markdown documents.
 
-Results go to splittable tables keyed by page, not to one file per page: billions of small
-files would overload any file system. The file name a page would have is a column.
+Results go to splittable tables keyed by page; the file name a page would have is a column.
+Billions of small files would overload any file system, so one file per page
+(``write_extraction_files``, ``write_markdown_files``) is for consumers that ask for it.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from domloom.operators.extract import record_json
+from domloom.sources.page_files import write_page_files
 
 
 def write_extractions(records: DataFrame, path: str, file_format: str = "json") -> None:
@@ -36,3 +38,14 @@ def write_markdown_text(documents: DataFrame, path: str) -> None:
     documents.filter(F.col("markdown").isNotNull()).sortWithinPartitions("page_id").select(
         F.concat("markdown", F.lit("\n"))
     ).write.mode("overwrite").text(path)
+
+
+def write_extraction_files(records: DataFrame, path: str) -> None:
+    """``(result_file, record)``: one JSON file per page; pages without a record have none."""
+    rows = records.where(F.col("record").isNotNull()).withColumn("json", record_json(F.col("record")))
+    write_page_files(rows, path, "result_file", "json")
+
+
+def write_markdown_files(documents: DataFrame, path: str) -> None:
+    """``(markdown_file, markdown)``: one Markdown file per page that has a document."""
+    write_page_files(documents, path, "markdown_file", "markdown")

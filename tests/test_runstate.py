@@ -18,6 +18,17 @@ def test_latest_state_keeps_earlier_values_over_nulls(spark):
     assert {(r.field, r.value, r.run_id) for r in got} == {("schema", "s2", 2), ("code", "c1", 1)}
 
 
+def test_latest_state_of_repeated_runs(spark):
+    """Several values of the last run, runs without a number, keys that are null; nothing is aggregated by sorting."""
+    rows = [("u", 1, "f", "z"), ("u", 2, "f", "a"), ("u", 2, "f", "c"), ("u", 2, "f", "b"), (None, 1, "f", "x"), (None, None, "f", "y"),
+            ("v", None, "g", "p"), ("v", None, "g", "q"), ("v", 3, None, "n"), ("w", 5, "f", None), ("w", 4, "f", "kept"), ("w", 4, "f", "kept")]
+    table = spark.createDataFrame(rows, "user string, run_id int, field string, value string")
+    got = rt.latest_state(table, "user")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        ("u", "f", "c", 2), (None, "f", "x", 1), ("v", "g", "q", None), ("v", None, "n", 3), ("w", "f", "kept", 4)], key=str)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_completed_steps(spark):
     rows = [(1, "text_analysis"), (4, "text_analysis"), (2, "code"), (5, "code_validated"), (3, "unknown")]
     got = rt.completed_steps(spark.createDataFrame(rows, "run_id int, step string")).collect()

@@ -7,7 +7,8 @@ from domloom.operators import extract as ex
 from domloom.operators.ranking import number_rows, running_total
 from domloom.operators.schema import Section
 from domloom.sources import sinks, urls
-from domloom.sources.pages import file_pages, load_html_dir, read_pages, readable, with_identifier
+from domloom.sources.page_files import PageFilesWriter, file_name
+from domloom.sources.pages import file_pages, list_html_dir, load_changed, load_html_dir, read_pages, readable, with_identifier
 from domloom.sources.steps import StepStore, save_result
 
 
@@ -135,3 +136,66 @@ def test_markdown_text_sink(spark, tmp_path):
     docs = spark.createDataFrame([(1, "# a"), (2, None)], "page_id bigint, markdown string")
     sinks.write_markdown_text(docs, str(tmp_path / "md"))
     assert [r.value for r in spark.read.text(str(tmp_path / "md")).collect()] == ["# a", ""]
+
+
+def opened_files(frame):
+    """Files that the scans of a collected frame have opened, by the plan's own count."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(x.metrics().apply("numFiles").value() for x in found if x.nodeName().startswith("Scan text"))
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_changed_files_only_are_read(spark, tmp_path, few):
+    import os
+
+    for i in range(6):
+        (tmp_path / f"{i} ü.html").write_text(f"<p>{i}")
+        os.utime(tmp_path / f"{i} ü.html", (1_700_000_000, 1_700_000_000 + i))
+    (tmp_path / "no.txt").write_text("x")
+    none = spark.createDataFrame([], "path string, bytes bigint, modified timestamp")
+    first = load_changed(spark, str(tmp_path), none, few=few)
+    assert sorted(r.html for r in first.collect()) == [f"<p>{i}" for i in range(6)]
+    done = list_html_dir(spark, str(tmp_path))
+    assert sorted(map(tuple, first.select("path", "bytes", "modified").collect())) == sorted(map(tuple, done.collect()))
+    done = spark.createDataFrame(done.collect(), done.schema)
+    assert load_changed(spark, str(tmp_path), done, few=few).count() == 0
+    (tmp_path / "3 ü.html").write_text("<p>changed")
+    (tmp_path / "new.html").write_text("<p>new")
+    second = load_changed(spark, str(tmp_path), done, few=few)
+    assert sorted(r.html for r in second.collect()) == ["<p>changed", "<p>new"]
+    if few:
+        assert opened_files(second.toDF(*second.columns)) in (0, 2)
+    (tmp_path / "0 ü.html").unlink()
+    assert load_changed(spark, str(tmp_path / "missing"), done, few=few).count() == 0
+
+
+def test_one_file_per_page(spark, tmp_path):
+    rows = [(f"p{i}.md", f"text {i} é") for i in range(50)] + [("a/../b.md", "x"), ("none.md", None), (None, "y")]
+    documents = spark.createDataFrame(rows, "markdown_file string, markdown string").repartition(5)
+    for _ in range(2):  # a second run replaces the files of the first
+        sinks.write_markdown_files(documents, str(tmp_path / "md"))
+    found = {p.name: p.read_text() for p in (tmp_path / "md").iterdir()}
+    assert found.pop("_SUCCESS") == "51"
+    assert found == {file_name(n): t for n, t in rows if n and t}
+    assert spark.read.text(str(tmp_path / "md" / "*.md"), wholetext=True).count() == 51
+    records = spark.createDataFrame([("a.json", (1, "x")), ("b.json", None)], "result_file string, record struct<n: int, t: string>")
+    sinks.write_extraction_files(records, f"file://{tmp_path}/json")
+    assert (tmp_path / "json" / "a.json").read_text() == '{"n":1,"t":"x"}' and not (tmp_path / "json" / "b.json").exists()
+
+
+def test_an_attempt_that_fails_leaves_no_file(tmp_path):
+    """The first attempt of a task dies in the middle; the second writes the same rows."""
+    rows = [{"name": f"{i}.md", "text": "x" * i} for i in range(5)]
+
+    def dying():
+        yield from rows[:3]
+        raise OSError("lost")
+
+    writer = PageFilesWriter(str(tmp_path / "out"), overwrite=True)
+    with pytest.raises(OSError):
+        writer.write(dying())
+    message = writer.write(iter(rows))
+    writer.commit([message, None])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [*(f"{i}.md" for i in range(5)), "_SUCCESS"]
