@@ -15,22 +15,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from domloom.functions.columns import sql_literal
+from domloom.functions.columns import sql_let, sql_literal
 from domloom.functions.responses import reviewed_code
 
 # The patterns and words the text rules look for.
-BAD_ESCAPE = r"""[^r]"[^"]*\\[^\\"nrtbf]|[^r]'[^']*\\[^\\'nrtbf]"""
+BAD_ESCAPES = (r"""[^r]"[^"]*\\[^\\"nrtbf]""", r"""[^r]'[^']*\\[^\\'nrtbf]""")
 JSON_BOOL = r"(?U):\s*(true|false)\s*[,}]"
 LOOKUP_CALLS = (r"(?U)\.xpath\s*\(", r"(?U)etree\.XPath\s*\(", r"(?U)findall\s*\(", r"(?U)find\s*\(")
 NONE_CHECK = (
     r"(?Ud)\bif\s+.*\s+is\s+not\s+None\b|\bif\s+.*\s+is\s+None\b"
     r"|\bif\s+.*\s+!=\s+None\b|\bif\s+.*\s+==\s+None\b"
 )
-EMPTY_CHECK = r"(?U)len\s*\(\s*\w+\s*\)\s*(?:==|>)\s*0|\w+\s+if\s+\w+\s+else"
+EMPTY_CHECK = r"(?U)len\s*\(\s*\w+\s*\)\s*==\s*0|len\s*\(\s*\w+\s*\)\s*>\s*0|\w+\s+if\s+\w+\s+else"
 FILE_WORDS = ("open(", "read_file", "Path(")
 FILE_ERRORS = r"(?d)FileNotFoundError|IOError|OSError|except.*:"
 MODULE_WORDS = {"lxml": ("lxml", "etree"), "json": ("json",), "logging": ("logging", "logger")}
-FIXED_PATH = r"""(?d)[CD]:\\[^"]*|/.*/[^"]*\.html"""
+FIXED_PATHS = (r"""(?d)[CD]:\\[^"]*""", r"""(?d)/.*/[^"]*\.html""")
 INPUT_CHECK = r"(?Ud)if\s+.*\s+is\s+None|if\s+not\s+.*|assert\s+"
 FORBIDDEN_METHODS = ("extract_from_string", "extract_from_file")
 FORBIDDEN_RETURNS = ("ExtractionResult", "dataclass", "List[", "Tuple[")
@@ -40,6 +40,10 @@ def _any(code: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({code}, {sql_literal(w)})" for w in words) + ")"
 
 
+def _matches(code: str, patterns: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"rlike({code}, {sql_literal(p)})" for p in patterns) + ")"
+
+
 def _count(code: str, pattern: str) -> str:
     return f"regexp_count({code}, {sql_literal(pattern)})"
 
@@ -65,17 +69,23 @@ def _fired(*rules: tuple[str, str]) -> str:
 
 
 def text_rules(code: str = "code") -> str:
-    """SQL for the array of issues and warnings found in the text of a source column."""
+    """SQL for the array of issues and warnings found in the text of a source column.
+
+    Lookups, their checks and missing imports are found once per source, not once per use.
+    """
     extracts = f"contains({code}, 'def extract')"
-    lookups = "(" + " + ".join(_count(code, p) for p in LOOKUP_CALLS) + ")"
-    none_checks = _count(code, NONE_CHECK)
-    missing = "filter(array({}), m -> m IS NOT NULL)".format(", ".join(
+    counted = {
+        "lookups": "(" + " + ".join(_count(code, p) for p in LOOKUP_CALLS) + ")",
+        "none_checks": f"CASE WHEN lookups > 0 THEN {_count(code, NONE_CHECK)} ELSE 0 END",
+    }
+    lookups, none_checks, missing = "lookups", "none_checks", "missing"
+    counted["missing"] = "filter(array({}), m -> m IS NOT NULL)".format(", ".join(
         f"CASE WHEN {_any(code, words)} AND NOT {_any(code, (f'import {m}', f'from {m}'))} THEN {sql_literal(m)} END"
         for m, words in MODULE_WORDS.items()
     ))
     exempt = r"""(?U)\A\s*(?:#|\"\"\"|''')"""
     lines = f"transform(split({code}, chr(10)), (x, i) -> struct(x AS text, i + 1 AS no))"
-    bad_lines = f"filter({lines}, x -> NOT rlike(x.text, {sql_literal(exempt)}) AND rlike(x.text, {sql_literal(BAD_ESCAPE)}))"
+    bad_lines = f"filter({lines}, x -> NOT rlike(x.text, {sql_literal(exempt)}) AND {_matches('x.text', BAD_ESCAPES)})"
     escapes = "transform({}, x -> {})".format(bad_lines, _issue(
         "syntax", "warning", "InvalidEscapeSequence", None,
         "=concat('Escape sequence may be invalid in line ', x.no)", "Use a raw string or double the backslash", "x.no",
@@ -99,7 +109,7 @@ def text_rules(code: str = "code") -> str:
          _issue("robustness", "issue", "MissingImports", "high",
                 f"=concat('Not imported: ', array_join({missing}, ', '))",
                 f"=concat('Add: ', array_join(transform({missing}, m -> concat('import ', m)), ', '))")),
-        (f"rlike({code}, {sql_literal(FIXED_PATH)})",
+        (_matches(code, FIXED_PATHS),
          _issue("robustness", "issue", "HardcodedPath", "medium", "Fixed file path in source", "Build paths with pathlib")),
         (f"{extracts} AND {_count(code, r'(?U)return\s+')} < 2",
          _issue("robustness", "warning", "LimitedReturnPaths", "low",
@@ -108,7 +118,10 @@ def text_rules(code: str = "code") -> str:
          _issue("robustness", "warning", "MissingInputValidation", "medium",
                 "Input parameters are not validated", "Test inputs for None and emptiness")),
     )
-    return f"concat({escapes}, {rest})"
+    found = f"concat({escapes}, {rest})"
+    for name, value in reversed(counted.items()):
+        found = sql_let(value, name, found)
+    return found
 
 
 def code_lint(codes: DataFrame) -> DataFrame:

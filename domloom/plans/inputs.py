@@ -29,12 +29,13 @@ HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 PATH = "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
 BARE = "regexp_replace(url, '[?#].*$', '')"
 
-# German pages use <main>, French pages have no <footer>, spam hosts serve nothing.
+# German pages use <main>, French pages have an <address> for their <footer>. Spam hosts serve a second
+# time, and then nothing: rows of their own, with negative numbers.
 VARIED_HTML = """CASE
   WHEN url LIKE '%/de/%' THEN replace(replace(html, '<article>', '<main>'), '</article>', '</main>')
-  WHEN url LIKE '%/fr/%' THEN regexp_replace(html, '<footer>.*</footer>', '')
-  WHEN url LIKE '%spam-farm%' THEN NULL
+  WHEN url LIKE '%/fr/%' THEN replace(replace(html, '<footer>', '<address>'), '</footer>', '</address>')
   ELSE html END"""
+EMPTY_ROWS = "SELECT -1 - page_id AS page_id, url, CAST(NULL AS {text}) AS html FROM {pages} WHERE url LIKE '%spam-farm%'"
 
 URL_LINES = """CASE page_id % 6
   WHEN 1 THEN concat('  ', url, ' ')
@@ -70,7 +71,9 @@ FILE_NAMES = """CASE page_id % 4
 
 
 def varied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", "url", F.expr(VARIED_HTML).alias("html"))
+    whole = pages(spark, sf_dir)
+    empty = spark.sql(EMPTY_ROWS.format(text="STRING", pages="{pages}"), pages=page_urls(spark, sf_dir))
+    return whole.select("page_id", "url", F.expr(VARIED_HTML).alias("html")).unionByName(empty)
 
 
 # Source snippets that fire different rules, chosen by page.
@@ -120,9 +123,9 @@ def _snippet_case() -> str:
     return f"CASE page_id % {len(SNIPPETS)} {cases} END"
 
 
-# The letters of the whole page.
-LETTERS = "regexp_replace(html, '[^A-Za-z ]+', '')"
-CODE = f"concat({_snippet_case()}, '# ', {LETTERS}, chr(10))"
+# The whole page, on one line.
+PAGE = "replace(replace(html, chr(13), ' '), chr(10), ' ')"
+CODE = f"concat({_snippet_case()}, '# ', {PAGE}, chr(10))"
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +150,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REVIEWS = f"""CASE page_id % 5
-  WHEN 0 THEN concat('Looks fine.', chr(10), '- add tests', chr(10), '  * rename ', {LETTERS}, chr(10), 'end')
+  WHEN 0 THEN concat('Looks fine.', chr(10), '- add tests', chr(10), '  * rename ', {PAGE}, chr(10), 'end')
   WHEN 1 THEN concat('Use this:', chr(10), {FENCE}, 'python', chr(10), {quoted(SNIPPETS[0])}, {FENCE}, chr(10), '- fixed')
   WHEN 2 THEN concat({FENCE}, chr(10), 'x = 1', chr(10), {FENCE})
   WHEN 3 THEN concat({FENCE}, 'python', chr(10), {quoted(SNIPPETS[3] * 3)}, {FENCE}, chr(10), '* broken')

@@ -10,12 +10,7 @@ from domloom.plans import inputs
 from domloom.plans.inputs import SNIPPETS, quoted
 
 
-def _all_matches(sql: str) -> str:
-    """DuckDB replaces the first match unless told otherwise."""
-    return sql.replace(inputs.LETTERS, inputs.LETTERS[:-1] + ", 'g')")
-
-
-CODE = _all_matches(inputs.CODE)
+CODE = inputs.CODE
 
 
 def decoded(text: str) -> str:
@@ -29,10 +24,10 @@ def stripped(text: str) -> str:
     return rf"regexp_replace(regexp_replace({text}, '^\s+', ''), '\s+$', '')"
 
 
-def nodes(html: str = "html") -> str:
+def nodes(html: str = "html", more: str = "") -> str:
     """CTEs up to ``nodes(page_id, nid, tag, cls, seg, last_nid, gpath, xpath, text_head, full_text)``."""
     return rf"""
-src AS (SELECT page_id, url, {html} AS html FROM pages),
+src AS (SELECT page_id, url, {html} AS html FROM pages{more}),
 opens AS (
   SELECT page_id,
          unnest(regexp_extract_all(html, '<[a-z][^>]*>[^<]*')) AS open,
@@ -55,7 +50,7 @@ marks AS (
     max(nid) OVER q AS n_all,
     max(nid) FILTER (tag = 'body') OVER q AS body_nid,
     max(nid) FILTER (tag = 'div') OVER q AS div_nid,
-    max(nid) FILTER (tag = 'footer') OVER q AS footer_nid,
+    max(nid) FILTER (tag IN ('footer', 'address')) OVER q AS footer_nid,
     max(CASE WHEN tag = 'main' THEN 'main' WHEN tag = 'article' THEN 'article' END) OVER q AS box,
     min(nid) FILTER (tag = 'p') OVER (PARTITION BY page_id ORDER BY nid ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_p
   FROM tags
@@ -69,7 +64,7 @@ placed AS (
       WHEN 'style' THEN 'html/head/style' WHEN 'script' THEN 'html/head/script'
       WHEN 'nav' THEN 'html/body/nav' WHEN 'ul' THEN 'html/body/nav/ul'
       WHEN 'li' THEN 'html/body/nav/ul/li' WHEN 'a' THEN 'html/body/nav/ul/li/a'
-      WHEN 'div' THEN 'html/body/div' WHEN 'footer' THEN 'html/body/footer'
+      WHEN 'div' THEN 'html/body/div' WHEN 'footer' THEN 'html/body/footer' WHEN 'address' THEN 'html/body/address'
       WHEN 'article' THEN 'html/body/article' WHEN 'main' THEN 'html/body/main'
       WHEN 'h1' THEN 'html/body/' || box || '/h1' WHEN 'p' THEN 'html/body/' || box || '/p'
       WHEN 'b' THEN 'html/body/' || box || '/p/b' WHEN 'br' THEN 'html/body/' || box || '/p/b/br' END AS gpath,
@@ -97,7 +92,8 @@ nodes AS (
 
 VARIED = inputs.VARIED_HTML
 N = f"WITH {nodes()}"
-NV = f"WITH {nodes(VARIED)}"
+EMPTY_ROWS = " UNION ALL " + inputs.EMPTY_ROWS.format(text="VARCHAR", pages="pages")
+NV = f"WITH {nodes(VARIED, EMPTY_ROWS)}"
 
 # name, type, description, tags, child tags of the box for lists of paragraphs
 SECTION_ROWS = """
@@ -272,7 +268,7 @@ def _fix_bools(code: str) -> str:
             rf"':\s*true\s*([,}}])', ': True\1', 'g')")
 
 
-REVIEWS = _all_matches(inputs.REVIEWS)
+REVIEWS = inputs.REVIEWS
 REVIEW_ROWS = f"reviews AS (SELECT page_id AS subject_id, {CODE} AS code, {REVIEWS} AS review FROM pages)"
 
 _URL_PARTS = r"""
@@ -389,6 +385,9 @@ def all_oracles() -> dict[str, str]:
         max(string_split("values", chr(31))[2]) FILTER (section = 'links') AS second_link
         FROM src s LEFT JOIN long USING (page_id) GROUP BY s.page_id"""
     o["write_markdown"] = f"{LONG} {MARKDOWN} SELECT page_id, 'page_' || page_id || '.md' AS markdown_file, markdown FROM documents_md WHERE markdown IS NOT NULL"
+    o["markdown_files"] = f"{LONG} {MARKDOWN} SELECT 'page_' || page_id || '.md' AS markdown_file, markdown FROM documents_md WHERE markdown IS NOT NULL"
+    o["changed_files"] = """SELECT md5(replace(html, chr(13) || chr(10), chr(10)) || chr(10)) AS html_md5, CAST(strlen(html) + 1 AS BIGINT) AS bytes,
+        count(*) AS n_files FROM pages WHERE html <> '' AND strlen(html) % 2 = 0 GROUP BY ALL"""
     o["step_tables"] = f"{N}, {SECTION_ROWS} SELECT section, count(*) AS n_rows FROM sections GROUP BY section"
 
     o["page_nodes"] = f"""{N} SELECT page_id, nid, coalesce((SELECT max(a.nid) FROM nodes a WHERE a.page_id = n.page_id
@@ -493,7 +492,7 @@ def all_oracles() -> dict[str, str]:
         max("values") FILTER (section = 'links') AS links, max("values") FILTER (section = 'paragraphs') AS paragraphs,
         max("values") FILTER (section = 'tags') AS tags, count(long.page_id) > 0 AS json_has_title
         FROM src s LEFT JOIN long USING (page_id) GROUP BY s.page_id"""
-    status = f"""WITH src AS (SELECT page_id, {VARIED} AS html FROM pages), st AS (SELECT page_id, 'page_' || page_id || '.html' AS file,
+    status = f"""WITH src AS (SELECT page_id, url, {VARIED} AS html FROM pages{EMPTY_ROWS}), st AS (SELECT page_id, 'page_' || page_id || '.html' AS file,
         CASE WHEN html IS NULL THEN 'failed' ELSE 'success' END AS status, CASE WHEN html IS NULL THEN 'No HTML content available' END AS error,
         CASE WHEN html IS NOT NULL THEN {PAGE_RESULT} END AS result_file FROM src)"""
     summary = """SELECT count(*) AS total_files, count(*) FILTER (status = 'success') AS processed_files,

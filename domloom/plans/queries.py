@@ -29,7 +29,7 @@ from domloom.plans import inputs
 from domloom.plans.flows import to_markdown
 from domloom.session import checkpointed, shared_dir
 from domloom.sources import sinks, urls
-from domloom.sources.pages import load_html_dir, with_identifier
+from domloom.sources.pages import list_html_dir, load_changed, load_html_dir, with_identifier
 from domloom.sources.steps import StepStore
 from domloom.streaming.incremental import incremental_extract
 
@@ -245,6 +245,27 @@ def write_markdown(spark, sf):
     return spark.read.parquet(path).select("page_id", "markdown_file", "markdown")
 
 
+@query("markdown_files")
+def markdown_files(spark, sf):
+    """One Markdown file per page, read back by name."""
+    path = shared_dir(spark, "files")
+    documents = _markdown(spark, sf).withColumn("markdown_file", markdown_filename(_result_name()))
+    sinks.write_markdown_files(documents, path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md")
+    return files.select(F.col("_metadata.file_name").alias("markdown_file"), F.col("value").alias("markdown"))
+
+
+@query("changed_files")
+def changed_files(spark, sf):
+    """Every page as a file of its own; those of odd length were another length when last read."""
+    path = shared_dir(spark, "html")
+    inputs.table(spark, sf, "pages").where("html <> ''").select(F.col("html").alias("value")).write.option(
+        "maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    done = list_html_dir(spark, path, "*.txt").withColumn("bytes", F.col("bytes") + F.col("bytes") % 2)
+    files = load_changed(spark, path, done, "*.txt")
+    return files.groupBy(F.md5(F.col("html").cast("binary")).alias("html_md5"), "bytes").agg(F.count("*").alias("n_files"))
+
+
 @query("step_tables")
 def step_tables(spark, sf):
     store = StepStore(spark, shared_dir(spark, "steps"))
