@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domloom.llm.text import TOKEN
 
 #: Words of the shortest tile.
 MIN_TILE = 4
@@ -18,9 +18,14 @@ MIN_TILE = 4
 #: Share of an item's words that tiles must cover for a document to count as contaminated.
 MIN_COVERAGE = 0.6
 
-#: Words of test items looked for in one pass over the documents. A larger benchmark takes more
+#: Bytes of test items looked for in one pass over the documents. A larger benchmark takes more
 #: passes; what a pass ships to the tasks does not grow.
-BLOCK_WORDS = 2_000_000
+BLOCK_BYTES = 12_000_000
+
+# Blocks of scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: Words: runs of letters, digits and underscores; of unspaced scripts every character.
+WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 
 #: Base of the rolling hash, modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -39,27 +44,29 @@ _ARROW = pa.schema([
 def contaminations(
     docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, min_coverage: float = MIN_COVERAGE,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    block_words: int = BLOCK_WORDS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document and test item it gives away, with the tiles as word positions.
 
-    Words are runs of letters and digits in lower case. Seeds, ``min_tile`` words long, join the
+    Words are runs of letters and digits in lower case, and single characters of scripts written
+    without spaces. Seeds, ``min_tile`` words long, join the
     two texts through Karp-Rabin hashes. Tiling marks the longest match whose words are unmarked
     on both sides, again and again, until none of ``min_tile`` words is left; what covers
     ``min_coverage`` of the item counts, in whatever order the tiles stand in the document.
 
     Documents are neither shuffled nor copied. The benchmark is the query set: it is read in
-    blocks of about ``block_words`` words, one pass over the documents each, so memory per task
+    blocks of about ``block_bytes`` bytes, one pass over the documents each, so memory per task
     has a bound whatever its size. Whole texts are searched; a document's hits are linear in its
     words unless test items repeat each other (equal items are searched once).
 
-    Null and empty texts match nothing, nor do items of fewer than ``min_tile`` words. Rows that
-    repeat are reported each. Other columns are ignored. Empty tables give no rows.
+    Items of fewer than ``min_tile`` words are given away by a document that has all their words in a
+    row; the tile is the first such place. Null and empty texts match nothing, nor do items
+    without words. Rows that repeat are reported each. Other columns are ignored. Empty tables give no rows.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = [
         texts.mapInArrow(_search(block, min_tile, min_coverage), RESULT)
-        for block in _blocks(benchmark, item_col, item_text_col, block_words)
+        for block in _blocks(benchmark, item_col, item_text_col, block_bytes)
     ]
     result = found[0]
     for part in found[1:]:
@@ -69,38 +76,42 @@ def contaminations(
 
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, min_coverage: float = MIN_COVERAGE,
-    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that give no test item away by the rule of
     ``contaminations``. Rows pass through the tasks that search them and are not shuffled."""
-    for block in _blocks(benchmark, item_col, item_text_col, block_words):
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         docs = docs.mapInArrow(_pass(block, min_tile, min_coverage, docs.columns.index(text_col)), docs.schema)
     return docs
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator:
-    """Broadcasts of the test items and their words, about ``block_words`` words each."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator:
+    """Broadcasts of the test items and their words, about ``block_bytes`` bytes each."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    size = items.agg(F.sum(F.regexp_count("text", F.lit(r"\w+"))).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // block_words))
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // block_bytes))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        yield spark.sparkContext.broadcast([(r["item_id"], TOKEN.findall(r["text"].lower())) for r in rows])
+        yield spark.sparkContext.broadcast([(r["item_id"], WORD.findall(r["text"].lower())) for r in rows])
 
 
 class ItemIndex:
-    """Test items as numbers, with their seeds sorted by hash."""
+    """Test items as numbers, with their seeds sorted by hash; items too short for a seed by length."""
 
     def __init__(self, items: Sequence[tuple[int, list[str]]], min_tile: int):
         self.min_tile = min_tile
         self.numbers: dict[str, int] = {}
         ids: dict[tuple[str, ...], list[int]] = {}
         for item_id, words in items:
-            if len(words) >= min_tile:
+            if words:
                 ids.setdefault(tuple(words), []).append(item_id)
         self.ids = [sorted(x, key=lambda i: (i is None, i)) for x in ids.values()]
         self.items = [np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], dtype=np.int64) for words in ids]
+        self.short: dict[int, dict[tuple[int, ...], int]] = {}
+        for owner, item in enumerate(self.items):
+            if len(item) < min_tile:
+                self.short.setdefault(len(item), {})[tuple(item.tolist())] = owner
         seeds = [rolling_hashes(item, min_tile) for item in self.items]
         hashes = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.uint64)
         owners = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
@@ -123,6 +134,21 @@ class ItemIndex:
         return self.owners[rows], self.places[rows], np.repeat(at, count)
 
 
+    def short_hits(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Short items that stand in a document as a whole, each with its first place."""
+        for length, items in self.short.items():
+            known = np.flatnonzero(words > 0)
+            known = known[known + length <= len(words)]
+            runs = words[known[:, None] + np.arange(length)]
+            at = known[(runs > 0).all(axis=1)]
+            first: dict[int, int] = {}
+            for place, run in zip(at.tolist(), words[at[:, None] + np.arange(length)].tolist()):
+                owner = items.get(tuple(run))
+                if owner is not None:
+                    first.setdefault(owner, place)
+            yield from first.items()
+
+
 def rolling_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """The Karp-Rabin hash of each run of ``k`` words."""
     count = max(0, len(words) - k + 1)
@@ -161,8 +187,10 @@ def tile(item: np.ndarray, doc: np.ndarray, places: np.ndarray, at: np.ndarray,
 def _given_away(index: ItemIndex, text: str | None, min_coverage: float) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
     """Items, by their place in the index, that a text gives away, and their tiles."""
     number = index.numbers.get
-    tokens = TOKEN.findall(text.lower()) if text else []
+    tokens = WORD.findall(text.lower()) if text else []
     words = np.fromiter((number(t, 0) for t in tokens), dtype=np.int64, count=len(tokens))
+    for owner, place in index.short_hits(words):
+        yield owner, [(0, place, len(index.items[owner]))]
     owners, places, at = index.hits(words)
     order = np.argsort(owners, kind="stable")
     bounds = np.flatnonzero(np.diff(owners[order])) + 1

@@ -1,5 +1,6 @@
 """Near copies, test items, licenses, languages, archives, lines and counts against plain Python."""
 
+import random
 import re
 
 import duckdb
@@ -119,11 +120,66 @@ def test_reordered_test_items(spark):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
     items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item)), (3, None), (4, "alpha beta")], "item_id bigint, text string")
     rows = contaminations(docs, items).collect()
-    assert sorted((r.doc_id, r.item_id, r.coverage, len(r.tiles)) for r in rows) == [(1, 1, 1.0, 2), (1, 2, 1.0, 2), (6, 1, 1.0, 1), (6, 2, 1.0, 1)]
-    assert {r.doc_id for r in decontaminated(docs, items, block_words=10).collect()} == {2, 3, 4, 5}
+    assert sorted((r.doc_id, r.item_id, r.coverage, len(r.tiles)) for r in rows) == [
+        (1, 1, 1.0, 2), (1, 2, 1.0, 2), (1, 4, 1.0, 1), (2, 4, 1.0, 1), (6, 1, 1.0, 1), (6, 2, 1.0, 1), (6, 4, 1.0, 1)]
+    assert {r.doc_id for r in decontaminated(docs, items, block_bytes=60).collect()} == {3, 4, 5}
     assert contaminations(docs.limit(0), items).count() == contaminations(docs, items.limit(0)).count() == 0
 
 
+def tiled_by_force(item, doc, least):
+    """Greedy string tiling as written down: the longest match of unmarked words, again and again."""
+    item_free, doc_free, matched = [True] * len(item), [True] * len(doc), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n] and item_free[i + n] and doc_free[d + n]:
+                    n += 1
+                best = max(best, (n, -d, -i))
+        n, d, i = best[0], -best[1], -best[2]
+        if n < least:
+            return matched
+        for k in range(n):
+            item_free[i + k] = doc_free[d + k] = False
+        matched += n
+
+
+@pytest.mark.parametrize("block_bytes", [12_000_000, 40])
+def test_tiles_equal_brute_force(spark, block_bytes):
+    draw = random.Random(5)
+    items = [(k, " ".join(draw.choice("abcdefgh") for _ in range(draw.choice([1, 2, 3, 5, 9, 14])))) for k in range(30)]
+    texts = []
+    for k in range(60):
+        words = [draw.choice("abcdefghxyz") for _ in range(draw.randrange(0, 25))]
+        if k % 2:  # pieces of an item in another order
+            own = items[k % 30][1].split()
+            cut = draw.randrange(len(own) + 1)
+            words += own[cut:] + ["x"] + own[:cut]
+        texts.append((k, " ".join(words)))
+    rows = contaminations(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3),
+                          spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes)
+    want = []
+    for i, text in texts:
+        for j, item in items:
+            own, words = item.split(), text.split()
+            matched = tiled_by_force(own, words, min(4, len(own)))
+            if len(own) < 4:
+                matched = min(matched, len(own))
+            if matched >= 0.6 * len(own) and (len(own) >= 4 or matched == len(own)):
+                want.append((i, j, matched))
+    assert sorted((r.doc_id, r.item_id, r.matched_words) for r in rows.collect()) == sorted(want)
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    items = [(1, "What is entropy?"), (2, "熵是什么？"), (3, "Yes"), (4, "..."), (5, "何がエントロピーですか。答えは乱雑さです。"), (6, "Что такое энтропия сегодня")]
+    texts = [(1, "They ask: WHAT IS ENTROPY, really"), (2, "问题：熵是什么？答案"), (3, "Yesterday and yes-men"), (4, "what is not entropy"),
+             (5, "答えは乱雑さです。では、何がエントロピーですか。"), (6, "熵 是"), (7, "— что такое энтропия сегодня?"), (8, None), (1, "What is entropy?")]
+    got = contaminations(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in got.collect()) == [
+        (1, 1, 1.0), (1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (5, 5, 1.0), (7, 6, 1.0)]
+
+
 def test_licenses(spark):
     mit = TEMPLATES["MIT"]
     edited = mit.replace("free of charge", "free of any charge").replace("without limitation the rights", "the rights")
