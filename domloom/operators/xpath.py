@@ -104,10 +104,12 @@ class XPath:
 
     def select(self) -> str:
         """SQL for the matching elements of ``nodes`` in document order."""
-        hits = self.result
+        hits, bindings = self.result, self.bindings
+        if bindings and bindings[-1][0] == hits:
+            *bindings, (_, hits) = bindings
         if self.attribute:
             hits = f"filter({hits}, n -> n.attrs[{sql_literal(self.attribute)}] IS NOT NULL)"
-        for name, value in reversed(self.bindings):
+        for name, value in reversed(bindings):
             hits = sql_let(value, name, hits)
         return hits
 
