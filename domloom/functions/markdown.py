@@ -200,9 +200,11 @@ def markdown_escape(text: str) -> Column:
     return F.expr(sql_replace(text, MARKUP, BACKSLASHED))
 
 
-def list_items(items: str) -> Column:
-    """A Markdown list of the texts of an array that are not empty: those with tags are converted,
-    others escaped, further lines of an item indented."""
-    item = f"CASE WHEN rlike(v, {sql_literal(r'</?[A-Za-z][^>]*+>')}) THEN {html_to_markdown_sql('v')} ELSE {sql_replace('v', MARKUP, BACKSLASHED)} END"
-    listed = f"transform(filter({items}, v -> v != ''), v -> concat('- ', replace({item}, chr(10), concat(chr(10), '  '))))"
-    return F.expr(f"array_join({listed}, chr(10))")
+def list_items(items: str, html: bool) -> Column:
+    """A Markdown list of the texts of an array that are not empty. With ``html`` those with tags are
+    converted and their further lines indented; all others are escaped."""
+    item = sql_replace("v", MARKUP, BACKSLASHED)
+    if html:
+        converted = f"replace({html_to_markdown_sql('v')}, chr(10), concat(chr(10), '  '))"
+        item = f"CASE WHEN rlike(v, {sql_literal(r'</?[A-Za-z][^>]*+>')}) THEN {converted} ELSE {item} END"
+    return F.expr(f"array_join(transform(filter({items}, v -> v != ''), v -> concat('- ', {item})), chr(10))")

@@ -109,7 +109,8 @@ def text_rules(code: str = "code") -> str:
          _issue("robustness", "issue", "MissingImports", "high",
                 f"=concat('Not imported: ', array_join({missing}, ', '))",
                 f"=concat('Add: ', array_join(transform({missing}, m -> concat('import ', m)), ', '))")),
-        (_matches(code, FIXED_PATHS),
+        # The second pattern looks far ahead from every slash; without its last word it cannot match.
+        (f"({_matches(code, FIXED_PATHS[:1])} OR contains({code}, '.html') AND {_matches(code, FIXED_PATHS[1:])})",
          _issue("robustness", "issue", "HardcodedPath", "medium", "Fixed file path in source", "Build paths with pathlib")),
         (f"{extracts} AND {_count(code, r'(?U)return\s+')} < 2",
          _issue("robustness", "warning", "LimitedReturnPaths", "low",

@@ -72,6 +72,7 @@ def field_profile(long: DataFrame, metadata_types: Sequence[str] = ("title", "me
         .when(F.col("tags") > 0, "html")
         .otherwise("text")
         .alias("field_type"),
+        (F.col("tags") > 0).alias("tagged"),
     )
 
 
@@ -101,8 +102,10 @@ def collect_roles(profile: DataFrame) -> dict[str, str]:
 
 
 def collect_types(profile: DataFrame) -> dict[str, str]:
-    """Field types by section, for the same."""
-    return {r["section"]: r["field_type"] for r in profile.select("section", "field_type").collect()}
+    """Field types by section, for the same; lists with tags in their items are ``html_list``."""
+    tagged = F.col("tagged") if "tagged" in profile.columns else F.lit(False)
+    rows = profile.select("section", "field_type", tagged.alias("tagged")).collect()
+    return {r["section"]: "html_list" if r["tagged"] and r["field_type"] == "list" else r["field_type"] for r in rows}
 
 
 def records_to_markdown(
@@ -128,7 +131,7 @@ def records_to_markdown(
         name, type_ = fields[s.name], types.get(s.name, "text")
         opened = f"**{s.name}**: "
         if s.is_list:
-            listed = list_items(name)
+            listed = list_items(name, type_ == "html_list")
             return F.when(listed != "", F.concat(F.lit(f"## {s.name}\n\n"), listed))
         shown = html_to_markdown(name) if type_ == "html" else markdown_escape(name)
         if type_ == "object":

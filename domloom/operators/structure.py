@@ -70,14 +70,15 @@ def _section(rule: SectionRule, sample_chars: int) -> str:
         {sql_literal(rule.type)} AS type,
         {sql_literal(rule.description)} AS description,
         {path_sql(lead)} AS xpath,
-        {path_sql(lead, indexed=False)} AS gpath,
+        paths[0] AS gpath,
         size(hits) > 1 AS is_list,
-        CASE WHEN size(hits) > 1 THEN concat('/', {path_sql(lead, indexed=False)}) END AS list_xpath,
+        CASE WHEN size(hits) > 1 THEN concat('/', paths[0]) END AS list_xpath,
         {lead}.attrs AS attributes,
         substring({sql_strip(node_text_sql(lead))}, 1, {sample_chars}) AS content_sample,
         size(hits) AS n_matches,
-        transform(hits, n -> {path_sql('n', indexed=False)}) AS gpaths) END"""
-    return sql_let(_first_match(rule.xpaths), "hits", row)
+        paths AS gpaths) END"""
+    paths = f"transform(hits, n -> {path_sql('n', indexed=False)})"
+    return sql_let(_first_match(rule.xpaths), "hits", sql_let(paths, "paths", row))
 
 
 def _sections_array(rules: Sequence[SectionRule], sample_chars: int) -> str:

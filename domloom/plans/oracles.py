@@ -163,7 +163,8 @@ PROFILE = """, profile AS (
                    AND (CASE WHEN sum(items) > 0 THEN sum(chars) / sum(items) ELSE 0.0 END) < 200) THEN 'metadata'
               ELSE 'main' END AS role,
          CASE WHEN bool_or(is_list) THEN 'list'
-              WHEN bool_or(regexp_matches(value, '</?[A-Za-z][^>]*>')) THEN 'html' ELSE 'text' END AS field_type
+              WHEN bool_or(regexp_matches(value, '</?[A-Za-z][^>]*>')) THEN 'html' ELSE 'text' END AS field_type,
+         coalesce(bool_or(regexp_matches(coalesce(value, "values"), '</?[A-Za-z][^>]*>')), false) AS tagged
   FROM (
     SELECT *, CASE WHEN is_list THEN len(list_filter(string_split("values", chr(31)), lambda x: x != ''))
                    WHEN coalesce(value, '') != '' THEN 1 ELSE 0 END AS items,

@@ -162,3 +162,17 @@ def test_section_without_xpath_is_absent_even_with_fallbacks(pages_of):
     sections = [Section("a", "//h1"), Section("b", None, xpath_list=("//h1",)), Section("c", "", xpath_list=("//h1",))]
     rows = ex.extract_sections(pages_of("<h1>t"), sections, fallback=True).collect()
     assert [(r.section, r.value) for r in rows] == [("a", "t")]
+
+
+def test_html_in_list_items(spark):
+    """Items with tags become Markdown of their own, others are escaped; without tags in any, all are."""
+    entry = "struct<section:string,is_list:boolean,value:string,values:array<string>,source_xpath:string>"
+    items = ["<b>a</b> <a href='/u'>t</a>", "1 * 2", "", "<ul><li>x</li><li>y</li></ul>", "<table><tr><td>a</td><td>b</td></tr></table>"]
+    rows = [(1, None, [("l", True, None, items, "//x"), ("m", True, None, ["p_q"], "//y")])]
+    extracted = spark.createDataFrame(rows, f"page_id bigint, error string, fields array<{entry}>")
+    profiled = profile.field_profile(ex.extractions(extracted))
+    types = profile.collect_types(profiled)
+    assert types == {"l": "html_list", "m": "list"}
+    sections = [Section("l", "//x", is_list=True), Section("m", "//y", is_list=True)]
+    text = profile.records_to_markdown(extracted, sections, {}, types).first().markdown
+    assert text == "## l\n\n- **a** [t](/u)\n- 1 \\* 2\n- - x\n  - y\n- a | b\n\n## m\n\n- p\\_q"
