@@ -169,7 +169,8 @@ def _plain_tags(text: str) -> str:
     inside = "replace(replace(substring(p, 2, length(p) - 2), '<', '&lt;'), '>', '&gt;')"
     token = f"CASE WHEN length(p) > 2 AND startswith(p, '<') THEN concat('<', {inside}, '>') ELSE p END"
     tokens = f"regexp_extract_all(t, {sql_literal(_TOKENS)}, 0)"
-    hidden = sql_literal(r"[\"'][^\"'<>]*+[<>]")
+    # A tag with a quote in which one of them comes before the quote ends.
+    hidden = sql_literal(r"(?i)</?[a-z](?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+(?:\"[^\"<>]*+|'[^'<>]*+)[<>]")
     return sql_let(text, "t", f"CASE WHEN rlike(t, {hidden}) THEN array_join(transform({tokens}, p -> {token}), '') ELSE t END")
 
 
