@@ -1,11 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from domloom.operators import extract as ex
 from domloom.operators import profile
 from domloom.operators.schema import Section
 from domloom.plans.flows import to_markdown
+from domloom.plans.queries import all_queries
 from domloom.streaming.incremental import incremental_extract
 
 PAGE = "<title>T</title><h1>Head</h1><ul><li>a<li><b>x</b>y</ul><p class=k>one <b>two</b></p>"
@@ -158,6 +160,20 @@ def test_stream_continues_where_it_stopped_and_equals_the_batch(spark, tmp_path)
     assert rows(spark.read.parquet(out)) == rows(ex.extract(pages, SECTIONS))
 
 
+@pytest.mark.parametrize("folder", [True, False])
+def test_stream_query_reads_a_table_of_many_files(spark, tmp_path, folder):
+    """The pages are a folder of part files, or one file; other tables beside them are left alone."""
+    rows = [(i, f"http://h/{i}", f"<title>t{i}</title><h1>h{i}</h1>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    where = tmp_path / ("pages.parquet" if folder else "made")
+    pages.repartition(3).write.parquet(str(where)) if folder else pages.coalesce(1).write.parquet(str(where))
+    if not folder:
+        next(where.glob("part-*.parquet")).rename(tmp_path / "pages.parquet")
+    spark.range(3).write.parquet(str(tmp_path / "labels.parquet"))
+    found = all_queries()["incremental_extract"](spark, str(tmp_path)).filter("section = 'title'")
+    assert sorted((r.page_id, r.value) for r in found.collect()) == [(i, f"h{i}") for i in range(5)]
+
+
 def test_section_without_xpath_is_absent_even_with_fallbacks(pages_of):
     sections = [Section("a", "//h1"), Section("b", None, xpath_list=("//h1",)), Section("c", "", xpath_list=("//h1",))]
     rows = ex.extract_sections(pages_of("<h1>t"), sections, fallback=True).collect()
