@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 
 from domloom.operators import lint
@@ -100,6 +103,22 @@ def test_syntax(spark):
     assert {r.subject_id for r in rows} == {1, 3} and all(r.type == "SyntaxError" and r.line == 1 for r in rows)
 
 
+def test_facts_hold_a_few_sources_at_a_time():
+    """A batch of sources far above the bound: neither its texts nor its facts are in memory at once."""
+    sources = ["def f(a): return 1\n# " + "ü" * 100_000, "x = (\n", None] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(sources, pa.string())], names=["subject_id", "code"])
+    names, rows, held = [], 0, pa.total_allocated_bytes()
+    tracemalloc.start()
+    for part in lint._fact_batches(iter([batch])):
+        assert part.column(1).equals(batch.column(1).slice(rows, part.num_rows)) and part.num_rows < 40
+        assert pa.total_allocated_bytes() - held < 1_000_000
+        names += [[f["name"] for f in x] for x in part.column(3).to_pylist()]
+        rows += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names == [["f"], [], []] * 100 and peak < 5_000_000
+
+
 def test_rollup_top_and_diff(spark):
     table = codes(spark, make(), "open('x')\njson.loads(1)\n'/a/b/c.html'\nlogger.xpath(1)", "x = (", "y = 1\nSCHEMA = 2")
     issues = lint.all_issues(table)
