@@ -2,11 +2,14 @@
 
 import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from domloom.functions.html_scan import PageScan, parse_attributes
 from domloom.operators import nodes
-from domloom.operators.xpath import select_xpath
+from domloom.operators import structure as st
+from domloom.operators.xpath import fields_for, select_xpath
+from domloom.plans.queries import XPATHS
 
 
 def elements(source):
@@ -156,3 +159,21 @@ def test_paths_take_memory_by_the_element(spark):
     found = select_xpath(parsed, {"x": "//p"}).collect()
     assert sorted((r.page_id, len(r.xpath)) for r in found) == [(1, len("/html/body/p") + 4 * n), (2, 15), (2, 15)]
     assert parsed.where("page_id = 1").first().error is None
+
+
+@pytest.mark.parametrize("fields", [
+    tuple(dict.fromkeys(fields_for(XPATHS.values(), *nodes.PATH_FIELDS))),
+], ids=["select_xpath"])
+def test_elements_of_a_few_pages_at_a_time(fields):
+    """A batch of pages far above the bound: the elements of all its pages are not in memory at once."""
+    pages = ["<ul>" + "<li class='a b'><a href='/x'>t</a>" * 3000, None] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array(pages, pa.string())], names=["page_id", "html"])
+    rows = elements = 0
+    tracemalloc.start()
+    for part in nodes._parsed_batches(iter([batch]), fields):
+        assert part.num_rows <= 24 and part.column(0).to_pylist() == list(range(rows, rows + part.num_rows))
+        rows += part.num_rows
+        elements += len(part.column(2).flatten())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (rows, elements) == (80, 40 * 6003) and peak < 80_000_000
