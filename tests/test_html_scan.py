@@ -163,7 +163,8 @@ def test_paths_take_memory_by_the_element(spark):
 
 @pytest.mark.parametrize("fields", [
     tuple(dict.fromkeys(fields_for(XPATHS.values(), *nodes.PATH_FIELDS))),
-], ids=["select_xpath"])
+    tuple(dict.fromkeys((*st.SECTION_FIELDS, *st.LAYOUT_FIELDS))),
+], ids=["select_xpath", "merge_analyses"])
 def test_elements_of_a_few_pages_at_a_time(fields):
     """A batch of pages far above the bound: the elements of all its pages are not in memory at once."""
     pages = ["<ul>" + "<li class='a b'><a href='/x'>t</a>" * 3000, None] * 40
