@@ -1,7 +1,7 @@
 """One file per page, as a Spark data source.
 
 ``rows.write.format("page_files").mode("append").save(directory)`` writes each row of ``(name, text)``
-to a file of that name. Tables are the usual output (``sinks``); this is for consumers that want
+to a file of that name; ``text`` is a string or binary. Tables are the usual output (``sinks``); this is for consumers that want
 files, and for as many pages as a file system takes.
 
 A file appears under its name only when it is complete: it is written beside under a name of the
@@ -56,9 +56,10 @@ class PageFilesWriter(DataSourceWriter):
         for row in iterator:
             if row["name"] is None or row["text"] is None:
                 continue
+            text = row["text"]
             attempt = f"{attempts}/{uuid.uuid4().hex}"
             with files.open_output_stream(attempt, compression=None) as out:
-                out.write(row["text"].encode("utf-8", "surrogatepass"))
+                out.write(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text)
             files.move(attempt, f"{path}/{file_name(row['name'])}")
             written += 1
         return Written(written)
@@ -97,8 +98,8 @@ def file_name(name: str) -> str:
 def write_page_files(rows: DataFrame, directory: str, name: str, text: str) -> None:
     """The column ``text`` of each row to a file named by ``name``; rows where one is null have none.
 
-    Names must be unique, as those of results are.
+    Names must be unique, as those of results are. A binary column is written byte by byte as it is.
     """
     rows.sparkSession.dataSource.register(PageFiles)
-    rows.select(F.col(name).cast("string").alias("name"), F.col(text).cast("string").alias("text")).write.format(FORMAT).mode(
-        "append").save(directory)
+    content = F.col(text) if dict(rows.dtypes)[text] == "binary" else F.col(text).cast("string")
+    rows.select(F.col(name).cast("string").alias("name"), content.alias("text")).write.format(FORMAT).mode("append").save(directory)

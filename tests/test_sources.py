@@ -1,13 +1,16 @@
+import hashlib
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from domloom.operators import extract as ex
 from domloom.operators.ranking import number_rows, running_total
 from domloom.operators.schema import Section
+from domloom.plans.queries import all_queries
 from domloom.sources import sinks, urls
-from domloom.sources.page_files import PageFilesWriter, file_name
+from domloom.sources.page_files import PageFilesWriter, file_name, write_page_files
 from domloom.sources.pages import file_pages, list_html_dir, load_changed, load_html_dir, read_pages, readable, with_identifier
 from domloom.sources.steps import StepStore, save_result
 
@@ -105,6 +108,18 @@ def test_html_directory(spark, tmp_path):
     assert status["bad.html"].error == "Failed to read file: not valid UTF-8"
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    """A task reads many splits of small files, but no core is left without one."""
+    for i in range(200):
+        (tmp_path / f"{i}.html").write_text(f"<p>{i}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        for files in (load_html_dir(spark, str(tmp_path)), list_html_dir(spark, str(tmp_path))):
+            assert 4 <= files.rdd.getNumPartitions() <= 20 and files.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_identifier_order(spark):
     rows = spark.createDataFrame([("u", "p"), (None, "p"), (None, None)], "url string, path string")
     assert [r.identifier for r in with_identifier(rows).collect()] == ["u", "p", "unknown"]
@@ -185,6 +200,48 @@ def test_one_file_per_page(spark, tmp_path):
     assert (tmp_path / "json" / "a.json").read_text() == '{"n":1,"t":"x"}' and not (tmp_path / "json" / "b.json").exists()
 
 
+def test_page_files_of_bytes(spark, tmp_path):
+    """A binary column reaches the file as it is, also where it is no UTF-8."""
+    rows = [("a.txt", b"<p>\xff\r\n"), ("b.txt", b""), ("c.txt", None), ("d.txt", "é\n".encode())]
+    write_page_files(spark.createDataFrame(rows, "file string, content binary"), str(tmp_path / "out"), "file", "content")
+    found = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir() if p.suffix == ".txt"}
+    assert found == {n: t for n, t in rows if t is not None}
+
+
+def file_pages_table(spark, folder):
+    """Pages whose ids repeat or are null; two are empty, one is null."""
+    rows = [(7, "<p>ü"), (7, "<p>ü"), (1, "<p>a\r\nb"), (1, "<p>ab"), (None, "<p>n"), (2, ""), (7, ""), (3, None)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id bigint, url string, html string")
+    pages.repartition(3).write.parquet(f"{folder}/pages.parquet")
+    return str(folder)
+
+
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+@pytest.fixture
+def spark_files(spark, monkeypatch):
+    """Spark's text writer, by which each file costs a place in the driver's commit, is not used."""
+    def text(*_, **__):
+        raise AssertionError("one file per row by the text writer")
+
+    monkeypatch.setattr(DataFrameWriter, "text", text)
+    return spark
+
+
+def test_changed_files_query_has_a_file_for_each_page(spark_files, tmp_path):
+    rows = all_queries()["changed_files"](spark_files, file_pages_table(spark_files, tmp_path)).collect()
+    # with its line end, <p>ü has 6 bytes, <p>a\r\nb 8, <p>ab 6 and <p>n 5: only odd lengths have changed
+    assert [tuple(r) for r in rows] == [(md5("<p>n\n"), 5, 1)]
+
+
+def test_html_files_query_has_a_file_for_each_page(spark_files, tmp_path):
+    rows = all_queries()["load_html_dir"](spark_files, file_pages_table(spark_files, tmp_path)).collect()
+    assert {tuple(r) for r in rows} == {
+        (None, "not valid UTF-8", 2), (md5("<p>a\nb\n"), None, 1), (md5("<p>ab\n"), None, 1), (md5("<p>n\n"), None, 1)}
+
+
 def test_an_attempt_that_fails_leaves_no_file(tmp_path):
     """The first attempt of a task dies in the middle; the second writes the same rows."""
     rows = [{"name": f"{i}.md", "text": "x" * i} for i in range(5)]
